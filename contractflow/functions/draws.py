@@ -40,9 +40,9 @@ def below(row_id: Column, stream: int, bound: int) -> Column:
 
 
 def normal(row_id: Column, stream: int) -> Column:
-    """A standard normal double, from this stream and its second draw at ``stream + 1000``."""
+    """A standard normal double from this stream and the next; an even stream needs one digest."""
     radius = F.sqrt(F.lit(-2.0) * F.ln((draw(row_id, stream) + F.lit(1)) / F.lit(UNIT_RANGE)))
-    return radius * F.cos(F.lit(6.283185307179586) * uniform(row_id, stream + 1000))
+    return radius * F.cos(F.lit(6.283185307179586) * uniform(row_id, stream + 1))
 
 
 def chance(row_id: Column, stream: int, rate: float) -> Column:

@@ -37,7 +37,7 @@ NULL_PRODUCT_RATE, RETURN_RATE = 0.05, 0.03
 RESEND_RATE = 0.03
 FIRST_ARTICLE, ARTICLE_STEP, FIRST_BATCH = 2000, 3, 60000
 
-#: Draw streams of the rules; column draws use 100 and up.
+#: Draw streams of the rules; column draws use 100 and up, two per column.
 _COLOR, _SIZE, _PRODUCT, _LOWER, _NULL_DEFECT, _RECEIPT = 21, 22, 23, 24, 25, 26
 _NULL_PRODUCT, _STORE, _RETURN, _MONTHS, _REGION = 27, 28, 29, 30, 31
 _EVENT, _ZONE, _STOCK, _BATTERY, _RESEND = 32, 33, 34, 35, 36
@@ -118,9 +118,9 @@ def generate(
         if profile.kind == profiling.CATEGORICAL and not profile.values:
             if source is None:
                 raise RuntimeError(f"Column {profile.name} has many values; pass the rows it was profiled from.")
-            rows = sample_from_rows(rows, source, profile.rows, profile.name, _COLUMNS + i)
+            rows = sample_from_rows(rows, source, profile.rows, profile.name, _COLUMNS + 2 * i)
         else:
-            plain[profile.name] = sample_column(profile, _COLUMNS + i)
+            plain[profile.name] = sample_column(profile, _COLUMNS + 2 * i)
     made = rows.withColumns(plain)
     made = made.select(ROW, *[F.col(f"`{p.name}`") for p in profiles if p.name not in skip])
     return made.transform(hook) if hook else made
@@ -249,8 +249,8 @@ def weather_rows(ids: DataFrame, run_at: str) -> DataFrame:
     return ids.select(
         ROW,
         weighted(row, _COLUMNS, CITIES).alias("city"),
-        clipped_normal(row, _COLUMNS + 1, 25.0, 10.0, -10.0, 50.0).alias("temperature"),
-        clipped_normal(row, _COLUMNS + 2, 60.0, 20.0, 0.0, 100.0).alias("humidity"),
-        weighted(row, _COLUMNS + 3, SKIES).alias("weather_description"),
+        clipped_normal(row, _COLUMNS + 2, 25.0, 10.0, -10.0, 50.0).alias("temperature"),
+        clipped_normal(row, _COLUMNS + 4, 60.0, 20.0, 0.0, 100.0).alias("humidity"),
+        weighted(row, _COLUMNS + 6, SKIES).alias("weather_description"),
         F.lit(run_at).alias("timestamp"),
     )
