@@ -293,12 +293,12 @@ feed AS (
   SELECT sha256('event:src_sales_history:steady:' || o) AS _event_id,
          sha256('trace:src_sales_history:steady:' || o) AS _trace_id,
          'src_sales_history' AS _source_id, 'ds_sales_history' AS _dataset_id, 'v1' AS _schema_version,
-         op AS _operation_type, at AS _event_timestamp, CAST(NULL AS VARCHAR) AS _source_timestamp,
-         at AS _ingestion_timestamp, receipt_id, product_id, sale_timestamp,
+         op AS _operation_type, stamp AS _event_timestamp, CAST(NULL AS VARCHAR) AS _source_timestamp,
+         stamp AS _ingestion_timestamp, receipt_id, product_id, sale_timestamp,
          CASE WHEN op = 'UPDATE' THEN {_SCALED} ELSE units_sold END AS units_sold,
-         store_id, op AS _cdc_op, CASE WHEN op = 'UPDATE' THEN at END AS _updated_at,
-         CASE WHEN op = 'DELETE' THEN at END AS _deleted_at, o AS _log_offset
-  FROM (SELECT *, {_iso('moment')} AS at FROM (
+         store_id, op AS _cdc_op, CASE WHEN op = 'UPDATE' THEN stamp END AS _updated_at,
+         CASE WHEN op = 'DELETE' THEN stamp END AS _deleted_at, o AS _log_offset
+  FROM (SELECT *, {_iso('moment')} AS stamp FROM (
         SELECT *, TIMESTAMP '{FEED_START[:19].replace('T', ' ')}' + to_microseconds(o * {int(1_000_000 / FEED_RATE)}) AS moment
         FROM events_of)))"""
 
@@ -595,7 +595,103 @@ SELECT r AS _row, {_iso('moment')} AS sale_timestamp FROM drawn""",
 {_frequency('f_segment', 'c_mktsegment', 'customer')}, {_ranked('ids', 'f_segment', 106, 'd_segment')},
 named AS (SELECT ids.r, people.c_name FROM ids JOIN people
           ON people.k = {_below_draw('r', 100, '(SELECT count(*) FROM customer)')} + 1)
-SELECT r AS _row, c_name, {_sampled('nation_key', 'r', 102)} AS c_nationkey,
+SELECT r AS _row, c_name, {_half_even(_sampled('nation_key', 'r', 102), 5)} AS c_nationkey,
        {_half_even(_sampled('balance', 'r', 104), 5)} AS c_acctbal, d_segment.value AS c_mktsegment
 FROM named JOIN d_segment USING (r), nation_key, balance""",
 }
+
+_COLORS = ("Midnight Black", "Navy Blue", "Olive Green", "Classic White", "Charcoal Grey", "Burgundy Red")
+_CODES = ("MID", "NAV", "OLI", "CLA", "GRY", "BUR")
+_SIZES = ("XS", "S", "M", "L", "XL", "XXL")
+_STORES = ("LDN-OXFORD", "LDN-KINGS", "NYC-5AVE", "NYC-MAIN", "DXB-MALL", "KHI-DOLMEN", "ISB-CENTAURUS", "LHR-LIBERTY",
+           "PAR-CHAMPS", "BER-KURFUERSTENDAMM")
+_REGIONS = ("Europe", "Americas", "Asia", "MENA", "APAC", "North America")
+_CITIES = (("Lahore", 40), ("Karachi", 30), ("Islamabad", 15), ("Rawalpindi", 10), ("Faisalabad", 5))
+_SKIES = (("clear sky", 20), ("few clouds", 15), ("scattered clouds", 15), ("broken clouds", 10), ("shower rain", 10),
+          ("rain", 10), ("thunderstorm", 5), ("snow", 3), ("mist", 2))
+
+
+def _filled(value: str, default: str) -> str:
+    return f"CASE WHEN {value} IS NULL OR {value} = 0 THEN {default}::DOUBLE ELSE {value} END"
+
+
+def _whole(value: str, default: str, floor: int) -> str:
+    return f"greatest({floor}, CAST(floor(abs({_filled(value, default)})) AS BIGINT))"
+
+
+ORACLE |= {
+    "synth_warehouse": f"""WITH {IDS}, {V_WH}, {_frequency('f_name', 'product_name', 'v_wh')},
+{_ranked('ids', 'f_name', 100, 'd_name')}, {_stats('s1', 'reorder_threshold', 'v_wh')},
+{_stats('s2', 'max_capacity', 'v_wh')}, {_stats('s3', 'unit_cost', 'v_wh')},
+drawn AS (SELECT r, d_name.value AS product_name, {_sampled('s1', 'r', 102)} AS reorder_threshold,
+                 {_sampled('s2', 'r', 104)} AS max_capacity, {_sampled('s3', 'r', 106)} AS unit_cost
+          FROM d_name, s1, s2, s3)
+SELECT r AS _row, product_name, {_whole('reorder_threshold', '50', 1)} AS reorder_threshold,
+       {_whole('max_capacity', '500', 10)} AS max_capacity,
+       {_half_even(f"greatest(0.01::DOUBLE, abs({_filled('unit_cost', '30')}))", 2)} AS unit_cost,
+       'ART-' || (2000 + 3 * r) || '-' || {_pick('r', 21, _CODES)} || '-' || {_pick('r', 22, _SIZES)} AS product_id,
+       'ART-' || (2000 + 3 * r) AS article_id, {_pick('r', 21, _COLORS)} AS color, {_pick('r', 22, _SIZES)} AS size
+FROM drawn""",
+    "synth_manufacturing": f"""WITH {IDS}, {POOL}, {V_MFG}, {_stats('s', 'defect_count', 'v_mfg')},
+drawn AS (SELECT keyed.r, product_id, {_sampled('s', 'keyed.r', 100)} AS defects FROM keyed, s)
+SELECT r AS _row, 'BATCH-' || (60000 + r) AS production_batch_id,
+       CASE WHEN {_chance('r', 24, 0.20)} THEN lower(product_id) ELSE product_id END AS product_id,
+       CAST(100 AS BIGINT) AS quantity_produced,
+       CASE WHEN NOT {_chance('r', 25, 0.05)} THEN {_half_even("greatest(0.0::DOUBLE, coalesce(defects, 0.0::DOUBLE))", 1)}
+       END AS defect_count, '{RUN_AT}' AS mfg_timestamp FROM drawn""",
+    "synth_sales": f"""WITH {IDS}, {POOL}, {V_SALES}, {_stats('s', 'units_sold', 'v_sales')},
+drawn AS (SELECT keyed.r, product_id, {_sampled('s', 'keyed.r', 100)} AS units FROM keyed, s),
+sold AS (SELECT *, {_whole('units', '1', 1)} AS whole_units FROM drawn)
+SELECT r AS _row, CASE WHEN {_chance('r', 29, 0.03)} THEN -whole_units ELSE whole_units END AS units_sold,
+       lpad(upper(to_hex({_below_draw('r', 26, 16**8)})), 8, '0') AS receipt_id,
+       CASE WHEN NOT {_chance('r', 27, 0.05)} THEN product_id END AS product_id,
+       '{RUN_AT}' AS sale_timestamp, {_pick('r', 28, _STORES)} AS store_id FROM sold""",
+    "synth_legacy": f"""WITH {IDS}, {POOL}, {V_LEG}, {_stats('s', 'total_monthly_sales', 'v_leg')},
+drawn AS (SELECT keyed.r, product_id, {_sampled('s', 'keyed.r', 100)} AS sold FROM keyed, s)
+SELECT r AS _row, CAST(floor(abs({_filled('sold', '500')})) AS BIGINT) AS total_monthly_sales, product_id,
+       strftime(DATE '{RUN_AT[:10]}' - CAST(({_below_draw('r', 30, 36)} + 1) * 30 AS INTEGER), '%Y-%m') AS historical_period,
+       {_pick('r', 31, _REGIONS)} AS market_region FROM drawn""",
+    "synth_iot": f"""WITH {IDS}, {POOL},
+drawn AS (SELECT r, product_id, md5('rfid:' || r) AS h,
+                 TIMESTAMP '{RUN_AT[:19].replace('T', ' ')}' + to_microseconds(r * 1000000) AS moment FROM keyed),
+readings AS (
+  SELECT r AS _row, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4)
+         || '-' || substr(h, 21, 12) AS event_id, {_iso('moment')} AS "timestamp", product_id,
+         {_pick('r', 33, ('ZONE-A', 'ZONE-B', 'ZONE-C'))} AS shelf_location,
+         {_below_draw('r', 34, 146)} + 5 AS current_stock_on_shelf,
+         ({_below_draw('r', 35, 91)} + 10) || '%' AS battery_level, {_chance('r', 36, 0.03 / 0.97)} AS again FROM drawn)
+SELECT * EXCLUDE (again) FROM readings UNION ALL SELECT * EXCLUDE (again) FROM readings WHERE again""",
+    "synth_weather": f"""WITH {IDS}
+SELECT r AS _row, {_weighted('r', 100, _CITIES)} AS city,
+       {_half_even(_clipped('r', 102, '25.0', '10.0', '-10.0', '50.0'), 5)} AS temperature,
+       {_half_even(_clipped('r', 104, '60.0', '20.0', '0.0', '100.0'), 5)} AS humidity,
+       {_weighted('r', 106, _SKIES)} AS weather_description, '{RUN_AT}' AS "timestamp" FROM ids""",
+    "synth_fk": f"""WITH {IDS}, {POOL}
+SELECT CAST(0 AS BIGINT) AS orphans, count(*) AS rows, count(DISTINCT product_id) AS keys FROM keyed""",
+    "job_counters": f"""WITH {MFG}, {SALES}
+SELECT '{_M}' AS source, {_counts('j_mfg', 'true')} UNION ALL SELECT '{_S}', {_counts('j_sales', SALES_CHANGED)}""",
+    "ingest_latency": f"""WITH {SALES}
+SELECT {_half_even(f"avg((epoch_us(TIMESTAMP '{RUN_AT[:19].replace('T', ' ')}') - epoch_us(moment)) / 1e6)", 3)}
+       AS avg_ingestion_latency_sec FROM j_sales WHERE status = 'PASS'""",
+    "batch_summary": f"""WITH {SALES}, {MFG}, {WH}, {LEG},
+counted AS (
+  SELECT '{_S}' AS source_id, {_counts('j_sales', SALES_CHANGED)} UNION ALL
+  SELECT '{_M}', {_counts('j_mfg', 'true')} UNION ALL
+  SELECT '{_W}', {_counts('j_wh', 'changed')} UNION ALL
+  SELECT 'src_legacy_trends', {_counts('c_leg', 'true')})
+SELECT source_id, records_ingested AS ok, records_failed AS failed, records_quarantined AS quarantined,
+       records_coerced AS coerced, records_normalized AS normalized,
+       {_half_even(f'records_ingested / {JOB_SECONDS}::DOUBLE', 1)} AS rate FROM counted""",
+    "job_metrics": """
+SELECT count(*) AS total_jobs, count(*) FILTER (o_orderstatus = 'O') AS running_jobs,
+       count(*) FILTER (o_orderstatus <> 'O') AS completed_jobs FROM orders""",
+    "job_lookup": """
+SELECT 'job-' || o_orderkey AS job_id, 'src-' || o_custkey AS source_id,
+       CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'completed' ELSE 'failed' END AS status
+FROM orders WHERE o_orderkey = 7""",
+    "dataset_limit": f"""WITH {V_SALES}
+SELECT receipt_id, product_id, sale_timestamp, units_sold, store_id, rn AS _row FROM v_sales ORDER BY rn LIMIT 100""",
+    "low_stock_alerts": f"""WITH {V_WH}
+SELECT product_id, CAST(0 AS BIGINT) AS current_stock, reorder_threshold, 'Low stock' AS alert FROM v_wh
+WHERE reorder_threshold > 0""",
+}

@@ -122,9 +122,8 @@ def _rule_counts(spark, folder, kind: str) -> DataFrame:
     """Broken rules of one kind, counted per source and field, in one pass per source."""
     parts = []
     for source_id, frame in _raw_frames(spark, folder).items():
-        codes = contracts.explain_rules(frame, CONTRACTS[source_id]).select(
-            F.lit(source_id).alias("source"), F.explode("codes").alias("code"))
-        parts.append(codes.where(F.col("code").endswith(":" + kind)))
+        parts.append(contracts.explain_rules(frame, CONTRACTS[source_id], kind).select(
+            F.lit(source_id).alias("source"), F.explode("codes").alias("code")))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
@@ -526,7 +525,7 @@ def synth_rows(spark, folder):
     customers = rows.scan_with_rows(spark, f"{folder}/customer.parquet")
     made = synth.upsample(
         _sales_ids(spark, folder), _profiles(customers, "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), customers)
-    return made.withColumn("c_acctbal", F.bround("c_acctbal", 5))
+    return made.withColumns({n: F.bround(n, 5) for n in ("c_nationkey", "c_acctbal")})
 
 
 @query

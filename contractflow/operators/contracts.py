@@ -8,8 +8,9 @@ Everything is a built-in expression evaluated in one pass over the row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +28,14 @@ FIXED_PREFIX = "_fixed_"
 
 @dataclass(frozen=True)
 class Rule:
-    """One compiled rule: when it is broken and what to say then."""
+    """One compiled rule: when it is broken and what to say then.
+
+    The message is made on demand, so plans that only route rows stay small.
+    """
 
     code: str
     broken: Column
-    message: Column
+    message: Callable[[], Column]
 
 
 @dataclass(frozen=True)
@@ -41,9 +45,9 @@ class _Cell:
     absent: Column
     mistyped: Column
     type_name: str
-    shown: Column      # as str() prints it
-    literal: Column    # as repr() prints it
-    number: Column | None
+    shown: Callable[[], Column]      # as str() prints it
+    literal: Callable[[], Column]    # as repr() prints it
+    number: Callable[[], Column | None]
 
 
 def contract_of(source_id: str) -> DataContract:
@@ -89,9 +93,8 @@ class _Field:
         absent = self.value.isNull()
         if self.kind == "float":
             absent = absent | F.isnan(self.value)
-        number = self._number()
         if self.per_value:
-            mistyped = number.isNull()
+            mistyped = self._number().isNull()
         elif self.rule.dtype == "str":
             mistyped = F.lit(self.kind != "str")
         elif self.rule.dtype == "int":
@@ -102,7 +105,7 @@ class _Field:
             mistyped = F.lit(False)
         return _Cell(
             absent, mistyped, self.kind,
-            text.as_text(self.value, self.kind), text.as_literal(self.value, self.kind), number,
+            lambda: text.as_text(self.value, self.kind), lambda: text.as_literal(self.value, self.kind), self._number,
         )
 
     # -- the value after a cast to the declared type ------------------------------
@@ -165,15 +168,14 @@ class _Field:
         absent, number = before.absent, before.number
         if self.rule.dtype == "float":
             absent = absent | F.coalesce(F.isnan(cast), F.lit(False))
-            number = cast
+            number = lambda: cast
         elif self.rule.dtype == "int":
-            number = F.coalesce(cast.cast("double"), number)
-        shown = F.when(worked, self._cast_text(cast)).otherwise(before.shown)
-        literal = self._cast_text(cast)
-        literal = text.quoted(literal) if self.rule.dtype == "str" else literal
+            number = lambda: F.coalesce(cast.cast("double"), self._number())
+        quote = text.quoted if self.rule.dtype == "str" else (lambda shown: shown)
         return _Cell(
-            absent, before.mistyped & ~worked, before.type_name, shown,
-            F.when(worked, literal).otherwise(before.literal), number,
+            absent, before.mistyped & ~worked, before.type_name,
+            lambda: F.when(worked, self._cast_text(cast)).otherwise(before.shown()),
+            lambda: F.when(worked, quote(self._cast_text(cast))).otherwise(before.literal()), number,
         )
 
     def coercion(self) -> tuple[Column, Column] | None:
@@ -205,32 +207,36 @@ class _Field:
         present = ~cell.absent
         found: list[Rule] = []
         if not rule.nullable:
-            found.append(Rule(f"{name}:null", cell.absent, F.lit(f"Field '{name}' is NULL but not nullable.")))
+            found.append(Rule(
+                f"{name}:null", cell.absent, lambda: F.lit(f"Field '{name}' is NULL but not nullable.")))
         if rule.dtype in ("str", "int", "float"):
             found.append(Rule(
                 f"{name}:type", present & cell.mistyped,
-                F.concat(F.lit(f"Field '{name}' expected {rule.dtype}, got {cell.type_name} (value="),
-                         cell.literal, F.lit(").")),
+                lambda: F.concat(F.lit(f"Field '{name}' expected {rule.dtype}, got {cell.type_name} (value="),
+                                 cell.literal(), F.lit(").")),
             ))
         if rule.allowed_values:
             outside = ~self.value.isin(*rule.allowed_values) if self.kind == "str" else F.lit(True)
             found.append(Rule(
                 f"{name}:enum", present & outside,
-                F.concat(F.lit(f"Field '{name}' value "), cell.literal,
-                         F.lit(f" not in allowed set {_set_text(rule.allowed_values)}.")),
+                lambda: F.concat(F.lit(f"Field '{name}' value "), cell.literal(),
+                                 F.lit(f" not in allowed set {_set_text(rule.allowed_values)}.")),
             ))
-        if cell.number is not None:
+        bounded = rule.min_value is not None or rule.max_value is not None
+        number = cell.number() if bounded else None
+        if number is not None:
             if rule.min_value is not None:
-                found.append(self._bound(cell, "min", cell.number < rule.min_value, "below min", rule.min_value))
+                found.append(self._bound(cell, "min", number < rule.min_value, "below min", rule.min_value))
             if rule.max_value is not None:
-                found.append(self._bound(cell, "max", cell.number > rule.max_value, "above max", rule.max_value))
+                found.append(self._bound(cell, "max", number > rule.max_value, "above max", rule.max_value))
         return found
 
     def _bound(self, cell: _Cell, code: str, beyond: Column, words: str, bound: float | int) -> Rule:
         return Rule(
             f"{self.rule.name}:{code}",
             ~cell.absent & F.coalesce(beyond, F.lit(False)),
-            F.concat(F.lit(f"Field '{self.rule.name}' value "), cell.shown, F.lit(f" {words} {_bound_text(bound)}.")),
+            lambda: F.concat(
+                F.lit(f"Field '{self.rule.name}' value "), cell.shown(), F.lit(f" {words} {_bound_text(bound)}.")),
         )
 
 
@@ -239,19 +245,27 @@ class CompiledContract:
 
     def __init__(self, df: DataFrame, contract: DataContract, typed_per_value: tuple[str, ...] = ()):
         self.contract = contract
-        names = set(df.columns)
+        self.names = set(df.columns)
         self.fields = [
-            _Field(df, rule, rule.name in typed_per_value) for rule in contract.fields if rule.name in names]
+            _Field(df, rule, rule.name in typed_per_value) for rule in contract.fields if rule.name in self.names]
+
+    @cached_property
+    def first_check(self) -> list[Rule]:
+        """Required fields first, then every field's rules in declaration order."""
         required = [
             Rule(
                 f"{name}:required",
-                F.col(f"`{name}`").isNull() if name in names else F.lit(True),
-                F.lit(f"Required field '{name}' is missing or null."),
+                F.col(f"`{name}`").isNull() if name in self.names else F.lit(True),
+                lambda name=name: F.lit(f"Required field '{name}' is missing or null."),
             )
-            for name in contract.required_fields
+            for name in self.contract.required_fields
         ]
-        self.first_check = required + [r for f in self.fields for r in f.rules(f.original())]
-        self.second_check = [r for f in self.fields for r in f.rules(f.coerced())]
+        return required + [r for f in self.fields for r in f.rules(f.original())]
+
+    @cached_property
+    def second_check(self) -> list[Rule]:
+        """The field rules over coerced values; required fields are not asked again."""
+        return [r for f in self.fields for r in f.rules(f.coerced())]
 
     def violated(self) -> Column:
         return _either([rule.broken for rule in self.first_check])
@@ -260,14 +274,15 @@ class CompiledContract:
         return _either([rule.broken for rule in self.second_check])
 
     def first_messages(self) -> Column:
-        return text.optional_items(*[(r.broken, r.message) for r in self.first_check])
+        return text.optional_items(*[(r.broken, r.message()) for r in self.first_check])
 
-    def first_codes(self) -> Column:
-        """Short ``field:rule`` names of the broken rules, in message order."""
-        return text.optional_items(*[(r.broken, F.lit(r.code)) for r in self.first_check])
+    def first_codes(self, kind: str | None = None) -> Column:
+        """Short ``field:rule`` names of the broken rules, in message order; one kind of rule or all."""
+        asked = [r for r in self.first_check if kind is None or r.code.endswith(":" + kind)]
+        return text.optional_items(*[(r.broken, F.lit(r.code)) for r in asked])
 
     def remaining_messages(self) -> Column:
-        return text.optional_items(*[(r.broken, r.message) for r in self.second_check])
+        return text.optional_items(*[(r.broken, r.message()) for r in self.second_check])
 
     def coercion_messages(self) -> Column:
         return text.optional_items(*[item for f in self.fields if (item := f.coercion()) is not None])
@@ -352,6 +367,6 @@ def payload_columns(df: DataFrame) -> list[str]:
     return [name for name in df.columns if not name.startswith("_")]
 
 
-def explain_rules(df: DataFrame, contract: DataContract, alias: str = "codes") -> DataFrame:
+def explain_rules(df: DataFrame, contract: DataContract, kind: str | None = None, alias: str = "codes") -> DataFrame:
     """The broken rules of every row as ``field:rule`` codes."""
-    return df.withColumn(alias, CompiledContract(df, contract).first_codes())
+    return df.withColumn(alias, CompiledContract(df, contract).first_codes(kind))

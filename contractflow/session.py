@@ -23,6 +23,8 @@ def build_session(master: str | None = None, app_name: str = "contractflow", **c
     settings = {
         **RUNTIME_CONF,
         "spark.ui.showConsoleProgress": "false",
+        # Recording the call site of every column expression doubles planning time.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # Streaming dedup state can outgrow the heap, so keep it off-heap and on disk.
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

@@ -33,8 +33,8 @@ def differences(spark, connection, name, folder, queries, oracle) -> list[str]:
     """What differs between both results; an empty list when they agree."""
     frame = queries[name](spark, folder)
     names = sorted(frame.columns)
-    ours = _sorted(frame.select(*[f"`{n}`" for n in names]).toArrow().to_pylist() and
-                   [tuple(r[n] for n in names) for r in frame.select(*[f"`{n}`" for n in names]).toArrow().to_pylist()])
+    collected = frame.select(*[f"`{n}`" for n in names]).toArrow().to_pylist()
+    ours = _sorted(tuple(row[n] for n in names) for row in collected)
     relation = connection.execute(oracle[name])
     theirs_names = [d[0] for d in relation.description]
     if sorted(theirs_names) != names:
