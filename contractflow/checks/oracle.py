@@ -308,8 +308,8 @@ IDS = "ids AS (SELECT row_number() OVER () AS r FROM lineitem)"
 POOL = f"""{V_WH},
 pool AS (SELECT product_id, row_number() OVER (ORDER BY product_id) AS k FROM v_wh WHERE product_id IS NOT NULL),
 keyed AS (
-  SELECT ids.r, pool.product_id FROM ids
-  JOIN pool ON pool.k = {_below_draw('r', 23, '(SELECT count(*) FROM pool)')} + 1)"""
+  SELECT i.r, pool.product_id
+  FROM (SELECT r, {_below_draw('r', 23, 'n')} + 1 AS k FROM ids, (SELECT count(*) AS n FROM pool)) i JOIN pool USING (k))"""
 
 
 def _stats(alias: str, column: str, table: str) -> str:
@@ -593,8 +593,9 @@ SELECT r AS _row, {_iso('moment')} AS sale_timestamp FROM drawn""",
     "synth_rows": f"""WITH {IDS}, people AS (SELECT *, row_number() OVER () AS k FROM customer),
 {_stats('nation_key', 'c_nationkey', 'customer')}, {_stats('balance', 'c_acctbal', 'customer')},
 {_frequency('f_segment', 'c_mktsegment', 'customer')}, {_ranked('ids', 'f_segment', 106, 'd_segment')},
-named AS (SELECT ids.r, people.c_name FROM ids JOIN people
-          ON people.k = {_below_draw('r', 100, '(SELECT count(*) FROM customer)')} + 1)
+named AS (SELECT i.r, people.c_name
+          FROM (SELECT r, {_below_draw('r', 100, 'n')} + 1 AS k FROM ids, (SELECT count(*) AS n FROM customer)) i
+          JOIN people USING (k))
 SELECT r AS _row, c_name, {_half_even(_sampled('nation_key', 'r', 102), 5)} AS c_nationkey,
        {_half_even(_sampled('balance', 'r', 104), 5)} AS c_acctbal, d_segment.value AS c_mktsegment
 FROM named JOIN d_segment USING (r), nation_key, balance""",
