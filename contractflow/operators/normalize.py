@@ -23,9 +23,14 @@ def null_canonical(df: DataFrame) -> DataFrame:
 
 
 class _Step:
-    """New column values together with the changes they report."""
+    """New column values together with the changes they report.
+
+    ``first`` holds values that several later expressions use; they are computed
+    in a projection of their own, once per row.
+    """
 
     def __init__(self) -> None:
+        self.first: dict[str, Column] = {}
         self.values: dict[str, Column] = {}
         self.changes: list[tuple[Column, Column]] = []
 
@@ -34,11 +39,12 @@ def _uppercase(df: DataFrame, step: _Step) -> None:
     for name in ID_FIELDS:
         if name not in df.columns or not isinstance(df.schema[name].dataType, T.StringType):
             continue
-        value = F.col(name)
-        step.values[name] = F.upper(value)
+        value, upper = F.col(name), F.col(f"_upper_{name}")
+        step.first[f"_upper_{name}"] = F.upper(value)
+        step.values[name] = upper
         step.changes.append((
-            F.coalesce(value != F.upper(value), F.lit(False)),
-            F.concat(F.lit(f"NORMALIZE | field={name} | '"), value, F.lit("' → '"), F.upper(value),
+            F.coalesce(value != upper, F.lit(False)),
+            F.concat(F.lit(f"NORMALIZE | field={name} | '"), value, F.lit("' → '"), upper,
                      F.lit("' | reason=uppercase_policy")),
         ))
 
@@ -55,9 +61,11 @@ def _utc_timestamps(df: DataFrame, step: _Step) -> None:
             moment = value.cast("timestamp")
         else:
             continue
-        shown, iso = value.cast("string"), times.iso_utc(moment)
+        shown, iso = value.cast("string"), F.col(f"_iso_{name}")
+        step.first[f"_moment_{name}"] = moment
+        step.first[f"_iso_{name}"] = times.iso_utc(F.col(f"_moment_{name}"))
         step.values[name] = F.coalesce(iso, shown)
-        failed = moment.isNull() & value.isNotNull()
+        failed = iso.isNull() & value.isNotNull()
         step.changes.append((
             failed | F.coalesce(iso != shown, F.lit(False)),
             F.when(failed, F.concat(
@@ -80,7 +88,7 @@ def _impute(df: DataFrame, step: _Step) -> None:
     ))
 
 
-def _migration_change(df: DataFrame, upper: Column) -> tuple[Column, Column]:
+def _migration_change(upper: Column) -> tuple[Column, Column]:
     return F.lit(True), F.concat(
         F.lit("SCHEMA_MIGRATE | old_product_code → product_id | value='"),
         F.coalesce(upper, F.lit(text.NONE_TEXT)), F.lit("'"))
@@ -104,13 +112,17 @@ def normalize(df: DataFrame, source_id: str) -> DataFrame:
         _impute(clean, step)
     migrates = source_id == LEGACY and "old_product_code" in clean.columns
     if migrates:
-        step.changes.append(_migration_change(clean, F.upper(F.col("old_product_code"))))
+        step.changes.append(_migration_change(F.col("_upper_old_product_code")))
     count = sum((F.when(flag, F.lit(1)).otherwise(F.lit(0)) for flag, _ in step.changes), F.lit(0))
-    changed = clean.withColumns({
+    moments = {n: c for n, c in step.first.items() if not n.startswith("_iso_")}
+    texts = {n: c for n, c in step.first.items() if n.startswith("_iso_")}
+    ready = clean.withColumns(moments) if moments else clean
+    ready = ready.withColumns(texts) if texts else ready
+    changed = ready.withColumns({
         **step.values,
         CHANGES: text.optional_items(*step.changes),
         CHANGE_COUNT: count,
-    })
+    }).drop(*step.first)
     if not migrates:
         return changed
     moved = migrate_legacy(changed)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +37,8 @@ class ColumnProfile:
     std: float | None = None
     min: float | None = None
     max: float | None = None
+    #: Estimated number of distinct values of a categorical column.
+    about: int = 0
     #: (value, count), most frequent first; only for columns with few values.
     values: tuple[tuple[str, int], ...] = ()
 
@@ -80,10 +82,10 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> list[ColumnProfi
     for i, field in enumerate(fields):
         value = F.col(f"`{field.name}`")
         wanted.append(F.count(value).alias(f"present_{i}"))
+        wanted.append(F.approx_count_distinct(value).alias(f"about_{i}"))
         if _is_number(field.dataType):
             number = value.cast("double")
             wanted += [
-                F.approx_count_distinct(value).alias(f"about_{i}"),
                 F.avg(number).alias(f"mean_{i}"), F.stddev_samp(number).alias(f"std_{i}"),
                 F.min(number).alias(f"min_{i}"), F.max(number).alias(f"max_{i}"),
             ]
@@ -111,7 +113,7 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> list[ColumnProfi
                 field.name, NUMERIC, rows, present, first[f"mean_{i}"], first[f"std_{i}"],
                 first[f"min_{i}"], first[f"max_{i}"]))
         else:
-            found.append(ColumnProfile(field.name, CATEGORICAL, rows, present))
+            found.append(ColumnProfile(field.name, CATEGORICAL, rows, present, about=first[f"about_{i}"]))
     return found
 
 
@@ -148,15 +150,21 @@ def value_frequencies(df: DataFrame, profiles: list[ColumnProfile]) -> DataFrame
 def with_small_domains(df: DataFrame, profiles: list[ColumnProfile], limit: int = 64) -> list[ColumnProfile]:
     """Attach the value list of categorical columns that have at most ``limit`` values.
 
-    At most ``limit + 1`` values per column reach the driver; larger domains stay out.
+    Only columns whose estimate allows it are counted, all in one job, so what
+    reaches the driver is a few values per column. Larger domains stay out.
     """
-    done = []
-    for p in profiles:
-        if p.kind == CATEGORICAL:
-            counted = value_frequencies(df, [p]).select("value", "count")
-            values = counted.limit(limit + 1).collect()
-            if len(values) <= limit:
-                ordered = sorted(((r["value"], r["count"]) for r in values), key=lambda v: (-v[1], v[0]))
-                p = ColumnProfile(p.name, p.kind, p.rows, p.present, values=tuple(ordered))
-        done.append(p)
-    return done
+    near = [p for p in profiles if p.kind == CATEGORICAL and p.about <= 2 * limit]
+    if not near:
+        return profiles
+    bound = 4 * limit * len(near)
+    counted = value_frequencies(df, near).select("column", "value", "count").limit(bound + 1).collect()
+    if len(counted) > bound:
+        return profiles
+    listed: dict[str, list[tuple[str, int]]] = {p.name: [] for p in near}
+    for row in counted:
+        listed[row["column"]].append((row["value"], row["count"]))
+    return [
+        replace(p, values=tuple(sorted(listed[p.name], key=lambda v: (-v[1], v[0]))))
+        if 0 < len(listed.get(p.name, ())) <= limit else p
+        for p in profiles
+    ]

@@ -15,12 +15,21 @@ from contractflow.session import scratch_path
 
 ROW, BATCH = "_row", "batch_id"
 
+#: A list of this many file names stays far below what one task can hold, so it may be broadcast.
+BROADCAST_FILES = 200_000
+
+
+def broadcast_if_short(listing: DataFrame, entries: int) -> DataFrame:
+    """Broadcast a list of files or splits of a known length; a longer one is joined by shuffle."""
+    return F.broadcast(listing) if entries <= BROADCAST_FILES else listing
+
 
 def scan_with_rows(spark: SparkSession, *paths: str) -> DataFrame:
     """A Parquet scan with ``_row``: 1, 2, 3 … over the files in path order."""
     scan = spark.read.parquet(*paths)
     positions = scan.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.row_index")})
-    if len(scan.inputFiles()) <= 1:
+    file_count = len(scan._jdf.inputFiles())  # the length only; the names stay in the JVM
+    if file_count <= 1:
         return positions.withColumn(ROW, F.col("_at") + 1).drop("_file", "_at")
     sizes = (
         scan.select(F.col("_metadata.file_path").alias("_file"))
@@ -31,7 +40,7 @@ def scan_with_rows(spark: SparkSession, *paths: str) -> DataFrame:
     before = Window.orderBy(F.length("_file"), "_file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_file", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     return (
-        positions.join(offsets, "_file")
+        positions.join(broadcast_if_short(offsets, file_count), "_file")
         .withColumn(ROW, F.col("_offset") + F.col("_at") + 1)
         .drop("_file", "_at", "_offset")
     )

@@ -50,10 +50,11 @@ def row_ids(spark: SparkSession, n: int, first: int = 1) -> DataFrame:
 
 # -- drawing one column ---------------------------------------------------------------
 
-def weighted(row_id: Column, stream: int, values: tuple[tuple[str, int], ...]) -> Column:
-    """A value with probability in proportion to its weight; weights need not sum to one."""
-    total = sum(weight for _, weight in values)
-    rank = draws.below(row_id, stream, total)
+def weighted(rank: Column, values: tuple[tuple[str, int], ...]) -> Column:
+    """The value a rank in [0, sum of weights) falls on; weights need not sum to one.
+
+    ``rank`` should be a plain column: it is compared once per value.
+    """
     chosen, reached = None, 0
     for value, weight in values[:-1]:
         reached += weight
@@ -62,14 +63,17 @@ def weighted(row_id: Column, stream: int, values: tuple[tuple[str, int], ...]) -
     return last if chosen is None else chosen.otherwise(last)
 
 
+def total_weight(values: tuple[tuple[str, int], ...]) -> int:
+    return sum(weight for _, weight in values)
+
+
 def clipped_normal(row_id: Column, stream: int, mean: float, std: float, low: float, high: float) -> Column:
     value = F.lit(float(mean)) + F.lit(float(std)) * draws.normal(row_id, stream)
     return F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high)))
 
 
-def sample_column(profile: ColumnProfile, stream: int, row_id: Column | None = None) -> Column:
+def sample_column(profile: ColumnProfile, stream: int, rank: Column, row_id: Column) -> Column:
     """One draw per row from a profile whose values fit in the plan."""
-    row_id = F.col(ROW) if row_id is None else row_id
     if profile.kind == profiling.CONSTANT:
         return F.lit(None).cast("string")
     if profile.kind == profiling.TIMESTAMP:
@@ -79,7 +83,7 @@ def sample_column(profile: ColumnProfile, stream: int, row_id: Column | None = N
     elif profile.kind == profiling.NUMERIC:
         value = clipped_normal(row_id, stream, profile.mean, profile.std or 0.0, profile.min, profile.max)
     else:
-        value = weighted(row_id, stream, profile.values)
+        value = weighted(rank, profile.values)
     if profile.null_rate > 0:
         return F.when(~draws.chance(row_id, stream + 500, profile.null_rate), value)
     return value
@@ -110,7 +114,8 @@ def generate(
     """
     if not profiles:
         raise RuntimeError("Profile the data before generating rows.")
-    rows = ids
+    rows, row_id = ids, F.col(ROW)
+    ranks: dict[str, Column] = {}
     plain: dict[str, Column] = {}
     for i, profile in enumerate(profiles):
         if profile.name in skip:
@@ -119,9 +124,11 @@ def generate(
             if source is None:
                 raise RuntimeError(f"Column {profile.name} has many values; pass the rows it was profiled from.")
             rows = sample_from_rows(rows, source, profile.rows, profile.name, _COLUMNS + 2 * i)
-        else:
-            plain[profile.name] = sample_column(profile, _COLUMNS + 2 * i)
-    made = rows.withColumns(plain)
+            continue
+        if profile.values:
+            ranks[f"_rank_{i}"] = draws.below(row_id, _COLUMNS + 2 * i, total_weight(profile.values))
+        plain[profile.name] = sample_column(profile, _COLUMNS + 2 * i, F.col(f"_rank_{i}"), row_id)
+    made = (rows.withColumns(ranks) if ranks else rows).withColumns(plain)
     made = made.select(ROW, *[F.col(f"`{p.name}`") for p in profiles if p.name not in skip])
     return made.transform(hook) if hook else made
 
@@ -246,11 +253,15 @@ def iot_rows(
 def weather_rows(ids: DataFrame, run_at: str) -> DataFrame:
     """City readings from the fixed profile."""
     row = F.col(ROW)
-    return ids.select(
+    ranked = ids.withColumns({
+        "_city": draws.below(row, _COLUMNS, total_weight(CITIES)),
+        "_sky": draws.below(row, _COLUMNS + 6, total_weight(SKIES)),
+    })
+    return ranked.select(
         ROW,
-        weighted(row, _COLUMNS, CITIES).alias("city"),
+        weighted(F.col("_city"), CITIES).alias("city"),
         clipped_normal(row, _COLUMNS + 2, 25.0, 10.0, -10.0, 50.0).alias("temperature"),
         clipped_normal(row, _COLUMNS + 4, 60.0, 20.0, 0.0, 100.0).alias("humidity"),
-        weighted(row, _COLUMNS + 6, SKIES).alias("weather_description"),
+        weighted(F.col("_sky"), SKIES).alias("weather_description"),
         F.lit(run_at).alias("timestamp"),
     )

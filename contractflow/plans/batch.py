@@ -7,10 +7,13 @@ contract run once, and nothing depends on one executor's memory or disk.
 
 from __future__ import annotations
 
+import logging
 import time
 from dataclasses import replace
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +21,9 @@ from contractflow.model import CONTRACTS, DEDUP_KEYS, LEGACY, SOURCES, DataContr
 from contractflow.operators import audit, contracts, dedup, envelope, rows, telemetry
 from contractflow.operators.normalize import CHANGE_COUNT, CHANGES, normalize
 from contractflow.session import scratch_path
-from contractflow.sources.files import LoadError, Storage, read_source_csv
+from contractflow.sources.files import LoadError, Storage, data_files, read_source_csv
+
+log = logging.getLogger(__name__)
 
 #: Contract of legacy rows after migration, when the old column name is gone.
 MIGRATED_LEGACY = replace(
@@ -135,19 +140,19 @@ def quarantine_rows(judged: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
 
 # -- jobs -------------------------------------------------------------------------------
 
-def stage(judged: DataFrame, also: tuple[str, ...] = ()) -> tuple[DataFrame, dict]:
-    """Write the judged rows once, split by status, and return the table with its counters."""
+def stage(judged: DataFrame, also: tuple[str, ...] = (), keep_changes: bool = False) -> tuple[DataFrame, dict]:
+    """Write the judged rows once, split by status, and return the table with its counters.
+
+    The change messages are only made and kept where the record lines need them.
+    """
     spark = judged.sparkSession
     watch = Observation()
     path = scratch_path(spark, "judged")
     latency = telemetry.latency_seconds(envelope.event_time(payload_of(judged)), utc_now())
     counted = telemetry.observed(judged, watch, latency_seconds=latency, changes=CHANGE_COUNT)
-    counted.write.partitionBy(*also, contracts.STATUS).parquet(path)
-    return spark.read.schema(judged.schema).parquet(path), watch.get
-
-
-def _file_count(spark: SparkSession, path: str) -> int:
-    return len(spark.read.parquet(path).inputFiles())
+    kept = counted if keep_changes else counted.drop(CHANGES)
+    kept.write.partitionBy(*also, contracts.STATUS).parquet(path)
+    return spark.read.schema(kept.schema).parquet(path), watch.get
 
 
 def _report(job_id: str, source_id: str, started: float, counts: dict) -> telemetry.JobReport:
@@ -159,22 +164,28 @@ def _report(job_id: str, source_id: str, started: float, counts: dict) -> teleme
 
 def ingest(
     df: DataFrame, source_id: str, storage: Storage, suffix: str = "", compat: bool = False,
-    typed_per_value: tuple[str, ...] = (), identity: list[str] | None = None,
+    typed_per_value: tuple[str, ...] = (), identity: list[str] | None = None, record_lines: bool = False,
 ) -> telemetry.JobReport:
-    """Run one source through to its sinks. Empty outputs are not written."""
+    """Run one source through to its sinks. Empty outputs are not written.
+
+    ``record_lines`` also writes the readable log line of every row.
+    """
     spark, started = df.sparkSession, time.time()
     judged = judge(df, source_id, compat, identity=identity, typed_per_value=typed_per_value)
-    staged, counts = stage(judged)
+    staged, counts = stage(judged, keep_changes=record_lines)
     report = _report(f"job_{source_id}_{int(started)}", source_id, started, counts)
     marker = tuple(identity or [rows.ROW])
     if counts["records_ingested"]:
         target = storage.good(source_id, suffix)
         good_rows(staged, source_id, utc_now(), (audit.KEY, *marker)).write.mode("overwrite").parquet(target)
-        report.file_count_per_partition, report.snapshot_count = _file_count(spark, target), 1
+        report.file_count_per_partition, report.snapshot_count = data_files(spark, target), 1
     if counts["records_quarantined"]:
         quarantine_rows(staged).write.mode("overwrite").parquet(storage.quarantine(source_id, suffix))
     if rows.ROW in staged.columns:
         audit.audit_rows(staged).write.mode("overwrite").json(storage.audit(source_id, suffix))
+        if record_lines:
+            lines = audit.record_lines(staged, source_id, contract_for(source_id, compat))
+            lines.select("line").write.mode("overwrite").text(storage.record_lines(source_id, suffix))
     ended = time.time()
     report.end_time = datetime.fromtimestamp(ended, timezone.utc).isoformat()
     report.duration_seconds = ended - started
@@ -193,9 +204,10 @@ def ingest_csv(
     """Ingest one CSV source; a file that cannot be read is one failure and no more."""
     try:
         raw = read_source_csv(spark, path, source_id)
-    except LoadError:
+        return ingest(raw, source_id, storage, suffix, compat, SOURCES[source_id].numeric_fields())
+    except (LoadError, PySparkException, Py4JError) as error:
+        log.error("%s could not be ingested from %s: %s", source_id, path, error)
         return failed_load(source_id)
-    return ingest(raw, source_id, storage, suffix, compat, SOURCES[source_id].numeric_fields())
 
 
 def ingest_all(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contractflow.model import SOURCES
-from contractflow.operators.rows import ROW
+from contractflow.operators.rows import ROW, broadcast_if_short
 
 
 class LoadError(Exception):
@@ -35,6 +35,9 @@ class Storage:
     def audit(self, source_id: str, suffix: str = "") -> str:
         return f"{self.area('detail_logs')}/{source_id}{_tail(suffix)}_record_log.jsonl"
 
+    def record_lines(self, source_id: str, suffix: str = "") -> str:
+        return f"{self.area('detail_logs')}/{source_id}{_tail(suffix)}_record_lines.txt"
+
     def micro_batch(self, source_id: str) -> str:
         return f"{self.area('micro_batch')}/{source_id}_microbatch.parquet"
 
@@ -65,11 +68,23 @@ def _tail(suffix: str) -> str:
     return f"_{suffix}" if suffix else ""
 
 
-def _length(spark: SparkSession, path: str) -> int:
-    """Bytes below a path, -1 where it does not exist."""
+def _summary(spark: SparkSession, path: str):
+    """Length and file count below a path, None where it does not exist."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return system.getContentSummary(target).getLength() if system.exists(target) else -1
+    return system.getContentSummary(target) if system.exists(target) else None
+
+
+def _length(spark: SparkSession, path: str) -> int:
+    """Bytes below a path, -1 where it does not exist."""
+    found = _summary(spark, path)
+    return -1 if found is None else found.getLength()
+
+
+def data_files(spark: SparkSession, path: str) -> int:
+    """Files of a finished table, not counting the success marker."""
+    found = _summary(spark, path)
+    return 0 if found is None else max(found.getFileCount() - 1, 0)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -93,6 +108,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         "_start": F.col("_metadata.file_block_start"),
         "_at": F.monotonically_increasing_id(),
     })
+    split_count = scan.rdd.getNumPartitions() + len(scan._jdf.inputFiles())  # at least as many as there are
     splits = placed.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_base"))
     # One row per split, so this window runs over the split list and not over data.
     before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,7 +116,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         "_file", "_start",
         (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_base") + 1).alias("_shift"))
     return (
-        placed.join(offsets, ["_file", "_start"])
+        placed.join(broadcast_if_short(offsets, split_count), ["_file", "_start"])
         .withColumn(ROW, F.col("_at") + F.col("_shift"))
         .select(*scan.columns, ROW)
     )

@@ -120,6 +120,26 @@ def test_long_lists_are_cut_in_log_lines(spark):
     assert line.endswith(" (+1 more)") and "norm_changes=4 | NORMALIZE" in line
 
 
+def test_record_lines_are_written_on_request(spark, storage, sales_csv):
+    frame = files.read_source_csv(spark, sales_csv, SALES)
+    batch.ingest(frame, SALES, storage, typed_per_value=("units_sold",), record_lines=True)
+    lines = [r["value"] for r in spark.read.text(storage.record_lines(SALES)).collect()]
+    assert len(lines) == 7 and any(line.startswith("[DUPLICATE] source=src_sales_history | row=3 | key=R1") for line in lines)
+
+
+def test_unreadable_source_does_not_stop_the_others(spark, tmp_path, storage, sales_csv, monkeypatch):
+    real = batch.ingest
+
+    def broken(df, source_id, *rest, **named):
+        if source_id == WAREHOUSE:
+            spark.sql("select raise_error('unreadable')").collect()
+        return real(df, source_id, *rest, **named)
+
+    monkeypatch.setattr(batch, "ingest", broken)
+    table = batch.ingest_all(spark, {WAREHOUSE: sales_csv, SALES: sales_csv}, storage)
+    assert {r["source_id"]: r["records_failed"] for r in table.collect()} == {WAREHOUSE: 1, SALES: 0}
+
+
 def test_slices(spark, storage, sales_csv):
     frame = files.read_source_csv(spark, sales_csv, SALES)
     found = batch.ingest_slices(frame, SALES, storage, 2, 3, ("units_sold",)).orderBy("batch_id").collect()
