@@ -58,7 +58,8 @@ def main() -> None:
     rows = sales.count()
     report = timed("job_ingest_sales", lambda: batch.ingest(sales, SALES, storage))
     timed("job_ingest_manufacturing", lambda: batch.ingest(made, MANUFACTURING, storage))
-    timed("job_microbatch_3x200", lambda: batch.ingest_slices(sales, SALES, storage, 200, 3).collect())
+    timed("job_microbatch_3x200", lambda: batch.ingest_slices(
+        views.sales(spark, FOLDER, first=600), SALES, storage, 200, 3).collect())
     feed = cdc.change_feed(sales, sales, SALES, "2026-04-05T00:00:00+00:00", 5000.0, "burst", existing_count=rows)
     timed("job_write_change_log", lambda: changes.write_change_log(feed, storage, SALES, "burst"))
     timed("job_extract_log", lambda: changes.extract_by_log(spark, storage, SALES, "burst"))

@@ -310,7 +310,7 @@ def push_ingest(spark, folder):
 
 @query
 def microbatch_slices(spark, folder):
-    sliced = rows.with_slices(views.sales(spark, folder), 500, 5)
+    sliced = rows.with_slices(views.sales(spark, folder, first=500 * 5), 500, 5)
     judged = batch.judge(sliced, SALES, within=("batch_id",))
     return audit.audit_rows(judged, row="_slice_row", also=("batch_id",)).select("batch_id", "row", "key", "status")
 

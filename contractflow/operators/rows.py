@@ -24,13 +24,8 @@ def broadcast_if_short(listing: DataFrame, entries: int) -> DataFrame:
     return F.broadcast(listing) if entries <= BROADCAST_FILES else listing
 
 
-def scan_with_rows(spark: SparkSession, *paths: str) -> DataFrame:
-    """A Parquet scan with ``_row``: 1, 2, 3 … over the files in path order."""
-    scan = spark.read.parquet(*paths)
-    positions = scan.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.row_index")})
-    file_count = len(scan._jdf.inputFiles())  # the length only; the names stay in the JVM
-    if file_count <= 1:
-        return positions.withColumn(ROW, F.col("_at") + 1).drop("_file", "_at")
+def _file_sizes(scan: DataFrame) -> DataFrame:
+    """Rows of every file and how many come before it; reads no column of the data."""
     sizes = (
         scan.select(F.col("_metadata.file_path").alias("_file"))
         .groupBy("_file").agg(F.count(F.lit(1)).alias("_size"))
@@ -38,17 +33,43 @@ def scan_with_rows(spark: SparkSession, *paths: str) -> DataFrame:
     # One row per file, so this window runs over the file list and not over data.
     # Shorter names first keeps part-99999 before part-100000.
     before = Window.orderBy(F.length("_file"), "_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_file", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    return sizes.select("_file", "_size", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+
+
+def scan_with_rows(spark: SparkSession, *paths: str) -> DataFrame:
+    """A Parquet scan with ``_row``: 1, 2, 3 … over the files in path order."""
+    scan = spark.read.parquet(*paths)
+    file_count = len(scan._jdf.inputFiles())  # the length only; the names stay in the JVM
+    if file_count <= 1:
+        return scan.withColumn(ROW, F.col("_metadata.row_index") + 1)
+    positions = scan.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.row_index")})
+    offsets = broadcast_if_short(_file_sizes(scan).select("_file", "_offset"), file_count)
     return (
-        positions.join(broadcast_if_short(offsets, file_count), "_file")
+        positions.join(offsets, "_file")
         .withColumn(ROW, F.col("_offset") + F.col("_at") + 1)
         .drop("_file", "_at", "_offset")
     )
 
 
+def scan_first_rows(spark: SparkSession, count: int, *paths: str) -> DataFrame:
+    """As ``scan_with_rows``, for jobs that need only the first rows: later files are not opened.
+
+    The files named to the driver hold at least one of the ``count`` rows each.
+    """
+    scan = spark.read.parquet(*paths)
+    if len(scan._jdf.inputFiles()) <= 1:
+        return scan_with_rows(spark, *paths).where(F.col(ROW) <= count)
+    wanted = _file_sizes(scan).where((F.col("_offset") < count) & (F.col("_size") > 0))
+    needed = [row["_file"] for row in wanted.select("_file").collect()]
+    if not needed:
+        return scan_with_rows(spark, *paths)
+    # Files that are left out all come later, so the numbers stay the same.
+    return scan_with_rows(spark, *needed).where(F.col(ROW) <= count)
+
+
 def slice_number(batch_size: int, row: str = ROW) -> Column:
     """Consecutive slices of ``batch_size`` rows, numbered from 1."""
-    return F.floor((F.col(row) - 1) / F.lit(batch_size)).cast("bigint") + 1
+    return F.expr(f"(`{row}` - 1) div {int(batch_size)} + 1")
 
 
 def with_slices(df: DataFrame, batch_size: int = 500, max_batches: int | None = 5, row: str = ROW) -> DataFrame:

@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contractflow.functions import times
-from contractflow.operators.rows import ROW, scan_with_rows
+from contractflow.operators.rows import ROW, scan_first_rows, scan_with_rows
 
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return scan_with_rows(spark, f"{folder}/{name}.parquet")
+def _table(spark: SparkSession, folder: str, name: str, first: int | None = None) -> DataFrame:
+    path = f"{folder}/{name}.parquet"
+    return scan_with_rows(spark, path) if first is None else scan_first_rows(spark, first, path)
 
 
 def _every(column: str, step: int, at: int = 0) -> Column:
@@ -25,11 +26,11 @@ def _list_item(position: Column, *values: str) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), position.cast("int"))
 
 
-def sales(spark: SparkSession, folder: str) -> DataFrame:
+def sales(spark: SparkSession, folder: str, first: int | None = None) -> DataFrame:
     """Line items as receipts: real duplicate keys, NULLs, returns, odd timestamps."""
     shipped = F.col("l_shipdate").cast("string")
     sold = F.col("l_quantity").cast("bigint")
-    return _table(spark, folder, "lineitem").select(
+    return _table(spark, folder, "lineitem", first).select(
         F.when(~_every("l_suppkey", 97), F.concat_ws("-", "l_orderkey", "l_linenumber")).alias("receipt_id"),
         F.when(~_every("l_partkey", 20), F.concat(F.lit("part-"), "l_partkey")).alias("product_id"),
         F.when(_every("l_suppkey", 89, 1), F.lit("not a date"))

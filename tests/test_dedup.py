@@ -82,6 +82,14 @@ def test_row_numbers_over_several_files(spark, tmp_path):
     assert all(r["id"] == r["_row"] - 1 for r in numbered)
 
 
+def test_first_rows_open_only_the_files_they_need(spark, tmp_path):
+    path = str(tmp_path / "many")
+    spark.range(0, 1000, 1, 10).write.parquet(path)
+    first = rows.scan_first_rows(spark, 150, path)
+    assert sorted((r["_row"], r["id"]) for r in first.collect()) == [(i + 1, i) for i in range(150)]
+    assert len(first.inputFiles()) == 2
+
+
 def test_numbering_by_order_spreads_ties(spark):
     frame = spark.range(2000).withColumn("v", F.when(F.col("id") < 1500, 1).otherwise(F.col("id")))
     numbered = rows.number_by_order(frame.repartition(5), ["v"]).orderBy("_row").collect()
