@@ -6,6 +6,7 @@ in file order there, as the row positions of the Parquet scan do on Spark.
 
 from __future__ import annotations
 
+from contractflow.functions.draws import PRIME, coefficients
 from contractflow.checks.queries import FEED_RATE, FEED_START, JOB_SECONDS, LOG_POSITION, RUN_AT, SEPARATOR, WATERMARK
 
 # -- the source views ---------------------------------------------------------------------
@@ -226,49 +227,58 @@ def _quoted_list(messages: tuple[str, ...]) -> str:
 
 
 # -- draws ------------------------------------------------------------------------------------
+# A row carries seed columns a and b; a draw is a linear function of both modulo a prime.
 
-def _hex(row: str, stream: int, digits: int) -> str:
-    pair, half = divmod(stream, 2)
-    return f"CAST('0x' || substr(md5({row} || ':{pair}'), {1 + 16 * half}, {digits}) AS BIGINT)"
+def _seeds(row: str) -> str:
+    halves = [f"CAST('0x' || substr(md5(CAST({row} AS VARCHAR)), {at}, 15) AS BIGINT) % {PRIME}" for at in (1, 17)]
+    return f"{halves[0]} AS a, {halves[1]} AS b"
 
 
-def _draw(row: str, stream: int) -> str:
-    return _hex(row, stream, 13)
+def _draw(stream: int, t: str = "") -> str:
+    factor_a, factor_b, shift = coefficients(stream)
+    return f"(({t}a * {factor_a} % {PRIME} + {t}b * {factor_b} % {PRIME} + {shift}) % {PRIME})"
 
 
-def _below_draw(row: str, stream: int, bound: str | int) -> str:
-    return f"({_hex(row, stream, 15)} % {bound})"
+def _below_draw(stream: int, bound: str | int, t: str = "", small: bool = True) -> str:
+    if small:
+        return f"({_draw(stream, t)} % {bound})"
+    return f"(({_draw(stream, t)} * {PRIME} + {_draw(stream + 5000, t)}) % {bound})"
 
 
-def _uniform(row: str, stream: int) -> str:
-    return f"({_draw(row, stream)} / {16**13}.0::DOUBLE)"
+def _any_draw(stream: int, bound: str, t: str = "") -> str:
+    """For a bound known only when the query runs."""
+    return f"(CASE WHEN {bound} <= 65536 THEN {_below_draw(stream, bound, t)} ELSE {_below_draw(stream, bound, t, False)} END)"
 
 
-def _normal(row: str, stream: int) -> str:
-    return (f"(sqrt(-2.0::DOUBLE * ln(({_draw(row, stream)} + 1) / {16**13}.0::DOUBLE)) "
-            f"* cos(6.283185307179586::DOUBLE * {_uniform(row, stream + 1)}))")
+def _uniform(stream: int, t: str = "") -> str:
+    return f"({_draw(stream, t)} / {PRIME}.0::DOUBLE)"
 
 
-def _chance(row: str, stream: int, rate: float) -> str:
-    return f"({_draw(row, stream)} < {int(rate * 16**13)})"
+def _normal(stream: int, t: str = "") -> str:
+    return (f"(sqrt(-2.0::DOUBLE * ln(({_draw(stream, t)} + 1) / {PRIME}.0::DOUBLE)) "
+            f"* cos(6.283185307179586::DOUBLE * {_uniform(stream + 1, t)}))")
 
 
-def _pick(row: str, stream: int, values: tuple[str, ...]) -> str:
+def _chance(stream: int, rate: float, t: str = "") -> str:
+    return f"({_draw(stream, t)} < {int(rate * PRIME)})"
+
+
+def _pick(stream: int, values: tuple[str, ...]) -> str:
     items = ", ".join(f"'{value}'" for value in values)
-    return f"[{items}][{_below_draw(row, stream, len(values))} + 1]"
+    return f"[{items}][{_below_draw(stream, len(values))} + 1]"
 
 
-def _weighted(row: str, stream: int, values: tuple[tuple[str, int], ...]) -> str:
+def _weighted(stream: int, values: tuple[tuple[str, int], ...]) -> str:
     total = sum(weight for _, weight in values)
     parts, reached = [], 0
     for value, weight in values:
         reached += weight
-        parts.append(f"WHEN {_below_draw(row, stream, total)} < {reached} THEN '{value}'")
+        parts.append(f"WHEN {_below_draw(stream, total)} < {reached} THEN '{value}'")
     return "CASE " + " ".join(parts) + " END"
 
 
-def _clipped(row: str, stream: int, mean: str, std: str, low: str, high: str) -> str:
-    return f"least(greatest({mean} + {std} * {_normal(row, stream)}, {low}), {high})"
+def _clipped(stream: int, mean: str, std: str, low: str, high: str, t: str = "") -> str:
+    return f"least(greatest({mean} + {std} * {_normal(stream, t)}, {low}), {high})"
 
 
 def _half_even(value: str, digits: int) -> str:
@@ -277,16 +287,16 @@ def _half_even(value: str, digits: int) -> str:
 
 # -- change feed ---------------------------------------------------------------------------------
 
-_SCALED = _half_even(f"units_sold * (0.8::DOUBLE + {_uniform('o', 13)} * 0.4::DOUBLE)", 2)
+_SCALED = _half_even(f"units_sold * (0.8::DOUBLE + {_uniform(13)} * 0.4::DOUBLE)", 2)
 FEED = f"""{V_SALES},
 numbered AS (
-  SELECT *, rn - 1 AS o, {_below_draw('(rn - 1)', 11, 100)} AS percent,
-         {_below_draw('(rn - 1)', 12, '(SELECT count(*) FROM lineitem)')} + 1 AS target FROM v_sales),
+  SELECT *, {_below_draw(11, 100)} AS percent, {_any_draw(12, 'n')} + 1 AS target
+  FROM (SELECT *, rn - 1 AS o, {_seeds('(rn - 1)')} FROM v_sales), (SELECT count(*) AS n FROM lineitem)),
 events_of AS (
-  SELECT o, 'INSERT' AS op, receipt_id, product_id, sale_timestamp, CAST(units_sold AS DOUBLE) AS units_sold, store_id
+  SELECT o, a, b, 'INSERT' AS op, receipt_id, product_id, sale_timestamp, CAST(units_sold AS DOUBLE) AS units_sold, store_id
   FROM numbered WHERE percent < 60
   UNION ALL
-  SELECT n.o, CASE WHEN n.percent < 90 THEN 'UPDATE' ELSE 'DELETE' END, e.receipt_id, e.product_id, e.sale_timestamp,
+  SELECT n.o, n.a, n.b, CASE WHEN n.percent < 90 THEN 'UPDATE' ELSE 'DELETE' END, e.receipt_id, e.product_id, e.sale_timestamp,
          CAST(e.units_sold AS DOUBLE), e.store_id
   FROM numbered n JOIN v_sales e ON e.rn = n.target WHERE n.percent >= 60),
 feed AS (
@@ -304,12 +314,13 @@ feed AS (
 
 # -- profiles and synthetic rows --------------------------------------------------------------------
 
-IDS = "ids AS (SELECT row_number() OVER () AS r FROM lineitem)"
+IDS = f"""numbered_ids AS (SELECT row_number() OVER () AS r FROM lineitem),
+ids AS (SELECT r, {_seeds('r')} FROM numbered_ids)"""
 POOL = f"""{V_WH},
 pool AS (SELECT product_id, row_number() OVER (ORDER BY product_id) AS k FROM v_wh WHERE product_id IS NOT NULL),
 keyed AS (
-  SELECT i.r, pool.product_id
-  FROM (SELECT r, {_below_draw('r', 23, 'n')} + 1 AS k FROM ids, (SELECT count(*) AS n FROM pool)) i JOIN pool USING (k))"""
+  SELECT i.r, i.a, i.b, pool.product_id
+  FROM (SELECT r, a, b, {_any_draw(23, 'n')} + 1 AS k FROM ids, (SELECT count(*) AS n FROM pool)) i JOIN pool USING (k))"""
 
 
 def _stats(alias: str, column: str, table: str) -> str:
@@ -319,10 +330,9 @@ def _stats(alias: str, column: str, table: str) -> str:
             f"max({value}) AS high, (count(*) - count({value})) / CAST(count(*) AS DOUBLE) AS null_rate FROM {table})")
 
 
-def _sampled(alias: str, row: str, stream: int) -> str:
-    drawn = _clipped(row, stream, f"{alias}.mean", f"{alias}.std", f"{alias}.low", f"{alias}.high")
-    missing = f"({_draw(row, stream + 500)} < CAST(trunc({alias}.null_rate * {16**13}) AS BIGINT))"
-    return f"CASE WHEN NOT {missing} THEN {drawn} END"
+def _sampled(alias: str, stream: int, t: str = "") -> str:
+    drawn = _clipped(stream, f"{alias}.mean", f"{alias}.std", f"{alias}.low", f"{alias}.high", t)
+    return _masked(drawn, stream, f"{alias}.null_rate", t)
 
 
 def _frequency(alias: str, column: str, table: str) -> str:
@@ -336,12 +346,13 @@ def _frequency(alias: str, column: str, table: str) -> str:
 def _ranked(ids: str, alias: str, stream: int, name: str) -> str:
     """One drawn value per id."""
     return f"""{name} AS (
-  SELECT i.r, f.value FROM (SELECT r, {_below_draw('r', stream, f'(SELECT max(total) FROM {alias})')} AS rank FROM {ids}) i
+  SELECT i.r, i.a, i.b, f.value
+  FROM (SELECT r, a, b, {_any_draw(stream, 'total_n')} AS rank FROM {ids}, (SELECT max(total) AS total_n FROM {alias})) i
   JOIN {alias} f ON i.rank >= f.low AND i.rank < f.low + f.n)"""
 
 
-def _masked(value: str, row: str, stream: int, rate: str) -> str:
-    return f"CASE WHEN NOT ({_draw(row, stream + 500)} < CAST(trunc({rate} * {16**13}) AS BIGINT)) THEN {value} END"
+def _masked(value: str, stream: int, rate: str, t: str = "") -> str:
+    return f"CASE WHEN NOT ({_draw(stream + 500, t)} < CAST(trunc({rate} * {PRIME}) AS BIGINT)) THEN {value} END"
 
 
 def _kind_rows(source: str, table: str, numeric: tuple[str, ...], timed: tuple[str, ...], other: tuple[str, ...]) -> str:
@@ -580,24 +591,24 @@ SELECT '{_S}' AS source, 'sale_timestamp' AS "column", epoch_us(min(moment)) / 1
        epoch_us(max(moment)) / 1e6 AS max, 0.0::DOUBLE AS null_rate FROM n_sales""",
     "synth_categorical": f"""WITH {IDS}, {V_WH}, {_frequency('f_size', 'size', 'v_wh')}, {_frequency('f_article', 'article_id', 'v_wh')},
 {_ranked('ids', 'f_size', 100, 'd_size')}, {_ranked('ids', 'f_article', 102, 'd_article')}
-SELECT r AS _row, d_size.value AS size, {_masked('d_article.value', 'r', 102,
-    '(SELECT (count(*) - count(article_id)) / CAST(count(*) AS DOUBLE) FROM v_wh)')} AS article_id
+SELECT r AS _row, d_size.value AS size, {_masked('d_article.value', 102,
+    '(SELECT (count(*) - count(article_id)) / CAST(count(*) AS DOUBLE) FROM v_wh)', 'd_size.')} AS article_id
 FROM d_size JOIN d_article USING (r)""",
     "synth_numeric": f"""WITH {IDS}, {V_WH}, {_stats('cost', 'unit_cost', 'v_wh')}, {_stats('threshold', 'reorder_threshold', 'v_wh')}
-SELECT r AS _row, {_half_even(_sampled('cost', 'r', 100), 5)} AS unit_cost,
-       {_half_even(_sampled('threshold', 'r', 102), 5)} AS reorder_threshold FROM ids, cost, threshold""",
+SELECT r AS _row, {_half_even(_sampled('cost', 100), 5)} AS unit_cost,
+       {_half_even(_sampled('threshold', 102), 5)} AS reorder_threshold FROM ids, cost, threshold""",
     "synth_timestamp": f"""WITH {IDS}, {V_SALES}, {N_SALES},
 bounds AS (SELECT epoch_us(min(moment)) AS low, epoch_us(max(moment)) AS high FROM n_sales),
-drawn AS (SELECT r, make_timestamp(low + {_hex('r', 100, 15)} % (high - low + 1)) AS moment FROM ids, bounds)
+drawn AS (SELECT r, make_timestamp(low + {_below_draw(100, '(high - low + 1)', small=False)}) AS moment FROM ids, bounds)
 SELECT r AS _row, {_iso('moment')} AS sale_timestamp FROM drawn""",
     "synth_rows": f"""WITH {IDS}, people AS (SELECT *, row_number() OVER () AS k FROM customer),
 {_stats('nation_key', 'c_nationkey', 'customer')}, {_stats('balance', 'c_acctbal', 'customer')},
 {_frequency('f_segment', 'c_mktsegment', 'customer')}, {_ranked('ids', 'f_segment', 106, 'd_segment')},
 named AS (SELECT i.r, people.c_name
-          FROM (SELECT r, {_below_draw('r', 100, 'n')} + 1 AS k FROM ids, (SELECT count(*) AS n FROM customer)) i
+          FROM (SELECT r, {_any_draw(100, 'n')} + 1 AS k FROM ids, (SELECT count(*) AS n FROM customer)) i
           JOIN people USING (k))
-SELECT r AS _row, c_name, {_half_even(_sampled('nation_key', 'r', 102), 5)} AS c_nationkey,
-       {_half_even(_sampled('balance', 'r', 104), 5)} AS c_acctbal, d_segment.value AS c_mktsegment
+SELECT r AS _row, c_name, {_half_even(_sampled('nation_key', 102), 5)} AS c_nationkey,
+       {_half_even(_sampled('balance', 104), 5)} AS c_acctbal, d_segment.value AS c_mktsegment
 FROM named JOIN d_segment USING (r), nation_key, balance""",
 }
 
@@ -624,49 +635,49 @@ ORACLE |= {
     "synth_warehouse": f"""WITH {IDS}, {V_WH}, {_frequency('f_name', 'product_name', 'v_wh')},
 {_ranked('ids', 'f_name', 100, 'd_name')}, {_stats('s1', 'reorder_threshold', 'v_wh')},
 {_stats('s2', 'max_capacity', 'v_wh')}, {_stats('s3', 'unit_cost', 'v_wh')},
-drawn AS (SELECT r, d_name.value AS product_name, {_sampled('s1', 'r', 102)} AS reorder_threshold,
-                 {_sampled('s2', 'r', 104)} AS max_capacity, {_sampled('s3', 'r', 106)} AS unit_cost
+drawn AS (SELECT r, a, b, d_name.value AS product_name, {_sampled('s1', 102)} AS reorder_threshold,
+                 {_sampled('s2', 104)} AS max_capacity, {_sampled('s3', 106)} AS unit_cost
           FROM d_name, s1, s2, s3)
 SELECT r AS _row, product_name, {_whole('reorder_threshold', '50', 1)} AS reorder_threshold,
        {_whole('max_capacity', '500', 10)} AS max_capacity,
        {_half_even(f"greatest(0.01::DOUBLE, abs({_filled('unit_cost', '30')}))", 2)} AS unit_cost,
-       'ART-' || (2000 + 3 * r) || '-' || {_pick('r', 21, _CODES)} || '-' || {_pick('r', 22, _SIZES)} AS product_id,
-       'ART-' || (2000 + 3 * r) AS article_id, {_pick('r', 21, _COLORS)} AS color, {_pick('r', 22, _SIZES)} AS size
+       'ART-' || (2000 + 3 * r) || '-' || {_pick(21, _CODES)} || '-' || {_pick(22, _SIZES)} AS product_id,
+       'ART-' || (2000 + 3 * r) AS article_id, {_pick(21, _COLORS)} AS color, {_pick(22, _SIZES)} AS size
 FROM drawn""",
     "synth_manufacturing": f"""WITH {IDS}, {POOL}, {V_MFG}, {_stats('s', 'defect_count', 'v_mfg')},
-drawn AS (SELECT keyed.r, product_id, {_sampled('s', 'keyed.r', 100)} AS defects FROM keyed, s)
+drawn AS (SELECT r, a, b, product_id, {_sampled('s', 100)} AS defects FROM keyed, s)
 SELECT r AS _row, 'BATCH-' || (60000 + r) AS production_batch_id,
-       CASE WHEN {_chance('r', 24, 0.20)} THEN lower(product_id) ELSE product_id END AS product_id,
+       CASE WHEN {_chance(24, 0.20)} THEN lower(product_id) ELSE product_id END AS product_id,
        CAST(100 AS BIGINT) AS quantity_produced,
-       CASE WHEN NOT {_chance('r', 25, 0.05)} THEN {_half_even("greatest(0.0::DOUBLE, coalesce(defects, 0.0::DOUBLE))", 1)}
+       CASE WHEN NOT {_chance(25, 0.05)} THEN {_half_even("greatest(0.0::DOUBLE, coalesce(defects, 0.0::DOUBLE))", 1)}
        END AS defect_count, '{RUN_AT}' AS mfg_timestamp FROM drawn""",
     "synth_sales": f"""WITH {IDS}, {POOL}, {V_SALES}, {_stats('s', 'units_sold', 'v_sales')},
-drawn AS (SELECT keyed.r, product_id, {_sampled('s', 'keyed.r', 100)} AS units FROM keyed, s),
+drawn AS (SELECT r, a, b, product_id, {_sampled('s', 100)} AS units FROM keyed, s),
 sold AS (SELECT *, {_whole('units', '1', 1)} AS whole_units FROM drawn)
-SELECT r AS _row, CASE WHEN {_chance('r', 29, 0.03)} THEN -whole_units ELSE whole_units END AS units_sold,
-       lpad(upper(to_hex({_below_draw('r', 26, 16**8)})), 8, '0') AS receipt_id,
-       CASE WHEN NOT {_chance('r', 27, 0.05)} THEN product_id END AS product_id,
-       '{RUN_AT}' AS sale_timestamp, {_pick('r', 28, _STORES)} AS store_id FROM sold""",
+SELECT r AS _row, CASE WHEN {_chance(29, 0.03)} THEN -whole_units ELSE whole_units END AS units_sold,
+       lpad(upper(to_hex({_below_draw(26, 16**8, small=False)})), 8, '0') AS receipt_id,
+       CASE WHEN NOT {_chance(27, 0.05)} THEN product_id END AS product_id,
+       '{RUN_AT}' AS sale_timestamp, {_pick(28, _STORES)} AS store_id FROM sold""",
     "synth_legacy": f"""WITH {IDS}, {POOL}, {V_LEG}, {_stats('s', 'total_monthly_sales', 'v_leg')},
-drawn AS (SELECT keyed.r, product_id, {_sampled('s', 'keyed.r', 100)} AS sold FROM keyed, s)
+drawn AS (SELECT r, a, b, product_id, {_sampled('s', 100)} AS sold FROM keyed, s)
 SELECT r AS _row, CAST(floor(abs({_filled('sold', '500')})) AS BIGINT) AS total_monthly_sales, product_id,
-       strftime(DATE '{RUN_AT[:10]}' - CAST(({_below_draw('r', 30, 36)} + 1) * 30 AS INTEGER), '%Y-%m') AS historical_period,
-       {_pick('r', 31, _REGIONS)} AS market_region FROM drawn""",
+       strftime(DATE '{RUN_AT[:10]}' - CAST(({_below_draw(30, 36)} + 1) * 30 AS INTEGER), '%Y-%m') AS historical_period,
+       {_pick(31, _REGIONS)} AS market_region FROM drawn""",
     "synth_iot": f"""WITH {IDS}, {POOL},
-drawn AS (SELECT r, product_id, md5('rfid:' || r) AS h,
+drawn AS (SELECT r, a, b, product_id, md5('rfid:' || r) AS h,
                  TIMESTAMP '{RUN_AT[:19].replace('T', ' ')}' + to_microseconds(r * 1000000) AS moment FROM keyed),
 readings AS (
   SELECT r AS _row, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4)
          || '-' || substr(h, 21, 12) AS event_id, {_iso('moment')} AS "timestamp", product_id,
-         {_pick('r', 33, ('ZONE-A', 'ZONE-B', 'ZONE-C'))} AS shelf_location,
-         {_below_draw('r', 34, 146)} + 5 AS current_stock_on_shelf,
-         ({_below_draw('r', 35, 91)} + 10) || '%' AS battery_level, {_chance('r', 36, 0.03 / 0.97)} AS again FROM drawn)
+         {_pick(33, ('ZONE-A', 'ZONE-B', 'ZONE-C'))} AS shelf_location,
+         {_below_draw(34, 146)} + 5 AS current_stock_on_shelf,
+         ({_below_draw(35, 91)} + 10) || '%' AS battery_level, {_chance(36, 0.03 / 0.97)} AS again FROM drawn)
 SELECT * EXCLUDE (again) FROM readings UNION ALL SELECT * EXCLUDE (again) FROM readings WHERE again""",
     "synth_weather": f"""WITH {IDS}
-SELECT r AS _row, {_weighted('r', 100, _CITIES)} AS city,
-       {_half_even(_clipped('r', 102, '25.0', '10.0', '-10.0', '50.0'), 5)} AS temperature,
-       {_half_even(_clipped('r', 104, '60.0', '20.0', '0.0', '100.0'), 5)} AS humidity,
-       {_weighted('r', 106, _SKIES)} AS weather_description, '{RUN_AT}' AS "timestamp" FROM ids""",
+SELECT r AS _row, {_weighted(100, _CITIES)} AS city,
+       {_half_even(_clipped(102, '25.0', '10.0', '-10.0', '50.0'), 5)} AS temperature,
+       {_half_even(_clipped(104, '60.0', '20.0', '0.0', '100.0'), 5)} AS humidity,
+       {_weighted(106, _SKIES)} AS weather_description, '{RUN_AT}' AS "timestamp" FROM ids""",
     "synth_fk": f"""WITH {IDS}, {POOL}
 SELECT CAST(0 AS BIGINT) AS orphans, count(*) AS rows, count(DISTINCT product_id) AS keys FROM keyed""",
     "job_counters": f"""WITH {MFG}, {SALES}

@@ -11,7 +11,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractflow.functions import times
+from contractflow.functions import draws
 from contractflow.model import (
     CONTRACTS, IOT, LEGACY, MANUFACTURING, SALES, WAREHOUSE, WEATHER, OperationType, ViolationPolicy)
 from contractflow.operators import (
@@ -391,9 +391,8 @@ def cdc_feed(spark, folder):
 
 @query
 def cdc_feed_ops(spark, folder):
-    offset = F.col("_row") - 1
-    return views.sales(spark, folder).select(
-        offset.alias("_log_offset"), cdc.operation_of(offset).alias("_operation_type"))
+    numbered = views.sales(spark, folder).select((F.col("_row") - 1).alias("_log_offset"))
+    return draws.seeded(numbered, "_log_offset").select("_log_offset", cdc.operation_of().alias("_operation_type"))
 
 
 @query

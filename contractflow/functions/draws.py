@@ -1,56 +1,79 @@
 """Random numbers that depend on the row and not on where it is computed.
 
 ``rand(seed)`` depends on the partition a row sits in, so a lost executor or
-another cluster size can change the outcome. Here every draw is cut from a
-digest of (row id, stream pair): reruns, retries and any partitioning agree, any
-SQL engine with md5 can repeat it, and the expression stays inside generated code.
+another cluster size can change the outcome. Here one digest of the row id gives
+two seeds per row, and every draw is a linear function of them modulo a prime,
+with its own coefficients. Any two streams are independent of one another, a draw
+costs a few integer operations inside generated code, and reruns, retries, any
+partitioning and any SQL engine with md5 give the same numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: 13 hex digits: as many bits as a double holds exactly.
-UNIT_DIGITS, UNIT_RANGE = 13, 16**13
-#: 15 hex digits: the most that fit a bigint; used where the bound may be large.
-WIDE_DIGITS = 15
+SEED_A, SEED_B = "_seed_a", "_seed_b"
 
+# The Mersenne prime 2**31 - 1 and generators of well-known multiplicative sequences modulo it.
+PRIME = 2147483647
+GENERATORS = (48271, 69621, 16807)
+#: A draw below a larger bound takes two streams; the second lies this far away.
+SMALL_BOUND, SECOND_STREAM = 65536, 5000
 
-def _hex_number(row_id: Column, stream: int, digits: int) -> Column:
-    """Each digest serves two streams, one per half."""
-    pair, half = divmod(stream, 2)
-    digest = F.md5(F.concat(row_id.cast("string"), F.lit(f":{pair}")).cast("binary"))
-    return F.conv(F.substring(digest, 1 + 16 * half, digits), 16, 10).cast("bigint")
 
+def coefficients(stream: int) -> tuple[int, int, int]:
+    """The factors of both seeds and the shift of one stream."""
+    a, b, c = (pow(generator, stream + 1, PRIME) for generator in GENERATORS)
+    return a, b, c
 
-def draw(row_id: Column, stream: int) -> Column:
-    """A bigint in [0, 2**52) for this row and stream."""
-    return _hex_number(row_id, stream, UNIT_DIGITS)
 
+def seeded(df: DataFrame, row_id: str) -> DataFrame:
+    """Add the two seeds of every row, unless it has them; drop them with ``unseeded``."""
+    if SEED_A in df.columns:
+        return df
+    digest = F.md5(F.col(f"`{row_id}`").cast("string").cast("binary"))
 
-def uniform(row_id: Column, stream: int) -> Column:
+    def half(start: int) -> Column:
+        return F.conv(F.substring(digest, start, 15), 16, 10).cast("bigint") % F.lit(PRIME)
+
+    return df.withColumns({SEED_A: half(1), SEED_B: half(17)})
+
+
+def unseeded(df: DataFrame) -> DataFrame:
+    return df.drop(SEED_A, SEED_B)
+
+
+def draw(stream: int) -> Column:
+    """A bigint in [0, PRIME) for this stream of a seeded row."""
+    a, b, c = coefficients(stream)
+    return ((F.col(SEED_A) * a) % PRIME + (F.col(SEED_B) * b) % PRIME + F.lit(c)) % PRIME
+
+
+def uniform(stream: int) -> Column:
     """A double in [0, 1)."""
-    return draw(row_id, stream) / F.lit(UNIT_RANGE)
+    return draw(stream) / F.lit(PRIME)
 
 
-def below(row_id: Column, stream: int, bound: int) -> Column:
+def below(stream: int, bound: int) -> Column:
     """A bigint in [0, bound)."""
-    return _hex_number(row_id, stream, WIDE_DIGITS) % F.lit(bound).cast("bigint")
+    if bound <= SMALL_BOUND:
+        return draw(stream) % F.lit(bound).cast("bigint")
+    return (draw(stream) * PRIME + draw(stream + SECOND_STREAM)) % F.lit(bound).cast("bigint")
 
 
-def normal(row_id: Column, stream: int) -> Column:
-    """A standard normal double from this stream and the next; an even stream needs one digest."""
-    radius = F.sqrt(F.lit(-2.0) * F.ln((draw(row_id, stream) + F.lit(1)) / F.lit(UNIT_RANGE)))
-    return radius * F.cos(F.lit(6.283185307179586) * uniform(row_id, stream + 1))
+def normal(stream: int) -> Column:
+    """A standard normal double from this stream and the next."""
+    radius = F.sqrt(F.lit(-2.0) * F.ln((draw(stream) + F.lit(1)) / F.lit(PRIME)))
+    return radius * F.cos(F.lit(6.283185307179586) * uniform(stream + 1))
 
 
-def chance(row_id: Column, stream: int, rate: float) -> Column:
+def chance(stream: int, rate: float) -> Column:
     """True for the given share of rows, decided on integers."""
-    return draw(row_id, stream) < F.lit(int(rate * UNIT_RANGE))
+    return draw(stream) < F.lit(int(rate * PRIME))
 
 
-def pick(row_id: Column, stream: int, values: list[str] | tuple[str, ...]) -> Column:
+def pick(stream: int, values: list[str] | tuple[str, ...]) -> Column:
     """One of a short list, each equally likely."""
     options = F.array(*[F.lit(value) for value in values])
-    return F.get(options, below(row_id, stream, len(values)).cast("int"))
+    return F.get(options, below(stream, len(values)).cast("int"))

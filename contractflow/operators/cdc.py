@@ -23,11 +23,11 @@ UPDATE_LOW, UPDATE_SPAN = 0.8, 0.4
 _PICK_OPERATION, _PICK_TARGET, _PICK_FACTOR = 11, 12, 13
 
 
-def operation_of(offset: Column, has_existing: bool = True) -> Column:
-    """INSERT, UPDATE or DELETE by weight; INSERT only while nothing exists yet."""
+def operation_of(has_existing: bool = True) -> Column:
+    """INSERT, UPDATE or DELETE of a seeded row by weight; INSERT only while nothing exists yet."""
     if not has_existing:
         return F.lit(OperationType.INSERT.value)
-    percent = draws.below(offset, _PICK_OPERATION, 100)
+    percent = draws.below(_PICK_OPERATION, 100)
     return (
         F.when(percent < INSERT_SHARE, F.lit(OperationType.INSERT.value))
         .when(percent < INSERT_SHARE + UPDATE_SHARE, F.lit(OperationType.UPDATE.value))
@@ -45,7 +45,7 @@ def _as_number(df: DataFrame, name: str) -> Column:
 def _mutate(df: DataFrame) -> DataFrame:
     """On updates, scale the first usable number by 0.8 to 1.2, to two decimals."""
     names = [n for n in MUTABLE_FIELDS if n in df.columns]
-    factor = F.lit(UPDATE_LOW) + draws.uniform(F.col(OFFSET), _PICK_FACTOR) * F.lit(UPDATE_SPAN)
+    factor = F.lit(UPDATE_LOW) + draws.uniform(_PICK_FACTOR) * F.lit(UPDATE_SPAN)
     changed, earlier = {}, F.lit(False)
     for name in names:
         number = _as_number(df, name)
@@ -80,13 +80,14 @@ def change_feed(
     if existing is not None:
         total = existing.count() if existing_count is None else existing_count
     payload = [n for n in new_rows.columns if not n.startswith("_")]
-    numbered = new_rows.withColumn(OFFSET, F.col(ROW) - 1 + first_offset)
-    numbered = numbered.withColumn("_op", operation_of(F.col(OFFSET), total > 0))
-    inserts = numbered.where(F.col("_op") == OperationType.INSERT.value).select(OFFSET, "_op", *payload)
+    numbered = draws.seeded(new_rows.withColumn(OFFSET, F.col(ROW) - 1 + first_offset), OFFSET)
+    numbered = numbered.withColumn("_op", operation_of(total > 0))
+    seeds = (draws.SEED_A, draws.SEED_B)
+    inserts = numbered.where(F.col("_op") == OperationType.INSERT.value).select(OFFSET, "_op", *seeds, *payload)
     events = inserts
     if total > 0:
         aimed = numbered.where(F.col("_op") != OperationType.INSERT.value).select(
-            OFFSET, "_op", (draws.below(F.col(OFFSET), _PICK_TARGET, total) + 1).alias(ROW))
+            OFFSET, "_op", *seeds, (draws.below(_PICK_TARGET, total) + 1).alias(ROW))
         kept = existing.select(ROW, *[F.col(f"`{n}`") for n in existing.columns if not n.startswith("_")])
         events = inserts.unionByName(aimed.join(kept, ROW).drop(ROW), allowMissingColumns=True)
     return _enveloped(_mutate(events), source_id, started_at, rate, scenario)

@@ -67,25 +67,25 @@ def total_weight(values: tuple[tuple[str, int], ...]) -> int:
     return sum(weight for _, weight in values)
 
 
-def clipped_normal(row_id: Column, stream: int, mean: float, std: float, low: float, high: float) -> Column:
-    value = F.lit(float(mean)) + F.lit(float(std)) * draws.normal(row_id, stream)
+def clipped_normal(stream: int, mean: float, std: float, low: float, high: float) -> Column:
+    value = F.lit(float(mean)) + F.lit(float(std)) * draws.normal(stream)
     return F.least(F.greatest(value, F.lit(float(low))), F.lit(float(high)))
 
 
-def sample_column(profile: ColumnProfile, stream: int, rank: Column, row_id: Column) -> Column:
-    """One draw per row from a profile whose values fit in the plan."""
+def sample_column(profile: ColumnProfile, stream: int, rank: Column) -> Column:
+    """One draw per seeded row from a profile whose values fit in the plan."""
     if profile.kind == profiling.CONSTANT:
         return F.lit(None).cast("string")
     if profile.kind == profiling.TIMESTAMP:
         low, high = int(profile.min * 1_000_000), int(profile.max * 1_000_000)
-        micros = F.lit(low) + draws.below(row_id, stream, high - low + 1)
+        micros = F.lit(low) + draws.below(stream, high - low + 1)
         value = times.iso_utc(F.timestamp_micros(micros))
     elif profile.kind == profiling.NUMERIC:
-        value = clipped_normal(row_id, stream, profile.mean, profile.std or 0.0, profile.min, profile.max)
+        value = clipped_normal(stream, profile.mean, profile.std or 0.0, profile.min, profile.max)
     else:
         value = weighted(rank, profile.values)
     if profile.null_rate > 0:
-        return F.when(~draws.chance(row_id, stream + 500, profile.null_rate), value)
+        return F.when(~draws.chance(stream + 500, profile.null_rate), value)
     return value
 
 
@@ -95,7 +95,7 @@ def sample_from_rows(ids: DataFrame, source: DataFrame, source_rows: int, column
     That has exactly the column's frequencies and NULL share without building a
     table of them. Drawn row numbers are evenly spread, so the join has no hot key.
     """
-    aimed = ids.withColumn("_pick", draws.below(F.col(ROW), stream, source_rows) + 1)
+    aimed = draws.seeded(ids, ROW).withColumn("_pick", draws.below(stream, source_rows) + 1)
     pool = source.select(F.col(ROW).alias("_pick"), F.col(f"`{column}`").cast("string").alias(column))
     return aimed.join(pool, "_pick").drop("_pick")
 
@@ -114,7 +114,7 @@ def generate(
     """
     if not profiles:
         raise RuntimeError("Profile the data before generating rows.")
-    rows, row_id = ids, F.col(ROW)
+    rows = draws.seeded(ids, ROW)
     ranks: dict[str, Column] = {}
     plain: dict[str, Column] = {}
     for i, profile in enumerate(profiles):
@@ -126,11 +126,12 @@ def generate(
             rows = sample_from_rows(rows, source, profile.rows, profile.name, _COLUMNS + 2 * i)
             continue
         if profile.values:
-            ranks[f"_rank_{i}"] = draws.below(row_id, _COLUMNS + 2 * i, total_weight(profile.values))
-        plain[profile.name] = sample_column(profile, _COLUMNS + 2 * i, F.col(f"_rank_{i}"), row_id)
+            ranks[f"_rank_{i}"] = draws.below(_COLUMNS + 2 * i, total_weight(profile.values))
+        plain[profile.name] = sample_column(profile, _COLUMNS + 2 * i, F.col(f"_rank_{i}"))
     made = (rows.withColumns(ranks) if ranks else rows).withColumns(plain)
-    made = made.select(ROW, *[F.col(f"`{p.name}`") for p in profiles if p.name not in skip])
-    return made.transform(hook) if hook else made
+    made = made.select(
+        ROW, draws.SEED_A, draws.SEED_B, *[F.col(f"`{p.name}`") for p in profiles if p.name not in skip])
+    return draws.unseeded(made.transform(hook) if hook else made)
 
 
 upsample = generate
@@ -140,7 +141,7 @@ upsample = generate
 
 def draw_key(rows: DataFrame, pool: DataFrame, pool_size: int, key: str = "product_id", stream: int = _PRODUCT) -> DataFrame:
     """Add a key drawn uniformly from a key table with dense ``_row`` numbers."""
-    aimed = rows.withColumn("_pick", draws.below(F.col(ROW), stream, pool_size) + 1)
+    aimed = draws.seeded(rows, ROW).withColumn("_pick", draws.below(stream, pool_size) + 1)
     return aimed.join(pool.select(F.col(ROW).alias("_pick"), F.col(key).alias("_drawn_key")), "_pick").drop("_pick")
 
 
@@ -163,17 +164,17 @@ def warehouse_rules(rows: DataFrame) -> DataFrame:
     """A new stock unit per row: article number, colour and size make the product id."""
     row = F.col(ROW)
     article = (F.lit(FIRST_ARTICLE) + row * ARTICLE_STEP).cast("string")
-    size = draws.pick(row, _SIZE, SIZES)
-    return rows.withColumns({
-        "product_id": F.concat_ws("-", F.lit("ART"), article, draws.pick(row, _COLOR, COLOR_CODES), size),
+    size = draws.pick(_SIZE, SIZES)
+    return draws.unseeded(draws.seeded(rows, ROW).withColumns({
+        "product_id": F.concat_ws("-", F.lit("ART"), article, draws.pick(_COLOR, COLOR_CODES), size),
         "article_id": F.concat(F.lit("ART-"), article),
-        "color": draws.pick(row, _COLOR, COLORS),
+        "color": draws.pick(_COLOR, COLORS),
         "size": size,
         "reorder_threshold": F.greatest(F.lit(1).cast("bigint"), _whole(_or(_number(rows, "reorder_threshold"), 50.0))),
         "max_capacity": F.greatest(F.lit(10).cast("bigint"), _whole(_or(_number(rows, "max_capacity"), 500.0))),
         "unit_cost": numbers.half_even(
             F.greatest(F.lit(0.01), F.abs(_or(_number(rows, "unit_cost"), 30.0))), 2),
-    })
+    }))
 
 
 def manufacturing_rules(pool: DataFrame, pool_size: int, run_at: str) -> Callable[[DataFrame], DataFrame]:
@@ -184,42 +185,42 @@ def manufacturing_rules(pool: DataFrame, pool_size: int, run_at: str) -> Callabl
         defects = numbers.half_even(F.greatest(F.lit(0.0), F.coalesce(_number(rows, "defect_count"), F.lit(0.0))), 1)
         return keyed.withColumns({
             "production_batch_id": F.concat(F.lit("BATCH-"), (F.lit(FIRST_BATCH) + row).cast("string")),
-            "product_id": F.when(draws.chance(row, _LOWER, LOWERCASE_RATE), F.lower(product)).otherwise(product),
+            "product_id": F.when(draws.chance(_LOWER, LOWERCASE_RATE), F.lower(product)).otherwise(product),
             "quantity_produced": F.greatest(
                 F.lit(1).cast("bigint"), _whole(_or(_number(rows, "quantity_produced"), 100.0))),
-            "defect_count": F.when(~draws.chance(row, _NULL_DEFECT, NULL_DEFECT_RATE), defects),
+            "defect_count": F.when(~draws.chance(_NULL_DEFECT, NULL_DEFECT_RATE), defects),
             "mfg_timestamp": F.lit(run_at),
-        }).drop("_drawn_key")
+        }).drop("_drawn_key", draws.SEED_A, draws.SEED_B)
     return rules
 
 
 def sales_rules(pool: DataFrame, pool_size: int, run_at: str) -> Callable[[DataFrame], DataFrame]:
     """Receipts over known products and stores: some without a product, some returns."""
     def rules(rows: DataFrame) -> DataFrame:
-        row, keyed = F.col(ROW), draw_key(rows, pool, pool_size)
+        keyed = draw_key(rows, pool, pool_size)
         units = F.greatest(F.lit(1).cast("bigint"), _whole(_or(_number(rows, "units_sold"), 1.0)))
         return keyed.withColumns({
-            "receipt_id": F.lpad(F.hex(draws.below(row, _RECEIPT, 16**8)), 8, "0"),
-            "product_id": F.when(~draws.chance(row, _NULL_PRODUCT, NULL_PRODUCT_RATE), F.col("_drawn_key")),
+            "receipt_id": F.lpad(F.hex(draws.below(_RECEIPT, 16**8)), 8, "0"),
+            "product_id": F.when(~draws.chance(_NULL_PRODUCT, NULL_PRODUCT_RATE), F.col("_drawn_key")),
             "sale_timestamp": F.lit(run_at),
-            "store_id": draws.pick(row, _STORE, STORES),
-            "units_sold": F.when(draws.chance(row, _RETURN, RETURN_RATE), -units).otherwise(units),
-        }).drop("_drawn_key")
+            "store_id": draws.pick(_STORE, STORES),
+            "units_sold": F.when(draws.chance(_RETURN, RETURN_RATE), -units).otherwise(units),
+        }).drop("_drawn_key", draws.SEED_A, draws.SEED_B)
     return rules
 
 
 def legacy_rules(pool: DataFrame, pool_size: int, run_at: str) -> Callable[[DataFrame], DataFrame]:
     """Monthly totals of known products, one to 36 months (of 30 days) back."""
     def rules(rows: DataFrame) -> DataFrame:
-        row, keyed = F.col(ROW), draw_key(rows, pool, pool_size)
-        months = (draws.below(row, _MONTHS, 36) + 1).cast("int")
+        keyed = draw_key(rows, pool, pool_size)
+        months = (draws.below(_MONTHS, 36) + 1).cast("int")
         back = F.date_sub(F.to_date(times.moment_literal(run_at)), months * 30)
         return keyed.withColumns({
             "product_id": F.col("_drawn_key"),
             "historical_period": F.date_format(back, "yyyy-MM"),
             "total_monthly_sales": _whole(_or(_number(rows, "total_monthly_sales"), 500.0)),
-            "market_region": draws.pick(row, _REGION, REGIONS),
-        }).drop("_drawn_key")
+            "market_region": draws.pick(_REGION, REGIONS),
+        }).drop("_drawn_key", draws.SEED_A, draws.SEED_B)
     return rules
 
 
@@ -233,35 +234,32 @@ def iot_rows(
     moment = F.timestamp_micros(start + F.floor(row * F.lit(1_000_000.0 / rate)).cast("bigint"))
     digest = F.md5(F.concat(F.lit("rfid:"), row.cast("string")).cast("binary"))
     parts = [F.substring(digest, at, size) for at, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    readings = keyed.select(
+    # A share r of all rows being copies means r / (1 - r) copies per reading.
+    again = draws.chance(_RESEND, resend_rate / (1 - resend_rate))
+    copies = F.when(again, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    sent = keyed.withColumn("_copy", F.explode(copies)) if resend_rate > 0 else keyed
+    return sent.select(
         ROW,
         F.concat_ws("-", *parts).alias("event_id"),
         times.iso_utc(moment).alias("timestamp"),
         F.col("_drawn_key").alias("product_id"),
-        draws.pick(row, _ZONE, ZONES).alias("shelf_location"),
-        (draws.below(row, _STOCK, 146) + 5).alias("current_stock_on_shelf"),
-        F.concat((draws.below(row, _BATTERY, 91) + 10).cast("string"), F.lit("%")).alias("battery_level"),
+        draws.pick(_ZONE, ZONES).alias("shelf_location"),
+        (draws.below(_STOCK, 146) + 5).alias("current_stock_on_shelf"),
+        F.concat((draws.below(_BATTERY, 91) + 10).cast("string"), F.lit("%")).alias("battery_level"),
     )
-    if resend_rate <= 0:
-        return readings
-    # A share r of all rows being copies means r / (1 - r) copies per reading.
-    again = draws.chance(row, _RESEND, resend_rate / (1 - resend_rate))
-    copies = F.when(again, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
-    return readings.withColumn("_copy", F.explode(copies)).drop("_copy")
 
 
 def weather_rows(ids: DataFrame, run_at: str) -> DataFrame:
     """City readings from the fixed profile."""
-    row = F.col(ROW)
-    ranked = ids.withColumns({
-        "_city": draws.below(row, _COLUMNS, total_weight(CITIES)),
-        "_sky": draws.below(row, _COLUMNS + 6, total_weight(SKIES)),
+    ranked = draws.seeded(ids, ROW).withColumns({
+        "_city": draws.below(_COLUMNS, total_weight(CITIES)),
+        "_sky": draws.below(_COLUMNS + 6, total_weight(SKIES)),
     })
     return ranked.select(
         ROW,
         weighted(F.col("_city"), CITIES).alias("city"),
-        clipped_normal(row, _COLUMNS + 2, 25.0, 10.0, -10.0, 50.0).alias("temperature"),
-        clipped_normal(row, _COLUMNS + 4, 60.0, 20.0, 0.0, 100.0).alias("humidity"),
+        clipped_normal(_COLUMNS + 2, 25.0, 10.0, -10.0, 50.0).alias("temperature"),
+        clipped_normal(_COLUMNS + 4, 60.0, 20.0, 0.0, 100.0).alias("humidity"),
         weighted(F.col("_sky"), SKIES).alias("weather_description"),
         F.lit(run_at).alias("timestamp"),
     )

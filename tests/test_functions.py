@@ -73,21 +73,22 @@ def test_epoch_text_round_trip(spark):
 
 def test_draws_do_not_depend_on_partitioning(spark):
     def drawn(ids):
-        return {r["id"]: (r["a"], r["b"]) for r in ids.select(
-            "id", draws.draw(F.col("id"), 5).alias("a"), draws.normal(F.col("id"), 8).alias("b")).collect()}
+        return {r["id"]: (r["a"], r["b"]) for r in draws.seeded(ids, "id").select(
+            "id", draws.draw(5).alias("a"), draws.normal(8).alias("b")).collect()}
     assert drawn(spark.range(0, 500, 1, 1)) == drawn(spark.range(0, 500, 1, 7).repartition(3))
 
 
 def test_draws_are_spread_evenly_and_streams_differ(spark):
     n = 20000
-    frame = spark.range(n).select(
-        draws.below(F.col("id"), 3, 10).alias("a"), draws.below(F.col("id"), 4, 10).alias("b"),
-        draws.normal(F.col("id"), 6).alias("z"))
+    frame = draws.seeded(spark.range(n), "id").select(
+        draws.below(3, 10).alias("a"), draws.below(4, 10).alias("b"), draws.normal(6).alias("z"),
+        draws.below(9, 10**12).alias("wide"))
     rows = frame.collect()
     slack = 4 * math.sqrt(n * 0.1 * 0.9)
     assert all(abs(c - n / 10) < slack for c in Counter(r["a"] for r in rows).values())
     pairs = Counter((r["a"], r["b"]) for r in rows)
     assert len(pairs) == 100 and max(pairs.values()) < n / 100 + 6 * math.sqrt(n / 100)
+    assert len({r["wide"] for r in rows}) == n and 0.45 < sum(r["wide"] for r in rows) / n / 10**12 < 0.55
     mean = sum(r["z"] for r in rows) / n
     spread = math.sqrt(sum((r["z"] - mean) ** 2 for r in rows) / (n - 1))
     assert abs(mean) < 4 / math.sqrt(n) and abs(spread - 1) < 4 / math.sqrt(2 * n)
