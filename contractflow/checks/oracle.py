@@ -227,16 +227,16 @@ def _quoted_list(messages: tuple[str, ...]) -> str:
 
 
 # -- draws ------------------------------------------------------------------------------------
-# A row carries seed columns a and b; a draw is a linear function of both modulo a prime.
+# A row carries a seed column s of two 30-bit halves; a draw is a linear function of both modulo a prime.
 
-def _seeds(row: str) -> str:
-    halves = [f"CAST('0x' || substr(md5(CAST({row} AS VARCHAR)), {at}, 15) AS BIGINT) % {PRIME}" for at in (1, 17)]
-    return f"{halves[0]} AS a, {halves[1]} AS b"
+def _seed(row: str) -> str:
+    return f"CAST('0x' || substr(md5(CAST({row} AS VARCHAR)), 1, 15) AS BIGINT) AS s"
 
 
 def _draw(stream: int, t: str = "") -> str:
-    factor_a, factor_b, shift = coefficients(stream)
-    return f"(({t}a * {factor_a} % {PRIME} + {t}b * {factor_b} % {PRIME} + {shift}) % {PRIME})"
+    low_factor, high_factor, shift = coefficients(stream)
+    return (f"((({t}s & {2**30 - 1}) * {low_factor} % {PRIME} + ({t}s >> 30) * {high_factor} % {PRIME} + {shift})"
+            f" % {PRIME})")
 
 
 def _below_draw(stream: int, bound: str | int, t: str = "", small: bool = True) -> str:
@@ -291,12 +291,12 @@ _SCALED = _half_even(f"units_sold * (0.8::DOUBLE + {_uniform(13)} * 0.4::DOUBLE)
 FEED = f"""{V_SALES},
 numbered AS (
   SELECT *, {_below_draw(11, 100)} AS percent, {_any_draw(12, 'n')} + 1 AS target
-  FROM (SELECT *, rn - 1 AS o, {_seeds('(rn - 1)')} FROM v_sales), (SELECT count(*) AS n FROM lineitem)),
+  FROM (SELECT *, rn - 1 AS o, {_seed('(rn - 1)')} FROM v_sales), (SELECT count(*) AS n FROM lineitem)),
 events_of AS (
-  SELECT o, a, b, 'INSERT' AS op, receipt_id, product_id, sale_timestamp, CAST(units_sold AS DOUBLE) AS units_sold, store_id
+  SELECT o, s, 'INSERT' AS op, receipt_id, product_id, sale_timestamp, CAST(units_sold AS DOUBLE) AS units_sold, store_id
   FROM numbered WHERE percent < 60
   UNION ALL
-  SELECT n.o, n.a, n.b, CASE WHEN n.percent < 90 THEN 'UPDATE' ELSE 'DELETE' END, e.receipt_id, e.product_id, e.sale_timestamp,
+  SELECT n.o, n.s, CASE WHEN n.percent < 90 THEN 'UPDATE' ELSE 'DELETE' END, e.receipt_id, e.product_id, e.sale_timestamp,
          CAST(e.units_sold AS DOUBLE), e.store_id
   FROM numbered n JOIN v_sales e ON e.rn = n.target WHERE n.percent >= 60),
 feed AS (
@@ -315,12 +315,12 @@ feed AS (
 # -- profiles and synthetic rows --------------------------------------------------------------------
 
 IDS = f"""numbered_ids AS (SELECT row_number() OVER () AS r FROM lineitem),
-ids AS (SELECT r, {_seeds('r')} FROM numbered_ids)"""
+ids AS (SELECT r, {_seed('r')} FROM numbered_ids)"""
 POOL = f"""{V_WH},
 pool AS (SELECT product_id, row_number() OVER (ORDER BY product_id) AS k FROM v_wh WHERE product_id IS NOT NULL),
 keyed AS (
-  SELECT i.r, i.a, i.b, pool.product_id
-  FROM (SELECT r, a, b, {_any_draw(23, 'n')} + 1 AS k FROM ids, (SELECT count(*) AS n FROM pool)) i JOIN pool USING (k))"""
+  SELECT i.r, i.s, pool.product_id
+  FROM (SELECT r, s, {_any_draw(23, 'n')} + 1 AS k FROM ids, (SELECT count(*) AS n FROM pool)) i JOIN pool USING (k))"""
 
 
 def _stats(alias: str, column: str, table: str) -> str:
@@ -346,8 +346,8 @@ def _frequency(alias: str, column: str, table: str) -> str:
 def _ranked(ids: str, alias: str, stream: int, name: str) -> str:
     """One drawn value per id."""
     return f"""{name} AS (
-  SELECT i.r, i.a, i.b, f.value
-  FROM (SELECT r, a, b, {_any_draw(stream, 'total_n')} AS rank FROM {ids}, (SELECT max(total) AS total_n FROM {alias})) i
+  SELECT i.r, i.s, f.value
+  FROM (SELECT r, s, {_any_draw(stream, 'total_n')} AS rank FROM {ids}, (SELECT max(total) AS total_n FROM {alias})) i
   JOIN {alias} f ON i.rank >= f.low AND i.rank < f.low + f.n)"""
 
 
@@ -635,7 +635,7 @@ ORACLE |= {
     "synth_warehouse": f"""WITH {IDS}, {V_WH}, {_frequency('f_name', 'product_name', 'v_wh')},
 {_ranked('ids', 'f_name', 100, 'd_name')}, {_stats('s1', 'reorder_threshold', 'v_wh')},
 {_stats('s2', 'max_capacity', 'v_wh')}, {_stats('s3', 'unit_cost', 'v_wh')},
-drawn AS (SELECT r, a, b, d_name.value AS product_name, {_sampled('s1', 102)} AS reorder_threshold,
+drawn AS (SELECT r, s, d_name.value AS product_name, {_sampled('s1', 102)} AS reorder_threshold,
                  {_sampled('s2', 104)} AS max_capacity, {_sampled('s3', 106)} AS unit_cost
           FROM d_name, s1, s2, s3)
 SELECT r AS _row, product_name, {_whole('reorder_threshold', '50', 1)} AS reorder_threshold,
@@ -644,27 +644,27 @@ SELECT r AS _row, product_name, {_whole('reorder_threshold', '50', 1)} AS reorde
        'ART-' || (2000 + 3 * r) || '-' || {_pick(21, _CODES)} || '-' || {_pick(22, _SIZES)} AS product_id,
        'ART-' || (2000 + 3 * r) AS article_id, {_pick(21, _COLORS)} AS color, {_pick(22, _SIZES)} AS size
 FROM drawn""",
-    "synth_manufacturing": f"""WITH {IDS}, {POOL}, {V_MFG}, {_stats('s', 'defect_count', 'v_mfg')},
-drawn AS (SELECT r, a, b, product_id, {_sampled('s', 100)} AS defects FROM keyed, s)
+    "synth_manufacturing": f"""WITH {IDS}, {POOL}, {V_MFG}, {_stats('st', 'defect_count', 'v_mfg')},
+drawn AS (SELECT r, s, product_id, {_sampled('st', 100)} AS defects FROM keyed, st)
 SELECT r AS _row, 'BATCH-' || (60000 + r) AS production_batch_id,
        CASE WHEN {_chance(24, 0.20)} THEN lower(product_id) ELSE product_id END AS product_id,
        CAST(100 AS BIGINT) AS quantity_produced,
        CASE WHEN NOT {_chance(25, 0.05)} THEN {_half_even("greatest(0.0::DOUBLE, coalesce(defects, 0.0::DOUBLE))", 1)}
        END AS defect_count, '{RUN_AT}' AS mfg_timestamp FROM drawn""",
-    "synth_sales": f"""WITH {IDS}, {POOL}, {V_SALES}, {_stats('s', 'units_sold', 'v_sales')},
-drawn AS (SELECT r, a, b, product_id, {_sampled('s', 100)} AS units FROM keyed, s),
+    "synth_sales": f"""WITH {IDS}, {POOL}, {V_SALES}, {_stats('st', 'units_sold', 'v_sales')},
+drawn AS (SELECT r, s, product_id, {_sampled('st', 100)} AS units FROM keyed, st),
 sold AS (SELECT *, {_whole('units', '1', 1)} AS whole_units FROM drawn)
 SELECT r AS _row, CASE WHEN {_chance(29, 0.03)} THEN -whole_units ELSE whole_units END AS units_sold,
        lpad(upper(to_hex({_below_draw(26, 16**8, small=False)})), 8, '0') AS receipt_id,
        CASE WHEN NOT {_chance(27, 0.05)} THEN product_id END AS product_id,
        '{RUN_AT}' AS sale_timestamp, {_pick(28, _STORES)} AS store_id FROM sold""",
-    "synth_legacy": f"""WITH {IDS}, {POOL}, {V_LEG}, {_stats('s', 'total_monthly_sales', 'v_leg')},
-drawn AS (SELECT r, a, b, product_id, {_sampled('s', 100)} AS sold FROM keyed, s)
+    "synth_legacy": f"""WITH {IDS}, {POOL}, {V_LEG}, {_stats('st', 'total_monthly_sales', 'v_leg')},
+drawn AS (SELECT r, s, product_id, {_sampled('st', 100)} AS sold FROM keyed, st)
 SELECT r AS _row, CAST(floor(abs({_filled('sold', '500')})) AS BIGINT) AS total_monthly_sales, product_id,
        strftime(DATE '{RUN_AT[:10]}' - CAST(({_below_draw(30, 36)} + 1) * 30 AS INTEGER), '%Y-%m') AS historical_period,
        {_pick(31, _REGIONS)} AS market_region FROM drawn""",
     "synth_iot": f"""WITH {IDS}, {POOL},
-drawn AS (SELECT r, a, b, product_id, md5('rfid:' || r) AS h,
+drawn AS (SELECT r, s, product_id, md5('rfid:' || r) AS h,
                  TIMESTAMP '{RUN_AT[:19].replace('T', ' ')}' + to_microseconds(r * 1000000) AS moment FROM keyed),
 readings AS (
   SELECT r AS _row, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4)

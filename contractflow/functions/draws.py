@@ -2,8 +2,8 @@
 
 ``rand(seed)`` depends on the partition a row sits in, so a lost executor or
 another cluster size can change the outcome. Here one digest of the row id gives
-two seeds per row, and every draw is a linear function of them modulo a prime,
-with its own coefficients. Any two streams are independent of one another, a draw
+a seed of two 30-bit halves, and every draw is a linear function of both modulo a
+prime, with its own coefficients. Any two streams are independent of one another, a draw
 costs a few integer operations inside generated code, and reruns, retries, any
 partitioning and any SQL engine with md5 give the same numbers.
 """
@@ -13,41 +13,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEED_A, SEED_B = "_seed_a", "_seed_b"
+SEED = "_seed"
 
 # The Mersenne prime 2**31 - 1 and generators of well-known multiplicative sequences modulo it.
 PRIME = 2147483647
 GENERATORS = (48271, 69621, 16807)
+HALF_BITS, HALF_MASK = 30, 2**30 - 1
 #: A draw below a larger bound takes two streams; the second lies this far away.
 SMALL_BOUND, SECOND_STREAM = 65536, 5000
 
 
 def coefficients(stream: int) -> tuple[int, int, int]:
-    """The factors of both seeds and the shift of one stream."""
+    """The factors of both seed halves and the shift of one stream."""
     a, b, c = (pow(generator, stream + 1, PRIME) for generator in GENERATORS)
     return a, b, c
 
 
 def seeded(df: DataFrame, row_id: str) -> DataFrame:
-    """Add the two seeds of every row, unless it has them; drop them with ``unseeded``."""
-    if SEED_A in df.columns:
+    """Add the seed of every row, unless it has one; drop it with ``unseeded``."""
+    if SEED in df.columns:
         return df
     digest = F.md5(F.col(f"`{row_id}`").cast("string").cast("binary"))
-
-    def half(start: int) -> Column:
-        return F.conv(F.substring(digest, start, 15), 16, 10).cast("bigint") % F.lit(PRIME)
-
-    return df.withColumns({SEED_A: half(1), SEED_B: half(17)})
+    return df.withColumn(SEED, F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"))
 
 
 def unseeded(df: DataFrame) -> DataFrame:
-    return df.drop(SEED_A, SEED_B)
+    return df.drop(SEED)
 
 
 def draw(stream: int) -> Column:
     """A bigint in [0, PRIME) for this stream of a seeded row."""
     a, b, c = coefficients(stream)
-    return ((F.col(SEED_A) * a) % PRIME + (F.col(SEED_B) * b) % PRIME + F.lit(c)) % PRIME
+    low, high = F.col(SEED).bitwiseAND(F.lit(HALF_MASK)), F.shiftright(F.col(SEED), HALF_BITS)
+    return ((low * a) % PRIME + (high * b) % PRIME + F.lit(c)) % PRIME
 
 
 def uniform(stream: int) -> Column:

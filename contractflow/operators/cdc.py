@@ -23,16 +23,20 @@ UPDATE_LOW, UPDATE_SPAN = 0.8, 0.4
 _PICK_OPERATION, _PICK_TARGET, _PICK_FACTOR = 11, 12, 13
 
 
-def operation_of(has_existing: bool = True) -> Column:
-    """INSERT, UPDATE or DELETE of a seeded row by weight; INSERT only while nothing exists yet."""
-    if not has_existing:
-        return F.lit(OperationType.INSERT.value)
-    percent = draws.below(_PICK_OPERATION, 100)
-    return (
-        F.when(percent < INSERT_SHARE, F.lit(OperationType.INSERT.value))
-        .when(percent < INSERT_SHARE + UPDATE_SHARE, F.lit(OperationType.UPDATE.value))
-        .otherwise(F.lit(OperationType.DELETE.value))
-    )
+def percent() -> Column:
+    """The draw of a seeded row that decides its operation."""
+    return draws.below(_PICK_OPERATION, 100)
+
+
+def change_operation(drawn: Column) -> Column:
+    """UPDATE or DELETE of a row that is no INSERT."""
+    return F.when(drawn < INSERT_SHARE + UPDATE_SHARE, F.lit(OperationType.UPDATE.value)).otherwise(
+        F.lit(OperationType.DELETE.value))
+
+
+def operation_of() -> Column:
+    """INSERT, UPDATE or DELETE of a seeded row by weight."""
+    return F.when(percent() < INSERT_SHARE, F.lit(OperationType.INSERT.value)).otherwise(change_operation(percent()))
 
 
 def _as_number(df: DataFrame, name: str) -> Column:
@@ -42,6 +46,12 @@ def _as_number(df: DataFrame, name: str) -> Column:
     return value.cast("double")
 
 
+def _numbers_as_doubles(df: DataFrame) -> DataFrame:
+    """The columns an update may scale, in the type the scaled values have."""
+    numeric = [n for n in MUTABLE_FIELDS if n in df.columns and isinstance(df.schema[n].dataType, T.NumericType)]
+    return df.withColumns({n: F.col(n).cast("double") for n in numeric}) if numeric else df
+
+
 def _mutate(df: DataFrame) -> DataFrame:
     """On updates, scale the first usable number by 0.8 to 1.2, to two decimals."""
     names = [n for n in MUTABLE_FIELDS if n in df.columns]
@@ -79,18 +89,20 @@ def change_feed(
     total = 0
     if existing is not None:
         total = existing.count() if existing_count is None else existing_count
+    insert = OperationType.INSERT.value
     payload = [n for n in new_rows.columns if not n.startswith("_")]
-    numbered = draws.seeded(new_rows.withColumn(OFFSET, F.col(ROW) - 1 + first_offset), OFFSET)
-    numbered = numbered.withColumn("_op", operation_of(total > 0))
-    seeds = (draws.SEED_A, draws.SEED_B)
-    inserts = numbered.where(F.col("_op") == OperationType.INSERT.value).select(OFFSET, "_op", *seeds, *payload)
-    events = inserts
-    if total > 0:
-        aimed = numbered.where(F.col("_op") != OperationType.INSERT.value).select(
-            OFFSET, "_op", *seeds, (draws.below(_PICK_TARGET, total) + 1).alias(ROW))
-        kept = existing.select(ROW, *[F.col(f"`{n}`") for n in existing.columns if not n.startswith("_")])
-        events = inserts.unionByName(aimed.join(kept, ROW).drop(ROW), allowMissingColumns=True)
-    return _enveloped(_mutate(events), source_id, started_at, rate, scenario)
+    numbered = new_rows.withColumn(OFFSET, F.col(ROW) - 1 + first_offset)
+    if total == 0:  # nothing to change yet, so everything is new
+        events = _numbers_as_doubles(numbered.select(OFFSET, F.lit(insert).alias("_op"), *payload))
+        return _enveloped(events, source_id, started_at, rate, scenario)
+    drawn = draws.seeded(numbered, OFFSET)
+    inserts = drawn.where(percent() < INSERT_SHARE).select(OFFSET, F.lit(insert).alias("_op"), *payload)
+    aimed = drawn.where(percent() >= INSERT_SHARE).select(
+        OFFSET, draws.SEED, (draws.below(_PICK_TARGET, total) + 1).alias(ROW))
+    kept = existing.select(ROW, *[F.col(f"`{n}`") for n in existing.columns if not n.startswith("_")])
+    changed = aimed.join(kept, ROW).drop(ROW).withColumn("_op", change_operation(percent()))
+    events = _numbers_as_doubles(inserts).unionByName(draws.unseeded(_mutate(changed)), allowMissingColumns=True)
+    return _enveloped(events, source_id, started_at, rate, scenario)
 
 
 def _enveloped(events: DataFrame, source_id: str, started_at: str, rate: float, scenario: str) -> DataFrame:

@@ -130,7 +130,7 @@ def generate(
         plain[profile.name] = sample_column(profile, _COLUMNS + 2 * i, F.col(f"_rank_{i}"))
     made = (rows.withColumns(ranks) if ranks else rows).withColumns(plain)
     made = made.select(
-        ROW, draws.SEED_A, draws.SEED_B, *[F.col(f"`{p.name}`") for p in profiles if p.name not in skip])
+        ROW, draws.SEED, *[F.col(f"`{p.name}`") for p in profiles if p.name not in skip])
     return draws.unseeded(made.transform(hook) if hook else made)
 
 
@@ -190,7 +190,7 @@ def manufacturing_rules(pool: DataFrame, pool_size: int, run_at: str) -> Callabl
                 F.lit(1).cast("bigint"), _whole(_or(_number(rows, "quantity_produced"), 100.0))),
             "defect_count": F.when(~draws.chance(_NULL_DEFECT, NULL_DEFECT_RATE), defects),
             "mfg_timestamp": F.lit(run_at),
-        }).drop("_drawn_key", draws.SEED_A, draws.SEED_B)
+        }).drop("_drawn_key", draws.SEED)
     return rules
 
 
@@ -205,7 +205,7 @@ def sales_rules(pool: DataFrame, pool_size: int, run_at: str) -> Callable[[DataF
             "sale_timestamp": F.lit(run_at),
             "store_id": draws.pick(_STORE, STORES),
             "units_sold": F.when(draws.chance(_RETURN, RETURN_RATE), -units).otherwise(units),
-        }).drop("_drawn_key", draws.SEED_A, draws.SEED_B)
+        }).drop("_drawn_key", draws.SEED)
     return rules
 
 
@@ -220,7 +220,7 @@ def legacy_rules(pool: DataFrame, pool_size: int, run_at: str) -> Callable[[Data
             "historical_period": F.date_format(back, "yyyy-MM"),
             "total_monthly_sales": _whole(_or(_number(rows, "total_monthly_sales"), 500.0)),
             "market_region": draws.pick(_REGION, REGIONS),
-        }).drop("_drawn_key", draws.SEED_A, draws.SEED_B)
+        }).drop("_drawn_key", draws.SEED)
     return rules
 
 

@@ -12,6 +12,9 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The JVM never compiles methods over 8000 bytes. Past that size, separate smaller
+    # projections run several times faster than one fused method that is interpreted.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
