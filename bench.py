@@ -26,7 +26,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 
 HEADLINE = (
     "status_counts", "contract_violations", "policy_coerce", "normalize_changes", "dedup_first_wins", "dedup_counts",
-    "envelope_rows", "quarantine_rows", "audit_log", "microbatch_telemetry", "stream_events", "kafka_decode",
+    "envelope", "quarantine_rows", "audit_log", "microbatch_telemetry", "stream_events", "kafka_decode",
     "cdc_feed", "cdc_trigger_based", "cdc_op_counts", "profile_numeric", "profile_categorical", "synth_sales",
     "synth_warehouse", "batch_summary", "low_stock_alerts",
 )

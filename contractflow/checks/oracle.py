@@ -511,7 +511,7 @@ SELECT '{_S}' AS source, count(*) AS rows, count(*) FILTER (duplicate) AS duplic
 UNION ALL SELECT '{_M}', count(*), count(*) FILTER (duplicate),
        {_half_even('count(*) FILTER (duplicate) / CAST(count(*) AS DOUBLE)', 6)} FROM j_mfg""",
     "stream_dedup": f"WITH {V_IOT} SELECT * FROM v_iot",
-    "envelope_rows": f"WITH {SALES} {ENVELOPE_SALES}",
+    "envelope": f"WITH {SALES} {ENVELOPE_SALES}",
     "envelope_event_time": f"""WITH {MFG}, {V_IOT}, {WH}
 SELECT '{_M}' AS source, mfg_timestamp AS event_time, mfg_timestamp AS source_time, count(*) AS rows
 FROM j_mfg WHERE status = 'COERCED' GROUP BY mfg_timestamp

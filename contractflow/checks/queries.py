@@ -34,11 +34,11 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(function: Query) -> Query:
-    """Register a query under its function name."""
+    """Register a query under its function name, less a trailing underscore."""
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return function(apply_runtime_conf(spark), folder)
 
-    QUERIES[function.__name__] = run
+    QUERIES[function.__name__.removesuffix("_")] = run
     return function
 
 
@@ -264,7 +264,7 @@ def stream_dedup(spark, folder):
 # -- envelope, outputs, audit ------------------------------------------------------------------
 
 @query
-def envelope_rows(spark, folder):
+def envelope_(spark, folder):
     judged = batch.judge_survivors(views.sales(spark, folder), SALES)
     return batch.good_rows(judged, SALES, RUN_AT)
 

@@ -68,9 +68,17 @@ def first_wins_key(df: DataFrame, source_id: str, compat: bool = False) -> Colum
 
 def prepare(df: DataFrame, source_id: str) -> DataFrame:
     """The audit key as the row arrived, then normalization."""
+    if rows.ROW not in df.columns and DEDUP_KEYS.get(source_id) not in df.columns:
+        raise ValueError(f"Rows of {source_id} need row numbers or their key column.")
     return normalize(df.withColumn(audit.KEY, audit.record_key(df, DEDUP_KEYS.get(source_id))), source_id)
 
 
+def _require_order(df: DataFrame, key: Column | None, identity: list[str] | None) -> None:
+    if key is not None and not identity and rows.ROW not in df.columns:
+        raise ValueError(
+            "First-wins needs a row order: scan with row numbers, number the rows by an order, or pass identity columns.")
+
+
 def judge(
     df: DataFrame,
     source_id: str,
@@ -80,9 +88,14 @@ def judge(
     within: tuple[str, ...] = (),
     typed_per_value: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Normalize, flag duplicates, check the contract: one row out per row in."""
+    """Normalize, flag duplicates, check the contract: one row out per row in.
+
+    Rows carry ``_row`` numbers, or ``identity`` names the columns that identify
+    and order them.
+    """
     normal = prepare(df, source_id)
     key = first_wins_key(normal, source_id, compat)
+    _require_order(normal, key, identity)
     marked = dedup.mark_duplicates(normal, key, identity, within) if key is not None else normal
     return contracts.apply_contract(
         marked, contract or contract_for(source_id, compat), typed_per_value,
@@ -101,6 +114,7 @@ def judge_survivors(
     """As ``judge`` but without the duplicate rows, which saves a join."""
     normal = prepare(df, source_id)
     key = first_wins_key(normal, source_id, compat)
+    _require_order(normal, key, identity)
     kept = dedup.keep_first(normal, key, identity, within) if key is not None else normal
     return contracts.apply_contract(kept, contract or contract_for(source_id, compat), typed_per_value)
 
@@ -155,7 +169,7 @@ def stage(judged: DataFrame, also: tuple[str, ...] = (), keep_changes: bool = Fa
     return spark.read.schema(kept.schema).parquet(path), watch.get
 
 
-def _report(job_id: str, source_id: str, started: float, counts: dict) -> telemetry.JobReport:
+def job_report(job_id: str, source_id: str, started: float, counts: dict) -> telemetry.JobReport:
     ended = time.time()
     def iso(moment: float) -> str:
         return datetime.fromtimestamp(moment, timezone.utc).isoformat()
@@ -173,7 +187,7 @@ def ingest(
     spark, started = df.sparkSession, time.time()
     judged = judge(df, source_id, compat, identity=identity, typed_per_value=typed_per_value)
     staged, counts = stage(judged, keep_changes=record_lines)
-    report = _report(f"job_{source_id}_{int(started)}", source_id, started, counts)
+    report = job_report(f"job_{source_id}_{int(started)}", source_id, started, counts)
     marker = tuple(identity or [rows.ROW])
     if counts["records_ingested"]:
         target = storage.good(source_id, suffix)
@@ -272,4 +286,4 @@ def push_ingest(df: DataFrame, source_id: str, storage: Storage) -> telemetry.Jo
     watch = Observation()
     counted = telemetry.observed(push_records(df, source_id), watch)
     accepted_records(counted).write.mode("append").parquet(storage.good(source_id, "pushed"))
-    return _report(f"push_{source_id}_{int(started)}", source_id, started, watch.get)
+    return job_report(f"push_{source_id}_{int(started)}", source_id, started, watch.get)

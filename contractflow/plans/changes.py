@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contractflow.operators import cdc, telemetry
-from contractflow.plans.batch import _report
+from contractflow.plans.batch import job_report
 from contractflow.sources.checkpoints import load_position, save_position
 from contractflow.sources.files import Storage, read_parquet_or_none
 
@@ -25,7 +25,7 @@ def write_change_log(feed: DataFrame, storage: Storage, source_id: str, scenario
 
 
 def _close(name: str, source_id: str, scenario: str, started: float, rows: int) -> telemetry.JobReport:
-    return _report(f"cdc_{name}_{source_id}_{scenario}_{int(started)}", source_id, started,
+    return job_report(f"cdc_{name}_{source_id}_{scenario}_{int(started)}", source_id, started,
                    {"records_ingested": rows})
 
 

@@ -87,22 +87,13 @@ def data_files(spark: SparkSession, path: str) -> int:
     return 0 if found is None else max(found.getFileCount() - 1, 0)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Rows of one or more CSV files with a header, numbered in file order.
+def _with_text_rows(scan: DataFrame) -> DataFrame:
+    """Add ``_row`` numbers in file order to a scan of text files.
 
     A text split has no row positions, so each split is counted first (no column
     is parsed for that) and the row number is the split's offset plus the
     position within it. Both passes read the same splits.
     """
-    length = _length(spark, path)
-    if length < 0:
-        raise LoadError(f"File not found: {path}")
-    if length == 0:
-        raise LoadError(f"Empty CSV file: {path}")
-    try:
-        scan = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    except AnalysisException as error:
-        raise LoadError(f"Error loading CSV: {error}") from error
     placed = scan.withColumns({
         "_file": F.col("_metadata.file_path"),
         "_start": F.col("_metadata.file_block_start"),
@@ -122,6 +113,20 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     )
 
 
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of one or more CSV files with a header, numbered in file order."""
+    length = _length(spark, path)
+    if length < 0:
+        raise LoadError(f"File not found: {path}")
+    if length == 0:
+        raise LoadError(f"Empty CSV file: {path}")
+    try:
+        return _with_text_rows(
+            spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path))
+    except AnalysisException as error:
+        raise LoadError(f"Error loading CSV: {error}") from error
+
+
 def read_source_csv(spark: SparkSession, path: str, source_id: str) -> DataFrame:
     """A registered source from CSV, every column as text (see the contract's per-value typing)."""
     return read_csv(spark, path, SOURCES[source_id].raw_schema())
@@ -145,9 +150,10 @@ WEATHER_SCHEMA = T.StructType([
 
 
 def read_weather_json(spark: SparkSession, path: str) -> DataFrame:
+    """Landed weather responses as flat, numbered rows."""
     if _length(spark, path) < 0:
         raise LoadError(f"File not found: {path}")
-    return flatten_weather(spark.read.schema(WEATHER_SCHEMA).json(path))
+    return flatten_weather(_with_text_rows(spark.read.schema(WEATHER_SCHEMA).json(path)), also=(ROW,))
 
 
 def flatten_weather(payloads: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:

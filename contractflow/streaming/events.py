@@ -24,7 +24,8 @@ def drop_resends(events: DataFrame, within: str | None = None) -> DataFrame:
 
     Without ``within`` every id ever seen stays in the state. With it (such as
     "10 minutes") an id is forgotten once the event time has moved on that far,
-    which bounds the state.
+    which bounds the state. Copies of one id meet in one task, so the size of a
+    batch, which is set on the source, bounds that task too.
     """
     if within is None:
         return events.dropDuplicates(["event_id"])

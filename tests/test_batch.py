@@ -188,10 +188,22 @@ def test_weather_payloads(spark, tmp_path, storage):
     assert [r["_status"] for r in judged] == ["PASS", "QUARANTINE"]
     assert (judged[0]["temperature"], judged[0]["weather_description"]) == (25.0, "rain")
     assert len(judged[1]["_violations"]) == 3
+    assert batch.ingest(flat, WEATHER, storage).records_ingested == 1
+    entries = sorted((r["row"], r["key"], r["status"]) for r in spark.read.json(storage.audit(WEATHER)).collect())
+    assert entries == [(1, "row_1", "PASS"), (2, "row_2", "QUARANTINE")]
     with pytest.raises(files.LoadError):
         files.read_weather_json(spark, str(tmp_path / "none.json"))
 
 
+def test_first_wins_asks_for_a_row_order(spark):
+    frame = spark.createDataFrame([("r", "p", "t", 1, "s")],
+                                  "receipt_id string, product_id string, sale_timestamp string, units_sold bigint, store_id string")
+    with pytest.raises(ValueError):
+        batch.judge(frame, SALES)
+    with pytest.raises(ValueError):
+        batch.judge(frame.drop("receipt_id"), SALES)
+
+
 def test_catalogues_and_lookups(spark):
     assert serving.source_catalogue(spark).count() == 6
     levels = {r["dataset_id"]: r["classification_level"] for r in serving.dataset_catalogue(spark).collect()}
