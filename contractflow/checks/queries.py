@@ -10,6 +10,7 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contractflow.functions import draws
 from contractflow.model import (
@@ -448,7 +449,14 @@ def _profiled(spark, folder) -> dict[str, DataFrame]:
 
 
 def _profile_rows(spark, folder, kind: str, *columns: Column) -> DataFrame:
-    frames = {name: profiling.profile_table(frame) for name, frame in _profiled(spark, folder).items()}
+    """Profiles of one kind; only columns that can be of that kind are read."""
+    numeric = kind == profiling.NUMERIC
+    frames = {}
+    for name, frame in _profiled(spark, folder).items():
+        wanted = [
+            f.name for f in frame.schema.fields
+            if not f.name.startswith("_") and isinstance(f.dataType, T.NumericType) == numeric]
+        frames[name] = profiling.profile_table(frame, profiling.profile(frame, wanted))
     return _tagged(frames, *columns, F.col("kind")).where(F.col("kind") == kind).drop("kind")
 
 
