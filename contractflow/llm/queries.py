@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractflow.llm import simhash
+from contractflow.llm import mixing, sharding, simhash
 from contractflow.llm.common import bound_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,3 +28,16 @@ def query(function: Query) -> Query:
 def op1_simhash(spark, folder):
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint("fingerprint").alias("fingerprint"), "component_id")
+
+
+@query
+def op7_mixing(spark, folder):
+    return mixing.mix_report(table(spark, folder, "documents"))
+
+
+@query
+def op9_sharding(spark, folder):
+    placed = sharding.shard_by_bytes(table(spark, folder, "documents"), 16)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
