@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractflow.llm import hnsw, mixing, sharding, simhash, topk
+from contractflow.llm import hnsw, mixing, sharding, simhash, topk, warc
 from contractflow.llm.common import bound_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,27 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+@query
+def op5_warc(spark, folder):
+    return warc.round_trip(table(spark, folder, "pages"), least_bytes=0)
+
+
+ORACLE["op5_warc"] = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+facts AS (
+  SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS digest,
+    max(page_id) OVER (PARTITION BY payload) AS first
+  FROM payloads)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(digest, 5 * CAST(i // 4 AS INTEGER) + 1, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31
+      AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM facts
+"""
+
+
 @query
 def op6_hnsw(spark, folder):
     return hnsw.nearest(table(spark, folder, "embeddings"), k=20)
