@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractflow.llm import hnsw, mixing, sharding, simhash, topk, warc
+from contractflow.llm import hnsw, langid, mixing, sharding, simhash, topk, warc
 from contractflow.llm.common import bound_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,11 @@ def op7_mixing(spark, folder):
     return mixing.mix_report(table(spark, folder, "documents"))
 
 
+@query
+def op8_language(spark, folder):
+    return langid.identify_languages(table(spark, folder, "documents"))
+
+
 @query
 def op9_sharding(spark, folder):
     placed = sharding.shard_by_bytes(table(spark, folder, "documents"), 16)
