@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractflow.llm import hnsw, langid, mixing, sharding, simhash, topk, warc
+from contractflow.llm import hnsw, langid, mixing, sharding, simhash, topk, toxicity, warc
 from contractflow.llm.common import bound_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,11 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+@query
+def op3_toxicity(spark, folder):
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op5_warc(spark, folder):
     return warc.round_trip(table(spark, folder, "pages"), least_bytes=0)
