@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractflow.llm import hnsw, langid, mixing, sharding, simhash, topk, toxicity, warc
+from contractflow.llm import hnsw, html, langid, mixing, pieces, sharding, simhash, topk, toxicity, warc
 from contractflow.llm.common import bound_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,11 @@ def op3_toxicity(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op4_pieces(spark, folder):
+    return pieces.sample_segmentations(table(spark, folder, "documents"), k=2, with_ids=False)
+
+
 @query
 def op5_warc(spark, folder):
     return warc.round_trip(table(spark, folder, "pages"), least_bytes=0)
@@ -98,3 +103,8 @@ def op9_sharding(spark, folder):
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op10_html(spark, folder):
+    return html.main_texts(table(spark, folder, "pages"))
