@@ -36,6 +36,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Whole rows in the struct ``doc``, so that columns an operator adds can't clash with theirs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+
+
 def salted_join(many: DataFrame, few: DataFrame, key: str, spread: Column, salts: int = 16) -> DataFrame:
     """Inner join of many rows a key with one row a key, where one key may hold a third of ``many``.
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contractflow.llm.common import staged, union_all
+from contractflow.llm.common import packed, staged, union_all
 
 SEED = 8
 UNKNOWN = "und"
@@ -188,6 +188,6 @@ def identify_languages(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Rows whose language could be told with a score of ``least`` or more; the columns of ``docs``."""
-    named = predict(docs, learn(docs))
+    named = predict(packed(docs), learn(docs), "doc.text")
     known = (F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= least)
-    return named.where(known).select(docs.columns)
+    return named.where(known).select("doc.*")

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from contractflow.llm.common import WORD, staged
+from contractflow.llm.common import WORD, packed, staged
 from contractflow.operators.rows import ROW, number_by_order
 
 SEED = 20_240
@@ -122,13 +122,15 @@ def source_targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
 
 
 def measured(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``_mix``: words, and the seeded hash that draws a document."""
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.withColumn("_mix", F.struct(words.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("pick")))
+    """(doc, doc_id, source, _mix): whole rows, with their words and the seeded hash that draws a document."""
+    words = F.coalesce(F.regexp_count("doc.text", F.lit(WORD)), F.lit(0)).cast("long")
+    pick = F.xxhash64(F.lit(seed), "doc.doc_id", "doc.text")
+    return packed(docs).select(
+        "doc", "doc.doc_id", "doc.source", F.struct(words.alias("size"), pick.alias("pick")).alias("_mix"))
 
 
 def mix(rows: DataFrame, skinny: DataFrame, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """``rows`` (from ``measured``) with ``_mix`` extended by source_size, target and times.
+    """``rows`` (as from ``measured``) with ``_mix`` extended by source_size, target and times.
 
     ``skinny`` has source, size and pick of the same rows; all statistics come from it.
     """
@@ -179,4 +181,4 @@ def mix_rows(docs: DataFrame, most: int = MOST, seed: int = SEED) -> DataFrame:
     rows = measured(docs, seed)
     skinny = staged(rows.select("source", "_mix.size", "_mix.pick"), "measured")
     mixed = mix(rows, skinny, most, seed).where("_mix.times > 0")
-    return mixed.withColumn("_mix", F.explode(F.array_repeat(F.lit(1), F.col("_mix.times").cast("int")))).select(docs.columns)
+    return mixed.withColumn("_mix", F.explode(F.array_repeat(F.lit(1), F.col("_mix.times").cast("int")))).select("doc.*")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contractflow.llm.common import salted_join, staged
+from contractflow.llm.common import packed, salted_join, staged
 
 SEED = 42
 SHINGLE = 3
@@ -311,7 +311,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
         .groupBy(F.coalesce("root", "fingerprint").alias("node")).agg(F.min("first").alias("first"))
         .select(F.coalesce("first.doc_id", F.lit(0)).alias("_id"), F.col("first.no_id").alias("_none"),
                 F.col("first.text_hash").alias("_hash")).distinct())
-    marked = docs.withColumns({
-        "_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull(), "_hash": F.xxhash64("text")})
+    marked = packed(docs).select(
+        "doc", F.coalesce("doc.doc_id", F.lit(0)).alias("_id"), F.col("doc.doc_id").isNull().alias("_none"),
+        F.xxhash64("doc.text").alias("_hash"))
     chosen = marked.join(kept, ["_id", "_none", "_hash"], "left_semi")
-    return chosen.dropDuplicates(["_id", "_none", "_hash"]).select(docs.columns)
+    return chosen.dropDuplicates(["_id", "_none", "_hash"]).select("doc.*")

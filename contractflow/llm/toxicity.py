@@ -36,7 +36,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contractflow.llm.common import staged
+from contractflow.llm.common import packed, staged
 
 SEED = 3
 #: Labelled rows that are learned from at most, drawn by a hash of the id.
@@ -260,7 +260,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     return Chain(names, fits, _best_threshold(pairs))
 
 
-def score(docs: DataFrame, chain: Chain, into: str = "_toxicity") -> DataFrame:
+def score(docs: DataFrame, chain: Chain, text: str = "text", into: str = "_toxicity") -> DataFrame:
     """``docs`` with a struct of the categories' probabilities and ``rejected`` in the column ``into``."""
     sent = docs.sparkSession.sparkContext.broadcast(chain)
     columns = list(CATEGORIES)
@@ -271,7 +271,7 @@ def score(docs: DataFrame, chain: Chain, into: str = "_toxicity") -> DataFrame:
         for texts in batches:
             yield pd.DataFrame([given(t) for t in texts], columns=columns)
 
-    found = docs.withColumn(into, probabilities("text"))
+    found = docs.withColumn(into, probabilities(F.col(text)))
     return found.withColumn(into, F.col(into).withField("rejected", F.col(f"{into}.{columns[-1]}") > F.lit(chain.threshold)))
 
 
@@ -285,4 +285,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows that are not rejected, with the columns of ``docs``."""
-    return score(docs, learn(docs, labels)).where(~F.col("_toxicity.rejected")).select(docs.columns)
+    found = score(packed(docs), learn(docs, labels), "doc.text")
+    return found.where(~F.col("_toxicity.rejected")).select("doc.*")
