@@ -104,10 +104,17 @@ def _even_cuts(cells: Cells, capacity: int, shards: int) -> tuple[list[int], set
 
 
 def _unsure(cells: Cells, low: int, high: int, shards: int) -> set[int]:
-    """Cells in which a greedy cut may fall at some capacity from ``low`` to ``high``."""
-    found, behind, ahead = set(), 0, 0
+    """Cells in which a greedy cut may fall at some capacity from ``low`` to ``high``.
+
+    Cells larger than ``low`` come first, by themselves: there are few, and until
+    they are split nothing is known of what lies behind them.
+    """
+    found = {i for i, row in enumerate(cells.rows) if row[2] > low and not cells.atomic(i)}
+    if found:
+        return found
+    behind = ahead = 0
     for _ in range(shards):
-        behind = max(cells.whole(behind, low), min(behind + 1, len(cells.rows)))
+        behind = cells.whole(behind, low)
         ahead = cells.fluid(ahead, high)
         found |= set(range(behind, min(len(cells.rows), bisect.bisect_left(cells.ends, ahead) + 1)))
     return found
