@@ -43,6 +43,8 @@ SEED = 3
 SAMPLE = 12_000
 FEATURES = 4096
 FOLDS = 3
+#: Tasks a fit has for each of its passes over the sample.
+TASKS = 6
 #: A feature must occur in so many rows of the sample.
 ROWS = 3
 PREFIXES = (3, 4, 5, 6, 7)
@@ -156,7 +158,7 @@ def _fit(rows: DataFrame, category: int):
         share = min(max(positive / max(1, total), 1e-6), 1 - 1e-6)
         return None, math.log(share / (1 - share))
     model = LogisticRegression(
-        featuresCol="all", labelCol=f"y{category}", maxIter=25, regParam=2e-3, standardization=False).fit(rows)
+        featuresCol="all", labelCol=f"y{category}", maxIter=15, regParam=2e-3, standardization=False).fit(rows)
     return model.coefficients.toArray(), float(model.intercept)
 
 
@@ -242,7 +244,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     """Fit the chain; later categories see out-of-fold probabilities of the earlier ones."""
     rows = labelled_sample(docs, labels, sample)
     names = choose_features(rows)
-    rows = _with_vectors(rows, names).cache()
+    rows = _with_vectors(rows, names).coalesce(TASKS).cache()
     fits, inputs = [], ["features"]
     for category in range(len(CATEGORIES)):
         whole = VectorAssembler(inputCols=inputs, outputCol="all").transform(rows).cache()
@@ -252,11 +254,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
             fitted = _fit(whole.where(F.col("fold") != fold), category)
             part = _probability(whole.where(F.col("fold") == fold), fitted, category).drop("all")
             parts = part if parts is None else parts.unionByName(part)
-        rows = staged(parts, "out-of-fold").cache()
+        rows.unpersist()
+        rows = staged(parts, "out-of-fold").coalesce(TASKS).cache()
         inputs.append(f"q{category}")
         whole.unpersist()
     last = len(CATEGORIES) - 1
     pairs = [(r[0], r[1]) for r in rows.select(f"q{last}", f"y{last}").collect()]  # at most the sample
+    rows.unpersist()
     return Chain(names, fits, _best_threshold(pairs))
 
 
