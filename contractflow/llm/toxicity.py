@@ -40,7 +40,7 @@ from contractflow.llm.common import packed, staged
 
 SEED = 3
 #: Labelled rows that are learned from at most, drawn by a hash of the id.
-SAMPLE = 12_000
+SAMPLE = 8_000
 FEATURES = 4096
 FOLDS = 3
 #: Tasks a fit has for each of its passes over the sample.
@@ -74,38 +74,61 @@ def _parts(text: str | None) -> tuple[str, Counter]:
     return text, Counter(WORDS.findall(text.lower()))
 
 
-def features(text: str | None) -> Counter:
-    """All features of a text with their counts."""
+def features(text: str | None) -> set[str]:
+    """All features of a text."""
     text, counts = _parts(text)
-    found = Counter(dict.fromkeys(shape_features(text, counts), 1))
-    for word, n in counts.items():
-        for feature in word_features(word):
-            found[feature] += n
+    found = {*counts, *shape_features(text, counts)}
+    for n in PREFIXES:
+        found |= {"^" + word[:n] for word in counts if len(word) >= n}
     return found
 
 
+def known_features(known):
+    """A function from text to the counts of its known features; it remembers words, up to a bound."""
+    seen: dict[str, tuple[str, ...]] = {}
+
+    def count(text: str | None) -> Counter:
+        text, counts = _parts(text)
+        found = Counter(f for f in shape_features(text, counts) if f in known)
+        for word, n in counts.items():
+            own = seen.get(word)
+            if own is None:
+                if len(seen) > HELD:
+                    seen.clear()
+                own = seen[word] = tuple(f for f in word_features(word) if f in known)
+            for feature in own:
+                found[feature] += n
+        return found
+
+    return count
+
+
 def weight(count: int) -> float:
     return math.log2(1 + count)
 
 
 def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, labels) to partial counts (feature, rows, positive rows of each category)."""
-    def out(held):
-        return pa.RecordBatch.from_pydict({
-            "feature": pa.array(held, pa.string()), "rows": pa.array([v[0] for v in held.values()], pa.int64()),
-            "positive": pa.array([v[1:] for v in held.values()], pa.list_(pa.int64()))})
+    held = [Counter() for _ in range(1 + len(CATEGORIES))]
+
+    def out():
+        rows, *positive = held
+        batch = pa.RecordBatch.from_pydict({
+            "feature": pa.array(rows, pa.string()), "rows": pa.array(rows.values(), pa.int64()),
+            **{f"p{i}": pa.array([c[f] for f in rows], pa.int64()) for i, c in enumerate(positive)}})
+        for counter in held:
+            counter.clear()
+        return batch
 
-    held: dict[str, list[int]] = {}
     for batch in batches:
         for text, labels in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            one = [1, *labels]
-            for feature in features(text):
-                old = held.get(feature)
-                held[feature] = one if old is None else [a + b for a, b in zip(old, one)]
-        if len(held) > HELD:
-            yield out(held)
-            held = {}
-    yield out(held)
+            found = features(text)
+            for counter, counted in zip(held, (1, *labels)):
+                if counted:
+                    counter.update(found)
+            if len(held[0]) > HELD:
+                yield out()
+    yield out()
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
@@ -124,9 +147,10 @@ def choose_features(rows: DataFrame, most: int = FEATURES) -> list[str]:
     total = counts[0]
     if not total:
         return []
-    sums = [F.sum(F.col("positive")[i]) for i in range(len(CATEGORIES))]
-    table = rows.select("text", "labels").mapInArrow(_label_counts, "feature string, rows long, positive array<long>")
-    table = table.groupBy("feature").agg(F.sum("rows").alias("rows"), *[s.alias(f"p{i}") for i, s in enumerate(sums)])
+    positives = [f"p{i}" for i in range(len(CATEGORIES))]
+    table = rows.select("text", "labels").mapInArrow(
+        _label_counts, "feature string, rows long, " + ", ".join(f"{p} long" for p in positives))
+    table = table.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("rows", *positives)])
     score = F.lit(0.0)
     for i in range(len(CATEGORIES)):
         share = counts[1 + i] / total
@@ -140,14 +164,21 @@ def _with_vectors(rows: DataFrame, names: list[str]) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast({name: i for i, name in enumerate(names)})
     size = max(1, len(names))
 
-    @F.udf(VectorUDT())
-    def vector(text):
+    @F.pandas_udf("at array<int>, weight array<double>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = sent.value
-        found = {known[f]: weight(n) for f, n in features(text).items() if f in known}
-        return SparseVector(size, found)
+        count = known_features(known)
+        for texts in batches:
+            rows = [sorted((known[f], weight(n)) for f, n in count(t).items()) for t in texts]
+            yield pd.DataFrame({"at": [[i for i, _ in r] for r in rows], "weight": [[w for _, w in r] for r in rows]})
+
+    @F.udf(VectorUDT())
+    def vector(at, weights):
+        return SparseVector(size, at, weights)
 
+    rows = staged(rows.withColumn("found", found("text")), "features")  # the bounded sample
     return staged(rows.select(
-        "doc_id", "fold", vector("text").alias("features"),
+        "doc_id", "fold", vector("found.at", "found.weight").alias("features"),
         *[F.col("labels")[i].cast("double").alias(f"y{i}") for i in range(len(CATEGORIES))]), "vectors")
 
 
@@ -195,25 +226,14 @@ class Chain:
             name: tuple(0.0 if w is None else float(w[i]) for w, _ in fits) for i, name in enumerate(names)}
 
     def scorer(self):
-        """A function from text to the categories' probabilities; it remembers words, up to a bound."""
-        seen: dict[str, tuple[str, ...]] = {}
-        known = self.weights
+        """A function from text to the categories' probabilities."""
+        count = known_features(self.weights)
 
         def score(text):
-            text, counts = _parts(text)
-            found: Counter = Counter()
-            for word, n in counts.items():
-                own = seen.get(word)
-                if own is None:
-                    if len(seen) > HELD:
-                        seen.clear()
-                    own = seen[word] = tuple(f for f in word_features(word) if f in known)
-                for feature in own:
-                    found[feature] += n
             sums = list(self.constants)
-            for feature, n in [*found.items(), *[(f, 1) for f in shape_features(text, counts) if f in known]]:
+            for feature, n in count(text).items():
                 value = weight(n)
-                for i, w in enumerate(known[feature]):
+                for i, w in enumerate(self.weights[feature]):
                     sums[i] += w * value
             given: list[float] = []
             for i, total in enumerate(sums):
