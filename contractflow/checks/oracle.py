@@ -239,17 +239,10 @@ def _draw(stream: int, t: str = "") -> str:
             f" % {PRIME})")
 
 
-def _below_draw(stream: int, bound: str | int, t: str = "", small: bool = True) -> str:
-    if small:
-        return f"({_draw(stream, t)} % {bound})"
+def _below_draw(stream: int, bound: str | int, t: str = "") -> str:
     return f"(({_draw(stream, t)} * {PRIME} + {_draw(stream + 5000, t)}) % {bound})"
 
 
-def _any_draw(stream: int, bound: str, t: str = "") -> str:
-    """For a bound known only when the query runs."""
-    return f"(CASE WHEN {bound} <= 65536 THEN {_below_draw(stream, bound, t)} ELSE {_below_draw(stream, bound, t, False)} END)"
-
-
 def _uniform(stream: int, t: str = "") -> str:
     return f"({_draw(stream, t)} / {PRIME}.0::DOUBLE)"
 
@@ -290,7 +283,7 @@ def _half_even(value: str, digits: int) -> str:
 _SCALED = _half_even(f"units_sold * (0.8::DOUBLE + {_uniform(13)} * 0.4::DOUBLE)", 2)
 FEED = f"""{V_SALES},
 numbered AS (
-  SELECT *, {_below_draw(11, 100)} AS percent, {_any_draw(12, 'n')} + 1 AS target
+  SELECT *, {_below_draw(11, 100)} AS percent, {_below_draw(12, 'n')} + 1 AS target
   FROM (SELECT *, rn - 1 AS o, {_seed('(rn - 1)')} FROM v_sales), (SELECT count(*) AS n FROM lineitem)),
 events_of AS (
   SELECT o, s, 'INSERT' AS op, receipt_id, product_id, sale_timestamp, CAST(units_sold AS DOUBLE) AS units_sold, store_id
@@ -320,7 +313,7 @@ POOL = f"""{V_WH},
 pool AS (SELECT product_id, row_number() OVER (ORDER BY product_id) AS k FROM v_wh WHERE product_id IS NOT NULL),
 keyed AS (
   SELECT i.r, i.s, pool.product_id
-  FROM (SELECT r, s, {_any_draw(23, 'n')} + 1 AS k FROM ids, (SELECT count(*) AS n FROM pool)) i JOIN pool USING (k))"""
+  FROM (SELECT r, s, {_below_draw(23, 'n')} + 1 AS k FROM ids, (SELECT count(*) AS n FROM pool)) i JOIN pool USING (k))"""
 
 
 def _stats(alias: str, column: str, table: str) -> str:
@@ -347,7 +340,7 @@ def _ranked(ids: str, alias: str, stream: int, name: str) -> str:
     """One drawn value per id."""
     return f"""{name} AS (
   SELECT i.r, i.s, f.value
-  FROM (SELECT r, s, {_any_draw(stream, 'total_n')} AS rank FROM {ids}, (SELECT max(total) AS total_n FROM {alias})) i
+  FROM (SELECT r, s, {_below_draw(stream, 'total_n')} AS rank FROM {ids}, (SELECT max(total) AS total_n FROM {alias})) i
   JOIN {alias} f ON i.rank >= f.low AND i.rank < f.low + f.n)"""
 
 
@@ -531,7 +524,9 @@ SELECT rn AS row, status, CASE WHEN status = 'PASS' THEN {_LINE_HEAD} || {_ABOUT
     "push_ingest": f"""WITH {V_MFG}, m AS (SELECT *, {_join(SEPARATOR, *MFG_REMAINING)} AS remaining FROM v_mfg)
 SELECT production_batch_id, product_id, mfg_timestamp, CAST(quantity_produced AS BIGINT) AS quantity_produced,
        defect_count FROM m WHERE remaining = ''""",
-    "microbatch_slices": f"""WITH {_slices('WHERE rn <= 2500', 'batch_id, dedup_key')}
+    "microbatch_cap": f"""WITH {_slices('WHERE rn <= 2500', 'batch_id, dedup_key')}
+SELECT batch_id, slice_row AS row, audit_key AS key, status FROM j_slice""",
+    "microbatch_slices": f"""WITH {_slices('', 'batch_id, dedup_key')}
 SELECT batch_id, slice_row AS row, audit_key AS key, status FROM j_slice""",
     "microbatch_telemetry": f"""WITH {_slices('', 'batch_id, dedup_key')}
 SELECT batch_id, '{_S}' AS source_id, {_counts('j_slice', SALES_CHANGED)} GROUP BY batch_id""",
@@ -599,13 +594,13 @@ SELECT r AS _row, {_half_even(_sampled('cost', 100), 5)} AS unit_cost,
        {_half_even(_sampled('threshold', 102), 5)} AS reorder_threshold FROM ids, cost, threshold""",
     "synth_timestamp": f"""WITH {IDS}, {V_SALES}, {N_SALES},
 bounds AS (SELECT epoch_us(min(moment)) AS low, epoch_us(max(moment)) AS high FROM n_sales),
-drawn AS (SELECT r, make_timestamp(low + {_below_draw(100, '(high - low + 1)', small=False)}) AS moment FROM ids, bounds)
+drawn AS (SELECT r, make_timestamp(low + {_below_draw(100, '(high - low + 1)')}) AS moment FROM ids, bounds)
 SELECT r AS _row, {_iso('moment')} AS sale_timestamp FROM drawn""",
     "synth_rows": f"""WITH {IDS}, people AS (SELECT *, row_number() OVER () AS k FROM customer),
 {_stats('nation_key', 'c_nationkey', 'customer')}, {_stats('balance', 'c_acctbal', 'customer')},
 {_frequency('f_segment', 'c_mktsegment', 'customer')}, {_ranked('ids', 'f_segment', 106, 'd_segment')},
 named AS (SELECT i.r, people.c_name
-          FROM (SELECT r, {_any_draw(100, 'n')} + 1 AS k FROM ids, (SELECT count(*) AS n FROM customer)) i
+          FROM (SELECT r, {_below_draw(100, 'n')} + 1 AS k FROM ids, (SELECT count(*) AS n FROM customer)) i
           JOIN people USING (k))
 SELECT r AS _row, c_name, {_half_even(_sampled('nation_key', 102), 5)} AS c_nationkey,
        {_half_even(_sampled('balance', 104), 5)} AS c_acctbal, d_segment.value AS c_mktsegment
@@ -655,7 +650,7 @@ SELECT r AS _row, 'BATCH-' || (60000 + r) AS production_batch_id,
 drawn AS (SELECT r, s, product_id, {_sampled('st', 100)} AS units FROM keyed, st),
 sold AS (SELECT *, {_whole('units', '1', 1)} AS whole_units FROM drawn)
 SELECT r AS _row, CASE WHEN {_chance(29, 0.03)} THEN -whole_units ELSE whole_units END AS units_sold,
-       lpad(upper(to_hex({_below_draw(26, 16**8, small=False)})), 8, '0') AS receipt_id,
+       lpad(upper(to_hex({_below_draw(26, 16**8)})), 8, '0') AS receipt_id,
        CASE WHEN NOT {_chance(27, 0.05)} THEN product_id END AS product_id,
        '{RUN_AT}' AS sale_timestamp, {_pick(28, _STORES)} AS store_id FROM sold""",
     "synth_legacy": f"""WITH {IDS}, {POOL}, {V_LEG}, {_stats('st', 'total_monthly_sales', 'v_leg')},

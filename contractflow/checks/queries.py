@@ -311,11 +311,18 @@ def push_ingest(spark, folder):
 
 @query
 def microbatch_slices(spark, folder):
-    sliced = rows.with_slices(views.sales(spark, folder, first=500 * 5), 500, 5)
+    sliced = rows.with_slices(views.sales(spark, folder), 500)
     judged = batch.judge(sliced, SALES, within=("batch_id",))
     return audit.audit_rows(judged, row="_slice_row", also=("batch_id",)).select("batch_id", "row", "key", "status")
 
 
+@query
+def microbatch_cap(spark, folder):
+    """The first five slices only, which is what the cap is for."""
+    judged = batch.judge(rows.with_slices(views.sales(spark, folder), 500, 5), SALES, within=("batch_id",))
+    return audit.audit_rows(judged, row="_slice_row", also=("batch_id",)).select("batch_id", "row", "key", "status")
+
+
 @query
 def microbatch_telemetry(spark, folder):
     sliced = rows.with_slices(views.sales(spark, folder), 500, None)
@@ -582,9 +589,10 @@ def synth_fk(spark, folder):
     """Drawn keys that are not in the key table: none."""
     pool, size = _key_pool(spark, folder)
     drawn = synth.draw_key(_sales_ids(spark, folder), pool, size)
-    orphans = drawn.join(pool.select(F.col("product_id").alias("_drawn_key")), "_drawn_key", "left_anti")
-    return orphans.agg(F.count(F.lit(1)).alias("orphans")).crossJoin(
-        drawn.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("_drawn_key").alias("keys")))
+    known = pool.select(F.col("product_id").alias("_drawn_key"), F.lit(True).alias("_known"))
+    return drawn.join(known, "_drawn_key", "left").agg(
+        F.count_if(F.col("_known").isNull()).alias("orphans"), F.count(F.lit(1)).alias("rows"),
+        F.count_distinct("_drawn_key").alias("keys"))
 
 
 # -- telemetry and serving ----------------------------------------------------------------------------------

@@ -3,7 +3,8 @@
 ``rand(seed)`` depends on the partition a row sits in, so a lost executor or
 another cluster size can change the outcome. Here one digest of the row id gives
 a seed of two 30-bit halves, and every draw is a linear function of both modulo a
-prime, with its own coefficients. Any two streams are independent of one another, a draw
+prime, with its own coefficients. Any two streams are independent of one another (three
+are not: their draws are linearly dependent modulo the prime), a draw
 costs a few integer operations inside generated code, and reruns, retries, any
 partitioning and any SQL engine with md5 give the same numbers.
 """
@@ -19,8 +20,8 @@ SEED = "_seed"
 PRIME = 2147483647
 GENERATORS = (48271, 69621, 16807)
 HALF_BITS, HALF_MASK = 30, 2**30 - 1
-#: A draw below a larger bound takes two streams; the second lies this far away.
-SMALL_BOUND, SECOND_STREAM = 65536, 5000
+#: A draw below a bound takes two streams, so that large bounds are drawn evenly; the second lies this far away.
+SECOND_STREAM = 5000
 
 
 def coefficients(stream: int) -> tuple[int, int, int]:
@@ -55,8 +56,6 @@ def uniform(stream: int) -> Column:
 
 def below(stream: int, bound: int) -> Column:
     """A bigint in [0, bound)."""
-    if bound <= SMALL_BOUND:
-        return draw(stream) % F.lit(bound).cast("bigint")
     return (draw(stream) * PRIME + draw(stream + SECOND_STREAM)) % F.lit(bound).cast("bigint")
 
 

@@ -15,6 +15,11 @@ from contractflow.operators.rows import ROW
 KEY = "_key"
 
 
+def _row_number(df: DataFrame, row: str) -> Column:
+    """The row number, NULL for rows that are identified by columns of their own."""
+    return F.col(row) if row in df.columns else F.lit(None).cast("bigint")
+
+
 def record_key(df: DataFrame, key_field: str | None, row: str = ROW) -> Column:
     """The key as it arrived; ``None`` for a NULL, ``row_n`` where there is no key column."""
     if key_field and key_field in df.columns:
@@ -27,7 +32,7 @@ def audit_rows(judged: DataFrame, row: str = ROW, also: tuple[str, ...] = ()) ->
     status = F.col(STATUS)
     return judged.where(status != ERROR).select(
         *also,
-        F.col(row).alias("row"),
+        _row_number(judged, row).alias("row"),
         F.col(KEY).alias("key"),
         status.alias("status"),
         F.when(status.isin(QUARANTINE, REJECT), F.col(VIOLATIONS)).alias("violations"),
@@ -41,38 +46,49 @@ def audit_json(audit: DataFrame) -> DataFrame:
     return audit.select(F.to_json(F.struct(*fields)).alias("entry"))
 
 
-def _listed(messages: Column, shown: int, more: str) -> Column:
+def _listed(messages: Column, shown: int | None, more: str) -> Column:
+    if shown is None:
+        return F.array_join(messages, " | ")
     extra = F.size(messages) - shown
     tail = F.when(extra > 0, F.concat(F.lit(f"{more}(+"), extra.cast("string"))).otherwise(F.lit(""))
     return F.concat(F.array_join(F.slice(messages, 1, shown), " | "), tail)
 
 
-def record_lines(judged: DataFrame, source_id: str, contract: DataContract | None, row: str = ROW) -> DataFrame:
-    """The log line of every row: status, key, policy, changes, violations."""
+def record_lines(judged: DataFrame, source_id: str, contract: DataContract | None, row: str = ROW,
+                 changes_shown: int | None = 3, violations_shown: int | None = 5) -> DataFrame:
+    """The log line of every row: status, key, policy, changes, violations.
+
+    The display form shows so many changes and violations and counts the others;
+    None shows all.
+    """
     status, changes = F.col(STATUS), F.col(CHANGES)
     contract_id = contract.contract_id if contract else "no_contract"
     policy = contract.policy.value if contract else "n/a"
     head = F.concat(
-        F.lit("["), status, F.lit(f"] source={source_id} | row="), F.col(row).cast("string"),
+        F.lit("["), status, F.lit(f"] source={source_id} | row="),
+        F.coalesce(_row_number(judged, row).cast("string"), F.lit(NONE_TEXT)),
         F.lit(" | key="), F.col(KEY))
-    extra_changes = F.when(F.size(changes) > 3, F.lit(" more)")).otherwise(F.lit(""))
+    def rest(messages: Column, shown: int | None, words: str) -> Column:
+        return F.when(F.size(messages) > shown, F.lit(words)).otherwise(F.lit("")) if shown is not None else F.lit("")
+
+    extra_changes = rest(changes, changes_shown, " more)")
     summary = F.concat(
         F.lit("norm_changes="), F.size(changes).cast("string"),
-        F.when(F.size(changes) > 0, F.concat(F.lit(" | "), _listed(changes, 3, " "), extra_changes))
+        F.when(F.size(changes) > 0, F.concat(F.lit(" | "), _listed(changes, changes_shown, " "), extra_changes))
         .otherwise(F.lit("")),
     )
     about = F.lit(f" | contract={contract_id} | policy={policy}")
     violations = F.col(VIOLATIONS)
-    extra_violations = F.when(F.size(violations) > 5, F.lit(" more violations)")).otherwise(F.lit(""))
+    extra_violations = rest(violations, violations_shown, " more violations)")
     line = (
         F.when(status.isin(*ACCEPTED), F.concat(head, about, F.lit(" | "), summary))
         .when(status == DUPLICATE, F.concat(head, F.lit(" | reason=dedup_key_already_seen | skipped=True")))
         .otherwise(F.concat(
-            head, about, F.lit(" | violations=["), _listed(violations, 5, " ... "), extra_violations,
+            head, about, F.lit(" | violations=["), _listed(violations, violations_shown, " ... "), extra_violations,
             F.lit("] | "), summary))
     )
     return judged.where(status != ERROR).select(
-        F.col(row).alias("row"), status.alias("status"), line.alias("line"))
+        _row_number(judged, row).alias("row"), status.alias("status"), line.alias("line"))
 
 
 def storage_audit(spark: SparkSession, areas: dict[str, str]) -> DataFrame:

@@ -82,7 +82,8 @@ def change_feed(
     """One event per new row: the row itself as an INSERT, or a change of an existing row.
 
     Both inputs carry dense row numbers in ``_row``. The changed row is drawn
-    uniformly by number, so the join is on evenly spread unique numbers. Lineage
+    uniformly by number, so the join is on evenly spread unique numbers; a number
+    that no existing row has fails the job, so no event is lost. Lineage
     columns of existing rows are dropped, so the event's own envelope counts.
     Event ``i`` happens ``i / rate`` seconds after the start.
     """
@@ -99,8 +100,11 @@ def change_feed(
     inserts = drawn.where(percent() < INSERT_SHARE).select(OFFSET, F.lit(insert).alias("_op"), *payload)
     aimed = drawn.where(percent() >= INSERT_SHARE).select(
         OFFSET, draws.SEED, (draws.below(_PICK_TARGET, total) + 1).alias(ROW))
-    kept = existing.select(ROW, *[F.col(f"`{n}`") for n in existing.columns if not n.startswith("_")])
-    changed = aimed.join(kept, ROW).drop(ROW).withColumn("_op", change_operation(percent()))
+    kept = existing.select(
+        ROW, F.lit(True).alias("_found"), *[F.col(f"`{n}`") for n in existing.columns if not n.startswith("_")])
+    missing = F.raise_error(F.lit("The existing rows are not numbered 1, 2, 3 without gaps.")).cast("boolean")
+    changed = aimed.join(kept, ROW, "left").where(F.coalesce("_found", missing)).drop(ROW, "_found")
+    changed = changed.withColumn("_op", change_operation(percent()))
     events = _numbers_as_doubles(inserts).unionByName(draws.unseeded(_mutate(changed)), allowMissingColumns=True)
     return _enveloped(events, source_id, started_at, rate, scenario)
 

@@ -23,6 +23,9 @@ PASS, COERCED, QUARANTINE, REJECT, DUPLICATE, ERROR = (
 ACCEPTED = (PASS, COERCED)
 
 STATUS, VIOLATIONS, COERCIONS = "_status", "_violations", "_coercions"
+#: The text of a row whose fields don't fit the header, NULL for all others; see the CSV scan.
+MALFORMED = "_malformed"
+MALFORMED_MESSAGE = "Row does not have the fields of the header."
 FIXED_PREFIX = "_fixed_"
 
 
@@ -345,9 +348,10 @@ def apply_contract(
         )
     compiled = CompiledContract(df, contract, typed_per_value)
     status = F.col(STATUS)
-    judged = df.withColumn(STATUS, F.when(skip, F.lit(DUPLICATE)).otherwise(compiled.status()))
+    torn = F.col(MALFORMED).isNotNull() if MALFORMED in df.columns else F.lit(False)
+    judged = df.withColumn(STATUS, F.when(skip & ~torn, F.lit(DUPLICATE)).when(torn, F.lit(QUARANTINE)).otherwise(compiled.status()))
     return judged.withColumns({
-        VIOLATIONS: compiled.violations(status),
+        VIOLATIONS: F.when(torn, F.array(F.lit(MALFORMED_MESSAGE))).otherwise(compiled.violations(status)),
         COERCIONS: compiled.coercions(status),
         **{FIXED_PREFIX + name: value for name, value in compiled.fixed_columns(status).items()},
     })

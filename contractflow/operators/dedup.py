@@ -27,7 +27,7 @@ def first_rows(df: DataFrame, key: Column, identity: list[str], within: list[str
     """The identity of the first row of every key (per ``within`` group)."""
     keyed = df.select(*within, *identity, key.alias("_k")).where(F.col("_k").isNotNull())
     grouped = keyed.groupBy(*within, "_k")
-    if len(identity) == 1:
+    if identity == [ROW]:
         return grouped.agg(F.min(identity[0]).alias(identity[0])).select(identity[0])
     return grouped.agg(F.min(F.struct(*identity)).alias("_first")).select("_first.*")
 
@@ -37,13 +37,20 @@ def mark_duplicates(
 ) -> DataFrame:
     """Flag every row but the first of its key; rows without a key are never flagged.
 
-    ``identity`` columns must identify a row and their order is the row order.
+    ``identity`` columns must identify a row and their order is the row order; they
+    may be NULL.
     """
     identity = identity or [ROW]
     key = dedup_key(df, key) if isinstance(key, str) else key
-    firsts = first_rows(df, key, identity, list(within)).withColumn("_is_first", F.lit(True))
+    firsts = first_rows(df, key, identity, list(within))
+    if identity == [ROW]:
+        joined = df.join(firsts.withColumn("_is_first", F.lit(True)), ROW, "left")
+    else:
+        named = firsts.select(*[F.col(n).alias(f"_first_{n}") for n in identity], F.lit(True).alias("_is_first"))
+        same = [F.col(n).eqNullSafe(F.col(f"_first_{n}")) for n in identity]
+        joined = df.join(named, same, "left")
     return (
-        df.join(firsts, identity, "left")
+        joined
         .withColumn(DUP, F.col("_is_first").isNull() & key.isNotNull())
         .drop("_is_first")
         .select(*df.columns, DUP)

@@ -15,15 +15,6 @@ from contractflow.session import scratch_path
 
 ROW, BATCH = "_row", "batch_id"
 
-#: A list of this many file names stays far below what one task can hold, so it may be broadcast.
-BROADCAST_FILES = 200_000
-
-
-def broadcast_if_short(listing: DataFrame, entries: int) -> DataFrame:
-    """Broadcast a list of files or splits of a known length; a longer one is joined by shuffle."""
-    return F.broadcast(listing) if entries <= BROADCAST_FILES else listing
-
-
 def _file_sizes(scan: DataFrame) -> DataFrame:
     """Rows of every file and how many come before it; reads no column of the data."""
     sizes = (
@@ -39,13 +30,11 @@ def _file_sizes(scan: DataFrame) -> DataFrame:
 def scan_with_rows(spark: SparkSession, *paths: str) -> DataFrame:
     """A Parquet scan with ``_row``: 1, 2, 3 … over the files in path order."""
     scan = spark.read.parquet(*paths)
-    file_count = len(scan._jdf.inputFiles())  # the length only; the names stay in the JVM
-    if file_count <= 1:
+    if len(scan._jdf.inputFiles()) <= 1:  # the length only; the names stay in the JVM
         return scan.withColumn(ROW, F.col("_metadata.row_index") + 1)
     positions = scan.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.row_index")})
-    offsets = broadcast_if_short(_file_sizes(scan).select("_file", "_offset"), file_count)
     return (
-        positions.join(offsets, "_file")
+        positions.join(_file_sizes(scan).select("_file", "_offset"), "_file")
         .withColumn(ROW, F.col("_offset") + F.col("_at") + 1)
         .drop("_file", "_at", "_offset")
     )
@@ -72,8 +61,8 @@ def slice_number(batch_size: int, row: str = ROW) -> Column:
     return F.expr(f"(`{row}` - 1) div {int(batch_size)} + 1")
 
 
-def with_slices(df: DataFrame, batch_size: int = 500, max_batches: int | None = 5, row: str = ROW) -> DataFrame:
-    """Add the slice number; keep the first ``max_batches`` slices (None keeps all).
+def with_slices(df: DataFrame, batch_size: int = 500, max_batches: int | None = None, row: str = ROW) -> DataFrame:
+    """Add the slice number; all slices are kept unless ``max_batches`` asks for the first ones only.
 
     Each slice numbers its own rows from 1, as it is a job of its own.
     """

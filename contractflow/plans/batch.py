@@ -21,7 +21,7 @@ from contractflow.model import CONTRACTS, DEDUP_KEYS, LEGACY, SOURCES, DataContr
 from contractflow.operators import audit, contracts, dedup, envelope, rows, telemetry
 from contractflow.operators.normalize import CHANGE_COUNT, CHANGES, normalize
 from contractflow.session import scratch_path
-from contractflow.sources.files import LoadError, Storage, data_files, read_source_csv
+from contractflow.sources.files import LoadError, Storage, data_files, read_source_csv, remove
 
 log = logging.getLogger(__name__)
 
@@ -154,18 +154,17 @@ def quarantine_rows(judged: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
 
 # -- jobs -------------------------------------------------------------------------------
 
-def stage(judged: DataFrame, also: tuple[str, ...] = (), keep_changes: bool = False) -> tuple[DataFrame, dict]:
-    """Write the judged rows once, split by status, and return the table with its counters.
+def stage(judged: DataFrame, path: str, keep_changes: bool = False) -> tuple[DataFrame, dict]:
+    """Write the judged rows once below ``path``, split by status, and return the table with its counters.
 
     The change messages are only made and kept where the record lines need them.
     """
     spark = judged.sparkSession
     watch = Observation()
-    path = scratch_path(spark, "judged")
     latency = telemetry.latency_seconds(envelope.event_time(payload_of(judged)), utc_now())
     counted = telemetry.observed(judged, watch, latency_seconds=latency, changes=CHANGE_COUNT)
     kept = counted if keep_changes else counted.drop(CHANGES)
-    kept.write.partitionBy(*also, contracts.STATUS).parquet(path)
+    kept.write.partitionBy(contracts.STATUS).parquet(path)
     return spark.read.schema(kept.schema).parquet(path), watch.get
 
 
@@ -180,30 +179,51 @@ def ingest(
     df: DataFrame, source_id: str, storage: Storage, suffix: str = "", compat: bool = False,
     typed_per_value: tuple[str, ...] = (), identity: list[str] | None = None, record_lines: bool = False,
 ) -> telemetry.JobReport:
-    """Run one source through to its sinks. Empty outputs are not written.
+    """Run one source through to its sinks. A sink without rows is not written, and what an earlier run left there goes.
 
     ``record_lines`` also writes the readable log line of every row.
     """
     spark, started = df.sparkSession, time.time()
-    judged = judge(df, source_id, compat, identity=identity, typed_per_value=typed_per_value)
-    staged, counts = stage(judged, keep_changes=record_lines)
-    report = job_report(f"job_{source_id}_{int(started)}", source_id, started, counts)
-    marker = tuple(identity or [rows.ROW])
-    if counts["records_ingested"]:
+    job_id, done = f"job_{source_id}_{int(started)}", {}
+    try:
+        judged = judge(df, source_id, compat, identity=identity, typed_per_value=typed_per_value)
+        path = scratch_path(spark, "judged")
+        staged, counts = stage(judged, path, record_lines)
+        marker = tuple(identity or [rows.ROW])
         target = storage.good(source_id, suffix)
-        good_rows(staged, source_id, utc_now(), (audit.KEY, *marker)).write.mode("overwrite").parquet(target)
-        report.file_count_per_partition, report.snapshot_count = data_files(spark, target), 1
-    if counts["records_quarantined"]:
-        quarantine_rows(staged).write.mode("overwrite").parquet(storage.quarantine(source_id, suffix))
-    if rows.ROW in staged.columns:
+        _replace(
+            good_rows(staged, source_id, utc_now(), (audit.KEY, *marker)), target, counts["records_ingested"])
+        done |= {n: counts[n] for n in ("records_ingested", "records_coerced", "avg_ingestion_latency_sec")}
+        _replace(quarantine_rows(staged), storage.quarantine(source_id, suffix), counts["records_quarantined"])
+        done["records_quarantined"] = counts["records_quarantined"]
         audit.audit_rows(staged).write.mode("overwrite").json(storage.audit(source_id, suffix))
         if record_lines:
-            lines = audit.record_lines(staged, source_id, contract_for(source_id, compat))
+            lines = audit.record_lines(
+                staged, source_id, contract_for(source_id, compat), changes_shown=None, violations_shown=None)
             lines.select("line").write.mode("overwrite").text(storage.record_lines(source_id, suffix))
-    ended = time.time()
-    report.end_time = datetime.fromtimestamp(ended, timezone.utc).isoformat()
-    report.duration_seconds = ended - started
-    return report
+        remove(spark, path)
+        report = job_report(job_id, source_id, started, counts)
+        if counts["records_ingested"]:
+            report.file_count_per_partition, report.snapshot_count = data_files(spark, target), 1
+        return report
+    except (PySparkException, Py4JError) as error:
+        raise JobFailed(job_report(job_id, source_id, started, done | {"records_failed": 1})) from error
+
+
+class JobFailed(Exception):
+    """A job that ended early; ``report`` has what its finished sinks hold, and one failure."""
+
+    def __init__(self, report: telemetry.JobReport):
+        super().__init__(report.job_id)
+        self.report = report
+
+
+def _replace(frame: DataFrame, path: str, count: int) -> None:
+    """Write the rows of this run, or leave nothing of an earlier one where there are none."""
+    if count:
+        frame.write.mode("overwrite").parquet(path)
+    else:
+        remove(frame.sparkSession, path)
 
 
 def failed_load(source_id: str) -> telemetry.JobReport:
@@ -215,13 +235,16 @@ def failed_load(source_id: str) -> telemetry.JobReport:
 def ingest_csv(
     spark: SparkSession, path: str, source_id: str, storage: Storage, suffix: str = "", compat: bool = False,
 ) -> telemetry.JobReport:
-    """Ingest one CSV source; a file that cannot be read is one failure and no more."""
+    """Ingest one CSV source; a file that cannot be opened is one failure and no more.
+
+    What fails later, while rows are read or sinks are written, raises ``JobFailed``.
+    """
     try:
         raw = read_source_csv(spark, path, source_id)
-        return ingest(raw, source_id, storage, suffix, compat, SOURCES[source_id].numeric_fields())
-    except (LoadError, PySparkException, Py4JError) as error:
+    except LoadError as error:
         log.error("%s could not be ingested from %s: %s", source_id, path, error)
         return failed_load(source_id)
+    return ingest(raw, source_id, storage, suffix, compat, SOURCES[source_id].numeric_fields())
 
 
 def ingest_all(
@@ -230,36 +253,42 @@ def ingest_all(
     """Full load of several CSV sources; the telemetry rows are appended and returned.
 
     A source whose file is not there is left out; one that is there but cannot be
-    read gets a row with one failure.
+    read gets a row with one failure. A job that fails on the way does not stop the
+    others: its row counts one failure and what its finished sinks hold.
     """
-    reports = [
-        ingest_csv(spark, path, source_id, storage, compat=compat)
-        for source_id, path in paths.items() if audit.path_exists(spark, path)
-    ]
+    reports = []
+    for source_id, path in paths.items():
+        if not audit.path_exists(spark, path):
+            continue
+        try:
+            reports.append(ingest_csv(spark, path, source_id, storage, compat=compat))
+        except JobFailed as failure:
+            log.error("%s failed: %s", source_id, failure.__cause__)
+            reports.append(failure.report)
     table = telemetry.telemetry_table(spark, reports)
     table.write.mode("append").parquet(storage.telemetry())
     return table
 
 
 def ingest_slices(
-    df: DataFrame, source_id: str, storage: Storage, batch_size: int = 500, max_batches: int | None = 5,
+    df: DataFrame, source_id: str, storage: Storage, batch_size: int = 500, max_batches: int | None = None,
     typed_per_value: tuple[str, ...] = (),
 ) -> DataFrame:
     """Ingest in row-count slices, all in one pass; returns one telemetry row per slice.
 
     Every slice forgets the keys of the others, so a key may pass once per slice.
+    The slice number is a column of the outputs: the number of files depends on the
+    tasks and not on the slices. ``max_batches`` stops after the first slices.
     """
     started = time.time()
     sliced = rows.with_slices(df, batch_size, max_batches)
     judged = judge(sliced, source_id, within=(rows.BATCH,), typed_per_value=typed_per_value)
-    staged, _ = stage(judged, also=(rows.BATCH,))
+    staged, _ = stage(judged, scratch_path(df.sparkSession, "judged"))
     also = (rows.BATCH,)
-    (good_rows(staged, source_id, utc_now(), also=also)
-     .write.mode("overwrite").partitionBy(rows.BATCH).parquet(storage.micro_batch(source_id)))
-    (quarantine_rows(staged, also=also)
-     .write.mode("overwrite").partitionBy(rows.BATCH).parquet(storage.quarantine(source_id, "microbatch")))
+    good_rows(staged, source_id, utc_now(), also=also).write.mode("overwrite").parquet(storage.micro_batch(source_id))
+    quarantine_rows(staged, also=also).write.mode("overwrite").parquet(storage.quarantine(source_id, "microbatch"))
     (audit.audit_rows(staged, row="_slice_row", also=also)
-     .write.mode("overwrite").partitionBy(rows.BATCH).json(storage.audit(source_id, "microbatch")))
+     .write.mode("overwrite").json(storage.audit(source_id, "microbatch")))
     return slice_telemetry(staged, source_id, time.time() - started)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +17,46 @@ from contractflow.sources.files import Storage, read_parquet_or_none
 SCENARIOS = {"steady": (10.0, 100), "burst": (5000.0, 5000)}
 
 
-def write_change_log(feed: DataFrame, storage: Storage, source_id: str, scenario: str) -> str:
-    """Append events to the log, ordered by offset so that readers can skip files and row groups."""
-    path = storage.change_log(source_id, scenario)
-    ordered = feed.repartitionByRange(cdc.OFFSET).sortWithinPartitions(cdc.OFFSET)
-    ordered.write.mode("append").parquet(path)
+RUN = "run"
+
+
+def read_change_log(spark: SparkSession, storage: Storage, source_id: str, scenario: str) -> DataFrame | None:
+    """All events of a log, or None where there are none yet."""
+    log = read_parquet_or_none(spark, storage.change_log(source_id, scenario))
+    return None if log is None else log.drop(RUN)
+
+
+def write_change_log(
+    feed: DataFrame, storage: Storage, source_id: str, scenario: str, run_id: str | None = None,
+) -> str:
+    """Add one run's events to the log, ordered by offset so that readers can skip files and row groups.
+
+    Offsets continue after the last one in the log, wherever the feed's own begin,
+    and event ids contain the run. A run is a directory of its own: repeating it
+    under its ``run_id`` replaces it at the offsets it had. A run must start after
+    the log's last ingestion time, or extraction by time would pass it over.
+    """
+    spark, path = feed.sparkSession, storage.change_log(source_id, scenario)
+    run_id = f"r-{run_id or uuid.uuid4().hex}"
+    log = read_parquet_or_none(spark, path)
+    start, seen = 0, None
+    if log is not None:
+        own = F.col(RUN) == run_id
+        found = log.agg(
+            F.min(F.when(own, F.col(cdc.OFFSET))).alias("mine"), F.max(F.when(~own, F.col(cdc.OFFSET))).alias("last"),
+            F.max(F.when(~own, F.col("_ingestion_timestamp"))).alias("seen")).first()
+        if found["mine"] is not None:
+            start = found["mine"]
+        else:
+            start, seen = (-1 if found["last"] is None else found["last"]) + 1, found["seen"]
+    first = feed.agg(F.min(cdc.OFFSET), F.min("_ingestion_timestamp")).first()
+    if seen is not None and first[1] is not None and first[1] <= seen:
+        raise ValueError(f"The run starts at {first[1]}, not after the log's last ingestion time {seen}.")
+    placed = feed.withColumns({
+        cdc.OFFSET: F.col(cdc.OFFSET) + F.lit(start - (first[0] or 0)),
+        "_event_id": F.sha2(F.concat_ws(":", "_event_id", F.lit(run_id)), 256)})
+    ordered = placed.repartitionByRange(cdc.OFFSET).sortWithinPartitions(cdc.OFFSET)
+    ordered.write.mode("overwrite").parquet(f"{path}/{RUN}={run_id}")
     return path
 
 
@@ -42,7 +78,7 @@ def _write_run(found: DataFrame, path: str, position: str) -> int:
 
 def extract_by_log(spark: SparkSession, storage: Storage, source_id: str, scenario: str) -> telemetry.JobReport:
     started = time.time()
-    log = read_parquet_or_none(spark, storage.change_log(source_id, scenario))
+    log = read_change_log(spark, storage, source_id, scenario)
     if log is None:
         return _close("log", source_id, scenario, started, 0)
     mark = storage.checkpoint("log_based", source_id, scenario)
@@ -60,7 +96,7 @@ def extract_by_log(spark: SparkSession, storage: Storage, source_id: str, scenar
 def extract_by_trigger(spark: SparkSession, storage: Storage, source_id: str, scenario: str) -> telemetry.JobReport:
     """The whole log each time: this strategy keeps no position."""
     started = time.time()
-    log = read_parquet_or_none(spark, storage.change_log(source_id, scenario))
+    log = read_change_log(spark, storage, source_id, scenario)
     if log is None:
         return _close("trigger", source_id, scenario, started, 0)
     target = storage.extracted(source_id, "trigger", scenario)
@@ -70,7 +106,7 @@ def extract_by_trigger(spark: SparkSession, storage: Storage, source_id: str, sc
 
 def extract_by_timestamp(spark: SparkSession, storage: Storage, source_id: str, scenario: str) -> telemetry.JobReport:
     started = time.time()
-    log = read_parquet_or_none(spark, storage.change_log(source_id, scenario))
+    log = read_change_log(spark, storage, source_id, scenario)
     if log is None:
         return _close("ts", source_id, scenario, started, 0)
     mark = storage.checkpoint("timestamp_based", source_id, scenario)

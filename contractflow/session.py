@@ -15,6 +15,9 @@ RUNTIME_CONF = {
     # The JVM never compiles methods over 8000 bytes. Past that size, separate smaller
     # projections run several times faster than one fused method that is interpreted.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Streaming state can outgrow the heap, so it is kept off-heap and on disk.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -28,9 +31,6 @@ def build_session(master: str | None = None, app_name: str = "contractflow", **c
         "spark.ui.showConsoleProgress": "false",
         # Recording the call site of every column expression doubles planning time.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
-        # Streaming dedup state can outgrow the heap, so keep it off-heap and on disk.
-        "spark.sql.streaming.stateStore.providerClass":
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         **{key.replace("__", "."): value for key, value in conf.items()},
     }
     for key, value in settings.items():
@@ -48,10 +48,15 @@ def apply_runtime_conf(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
 
-    A machine-local folder is made only where the setting is absent, as in tests.
+    Where the setting is absent, a session that runs in this process alone gets a
+    local folder; on a cluster that would be another disk for every executor, so it
+    is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         folder = tempfile.mkdtemp(prefix="spark-contractflow-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

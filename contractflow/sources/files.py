@@ -5,12 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contractflow.model import SOURCES
-from contractflow.operators.rows import ROW, broadcast_if_short
+from contractflow.operators.contracts import MALFORMED
+from contractflow.operators.rows import ROW
 
 
 class LoadError(Exception):
@@ -81,6 +82,12 @@ def _length(spark: SparkSession, path: str) -> int:
     return -1 if found is None else found.getLength()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table, if it is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def data_files(spark: SparkSession, path: str) -> int:
     """Files of a finished table, not counting the success marker."""
     found = _summary(spark, path)
@@ -99,37 +106,68 @@ def _with_text_rows(scan: DataFrame) -> DataFrame:
         "_start": F.col("_metadata.file_block_start"),
         "_at": F.monotonically_increasing_id(),
     })
-    split_count = scan.rdd.getNumPartitions() + len(scan._jdf.inputFiles())  # at least as many as there are
     splits = placed.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_base"))
     # One row per split, so this window runs over the split list and not over data.
-    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.length("_file"), "_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(
         "_file", "_start",
         (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_base") + 1).alias("_shift"))
     return (
-        placed.join(broadcast_if_short(offsets, split_count), ["_file", "_start"])
+        placed.join(offsets, ["_file", "_start"])
         .withColumn(ROW, F.col("_at") + F.col("_shift"))
         .select(*scan.columns, ROW)
     )
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Rows of one or more CSV files with a header, numbered in file order."""
+# Cell texts that stand for a missing value.
+NA_WORDS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False,
+    na_words: tuple[str, ...] = NA_WORDS,
+) -> DataFrame:
+    """Rows of one or more CSV files with a header, numbered in file order.
+
+    Columns are found by their name in the header, in whatever order: those of
+    ``schema`` come first, further ones follow as text, and absent ones stay
+    absent. All files must have the same header; another one fails the job. Quotes
+    are doubled inside quotes. ``na_words`` are missing values. A row with another
+    number of fields than the header keeps its text in ``_malformed``, which
+    quarantines it. Quoted line breaks need ``multi_line``; such files can't be
+    split, so each is read by one task.
+    """
     length = _length(spark, path)
     if length < 0:
         raise LoadError(f"File not found: {path}")
     if length == 0:
         raise LoadError(f"Empty CSV file: {path}")
+    options = {
+        "header": True, "mode": "PERMISSIVE", "quote": '"', "escape": '"', "multiLine": multi_line,
+        "columnNameOfCorruptRecord": MALFORMED, "enforceSchema": False, "columnPruning": False,
+    }
     try:
-        return _with_text_rows(
-            spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path))
+        names = spark.read.options(**options).csv(path).columns
+        found = T.StructType([T.StructField(n, T.StringType()) for n in (*names, MALFORMED)])
+        scan = _with_text_rows(spark.read.schema(found).options(**options).csv(path))
     except AnalysisException as error:
         raise LoadError(f"Error loading CSV: {error}") from error
+    declared = {f.name: f.dataType for f in schema.fields}
+    wanted = [n for n in declared if n in names] + [n for n in names if n not in declared]
+
+    def cell(name: str) -> Column:
+        text = F.when(~F.col(f"`{name}`").isin(*na_words), F.col(f"`{name}`"))
+        return text.cast(declared.get(name, T.StringType())).alias(name)
+
+    return scan.select(*map(cell, wanted), MALFORMED, ROW)
 
 
-def read_source_csv(spark: SparkSession, path: str, source_id: str) -> DataFrame:
+def read_source_csv(spark: SparkSession, path: str, source_id: str, multi_line: bool = False) -> DataFrame:
     """A registered source from CSV, every column as text (see the contract's per-value typing)."""
-    return read_csv(spark, path, SOURCES[source_id].raw_schema())
+    return read_csv(spark, path, SOURCES[source_id].raw_schema(), multi_line)
 
 
 def read_parquet_or_none(spark: SparkSession, path: str) -> DataFrame | None:

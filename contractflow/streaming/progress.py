@@ -14,13 +14,13 @@ SCHEMA = (
 
 
 class ProgressLog(StreamingQueryListener):
-    """Keeps the latest batches of progress; add it with ``spark.streams.addListener``.
+    """Collects the progress of every batch; add it with ``spark.streams.addListener``.
 
-    Events dropped as resends count as failed.
+    Events dropped as resends count as failed. ``store`` appends what has come in
+    since the last call to a table, so nothing is lost and little is held.
     """
 
-    def __init__(self, keep: int = 1000):
-        self.keep = keep
+    def __init__(self):
         self.rows: list[tuple] = []
 
     def onQueryStarted(self, event) -> None:
@@ -38,7 +38,6 @@ class ProgressLog(StreamingQueryListener):
         self.rows.append((
             progress.name, progress.batchId, progress.timestamp, seconds, read, kept["records_ingested"],
             read - judged + kept["records_failed"], kept["records_quarantined"], round(rate, 1)))
-        del self.rows[:-self.keep]
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -46,5 +45,12 @@ class ProgressLog(StreamingQueryListener):
     def onQueryTerminated(self, event) -> None:
         pass
 
+    def store(self, spark: SparkSession, path: str) -> None:
+        """Append the batches that were not stored yet."""
+        held = len(self.rows)
+        if held:
+            spark.createDataFrame(self.rows[:held], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+            del self.rows[:held]
+
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, SCHEMA)

@@ -132,7 +132,7 @@ def test_unreadable_source_does_not_stop_the_others(spark, tmp_path, storage, sa
 
     def broken(df, source_id, *rest, **named):
         if source_id == WAREHOUSE:
-            spark.sql("select raise_error('unreadable')").collect()
+            df = df.withColumn("product_id", F.raise_error(F.lit("unreadable")).cast("string"))
         return real(df, source_id, *rest, **named)
 
     monkeypatch.setattr(batch, "ingest", broken)
@@ -140,6 +140,69 @@ def test_unreadable_source_does_not_stop_the_others(spark, tmp_path, storage, sa
     assert {r["source_id"]: r["records_failed"] for r in table.collect()} == {WAREHOUSE: 1, SALES: 0}
 
 
+def csv_rows(spark, tmp_path, text, **options):
+    path = tmp_path / "odd.csv"
+    path.write_text(text)
+    frame = files.read_source_csv(spark, str(path), SALES, **options)
+    return frame.columns, [r.asDict() for r in frame.orderBy("_row").collect()]
+
+
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    names, rows = csv_rows(spark, tmp_path, "store_id,note,units_sold,receipt_id\nS1,hello,2,R1\nNA,,nan,\"R \"\"2\"\", x\"\n")
+    assert names == ["receipt_id", "units_sold", "store_id", "note", "_malformed", "_row"]
+    assert rows[0] == {"receipt_id": "R1", "units_sold": "2", "store_id": "S1", "note": "hello", "_malformed": None, "_row": 1}
+    assert rows[1] == {"receipt_id": 'R "2", x', "units_sold": None, "store_id": None, "note": None, "_malformed": None, "_row": 2}
+
+
+def test_csv_quoted_line_breaks(spark, tmp_path):
+    head = "receipt_id,product_id,sale_timestamp,units_sold,store_id\n"
+    _, rows = csv_rows(spark, tmp_path, head + '"R\n1",p,2026-04-07,1,s\nR2,p,2026-04-07,2,s\n', multi_line=True)
+    assert [(r["receipt_id"], r["units_sold"], r["_row"]) for r in rows] == [("R\n1", "1", 1), ("R2", "2", 2)]
+
+
+def test_rows_with_other_fields_than_the_header_are_quarantined(spark, tmp_path, storage):
+    path = tmp_path / "torn.csv"
+    path.write_text("receipt_id,product_id,sale_timestamp,units_sold,store_id\nR1,p,2026-04-07,1,s\nR2,p,2026-04-07\nR3,p,2026-04-07,1,s,more\n")
+    report = batch.ingest_csv(spark, str(path), SALES, storage)
+    assert (report.records_ingested, report.records_quarantined) == (1, 2)
+    refused = spark.read.parquet(storage.quarantine(SALES)).collect()
+    assert {r["_quarantine_reason"] for r in refused} == {contracts.MALFORMED_MESSAGE}
+
+
+def test_files_with_another_header_fail_the_job(spark, tmp_path, storage):
+    (tmp_path / "d").mkdir()
+    for name, head in (("a", "receipt_id,product_id,sale_timestamp,units_sold,store_id"), ("b", "store_id,product_id,sale_timestamp,units_sold,receipt_id")):
+        (tmp_path / "d" / f"{name}.csv").write_text(head + "\nR1,p,2026-04-07,1,s\n")
+    with pytest.raises(batch.JobFailed):
+        batch.ingest_csv(spark, str(tmp_path / "d"), SALES, storage)
+
+
+def test_a_rerun_without_good_rows_leaves_none(spark, tmp_path, storage, sales_csv):
+    batch.ingest_csv(spark, sales_csv, SALES, storage)
+    path = tmp_path / "bad.csv"
+    path.write_text(SALES_CSV.splitlines()[0] + "\n,p,2026-04-07,1,s\n")
+    assert batch.ingest_csv(spark, str(path), SALES, storage).records_ingested == 0
+    assert files.read_parquet_or_none(spark, storage.good(SALES)) is None
+
+
+def test_rows_identified_by_columns_are_audited(spark, storage):
+    frame = spark.createDataFrame([("r1", "p", "2026-04-07", 1, "s"), (None, "p", "2026-04-07", 1, "s")],
+                                  "receipt_id string, product_id string, sale_timestamp string, units_sold bigint, store_id string")
+    report = batch.ingest(frame, SALES, storage, identity=["receipt_id", "sale_timestamp"], record_lines=True)
+    assert (report.records_ingested, report.records_quarantined) == (1, 1)
+    assert sorted(r["status"] for r in spark.read.json(storage.audit(SALES)).collect()) == ["PASS", "QUARANTINE"]
+    assert spark.read.text(storage.record_lines(SALES)).count() == 2
+
+
+def test_all_slices_are_kept_in_few_files(spark, storage):
+    frame = spark.range(1, 3001).select(
+        F.concat(F.lit("R"), "id").alias("receipt_id"), F.lit("p").alias("product_id"), F.lit("2026-04-07").alias("sale_timestamp"),
+        F.lit(1).alias("units_sold"), F.lit("s").alias("store_id"), F.col("id").alias("_row"))
+    found = batch.ingest_slices(frame, SALES, storage, 10)
+    assert found.count() == 300 and found.agg(F.sum("records_ingested")).first()[0] == 3000
+    assert files.data_files(spark, storage.micro_batch(SALES)) <= 8
+
+
 def test_slices(spark, storage, sales_csv):
     frame = files.read_source_csv(spark, sales_csv, SALES)
     found = batch.ingest_slices(frame, SALES, storage, 2, 3, ("units_sold",)).orderBy("batch_id").collect()

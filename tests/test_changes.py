@@ -93,6 +93,38 @@ def test_two_runs_over_a_growing_log_equal_one(spark, storage, extract, strategy
     assert sorted(r["_log_offset"] for r in found.collect()) == list(range(200))
 
 
+@pytest.mark.parametrize("extract, strategy", [
+    (changes.extract_by_log, "log"), (changes.extract_by_timestamp, "ts")])
+def test_two_runs_numbered_from_one_are_both_found(spark, storage, extract, strategy):
+    later = cdc.change_feed(sales_rows(spark, 100), sales_rows(spark, 50), SALES, "2026-04-06T00:00:00+00:00", 10.0)
+    changes.write_change_log(feed(spark, 100), storage, SALES, "steady", "one")
+    assert extract(spark, storage, SALES, "steady").records_ingested == 100
+    changes.write_change_log(later, storage, SALES, "steady", "two")
+    assert extract(spark, storage, SALES, "steady").records_ingested == 100
+    found = changes.read_extracted(spark, storage, SALES, strategy, "steady")
+    assert sorted(r["_log_offset"] for r in found.collect()) == list(range(200))
+    assert found.select("_event_id").distinct().count() == 200
+    changed = changes.read_change_log(spark, storage, SALES, "steady").where("_operation_type <> 'INSERT'").count()
+    assert changes.extract_by_trigger(spark, storage, SALES, "steady").records_ingested == changed
+
+
+def test_a_repeated_run_replaces_itself(spark, storage):
+    later = cdc.change_feed(sales_rows(spark, 30), sales_rows(spark, 50), SALES, "2026-04-06T00:00:00+00:00", 10.0)
+    for run in ("one", "one"):
+        changes.write_change_log(feed(spark, 40), storage, SALES, "steady", run)
+    changes.write_change_log(later, storage, SALES, "steady", "two")
+    changes.write_change_log(feed(spark, 40), storage, SALES, "steady", "one")
+    log = changes.read_change_log(spark, storage, SALES, "steady")
+    assert sorted(r["_log_offset"] for r in log.collect()) == list(range(70))
+    with pytest.raises(ValueError):
+        changes.write_change_log(feed(spark, 5), storage, SALES, "steady", "early")
+
+
+def test_gaps_in_the_existing_rows_fail(spark):
+    with pytest.raises(Exception, match="without gaps"):
+        cdc.change_feed(sales_rows(spark, 200), sales_rows(spark, 50).where("_row % 2 = 0"), SALES, START, 10.0).collect()
+
+
 def test_scenarios_have_their_own_position(spark, storage):
     changes.write_change_log(feed(spark, 30), storage, SALES, "steady")
     changes.write_change_log(feed(spark, 40, scenario="burst"), storage, SALES, "burst")
