@@ -702,3 +702,33 @@ SELECT receipt_id, product_id, sale_timestamp, units_sold, store_id, rn AS _row
 SELECT product_id, CAST(0 AS BIGINT) AS current_stock, reorder_threshold, 'Low stock' AS alert FROM v_wh
 WHERE reorder_threshold > 0""",
 }
+
+ORACLE |= {
+    "cdc_commit": """
+SELECT count(*) AS extracted, CAST(count(*) - 1 AS VARCHAR) AS last, CAST(count(*) - 1 AS VARCHAR) AS position FROM lineitem""",
+    "checkpoint_positions": """
+SELECT CAST(count(*) AS VARCHAR) AS rows, CAST(count(*) AS VARCHAR) AS position FROM lineitem""",
+    "stream_resume": f"WITH {IOT} SELECT event_id FROM j_iot",
+    "foreach_batch_hook": f"WITH {IOT} SELECT event_id, 'INSERT' AS _operation_type FROM j_iot WHERE status = 'PASS'",
+    "csv_scan": f"""WITH {V_SALES}
+SELECT receipt_id, product_id, sale_timestamp, CAST(units_sold AS DOUBLE) AS units_sold, store_id FROM v_sales""",
+    "load_failure": f"""
+SELECT '{_M}' AS source_id, CAST(1 AS BIGINT) AS records_failed, false AS ingested
+UNION ALL SELECT '{_S}', CAST(0 AS BIGINT), count(*) > 0 FROM lineitem""",
+    "good_sink": f"SELECT * EXCLUDE (_ingestion_timestamp) FROM ({ORACLE['envelope']})",
+    "job_telemetry": f"""WITH {SALES}
+SELECT '{_S}' AS source_id, CAST(count(*) FILTER (status = 'PASS') AS BIGINT) AS records_ingested,
+       CAST(count(*) FILTER (status IN ('REJECT', 'ERROR')) AS BIGINT) AS records_failed,
+       CAST(count(*) FILTER (status = 'QUARANTINE') AS BIGINT) AS records_quarantined,
+       CAST(count(*) FILTER (status = 'COERCED') AS BIGINT) AS records_coerced,
+       CAST(count(*) FILTER (status = 'DUPLICATE') AS BIGINT) AS records_duplicate,
+       true AS rate_follows, true AS lag_follows, true AS files_follow, CAST(1 AS BIGINT) AS snapshot_count FROM j_sales""",
+    "file_row_counts": f"""WITH {SALES}
+SELECT 'ingested' AS area, count(*) AS rows FROM j_sales WHERE status = 'PASS'
+UNION ALL SELECT 'quarantine', count(*) FROM j_sales WHERE status = 'QUARANTINE'""",
+    "storage_audit": "SELECT 'TOTAL,detail_logs,ingested,quarantine' AS areas, count(*) > 0 AS adds_up FROM lineitem",
+    "profile_constant": """
+SELECT 'c_custkey' AS "column", 'numeric' AS kind, count(*) AS rows, count(*) AS present, 0.0::DOUBLE AS null_rate FROM customer
+UNION ALL SELECT 'nothing', 'constant', count(*), 0, 1.0::DOUBLE FROM customer""",
+    "row_hook": f"SELECT *, substr(sale_timestamp, 1, 7) AS sale_month FROM ({ORACLE['synth_timestamp']})",
+}

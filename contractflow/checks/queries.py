@@ -17,9 +17,10 @@ from contractflow.model import (
     CONTRACTS, IOT, LEGACY, MANUFACTURING, SALES, WAREHOUSE, WEATHER, OperationType, ViolationPolicy)
 from contractflow.operators import (
     audit, cdc, contracts, dedup, envelope, normalize, profiling, rows, serving, synth, telemetry)
-from contractflow.plans import batch
+from contractflow.plans import batch, changes
 from contractflow.session import apply_runtime_conf, scratch_path
 from contractflow.sources import files, kafka, views
+from contractflow.sources.checkpoints import load_position, save_position
 from contractflow.streaming import events as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -364,6 +365,31 @@ def stream_no_dedup(spark, folder):
     return both.groupBy("sink", "event_id").agg(F.count(F.lit(1)).alias("copies"))
 
 
+@query
+def stream_resume(spark, folder):
+    """The stream run twice from one checkpoint: the second run adds nothing."""
+    storage = files.Storage(scratch_path(spark, "stream"))
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    for _ in range(2):
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(f"{folder}/events*.parquet")
+        streaming.run_events(views.iot_with_resends(source), storage, "readings").awaitTermination()
+    good, refused = streaming.read_sinks(spark, storage, "readings")
+    return good.select("event_id").unionByName(refused.select("event_id"))
+
+
+@query
+def foreach_batch_hook(spark, folder):
+    """What a hook was handed, batch by batch."""
+    storage = files.Storage(scratch_path(spark, "stream"))
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(f"{folder}/events*.parquet")
+    handed = f"{storage.root}/handed"
+    streaming.run_events(
+        views.iot_with_resends(source), storage, "readings",
+        hook=lambda good: good.select("event_id", "_operation_type").write.mode("append").parquet(handed)).awaitTermination()
+    return spark.read.parquet(handed)
+
+
 @query
 def kafka_encode(spark, folder):
     return kafka.encode_events(views.iot(spark, folder))
@@ -431,18 +457,45 @@ def cdc_op_counts(spark, folder):
 
 @query
 def cdc_two_step(spark, folder):
-    """Two runs with a commit in between against one run over everything."""
-    log = _feed(spark, folder)
-    first = cdc.after_offset(log, None, LOG_POSITION)
-    second = cdc.after_offset(log, LOG_POSITION)
-    both = first.select("_log_offset", F.lit(1).alias("in_two"), F.lit(0).alias("in_one")).unionByName(
-        second.select("_log_offset", F.lit(1).alias("in_two"), F.lit(0).alias("in_one"))).unionByName(
-        cdc.after_offset(log, None).select("_log_offset", F.lit(0).alias("in_two"), F.lit(1).alias("in_one")))
-    per_event = both.groupBy("_log_offset").agg(F.sum("in_two").alias("two"), F.sum("in_one").alias("one"))
+    """Two real runs, each written to the log and extracted, against the whole feed."""
+    whole, log = _feed(spark, folder), _two_runs(spark, folder)
+    found = changes.read_extracted(spark, log, SALES, "log", "steady").groupBy("_log_offset").agg(F.count(F.lit(1)).alias("two"))
+    per_event = whole.select("_log_offset", F.lit(1).alias("one")).join(found, "_log_offset", "full")
     return per_event.agg(
         F.count(F.lit(1)).alias("events"),
-        F.count_if(F.col("two") < F.col("one")).alias("lost"),
-        F.count_if(F.col("two") > F.col("one")).alias("repeated"))
+        F.count_if(F.col("two").isNull()).alias("lost"),
+        F.count_if(F.coalesce("two", F.lit(0)) > F.coalesce("one", F.lit(0))).alias("repeated"))
+
+
+def _two_runs(spark: SparkSession, folder: str) -> files.Storage:
+    """The feed written to a log in two runs, with an extraction by offset after each."""
+    storage, whole = files.Storage(scratch_path(spark, "log")), _feed(spark, folder)
+    runs = {"one": whole.where(F.col("_log_offset") <= LOG_POSITION), "two": whole.where(F.col("_log_offset") > LOG_POSITION)}
+    for run, part in runs.items():
+        changes.write_change_log(part, storage, SALES, "steady", run)
+        changes.extract_by_log(spark, storage, SALES, "steady")
+    return storage
+
+
+@query
+def cdc_commit(spark, folder):
+    """The position committed after two extractions, next to what they wrote."""
+    storage = _two_runs(spark, folder)
+    position = load_position(spark, storage.checkpoint("log_based", SALES, "steady"))
+    found = changes.read_extracted(spark, storage, SALES, "log", "steady")
+    return found.agg(
+        F.count(F.lit(1)).alias("extracted"), F.max("_log_offset").cast("string").alias("last"),
+        F.lit(position).alias("position"))
+
+
+@query
+def checkpoint_positions(spark, folder):
+    """The latest of several saved positions, as loaded again: the row counts of two tables."""
+    path = files.Storage(scratch_path(spark, "positions")).checkpoint("log_based", SALES, "steady")
+    for name in ("orders", "lineitem"):
+        save_position(spark, path, str(spark.read.parquet(f"{folder}/{name}.parquet").count()))
+    return spark.read.parquet(f"{folder}/lineitem.parquet").agg(
+        F.count(F.lit(1)).cast("string").alias("rows")).withColumn("position", F.lit(load_position(spark, path)))
 
 
 # -- profiling -----------------------------------------------------------------------------------------
@@ -650,3 +703,91 @@ def dataset_limit(spark, folder):
 @query
 def low_stock_alerts(spark, folder):
     return serving.low_stock_alerts(views.warehouse(spark, folder))
+
+
+# -- jobs with their files -----------------------------------------------------------------------------------
+
+def _sales_csv(spark: SparkSession, folder: str) -> str:
+    """The sales rows as CSV files with their columns in another order and one more."""
+    path = scratch_path(spark, "csv")
+    shuffled = views.sales(spark, folder).select(
+        "store_id", F.lit("x").alias("note"), "units_sold", "receipt_id", "sale_timestamp", "product_id")
+    shuffled.write.option("header", True).option("escape", '"').csv(path)
+    return path
+
+
+@query
+def csv_scan(spark, folder):
+    found = files.read_source_csv(spark, _sales_csv(spark, folder), SALES)
+    return found.select("receipt_id", "product_id", "sale_timestamp", F.col("units_sold").cast("double").alias("units_sold"), "store_id")
+
+
+@query
+def load_failure(spark, folder):
+    """A full load with a file that has nothing in it: one failure, and the other source goes on."""
+    storage = files.Storage(scratch_path(spark, "load"))
+    empty = f"{storage.root}/empty.csv"
+    spark.range(0).select(F.lit("").alias("value")).coalesce(1).write.text(empty)
+    table = batch.ingest_all(spark, {MANUFACTURING: empty, SALES: _sales_csv(spark, folder)}, storage)
+    return table.select("source_id", "records_failed", (F.col("records_ingested") > 0).alias("ingested"))
+
+
+def _sales_job(spark: SparkSession, folder: str) -> tuple[telemetry.JobReport, files.Storage]:
+    storage = files.Storage(scratch_path(spark, "job"))
+    return batch.ingest(views.sales(spark, folder), SALES, storage), storage
+
+
+@query
+def good_sink(spark, folder):
+    _, storage = _sales_job(spark, folder)
+    return spark.read.parquet(storage.good(SALES)).drop("_ingestion_timestamp")
+
+
+@query
+def job_telemetry(spark, folder):
+    """The report row of a job: its counters, and whether its rate, lag and files follow from them."""
+    report, storage = _sales_job(spark, folder)
+    table = telemetry.telemetry_table(spark, [report])
+    rate = F.col("records_ingested") / F.col("duration_seconds")
+    written = batch.data_files(spark, storage.good(SALES))
+    return table.select(
+        "source_id", "records_ingested", "records_failed", "records_quarantined", "records_coerced", "records_duplicate",
+        (F.abs(F.col("throughput_rec_sec") / rate - 1) < 0.01).alias("rate_follows"),
+        (F.col("processing_lag_sec") == F.col("duration_seconds")).alias("lag_follows"),
+        (F.col("file_count_per_partition") == written).alias("files_follow"), "snapshot_count")
+
+
+@query
+def file_row_counts(spark, folder):
+    """Rows in the files of a job's sinks, by area."""
+    _, storage = _sales_job(spark, folder)
+    counted = [audit.file_row_counts(spark, area, storage.area(area)) for area in ("ingested", "quarantine")]
+    return counted[0].unionByName(counted[1]).groupBy("area").agg(F.sum("rows").alias("rows"))
+
+
+@query
+def storage_audit(spark, folder):
+    """Areas that a job leaves behind, and whether their sizes add up to the total."""
+    _, storage = _sales_job(spark, folder)
+    found = audit.storage_audit(spark, storage.areas())
+    total = F.max(F.when(F.col("area") == "TOTAL", F.col("files")))
+    return found.agg(
+        F.array_join(F.array_sort(F.collect_set("area")), ",").alias("areas"),
+        (F.sum(F.when(F.col("area") != "TOTAL", F.col("files"))) == total).alias("adds_up"))
+
+
+@query
+def profile_constant(spark, folder):
+    """A column without any value is constant."""
+    customers = spark.read.parquet(f"{folder}/customer.parquet")
+    emptied = customers.select("c_custkey", F.when(F.col("c_custkey") < 0, F.col("c_name")).alias("nothing"))
+    found = profiling.profile_table(emptied, profiling.profile(emptied))
+    return found.select("column", "kind", "rows", "present", "null_rate")
+
+
+@query
+def row_hook(spark, folder):
+    """Generated rows with a rule of the caller's own."""
+    return synth.generate(
+        _sales_ids(spark, folder), _profiles(views.sales(spark, folder), "sale_timestamp"),
+        hook=lambda made: made.withColumn("sale_month", F.substring("sale_timestamp", 1, 7)))
