@@ -16,7 +16,7 @@ task's memory grows with the input.
 component, and rows without an id take no part. Only vectors of equal length are
 compared. A query's own rows (those with its id) are no candidates for it. Rows
 repeated under one id are separate candidates; exactly repeated queries are
-answered once. Scores are exact; beyond 2^62 in size they are cut there. With
+answered once. Scores are exact; beyond 2^61 in size they are cut there. With
 fewer than k candidates all are returned. Empty tables give no rows.
 """
 
@@ -35,7 +35,7 @@ from contractflow.llm.common import staged
 BINS = 128
 QUERY_BLOCK = 512
 BLOCK = 8192
-LIMIT = 1 << 62
+LIMIT = 1 << 61
 
 
 def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -8,8 +8,9 @@ out-of-fold: each comes from a model that was trained on the other folds.
 A text's features are its words, the beginnings of its words (inflected and
 compounded forms share them) and its shape (share of symbols, repetition,
 length). Of the features of a bounded sample of labelled rows those that tell a
-category apart best are kept. The models are logistic regressions fitted by
-Spark; their coefficients score every whole text. The rejection threshold is the
+category apart best are kept. The models are logistic regressions; all fits of a
+category run side by side, each in a task that holds the bounded sample, and their
+coefficients score every whole text. The rejection threshold is the
 one that separates the out-of-fold probabilities of the last category best, with
 precision counting more than recall.
 
@@ -28,11 +29,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +42,6 @@ SEED = 3
 SAMPLE = 8_000
 FEATURES = 4096
 FOLDS = 3
-#: Tasks a fit has for each of its passes over the sample.
-TASKS = 6
 #: A feature must occur in so many rows of the sample.
 ROWS = 3
 PREFIXES = (3, 4, 5, 6, 7)
@@ -161,8 +158,8 @@ def choose_features(rows: DataFrame, most: int = FEATURES) -> list[str]:
 
 
 def _with_vectors(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(row, fold, labels, at, weight): the sample's known features as index and value lists."""
     sent = rows.sparkSession.sparkContext.broadcast({name: i for i, name in enumerate(names)})
-    size = max(1, len(names))
 
     @F.pandas_udf("at array<int>, weight array<double>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -172,58 +169,101 @@ def _with_vectors(rows: DataFrame, names: list[str]) -> DataFrame:
             rows = [sorted((known[f], weight(n)) for f, n in count(t).items()) for t in texts]
             yield pd.DataFrame({"at": [[i for i, _ in r] for r in rows], "weight": [[w for _, w in r] for r in rows]})
 
-    @F.udf(VectorUDT())
-    def vector(at, weights):
-        return SparseVector(size, at, weights)
-
-    rows = staged(rows.withColumn("found", found("text")), "features")  # the bounded sample
-    return staged(rows.select(
-        "doc_id", "fold", vector("found.at", "found.weight").alias("features"),
-        *[F.col("labels")[i].cast("double").alias(f"y{i}") for i in range(len(CATEGORIES))]), "vectors")
-
-
-def _fit(rows: DataFrame, category: int):
-    """Coefficients by column of the assembled vector, and the intercept; a constant if there is one kind of label."""
-    total, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(f"y{category}"), F.lit(0.0))).first()
-    if positive in (0, total):
-        share = min(max(positive / max(1, total), 1e-6), 1 - 1e-6)
-        return None, math.log(share / (1 - share))
-    model = LogisticRegression(
-        featuresCol="all", labelCol=f"y{category}", maxIter=15, regParam=2e-3, standardization=False).fit(rows)
-    return model.coefficients.toArray(), float(model.intercept)
-
-
-def _probability(rows: DataFrame, fitted, category: int) -> DataFrame:
-    """Add the probability ``q<category>`` that a fitted model gives."""
-    weights, constant = fitted
-    score = F.lit(constant)
-    if weights is not None:
-        values = [float(w) for w in weights]
-        sent = rows.sparkSession.sparkContext.broadcast(values)
-
-        @F.udf("double")
-        def dot(vector):
-            return float(sum(sent.value[i] * v for i, v in zip(*_entries(vector))))
-
-        score = score + dot("all")
-    return rows.withColumn(f"q{category}", 1 / (1 + F.exp(-score)))
-
-
-def _entries(vector):
-    if isinstance(vector, SparseVector):
-        return vector.indices.tolist(), vector.values.tolist()
-    return range(len(vector)), vector.toArray().tolist()
+    return staged(
+        rows.select(F.monotonically_increasing_id().alias("row"), "fold", "labels", found("text").alias("found"))
+        .select("row", "fold", "labels", "found.*"), "vectors")
+
+
+def logistic(rows: np.ndarray, at: np.ndarray, weights: np.ndarray, labels: np.ndarray, size: int,
+             ridge: float = 2e-3, rounds: int = 60) -> np.ndarray:
+    """Coefficients and, last, the intercept of a ridge logistic regression, by limited-memory quasi-Newton steps.
+
+    The inputs are given as (row, feature, value) triples. With one kind of label
+    only the intercept differs from zero: it gives the labels' share.
+    """
+    n = len(labels)
+    share = min(max(labels.mean() if n else 0.0, 1e-6), 1 - 1e-6)
+    w = np.zeros(size + 1)
+    w[-1] = math.log(share / (1 - share))
+    if not n or labels.min() == labels.max():
+        return w
+
+    def loss(w):
+        z = np.bincount(rows, weights * w[at], n) + w[-1]
+        error = 1 / (1 + np.exp(-z)) - labels
+        slope = np.append(np.bincount(at, weights * error[rows], size) / n + ridge * w[:-1], error.mean())
+        return np.logaddexp(0, z).mean() - (labels * z).mean() + ridge / 2 * (w[:-1] ** 2).sum(), slope
+
+    value, slope = loss(w)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        direction, kept = -slope, []
+        for s, y in reversed(steps):
+            a = (s @ direction) / (s @ y)
+            direction = direction - a * y
+            kept.append(a)
+        if steps:
+            s, y = steps[-1]
+            direction = direction * ((s @ y) / (y @ y))
+        for (s, y), a in zip(steps, reversed(kept)):
+            direction = direction + s * (a - (y @ direction) / (s @ y))
+        length, fall = 1.0, slope @ direction
+        while length > 1e-8:
+            further, steeper = loss(w + length * direction)
+            if further <= value + 1e-4 * length * fall:
+                break
+            length /= 2
+        else:
+            break
+        s, y = length * direction, steeper - slope
+        if s @ y > 1e-12:
+            steps = [*steps[-9:], (s, y)]
+        done = value - further < 1e-7
+        w, value, slope = w + s, further, steeper
+        if done:
+            break
+    return w
+
+
+def _fit_all(vectors: DataFrame, category: int, size: int) -> tuple[np.ndarray, DataFrame]:
+    """The coefficients fitted on the whole sample, and (row, p): out-of-fold probabilities.
+
+    ``vectors`` has the earlier categories' probabilities as further features. Each
+    fit is a task of its own, which holds the bounded sample.
+    """
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("row")
+        which, folds, labels = frame["fit"].iloc[0], frame["fold"].to_numpy(), frame["label"].to_numpy(float)
+        many = frame["at"].map(len).to_numpy()
+        at = np.concatenate([*frame["at"], []]).astype(np.int64)
+        value = np.concatenate([*frame["weight"], []]).astype(float)
+        train = folds != which
+        use = np.repeat(train, many)
+        place = np.repeat(np.cumsum(train) - 1, many)
+        w = logistic(place[use], at[use], value[use], labels[train], size)
+        if which < 0:
+            return pd.DataFrame({"row": [-1], "p": [None], "weights": [w.tolist()]})
+        z = np.bincount(np.repeat(np.arange(len(frame)), many), value * w[at], len(frame)) + w[-1]
+        p = 1 / (1 + np.exp(-z[~train]))
+        return pd.DataFrame({"row": frame["row"][~train], "p": p, "weights": [None] * len(p)})
+
+    fits = F.explode(F.array(*[F.lit(i) for i in range(-1, FOLDS)])).alias("fit")
+    rows = vectors.select(fits, "row", "fold", "at", "weight", F.col("labels")[category].alias("label"))
+    result = staged(rows.groupBy("fit").applyInPandas(fit, "row long, p double, weights array<double>"), "fitted")
+    found = result.where("row < 0").select("weights").first()
+    weights = np.array(found[0]) if found else logistic(*[np.zeros(0, np.int64)] * 2, np.zeros(0), np.zeros(0), size)
+    return weights, result.where("row >= 0").select("row", "p")
 
 
 class Chain:
     """Per category: coefficients by feature, one for each earlier category, and the intercept."""
 
-    def __init__(self, names: list[str], fits: list[tuple], threshold: float):
+    def __init__(self, names: list[str], fits: list[np.ndarray], threshold: float):
         self.threshold = threshold
-        self.constants = [constant for _, constant in fits]
-        self.earlier = [[] if w is None else [float(x) for x in w[max(1, len(names)):]] for w, _ in fits]
-        self.weights = {
-            name: tuple(0.0 if w is None else float(w[i]) for w, _ in fits) for i, name in enumerate(names)}
+        self.constants = [float(w[-1]) for w in fits]
+        self.earlier = [[float(x) for x in w[len(names):-1]] for w in fits]
+        self.weights = {name: tuple(float(w[i]) for w in fits) for i, name in enumerate(names)}
 
     def scorer(self):
         """A function from text to the categories' probabilities."""
@@ -264,23 +304,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     """Fit the chain; later categories see out-of-fold probabilities of the earlier ones."""
     rows = labelled_sample(docs, labels, sample)
     names = choose_features(rows)
-    rows = _with_vectors(rows, names).coalesce(TASKS).cache()
-    fits, inputs = [], ["features"]
+    vectors, fits, pairs = _with_vectors(rows, names), [], []
     for category in range(len(CATEGORIES)):
-        whole = VectorAssembler(inputCols=inputs, outputCol="all").transform(rows).cache()
-        fits.append(_fit(whole, category))
-        parts = None
-        for fold in range(FOLDS):
-            fitted = _fit(whole.where(F.col("fold") != fold), category)
-            part = _probability(whole.where(F.col("fold") == fold), fitted, category).drop("all")
-            parts = part if parts is None else parts.unionByName(part)
-        rows.unpersist()
-        rows = staged(parts, "out-of-fold").coalesce(TASKS).cache()
-        inputs.append(f"q{category}")
-        whole.unpersist()
-    last = len(CATEGORIES) - 1
-    pairs = [(r[0], r[1]) for r in rows.select(f"q{last}", f"y{last}").collect()]  # at most the sample
-    rows.unpersist()
+        weights, given = _fit_all(vectors, category, len(names) + category)
+        fits.append(weights)
+        if category < len(CATEGORIES) - 1:
+            vectors = staged(vectors.join(given, "row").select(
+                "row", "fold", "labels", F.concat("at", F.array(F.lit(len(names) + category))).alias("at"),
+                F.concat("weight", F.array("p")).alias("weight")), "chained")
+        else:
+            judged = vectors.select("row", F.col("labels")[category].cast("double").alias("y")).join(given, "row")
+            pairs = [(r["p"], r["y"]) for r in judged.collect()]  # at most the sample
     return Chain(names, fits, _best_threshold(pairs))
 
 

@@ -199,7 +199,11 @@ class Reader:
                 raise ValueError(f"payload digest differs in {record['WARC-Record-ID']}")
             yield page, self.length, digest, "response", None
 
-    def close(self) -> None:
+    def close(self) -> Iterator[tuple]:
+        """The last record: a line reader keeps back the record end that ends the file."""
+        if self.state == "end" and not self.pending:
+            self.state = "head"
+            yield from self._finish()
         if self.pending or self.state != "head":
             raise ValueError("the archive ends within a record")
 
@@ -212,18 +216,23 @@ def _page(urn: str) -> int | None:
 def read_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces of archives (value, file), each file's in order, to one row for each record."""
     reader, name = Reader(), None
-    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+
+    def out(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], columns)
+
     for batch in batches:
         found = []
         for piece, file in zip(batch.column(0).cast(pa.binary()), batch.column(1)):
-            if file != name:
-                reader.close()
+            if file == name:
+                found.extend(reader.feed(END + piece.as_py()))
+            else:
+                found.extend(reader.close())
                 reader, name = Reader(), file
-            found.extend(reader.feed(piece.as_py() + END))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)], list(columns))
-    reader.close()
+                found.extend(reader.feed(piece.as_py()))
+        yield out(found)
+    yield out(list(reader.close()))
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
