@@ -167,7 +167,7 @@ def _with_vectors(rows: DataFrame, names: list[str]) -> DataFrame:
         count = known_features(known)
         for texts in batches:
             rows = [sorted((known[f], weight(n)) for f, n in count(t).items()) for t in texts]
-            yield pd.DataFrame({"at": [[i for i, _ in r] for r in rows], "weight": [[w for _, w in r] for r in rows]})
+            yield pd.DataFrame({"at": [[i for i, _ in r] for r in rows], "weight": [[w for _, w in r] for r in rows]}, dtype=object)
 
     return staged(
         rows.select(F.monotonically_increasing_id().alias("row"), "fold", "labels", found("text").alias("found"))
@@ -243,10 +243,10 @@ def _fit_all(vectors: DataFrame, category: int, size: int) -> tuple[np.ndarray,
         place = np.repeat(np.cumsum(train) - 1, many)
         w = logistic(place[use], at[use], value[use], labels[train], size)
         if which < 0:
-            return pd.DataFrame({"row": [-1], "p": [None], "weights": [w.tolist()]})
+            return pd.DataFrame({"row": [-1], "p": pd.Series([None], dtype=float), "weights": [w.tolist()]})
         z = np.bincount(np.repeat(np.arange(len(frame)), many), value * w[at], len(frame)) + w[-1]
         p = 1 / (1 + np.exp(-z[~train]))
-        return pd.DataFrame({"row": frame["row"][~train], "p": p, "weights": [None] * len(p)})
+        return pd.DataFrame({"row": frame["row"].to_numpy()[~train], "p": p, "weights": pd.Series([None] * len(p), dtype=object)})
 
     fits = F.explode(F.array(*[F.lit(i) for i in range(-1, FOLDS)])).alias("fit")
     rows = vectors.select(fits, "row", "fold", "at", "weight", F.col("labels")[category].alias("label"))
