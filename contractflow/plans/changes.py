@@ -31,29 +31,27 @@ def write_change_log(
 ) -> str:
     """Add one run's events to the log, ordered by offset so that readers can skip files and row groups.
 
-    Offsets continue after the last one in the log, wherever the feed's own begin,
-    and event ids contain the run. A run is a directory of its own: repeating it
+    Offsets continue after the last one in the log, wherever the feed's own begin
+    (the first run keeps them), and event ids contain the run. A run is a directory of its own: repeating it
     under its ``run_id`` replaces it at the offsets it had. A run must start after
     the log's last ingestion time, or extraction by time would pass it over.
     """
     spark, path = feed.sparkSession, storage.change_log(source_id, scenario)
     run_id = f"r-{run_id or uuid.uuid4().hex}"
     log = read_parquet_or_none(spark, path)
-    start, seen = 0, None
+    shift = 0
     if log is not None:
         own = F.col(RUN) == run_id
         found = log.agg(
             F.min(F.when(own, F.col(cdc.OFFSET))).alias("mine"), F.max(F.when(~own, F.col(cdc.OFFSET))).alias("last"),
             F.max(F.when(~own, F.col("_ingestion_timestamp"))).alias("seen")).first()
-        if found["mine"] is not None:
-            start = found["mine"]
-        else:
-            start, seen = (-1 if found["last"] is None else found["last"]) + 1, found["seen"]
-    first = feed.agg(F.min(cdc.OFFSET), F.min("_ingestion_timestamp")).first()
-    if seen is not None and first[1] is not None and first[1] <= seen:
-        raise ValueError(f"The run starts at {first[1]}, not after the log's last ingestion time {seen}.")
+        first = feed.agg(F.min(cdc.OFFSET).alias("offset"), F.min("_ingestion_timestamp").alias("at")).first()
+        if found["mine"] is None and found["seen"] is not None and first["at"] is not None and first["at"] <= found["seen"]:
+            raise ValueError(f"The run starts at {first['at']}, not after the log's last ingestion time {found['seen']}.")
+        start = found["mine"] if found["mine"] is not None else (-1 if found["last"] is None else found["last"]) + 1
+        shift = start - (first["offset"] or 0)
     placed = feed.withColumns({
-        cdc.OFFSET: F.col(cdc.OFFSET) + F.lit(start - (first[0] or 0)),
+        cdc.OFFSET: F.col(cdc.OFFSET) + F.lit(shift),
         "_event_id": F.sha2(F.concat_ws(":", "_event_id", F.lit(run_id)), 256)})
     ordered = placed.repartitionByRange(cdc.OFFSET).sortWithinPartitions(cdc.OFFSET)
     ordered.write.mode("overwrite").parquet(f"{path}/{RUN}={run_id}")
