@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from contractflow.checks.queries import QUERIES  # noqa: E402
 from contractflow.model import MANUFACTURING, SALES  # noqa: E402
-from contractflow.operators import cdc  # noqa: E402
+from contractflow.operators import audit, cdc  # noqa: E402
 from contractflow.plans import batch, changes  # noqa: E402
 from contractflow.session import build_session, scratch_path  # noqa: E402
 from contractflow.sources import views  # noqa: E402
@@ -60,6 +60,9 @@ def main() -> None:
     timed("job_ingest_manufacturing", lambda: batch.ingest(made, MANUFACTURING, storage))
     timed("job_microbatch_3x200", lambda: batch.ingest_slices(
         views.sales(spark, FOLDER, first=600), SALES, storage, 200, 3).collect())
+    timed("job_microbatch_3x200_manufacturing", lambda: batch.ingest_slices(
+        made.where("_row <= 600"), MANUFACTURING, storage, 200, 3).collect())
+    timed("job_storage_audit", lambda: audit.storage_audit(spark, storage.areas()).collect())
     feed = cdc.change_feed(sales, sales, SALES, "2026-04-05T00:00:00+00:00", 5000.0, "burst", existing_count=rows)
     timed("job_write_change_log", lambda: changes.write_change_log(feed, storage, SALES, "burst"))
     timed("job_extract_log", lambda: changes.extract_by_log(spark, storage, SALES, "burst"))
