@@ -21,6 +21,11 @@ a fingerprint), so a group of many near copies never becomes all its pairs. The
 forests are joined into components with alternating large-star and small-star
 rounds, each written to the shared folder.
 
+**Near copies.** ``keep_one``, the pipeline's stage, links documents by the exact
+Jaccard similarity of their five-word shingles. At 0.8 two fingerprints differ in
+about ten of 64 bits, far beyond what trees can prune, so its candidates come
+from bands of minima of the shingle hashes and not from fingerprints.
+
 **Defined results.** A null or wordless text has fingerprint zero, which links
 like any other. Equal fingerprints share a node, so copies cost nothing in the
 search. Repeated rows each get a row. A null ``doc_id`` counts for no component
@@ -51,6 +56,10 @@ LEAF = 20_000
 BLOCK = 512
 #: Distances computed at once, which bounds a task's memory.
 CELLS = 1 << 22
+#: Near copies that ``keep_one`` removes: words of a shingle, and similarity of two shingle sets.
+WORDS, SIMILAR = 5, 0.8
+#: Minima of a signature: sets of similarity 0.8 agree on at least one whole band with 0.9995.
+BANDS, ROWS = 25, 6
 
 
 def text_fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -293,24 +302,123 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(grouped, "fingerprint").select("doc_id", "fingerprint", "node", "component_id")
 
 
+# -- near copies: five-word shingles, similarity of 0.8 ------------------------------------
+
+def _shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """The different shingle hashes of a text in order; a shorter text is one shingle."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array(
+        [digest(b" ".join(s), SEED) for s in zip(*[words[i:] for i in range(min(size, len(words)))])], np.uint64))
+
+
+def _signature(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The least product of the hashes with each factor, modulo 2^64."""
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(hashes), 2048):  # a long text is done in parts
+        np.minimum(least, (hashes[start:start + 2048, None] * factors).min(axis=0), out=least)
+    return least
+
+
+def _signed(texts: pa.Array, size: int, bands: int, rows: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Node (a digest of the shingle set), number of shingles and band keys of each text."""
+    factors = np.random.default_rng(SEED).integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    node, many, keys = [], [], []
+    for text in texts.to_pylist():
+        hashes = _shingle_hashes(text, size)
+        node.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
+        many.append(len(hashes))
+        parts = _signature(hashes, factors).reshape(bands, rows)
+        keys.append(np.array([xxhash.xxh64_intdigest(part.tobytes(), b) for b, part in enumerate(parts)], np.uint64).view(np.int64))
+    return (pa.array(np.array(node, np.uint64).view(np.int64), pa.int64()), pa.array(many, pa.int32()),
+            pa.array(keys, pa.list_(pa.int64())))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least the exact Jaccard similarity ``least``."""
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    return both.where(common >= F.lit(least) * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
+
+
+def _located(docs: DataFrame) -> DataFrame:
+    """Text with what tells one row from another: id, whether it is null, and the text's hash."""
+    return docs.select(
+        F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"),
+        F.xxhash64("text").alias("_hash"), "text")
+
+
+def near_copies(docs: DataFrame, size: int = WORDS, least: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(node, first, root) of every different shingle set: sets joined by a chain of similar pairs share ``root``.
+
+    ``first`` is the place (``no_id``, ``_id``, ``_hash``) of the set's first row. Candidates are sets that agree on a
+    whole band of minima; every link is then checked on the exact sets. First all sets
+    of a bucket are compared with its least and its largest one, so a large group of
+    copies costs two pairs a set. Sets of a bucket that this leaves in different
+    groups are then compared with each other.
+    """
+    schema = "_id long, _none boolean, _hash long, node long, many int, bands array<long>"
+
+    def sign(batches):
+        for batch in batches:
+            node, many, keys = _signed(batch.column(3), size, bands, rows)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], node, many, keys], ["_id", "_none", "_hash", "node", "many", "bands"])
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([_shingle_hashes(t, size).view(np.int64) for t in texts])
+
+    prints = staged(_located(docs).mapInArrow(sign, schema), "signatures")
+    place = F.struct(F.col("_none").alias("no_id"), "_id", "_hash")
+    nodes = staged(prints.groupBy("node").agg(F.min(F.struct(place.alias("first"), "many", "bands")).alias("x"))
+                   .select("node", "x.first", "x.many", "x.bands"), "nodes")
+    keys = staged(nodes.select("node", "many", F.explode("bands").alias("key")), "bands")
+    ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    shared = staged(salted_join(keys, ends, "key", F.col("node")), "buckets")
+
+    def sized(frame: DataFrame) -> DataFrame:  # sets of too different sizes can't be similar
+        few, more = F.least("many", "other_many"), F.greatest("many", "other_many")
+        return frame.where((F.col("node") != F.col("other")) & (few >= F.lit(least) * more)).select(
+            F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+
+    sizes = nodes.select(F.col("node").alias("other"), F.col("many").alias("other_many"))
+    wanted = staged(shared.select("node").distinct().join(nodes.select("node", "first"), "node")
+                    .select("node", F.col("first.no_id").alias("_none"), "first._id", "first._hash"), "wanted")
+    sets = staged(_located(docs).join(wanted, ["_id", "_none", "_hash"]).select("node", "text").dropDuplicates(["node"])
+                  .select("node", shingles("text").alias("shingles")), "sets")
+    stars = shared.select("node", "many", F.explode(F.array("low", "high")).alias("other")).distinct()
+    stars = staged(sized(stars.join(sizes, "other")), "pairs")
+    links = staged(_similar(stars, sets, least), "near")
+    roots = staged(components(links), "roots")
+
+    # Members of a bucket outside its largest group meet those of all its other groups.
+    placed = staged(shared.select("key", "node", "many").join(roots, "node", "left")
+                    .withColumn("root", F.coalesce("root", "node")), "placed")
+    groups = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = groups.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    apart = staged(salted_join(placed, mixed.select("key", F.col("top.root").alias("top")), "key", F.col("node")), "apart")
+    fewer = apart.where("root <> top").select("key", "node", "many", "root")
+    others = apart.select("key", F.col("node").alias("other"), F.col("many").alias("other_many"), F.col("root").alias("other_root"), "top")
+    crossed = fewer.join(others, "key").where("root <> other_root and (other_root = top or node < other)")
+    crossed = staged(sized(crossed).join(stars, ["a", "b"], "left_anti"), "pairs")
+    links = links.union(staged(_similar(crossed, sets, least), "near"))
+    return nodes.select("node", "first").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group, with the columns of ``docs``.
+    """One row of each group of near copies, with the columns of ``docs``.
 
     It is the row with the smallest ``doc_id`` (nulls last); rows that share it are
-    told apart by a hash of the text, and of equal rows one stays.
+    told apart by a hash of the text, and of equal rows one stays. Rows link when
+    their five-word shingles have a Jaccard similarity of 0.8 or more.
     """
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    prints = staged(
-        texts.select("doc_id", "text_hash", fingerprint("text").alias("fingerprint")), "fingerprints")
-    nodes = staged(
-        prints.groupBy("fingerprint")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")), "nodes")
-    roots = components(fingerprint_links(nodes))
     kept = (
-        nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
-        .groupBy(F.coalesce("root", "fingerprint").alias("node")).agg(F.min("first").alias("first"))
-        .select(F.coalesce("first.doc_id", F.lit(0)).alias("_id"), F.col("first.no_id").alias("_none"),
-                F.col("first.text_hash").alias("_hash")).distinct())
+        near_copies(docs).groupBy("root").agg(F.min("first").alias("first"))
+        .select("first._id", F.col("first.no_id").alias("_none"), "first._hash").distinct())
     marked = packed(docs).select(
         "doc", F.coalesce("doc.doc_id", F.lit(0)).alias("_id"), F.col("doc.doc_id").isNull().alias("_none"),
         F.xxhash64("doc.text").alias("_hash"))

@@ -107,6 +107,66 @@ def test_simhash_odd_rows(odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_one(no_docs).count() == 0
 
 
+def five_word_sets(docs):
+    sets = {}
+    for r in rows_of(docs):
+        words = (r["text"] or "").lower().split()
+        sets[r["doc_id"]] = {" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    return sets
+
+
+def similar_pairs(sets):
+    """All pairs of Jaccard similarity 0.8 or more that share a shingle."""
+    posts, common = defaultdict(list), Counter()
+    for d, s in sorted(sets.items()):
+        for x in s:
+            common.update((e, d) for e in posts[x])
+            posts[x].append(d)
+    return {(a, b) for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)}
+
+
+def smallest_of_group(ids, pairs):
+    up = {i: i for i in ids}
+    for a, b in pairs:
+        while up[a] != a:
+            a = up[a]
+        while up[b] != b:
+            b = up[b]
+        up[max(a, b)] = min(a, b)
+    return {i for i in ids if up[i] == i}
+
+
+def test_keep_one_removes_five_word_near_copies(spark):
+    """Planted copies with some words changed, on both sides of 0.8, and one large group of them."""
+    draw, docs = random.Random(4), []
+    for _ in range(60):
+        base = [f"w{draw.randrange(5000)}" for _ in range(draw.choice([40, 200, 900]))]
+        for changes in (0, 1, len(base) // 90, len(base) // 60, len(base) // 45, len(base) // 30):
+            copy = list(base)
+            for at in draw.sample(range(len(base)), changes):
+                copy[at] = f"x{draw.randrange(10**9)}"
+            docs.append(" ".join(copy))
+    base = [f"v{i}" for i in range(300)]
+    for i in range(150):
+        copy = list(base)
+        copy[draw.randrange(300)] = f"y{i}"
+        copy[draw.randrange(300)] = f"z{i}"
+        docs.append(" ".join(copy))
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    sets = five_word_sets(frame)
+    expected = smallest_of_group(sets, similar_pairs(sets))
+    assert {r["doc_id"] for r in rows_of(simhash.keep_one(frame))} == expected
+
+
+def test_keep_one_on_given_documents(spark):
+    docs = table(spark, SMALL, "documents")
+    sets = five_word_sets(docs)
+    full = {d: s for d, s in sets.items() if s}
+    expected = smallest_of_group(full, similar_pairs(full)) | {min(d for d, s in sets.items() if not s)} if len(full) < len(sets) else (
+        smallest_of_group(full, similar_pairs(full)))
+    assert {r["doc_id"] for r in rows_of(simhash.keep_one(docs))} == expected
+
+
 # -- sharding --------------------------------------------------------------------------------
 
 def least_capacity(sizes, shards):
