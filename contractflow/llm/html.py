@@ -13,6 +13,10 @@ main element), or other. Slots that are neither are judged by the share of their
 text that is links, summed over the host. A page's text is that of its main slots,
 or, on a page without any, of the other slots that aren't mostly links.
 
+An element whose class, id or tag names boilerplate is layout if it holds most of
+the page's text and parts of its own (``<div class="has-sidebar">`` or a form around
+the page): its own mark then doesn't count, those of the elements inside do.
+
 Tags that are not closed are closed as browsers do for paragraphs, list items and
 table parts. A block ends at every block-level tag; ``<br>`` is white space.
 
@@ -70,6 +74,7 @@ BOILERPLATE = frozenset(
     "gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share "
     "sharing social related recommended recommendations comment comments disqus reply replies respond pagination pager "
     "toolbar copyright disclaimer paywall complementary contentinfo search form dialog".split())
+NEVER_LAYOUT = frozenset("nav footer aside article".split())
 COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 HEADERS = frozenset("header masthead".split())
 MAIN = frozenset("article main".split())
@@ -77,7 +82,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def label(tag: str, attributes: str) -> str:
-    """A tag's name with what its attributes tell: ``!`` boilerplate, ``^`` header, ``=`` main."""
+    """A tag's name with what its attributes tell: ``!`` boilerplate, ``!!`` comments, ``^`` header."""
     if not attributes or tag in ("html", "body"):
         return tag
     words, role = set(), ""
@@ -90,7 +95,7 @@ def label(tag: str, attributes: str) -> str:
         return "main"
     if tag == "article":
         return "article!" if words & COMMENTS else tag
-    return tag + ("!" if words & BOILERPLATE else "^" if words & HEADERS else "")
+    return tag + ("!!" if words & COMMENTS else "!" if words & BOILERPLATE else "^" if words & HEADERS else "")
 
 
 def read(page: str) -> Iterator[tuple[str, str | tuple[str, ...]]]:
@@ -255,12 +260,16 @@ def expression(wrapper: list) -> str:
     return "".join(parts)
 
 
-def role(path: tuple) -> str:
-    """What a slot's path says: "main", "boilerplate" or "other"."""
+def marked(name: str) -> bool:
+    return name.endswith("!") or name in BOILERPLATE_TAGS
+
+
+def role(path: tuple, layout: frozenset = frozenset()) -> str:
+    """What a slot's path says: "main", "boilerplate" or "other". Elements in ``layout`` don't count as boilerplate."""
     inside, header = False, False
-    for name in path:
+    for depth, name in enumerate(path, 1):
         tag = name.rstrip("!^")
-        if name.endswith("!") or tag in BOILERPLATE_TAGS:
+        if (marked(name) or tag in BOILERPLATE_TAGS) and path[:depth] not in layout:
             return "boilerplate"
         header |= tag in HEADERS or name.endswith("^")
         inside |= name in MAIN
@@ -269,6 +278,42 @@ def role(path: tuple) -> str:
     return "main" if inside else "other"
 
 
+def layouts(events: list) -> frozenset:
+    """Paths of elements that are marked as boilerplate but hold the page: most of its text, and parts of its own.
+
+    Parts are an article, a heading or marked elements. Comments and menus, footers and asides by tag are never layout.
+    """
+    opened: list[list] = []  # label, text characters, has parts
+    found, total, path = [], 0, ()
+
+    def shut(depth: int) -> None:
+        while len(opened) > depth:
+            name, size, parts = opened.pop()
+            if opened:
+                opened[-1][1] += size
+                opened[-1][2] |= parts or name in MAIN or name in HEADINGS or marked(name)
+            if parts and marked(name) and not name.endswith("!!") and name.rstrip("!") not in NEVER_LAYOUT:
+                found.append((path[:len(opened) + 1], size))
+
+    for kind, value in events:
+        if kind == "path":
+            same = 0
+            while same < min(len(path), len(value)) and path[same] == value[same]:
+                same += 1
+            if same == len(value) == len(path) and same:
+                same -= 1
+            shut(same)
+            path = value
+            opened.extend([name, 0, False] for name in value[same:])
+        elif kind == "text":
+            size = len(value.strip())
+            total += size
+            if opened:
+                opened[-1][1] += size
+    shut(0)
+    return frozenset(p for p, size in found if 2 * size > total)
+
+
 # -- Spark ----------------------------------------------------------------------------------
 
 def _host(url: str | None) -> str:
@@ -331,6 +376,7 @@ class Roles:
 
     def __init__(self, packed: str):
         wrapper, sizes = _unpacked(packed)
+        self.sizes = sizes
         self.main, self.other = set(), set()
         for path in slots(wrapper):
             kind, (text, links) = role(path), sizes.get(path, [0, 0])
@@ -343,11 +389,22 @@ class Roles:
         main, other = self._blocks(page)
         return "\n\n".join(main or other)
 
+    def _into(self, layout: frozenset):
+        """Where the text of a path goes: 0 main, 1 other, None nowhere."""
+        def into(path: tuple) -> int | None:
+            if layout and any(path[:len(x)] == x for x in layout):
+                kind = role(path, layout)
+                text, links = self.sizes.get(path, [0, 0])
+                return 0 if kind == "main" else 1 if kind == "other" and links <= MENU * text else None
+            return 0 if path in self.main else 1 if path in self.other else None
+        return into
+
     def _blocks(self, page: str) -> tuple[list[str], list[str]]:
         found: tuple[list[str], list[str]] = ([], [])
         open_: tuple[list[str], list[str]] = ([], [])
-        path: tuple = ()
-        into = 1 if path in self.other else None
+        events = list(read(page))
+        place = self._into(layouts(events))
+        into = place(())
 
         def flush():
             for blocks, parts in zip(found, open_):
@@ -357,13 +414,12 @@ class Roles:
                         blocks.append(block)
                     parts.clear()
 
-        for kind, value in read(page):
+        for kind, value in events:
             if kind == "text":
                 if into is not None:
                     open_[into].append(value)
             elif kind == "path":
-                path = value
-                into = 0 if path in self.main else 1 if path in self.other else None
+                into = place(value)
             elif value == "br":
                 for parts in open_:
                     if parts:

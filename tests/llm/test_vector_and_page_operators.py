@@ -177,6 +177,23 @@ def test_page_with_all_kinds_of_boilerplate(spark):
     assert html.main_texts(frame.where("false")).count() == 0
 
 
+def test_layout_wrappers_keep_the_main_text(spark):
+    inside = ('<nav><a href=1>Home</a></nav><article><h1>Title</h1><p>Long text of the page itself</p><div class="share">Share'
+              '</div></article><div class="sidebar"><p>side</p></div><section id="comments"><h2>So many</h2><p>%s</p></section>' % "words")
+    plain = '<h1>Title</h1><div class="text"><p>Long text of the page itself</p></div><div class="promo"><p>buy</p></div>'
+    rows = [
+        (1, f'<div id=page class="has-sidebar">{inside}</div>'), (2, f'<div class="no-sidebar"><div class=with-menu>{inside}</div></div>'),
+        (3, f'<form action=x>{inside}</form>'), (4, f'<form action=x>{plain}</form><p>skip</p>'), (5, f'<body>{inside}</body>'),
+        (6, f'<main><h2>Top</h2><div class="with-widgets">{plain}</div></main>'),
+        (7, '<p>Own text</p><section id="comments"><h2>All</h2><p>Far more text of people who comment on the page</p></section>'),
+        (8, '<p>Own text</p><div class="ad">An advert with far more text than the page</div>')]
+    frame = spark.createDataFrame([(i, f"http://h{i}.example/", h) for i, h in rows], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in rows_of(html.main_texts(frame))}
+    text = "Title\n\nLong text of the page itself"
+    assert [got[i] for i in (1, 2, 3, 5)] == [text] * 4
+    assert got[4] == text + "\n\nskip" and got[6] == "Top\n\n" + text and got[7] == got[8] == "Own text"
+
+
 def test_pages_query(spark):
     """The given pages keep their text in an article, whose parts are told apart by patterns here."""
     import re
