@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractflow.llm import hnsw, html, langid, mixing, negatives, pieces, sharding, simhash, topk, toxicity, warc
+from contractflow.llm import hnsw, html, langid, mixing, negatives, pieces, resampling, sharding, simhash, topk, toxicity, warc
 from contractflow.llm.common import bound_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +110,50 @@ def op10_html(spark, folder):
     return html.main_texts(table(spark, folder, "pages"))
 
 
+@query
+def op12_resampling(spark, folder):
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLE["op12_resampling"] = """
+WITH RECURSIVE crc AS (
+  SELECT list(CAST(c AS BIGINT) ORDER BY i) AS steps FROM (
+    SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k:
+      CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+texts AS (
+  SELECT 1 AS side, doc_id, row_number() OVER () AS row, text FROM documents
+  UNION ALL SELECT 2, NULL, NULL, text FROM benchmark),
+cut AS (
+  SELECT side, doc_id, row, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM texts),
+counted AS (SELECT side, row, word, count(*) AS n FROM cut GROUP BY ALL),
+hashed AS (
+  SELECT word, xor(list_reduce(
+    list_concat([4294967295], list_transform(range(strlen(word)), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM counted), crc),
+totals AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 1), 0) AS s, coalesce(sum(n) FILTER (side = 2), 0) AS t
+  FROM counted JOIN hashed USING (word) GROUP BY bucket),
+whole AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM totals),
+gained AS (
+  SELECT bucket, CAST(floor(1000 * ln((totals.t + 1)::DOUBLE * (whole.s + 10000) / ((totals.s + 1)::DOUBLE * (whole.t + 10000)))) AS BIGINT)
+    AS gain FROM totals, whole),
+weights AS (
+  SELECT row, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight
+  FROM counted JOIN hashed USING (word) JOIN gained USING (bucket) WHERE side = 1 GROUP BY row),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+    (CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM texts LEFT JOIN weights USING (row) WHERE side = 1),
+numbered AS (
+  SELECT *, n_features >= 20 AS able, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+    10 * count(*) FILTER (n_features >= 20) OVER () // 100 AS quota FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= quota THEN place END AS rank FROM numbered
+"""
+
+
 @query
 def op13_hard_negatives(spark, folder):
     return negatives.hard_negatives(table(spark, folder, "embeddings"))
