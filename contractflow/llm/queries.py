@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contractflow.llm import hnsw, html, langid, mixing, negatives, pieces, resampling, sharding, simhash, topk, toxicity, warc
+from contractflow.llm import classlm, hnsw, html, langid, mixing, negatives, pieces, resampling, sharding, simhash, topk, toxicity, warc
 from contractflow.llm.common import bound_batches, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +110,11 @@ def op10_html(spark, folder):
     return html.main_texts(table(spark, folder, "pages"))
 
 
+@query
+def op11_class_lm(spark, folder):
+    return classlm.score_texts(table(spark, folder, "documents"))
+
+
 @query
 def op12_resampling(spark, folder):
     return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
