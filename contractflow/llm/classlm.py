@@ -151,7 +151,8 @@ def best_class(matrix: np.ndarray, own: int, left: np.ndarray, right: np.ndarray
     gain = (_phi(into + left[at_left, None]) - _phi(into)).sum(0) + (_phi(out + right[None, at_right]) - _phi(out)).sum(1)
     # The cell of a class with itself takes both sides and the word's own pairs at once.
     gain += _phi(cell + left + right + self_pairs) - _phi(cell + left) - _phi(cell + right) + _phi(cell)
-    for total, n in ((m.sum(0), left.sum() + self_pairs), (m.sum(1), right.sum() + self_pairs)):
+    # The classes beside the word get its pairs back wherever it goes.
+    for total, n in ((m.sum(0) + right, left.sum() + self_pairs), (m.sum(1) + left, right.sum() + self_pairs)):
         gain -= _phi(total + n) - _phi(total)
     gain[[RARE, END]] = -np.inf
     best = int(gain.argmax())

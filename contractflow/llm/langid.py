@@ -86,7 +86,8 @@ class Model:
             counts = np.array([n for _, n in found], dtype=np.float64).reshape(len(found), len(languages))
             smooth = counts + SMOOTH
             self.known[size] = {gram: i for i, (gram, _) in enumerate(found)}
-            self.logs[size] = np.log(smooth / smooth.sum(axis=0)) if len(found) else smooth
+            # One more gram stands for all unseen ones, so a lone gram still tells languages apart.
+            self.logs[size] = np.log(smooth / (smooth.sum(axis=0) + SMOOTH)) if len(found) else smooth
 
     def unseen(self, word: str) -> np.ndarray:
         for size in (4, 3, 2, 1):

@@ -111,7 +111,7 @@ class Shard:
             seen[self.order[up, start:stop].ravel()] = True
             seen[self.order[down, n - stop:n - start].ravel()] = True
             new = np.flatnonzero(seen & ~before)
-            yield new, _fitting(x[new] @ anchor)
+            yield new, x[new] @ anchor
             if len(new) and seen.all():
                 return
             last_up, last_down = self.order[up, stop - 1], self.order[down, n - stop]
@@ -169,8 +169,9 @@ def _search(batches, sent, bests, same: bool):
             for rows, scores in shard.walk(anchor["vector"], lambda t: all(b.done(t) for b in best)):
                 fit = (shard.labels[rows] == anchor["label"]) == same
                 fit &= shard.ids[rows] != anchor["vec_id"]
+                scores, ids = _fitting(scores[fit]), shard.ids[rows[fit]]
                 for b in best:
-                    b.add(scores[fit], shard.ids[rows[fit]])
+                    b.add(scores, ids)
     rows = [(i, n, b.ids, b.scores) for i, best in enumerate(held) for n, b in enumerate(best) if len(b.ids)]
     for start in range(0, len(rows), 4096):
         part = rows[start:start + 4096]
