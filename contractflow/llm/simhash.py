@@ -39,7 +39,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -357,8 +357,8 @@ def near_copies(docs: DataFrame, size: int = WORDS, least: float = SIMILAR, band
     ``first`` is the place (``no_id``, ``_id``, ``_hash``) of the set's first row. Candidates are sets that agree on a
     whole band of minima; every link is then checked on the exact sets. First all sets
     of a bucket are compared with its least and its largest one, so a large group of
-    copies costs two pairs a set. Sets of a bucket that this leaves in different
-    groups are then compared with each other.
+    copies costs two pairs a set. Buckets that this leaves in several groups form
+    families, which ``_family_links`` joins on what sets differ in.
     """
     schema = "_id long, _none boolean, _hash long, node long, many int, bands array<long>"
 
@@ -379,36 +379,92 @@ def near_copies(docs: DataFrame, size: int = WORDS, least: float = SIMILAR, band
     keys = staged(nodes.select("node", "many", F.explode("bands").alias("key")), "bands")
     ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     shared = staged(salted_join(keys, ends, "key", F.col("node")), "buckets")
-
-    def sized(frame: DataFrame) -> DataFrame:  # sets of too different sizes can't be similar
-        few, more = F.least("many", "other_many"), F.greatest("many", "other_many")
-        return frame.where((F.col("node") != F.col("other")) & (few >= F.lit(least) * more)).select(
-            F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-
-    sizes = nodes.select(F.col("node").alias("other"), F.col("many").alias("other_many"))
+    sizes = nodes.select(F.col("node").alias("b"), F.col("many").alias("many_b"))
     wanted = staged(shared.select("node").distinct().join(nodes.select("node", "first"), "node")
                     .select("node", F.col("first.no_id").alias("_none"), "first._id", "first._hash"), "wanted")
     sets = staged(_located(docs).join(wanted, ["_id", "_none", "_hash"]).select("node", "text").dropDuplicates(["node"])
                   .select("node", shingles("text").alias("shingles")), "sets")
-    stars = shared.select("node", "many", F.explode(F.array("low", "high")).alias("other")).distinct()
-    stars = staged(sized(stars.join(sizes, "other")), "pairs")
+    stars = shared.select(F.col("node").alias("a"), "many", F.explode(F.array("low", "high")).alias("b")).where("a <> b").distinct()
+    # Sets of too different sizes can't be similar.
+    stars = staged(stars.join(sizes, "b").where(F.least("many", "many_b") >= F.lit(least) * F.greatest("many", "many_b")).select("a", "b"), "pairs")
     links = staged(_similar(stars, sets, least), "near")
-    roots = staged(components(links), "roots")
-
-    # Members of a bucket outside its largest group meet those of all its other groups.
-    placed = staged(shared.select("key", "node", "many").join(roots, "node", "left")
-                    .withColumn("root", F.coalesce("root", "node")), "placed")
-    groups = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = groups.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-    apart = staged(salted_join(placed, mixed.select("key", F.col("top.root").alias("top")), "key", F.col("node")), "apart")
-    fewer = apart.where("root <> top").select("key", "node", "many", "root")
-    others = apart.select("key", F.col("node").alias("other"), F.col("many").alias("other_many"), F.col("root").alias("other_root"), "top")
-    crossed = fewer.join(others, "key").where("root <> other_root and (other_root = top or node < other)")
-    crossed = staged(sized(crossed).join(stars, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(staged(_similar(crossed, sets, least), "near"))
+    rooted = shared.select("key", "node", "low", "many").join(staged(components(links), "roots"), "node", "left")
+    placed = staged(rooted.withColumn("root", F.coalesce("root", "node")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
+    apart = staged(salted_join(placed, mixed, "key", F.col("node")).select("node", "low", "many", "root").distinct(), "apart")
+    families = staged(components(apart.select(F.col("node").alias("a"), F.col("low").alias("b")).where("a <> b")), "families")
+    members = apart.select("node", "many", "root").distinct().join(families.withColumnRenamed("root", "family"), "node")
+    links = _family_links(staged(members, "members"), sets, links, least)
     return nodes.select("node", "first").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _family_links(members: DataFrame, sets: DataFrame, links: DataFrame, least: float) -> DataFrame:
+    """``links`` and those that connect what is still apart in the families of ``members``.
+
+    A family's core T holds the shingles of more than half its sets; what a set x
+    differs in from T is r(x). The symmetric difference of two sets is that of r(x)
+    and r(y), so with share = (1 - least) / (1 + least) and a(x) = |r(x)| - share * |x|
+    they are similar just when a(x) + a(y) <= 2 * |r(x) & r(y)|. Hence
+
+    - all sets that are similar to any other without common differences are similar
+      to the family's hub, the set with the least a;
+    - of the others, e(x) counts the differences that another set has too, and no
+      set is similar to x where a(x) + a(y) exceeds twice the smaller e;
+    - what passes has to share one of its rarest differences: all but as many as
+      it needs in common with the hub, less one.
+
+    Near copies around one text differ from it each in their own way, so few sets pass
+    the second test, however many the family has. Every pair is checked exactly.
+    """
+    share, slack = (1 - least) / (1 + least), 1e-6
+    items = staged(members.select("family", "node").join(sets, "node").select("family", "node", F.explode("shingles").alias("s")), "items")
+    total = members.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
+    known = items.groupBy("family", "s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(total, "family")
+    known = staged(known.withColumn("core", F.expr("2 * n > m")).select(
+        "family", "s", "core", F.expr("CASE WHEN core THEN m - n ELSE n END").alias("others")), "differences")
+    core = known.where("core").groupBy("family").agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col("others") == 1).alias("t1"))
+    place = F.xxhash64("family", "s")
+    met = salted_join(items.withColumn("fs", place), known.withColumn("fs", place).withColumnRenamed("family", "f").withColumnRenamed("s", "z"),
+                      "fs", F.col("node")).where("family = f AND s = z").select("family", "node", "s", "core", "others")
+    met = staged(met, "met")
+    own = met.groupBy("node").agg(F.count_if("core").alias("c"), F.count_if(F.expr("core AND others = 1")).alias("c1"),
+                                  F.count_if(F.expr("NOT core")).alias("shared"))
+    # Differences another set has too: shingles outside the core, and core shingles missing in more sets than this one.
+    measured = (
+        members.join(own, "node", "left").join(core, "family", "left").na.fill(0, ["c", "c1", "shared", "t", "t1"])
+        .withColumn("a", F.expr(f"many + t - 2 * c - {share!r} * many"))
+        .withColumn("e", F.expr("shared + (t - c) - (t1 - c1)")))
+    measured = staged(measured.select("family", "node", "many", "root", "a", "e"), "measured")
+    hubs = measured.groupBy("family").agg(
+        F.min(F.struct("a", "node", "root", "e")).alias("hub"), F.max(F.expr("2 * e - a")).alias("reach"))
+    at_hub = measured.join(hubs, "family").where(
+        f"root <> hub.root AND a + hub.a <= 2 * least(e, hub.e) + {slack} OR root <> hub.root AND a + hub.a <= {slack}")
+    near = staged(_similar(at_hub.select(F.col("node").alias("a"), F.col("hub.node").alias("b")), sets, least), "near")
+    links = staged(links.unionByName(near), "near")
+
+    roots = staged(components(links), "roots")
+    again = measured.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    tops = again.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max(F.struct("n", "root")).alias("top"))
+    able = again.join(tops, "family").join(hubs, "family").where(f"a <= reach + {slack} AND hub.a <= 2 * e - a + {slack}").select(
+        "family", "node", "many", "root", "a", "e", F.col("top.root").alias("top"),
+        F.greatest(F.lit(1), F.ceil((F.col("a") + F.col("hub.a")) / 2 - slack)).alias("needs"))
+    able = staged(able, "able")
+    open_families = able.where("root <> top").select("family").distinct()
+    able = able.join(open_families, "family", "left_semi")
+    missing = able.select("family", "node").join(known.where("core AND others > 1").select("family", "s", "others"), "family").join(
+        met.where("core").select("node", "s"), ["node", "s"], "left_anti").select("family", "node", "s", "others", F.lit(True).alias("lacks"))
+    extra = met.where("NOT core").join(able.select("node"), "node", "left_semi").select("family", "node", "s", "others", F.lit(False).alias("lacks"))
+    order = Window.partitionBy("node").orderBy("others", "s", "lacks")
+    prefix = missing.unionByName(extra).withColumn("at", F.row_number().over(order)).join(able.drop("family"), "node").where("at <= e - needs + 1")
+    prefix = staged(prefix.select("family", "s", "lacks", "node", "many", "root", "a", "e", "top"), "prefix")
+    few = prefix.where("root <> top").withColumn("few", F.lit(True)).alias("x")
+    met_again = few.join(prefix.alias("y"), ["family", "s", "lacks"]).where(
+        f"x.root <> y.root AND (y.root = x.top OR x.node < y.node) AND x.a + y.a <= 2 * least(x.e, y.e) + {slack} "
+        f"AND least(x.many, y.many) >= {least!r} * greatest(x.many, y.many)")
+    crossed = staged(met_again.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
+    return links.unionByName(staged(_similar(crossed, sets, least), "near"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies, with the columns of ``docs``.
 
@@ -423,4 +479,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
         "doc", F.coalesce("doc.doc_id", F.lit(0)).alias("_id"), F.col("doc.doc_id").isNull().alias("_none"),
         F.xxhash64("doc.text").alias("_hash"))
     chosen = marked.join(kept, ["_id", "_none", "_hash"], "left_semi")
-    return chosen.dropDuplicates(["_id", "_none", "_hash"]).select("doc.*")
+    # Rows that share id and text but differ elsewhere: the least one by all columns, whatever order they come in.
+    least = F.to_json(F.col("doc").dropFields("text"))
+    return chosen.groupBy("_id", "_none", "_hash").agg(F.min_by("doc", least).alias("doc")).select("doc.*")

@@ -158,6 +158,40 @@ def test_keep_one_removes_five_word_near_copies(spark):
     assert {r["doc_id"] for r in rows_of(simhash.keep_one(frame))} == expected
 
 
+def test_keep_one_within_families_around_the_threshold(spark):
+    """Sets on all sides of 0.8 around two texts, some alike only by differences they share, and a text all begin with."""
+    draw, docs = random.Random(9), []
+    for b in range(2):
+        base = [f"b{b}w{i}" for i in range(150)]
+        docs.append(" ".join(base))
+        for i in range(140):
+            copy = list(base)
+            for at in draw.sample(range(150), draw.randrange(1, 12)):
+                copy[at] = f"x{b}-{i}-{at}" if draw.random() < 0.8 else f"common{at}"
+            docs.append(" ".join(copy))
+        for i in range(12):  # far from the base in the same way
+            copy = [f"far{i % 3}-{at}" if at % 9 == i % 3 else w for at, w in enumerate(base)]
+            copy[draw.randrange(150)] = f"z{b}-{i}"
+            docs.append(" ".join(copy))
+    docs += [" ".join([f"b0w{i}" for i in range(60)] + [f"t{j}-{i}" for i in range(draw.randrange(1, 60))]) for j in range(40)]
+    draw.shuffle(docs)
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    sets = five_word_sets(frame)
+    expected = smallest_of_group(sets, similar_pairs(sets))
+    assert 30 < len(expected) < 250
+    assert {r["doc_id"] for r in rows_of(simhash.keep_one(frame))} == expected
+
+
+def test_rows_alike_in_id_and_text_keep_the_same_one(spark):
+    rows = [(1, "a b c", s, n) for s in "xyz" for n in (3, 1, 2)]
+    draw, found = random.Random(3), set()
+    for _ in range(3):
+        draw.shuffle(rows)
+        frame = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(3)
+        found |= {tuple(r) for r in simhash.keep_one(frame).collect()}
+    assert found == {(1, "a b c", "x", 1)}
+
+
 def test_keep_one_on_given_documents(spark):
     docs = table(spark, SMALL, "documents")
     sets = five_word_sets(docs)
