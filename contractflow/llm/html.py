@@ -7,19 +7,30 @@ regular expression without unions that covers all its pages. Wrappers are merged
 pairwise, first within a task and then between tasks, so all pages shape them and
 no task holds a host's pages.
 
+A text is part of the alignment too: where all pages of a host have the same text in
+the same place, that text is template, else the place is a slot. Template texts are
+no page's own and are left out, but for headings and on hosts with fewer than
+``PAGES`` different pages, where what is equal may be chance.
+
 Each slot of a wrapper gets a role from its path: boilerplate (menus, headers,
 footers, sidebars, notices, adverts, forms, comments), main (inside an article or
 main element), or other. Slots that are neither are judged by the share of their
 text that is links, summed over the host. A page's text is that of its main slots,
 or, on a page without any, of the other slots that aren't mostly links.
 
-An element whose class, id or tag names boilerplate is layout if it holds most of
+A class or id names boilerplate inside an article only if all its words do
+(``share-buttons``, but not ``alert-level``); elsewhere one word is enough. An element
+whose class, id or tag names boilerplate is layout if it holds most of
 the page's text and parts of its own (``<div class="has-sidebar">`` or a form around
 the page): its own mark then doesn't count, those of the elements inside do.
 
 Tags that are not closed are closed as browsers do for paragraphs, list items and
 table parts. A block ends at every block-level tag; ``<br>`` is white space.
 
+Elements nested deeper than ``DEPTH`` count as lying side by side there, with the
+marks of those between; lists of neighbours too long to align side by side are
+merged by label. Reading takes time in proportion to the page.
+
 **Defined results.** A null page is empty and has an empty text, and so has a page
 without main text. A null url is host "". Repeated rows each get a row. An empty
 table gives no rows. Other columns are not looked at.
@@ -27,6 +38,8 @@ table gives no rows. Other columns are not looked at.
 
 import json
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -43,17 +56,25 @@ BROADCAST_BYTES = 32 << 20
 HELD = 2_000
 #: Share of link text from which a slot outside main elements counts as a menu.
 MENU = 0.6
+#: Levels of nesting that paths tell apart.
+DEPTH = 90
+#: Neighbours of both sides, multiplied, up to which they are aligned one by one.
+CELLS = 100_000
+#: Different pages of a host from which equal texts count as template.
+PAGES = 4
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
+UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg canvas math textarea select title".split())
+RAW = frozenset("script style noscript template iframe textarea select title".split())
+RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th "
@@ -75,6 +96,12 @@ BOILERPLATE = frozenset(
     "sharing social related recommended recommendations comment comments disqus reply replies respond pagination pager "
     "toolbar copyright disclaimer paywall complementary contentinfo search form dialog".split())
 NEVER_LAYOUT = frozenset("nav footer aside article".split())
+ADVERTS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion".split())
+#: Words that add nothing to a class or id whose other words name boilerplate.
+NEUTRAL = frozenset(
+    "area articles bar block bottom box button buttons container content group icon icons inner item items left link links "
+    "list main outer page panel post posts primary right row secondary section site slot text title top unit wrap wrapper".split())
 COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 HEADERS = frozenset("header masthead".split())
 MAIN = frozenset("article main".split())
@@ -82,30 +109,54 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 def label(tag: str, attributes: str) -> str:
-    """A tag's name with what its attributes tell: ``!`` boilerplate, ``!!`` comments, ``^`` header."""
+    """A tag's name with what its attributes tell: ``!`` boilerplate, ``~`` perhaps, ``!!`` comments, ``^`` header."""
     if not attributes or tag in ("html", "body"):
         return tag
-    words, role = set(), ""
+    words, whole, role = set(), False, ""
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value = a or b or c
-        words.update(w.lower() for w in TOKENS.findall(value))
+        for token in value.split():
+            parts = {w.lower() for w in TOKENS.findall(token)}
+            words |= parts
+            whole |= bool(parts & BOILERPLATE) and parts <= BOILERPLATE | NEUTRAL
         if name.lower() == "role":
             role = value.strip().lower()
     if tag == "main" or role == "main":
         return "main"
     if tag == "article":
-        return "article!" if words & COMMENTS else tag
-    return tag + ("!!" if words & COMMENTS else "!" if words & BOILERPLATE else "^" if words & HEADERS else "")
+        return "article!" if words & (COMMENTS | ADVERTS) else tag
+    perhaps = words & BOILERPLATE
+    return tag + ("!!" if whole and words & COMMENTS else "!" if whole else "~" if perhaps else "^" if words & HEADERS else "")
+
+
+def kind(name: str) -> set[str]:
+    """What remains of a deeply nested element in the paths below it: its mark, or its part in judging text."""
+    tag = name.rstrip("!^~")
+    if name in MAIN or tag in BOILERPLATE_TAGS or tag in HEADERS:
+        return {name if name in MAIN else tag}
+    return {"h1"} if name in HEADINGS else {"div" + name[len(tag):]} if name != tag else set()
+
+
+def shown(stack: list[tuple[str, str, frozenset]]) -> tuple[str, ...]:
+    """The path of labels; of a very deep one the upper part, the kinds of elements below it, and the last label."""
+    if len(stack) <= DEPTH:
+        return tuple(x[1] for x in stack)
+    return (*(x[1] for x in stack[:DEPTH - 1]), *sorted(stack[-2][2]), stack[-1][1])
 
 
 def read(page: str) -> Iterator[tuple[str, str | tuple[str, ...]]]:
     """Events of a page: ("text", text) under the path last given, ("path", labels), ("break", tag)."""
-    stack: list[tuple[str, str]] = []
-    at, low, end = 0, page.lower(), len(page)
+    stack: list[tuple[str, str, frozenset]] = []  # tag, label, kinds of the deep elements down to it
+    at, end, last = 0, len(page), page.rfind(">") + 1
+
+    inside: Counter = Counter()  # open elements by tag
 
     def close(kinds, stops) -> bool:
+        if not any(inside[k] for k in kinds):
+            return False
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in kinds:
+                inside.subtract(x[0] for x in stack[i:])
                 del stack[i:]
                 return True
             if stack[i][0] in stops:
@@ -113,13 +164,17 @@ def read(page: str) -> Iterator[tuple[str, str | tuple[str, ...]]]:
         return False
 
     while at < end:
-        match = TOKEN.search(page, at)
+        # Behind the last ">" nothing is left to look for but a tag or comment that never ends.
+        match = TOKEN.search(page, at, last) if at < last else None
         if match is None:
-            yield "text", page[at:]
+            unfinished = UNFINISHED.search(page, at)
+            yield "text", page[at:unfinished.start() if unfinished else end]
             return
         if match.start() > at:
             yield "text", page[at:match.start()]
         at = match.end()
+        if at == last and match.group().startswith("<!--") and not match.group().endswith("-->"):
+            return
         closing, tag, attributes = match.group(1, 2, 3) if match.group(2) else match.group(4, 5, 6)
         if tag is None:
             continue
@@ -128,12 +183,12 @@ def read(page: str) -> Iterator[tuple[str, str | tuple[str, ...]]]:
             if tag in BLOCK:
                 yield "break", tag
             if close({tag}, ()):
-                yield "path", tuple(x for _, x in stack)
+                yield "path", shown(stack)
             continue
         if tag in RAW and not attributes.endswith("/"):
-            shut = low.find(f"</{tag}", at)
-            shut = end if shut < 0 else low.find(">", shut)
-            at = end if shut < 0 else min(end, shut + 1)
+            shut = RAW_END[tag].search(page, at)
+            shut = page.find(">", shut.start()) if shut else -1
+            at = end if shut < 0 else shut + 1
             continue
         if tag in BLOCK or tag == "br":
             yield "break", tag
@@ -142,11 +197,19 @@ def read(page: str) -> Iterator[tuple[str, str | tuple[str, ...]]]:
         moved = tag in CLOSES_P and close({"p"}, {"table", "td", "th", "button", "object"})
         if tag in CLOSES:
             moved |= close(*CLOSES[tag])
-        stack.append((tag, label(tag, attributes)))
-        yield "path", tuple(x for _, x in stack)
+        name, deep = label(tag, attributes), frozenset()
+        if len(stack) >= DEPTH - 1:
+            deep = stack[-1][2] | kind(name)
+        stack.append((tag, name, deep))
+        inside[tag] += 1
+        yield "path", shown(stack)
+
+
+# -- wrappers: (optional, repeated, label, children); texts have the label "#", and template texts their digest as child ----
 
+def digest(text: str) -> str:
+    return f"{zlib.crc32(' '.join(text.split()).encode('utf-8', 'surrogatepass')):08x}"
 
-# -- wrappers: (optional, repeated, label, children); a text slot has the label "#" ----------
 
 def skeleton(page: str) -> tuple[list, dict[tuple, list[int]]]:
     """A page's own wrapper, and the text and link characters of each slot."""
@@ -171,7 +234,9 @@ def skeleton(page: str) -> tuple[list, dict[tuple, list[int]]]:
         elif kind == "text" and value.strip():
             children = (opened[-1][1] if opened else root)[3]
             if not children or children[-1][2] != "#":
-                children.append([False, False, "#", []])
+                children.append([False, False, "#", [digest(value)]])
+            else:
+                children[-1][3] = []  # texts around an element that ended: a place, not one text
             size = sizes.setdefault(path, [0, 0])
             size[0] += len(value)
             size[1] += len(value) * ("a" in path)
@@ -207,6 +272,8 @@ def align(a: list, b: list) -> list:
     if a == b:
         return a
     n, m = len(a), len(b)
+    if n * m > CELLS:
+        return _by_label(a + b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -215,7 +282,7 @@ def align(a: list, b: list) -> list:
     while i < n or j < m:
         if i < n and j < m and _like(a[i], b[j]) and best[i][j] == 1 + best[i + 1][j + 1]:
             x, y = a[i], b[j]
-            out.append([x[0] or y[0], x[1] or y[1], x[2], align(x[3], y[3])])
+            out.append([x[0] or y[0], x[1] or y[1], x[2], _inside(x, y)])
             i, j = i + 1, j + 1
         elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
             out.append([True, *a[i][1:]])
@@ -241,6 +308,22 @@ def _squeezed(nodes: list) -> list:
     return out
 
 
+def _inside(x: list, y: list) -> list:
+    """Children of two nodes of one label; texts that differ leave a slot."""
+    if x[2] == "#":
+        return x[3] if x[3] == y[3] else []
+    return align(x[3], y[3])
+
+
+def _by_label(nodes: list) -> list:
+    """One optional, repeated node for each label."""
+    held: dict[str, list] = {}
+    for node in [c for n in nodes for c in (n[3] if n[2] == "" else [n])]:
+        old = held.get(node[2])
+        held[node[2]] = [True, node[2] != "#", node[2], _inside(old, node) if old else node[3]]
+    return list(held.values())
+
+
 def slots(wrapper: list, path: tuple = ()) -> Iterator[tuple]:
     """Paths of all text slots."""
     for _, _, name, children in wrapper:
@@ -250,6 +333,16 @@ def slots(wrapper: list, path: tuple = ()) -> Iterator[tuple]:
             yield from slots(children, path + (name,) if name else path)
 
 
+def template_texts(wrapper: list, path: tuple = ()) -> Iterator[tuple[tuple, str]]:
+    """Path and digest of the texts that all pages have, headings apart."""
+    for optional, repeated, name, children in wrapper:
+        if name == "#":
+            if children and not optional and not HEADINGS.intersection(path):
+                yield path, children[0]
+        elif not optional and not repeated:
+            yield from template_texts(children, path + (name,) if name else path)
+
+
 def expression(wrapper: list) -> str:
     """The wrapper as a regular expression for people."""
     parts = []
@@ -261,15 +354,15 @@ def expression(wrapper: list) -> str:
 
 
 def marked(name: str) -> bool:
-    return name.endswith("!") or name in BOILERPLATE_TAGS
+    return name.endswith(("!", "~")) or name in BOILERPLATE_TAGS
 
 
 def role(path: tuple, layout: frozenset = frozenset()) -> str:
     """What a slot's path says: "main", "boilerplate" or "other". Elements in ``layout`` don't count as boilerplate."""
     inside, header = False, False
     for depth, name in enumerate(path, 1):
-        tag = name.rstrip("!^")
-        if (marked(name) or tag in BOILERPLATE_TAGS) and path[:depth] not in layout:
+        tag = name.rstrip("!^~")
+        if (name.endswith("!") or name.endswith("~") and not inside or tag in BOILERPLATE_TAGS) and path[:depth] not in layout:
             return "boilerplate"
         header |= tag in HEADERS or name.endswith("^")
         inside |= name in MAIN
@@ -292,7 +385,7 @@ def layouts(events: list) -> frozenset:
             if opened:
                 opened[-1][1] += size
                 opened[-1][2] |= parts or name in MAIN or name in HEADINGS or marked(name)
-            if parts and marked(name) and not name.endswith("!!") and name.rstrip("!") not in NEVER_LAYOUT:
+            if parts and marked(name) and not name.endswith("!!") and name.rstrip("!~") not in NEVER_LAYOUT:
                 found.append((path[:len(opened) + 1], size))
 
     for kind, value in events:
@@ -321,24 +414,25 @@ def _host(url: str | None) -> str:
     return match.group(1).lower() if match else ""
 
 
-def _merged(held: dict, host: str, wrapper: list, sizes: dict) -> None:
+def _merged(held: dict, host: str, wrapper: list, sizes: dict, pages: list[str]) -> None:
     old = held.get(host)
     if old is None:
-        held[host] = [wrapper, dict(sizes)]
+        held[host] = [wrapper, dict(sizes), pages]
         return
     old[0] = align(old[0], wrapper)
+    old[2] = sorted({*old[2], *pages})[:PAGES]
     for path, (text, links) in sizes.items():
         size = old[1].setdefault(path, [0, 0])
         old[1][path] = [size[0] + text, size[1] + links]
 
 
-def _packed(wrapper: list, sizes: dict) -> str:
-    return json.dumps([wrapper, [[*path, *size] for path, size in sorted(sizes.items())]], ensure_ascii=False)
+def _packed(wrapper: list, sizes: dict, pages: list[str]) -> str:
+    return json.dumps([wrapper, [[*path, *size] for path, size in sorted(sizes.items())], pages], ensure_ascii=False)
 
 
-def _unpacked(text: str) -> tuple[list, dict]:
-    wrapper, sizes = json.loads(text)
-    return wrapper, {tuple(x[:-2]): x[-2:] for x in sizes}
+def _unpacked(text: str) -> tuple[list, dict, list[str]]:
+    wrapper, sizes, pages = json.loads(text)
+    return wrapper, {tuple(x[:-2]): x[-2:] for x in sizes}, pages
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
@@ -352,7 +446,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
         held: dict[str, list] = {}
         for batch in batches:
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                _merged(held, _host(url), *skeleton(page or ""))
+                _merged(held, _host(url), *skeleton(page or ""), [digest(page or "")])
             if len(held) > HELD:
                 yield out(held)
                 held = {}
@@ -375,8 +469,9 @@ class Roles:
     """The slots of one host that are kept."""
 
     def __init__(self, packed: str):
-        wrapper, sizes = _unpacked(packed)
+        wrapper, sizes, pages = _unpacked(packed)
         self.sizes = sizes
+        self.template = frozenset(template_texts(wrapper)) if len(pages) >= PAGES else frozenset()
         self.main, self.other = set(), set()
         for path in slots(wrapper):
             kind, (text, links) = role(path), sizes.get(path, [0, 0])
@@ -404,7 +499,8 @@ class Roles:
         open_: tuple[list[str], list[str]] = ([], [])
         events = list(read(page))
         place = self._into(layouts(events))
-        into = place(())
+        path: tuple = ()
+        into = place(path)
 
         def flush():
             for blocks, parts in zip(found, open_):
@@ -416,10 +512,11 @@ class Roles:
 
         for kind, value in events:
             if kind == "text":
-                if into is not None:
+                if into is not None and not (self.template and value.strip() and (path, digest(value)) in self.template):
                     open_[into].append(value)
             elif kind == "path":
-                into = place(value)
+                path = value
+                into = place(path)
             elif value == "br":
                 for parts in open_:
                     if parts:

@@ -194,6 +194,44 @@ def test_layout_wrappers_keep_the_main_text(spark):
     assert got[4] == text + "\n\nskip" and got[6] == "Top\n\n" + text and got[7] == got[8] == "Own text"
 
 
+def text_of(page, *others):
+    held = {}
+    for p in (page, *others):
+        html._merged(held, "", *html.skeleton(p), [html.digest(p)])
+    return html.Roles(html._packed(*held[""])).text(page)
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<article>" + "<b>" * 600 + "x</article>", "x"),
+    ("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>y", "deep\n\ny"),
+    ("<div>" * 3000 + "<nav>menu</nav><p>z<div class=ad><div>buy", "z"),
+    ("<p>" + "\u0130" * 12 + "</p><SCRIPT>a</Script ><p>Hello</p><p>World</p>", "\u0130" * 12 + "\n\nHello\n\nWorld"),
+    ("<p>ok</p>" + "<a " * 350_000, "ok"), ("<p>ok</p>" + "<i " * 350_000 + "><p>x", "ok\n\nx"), ("<p>ok</p>" + '<b "' * 250_000 + "><p>x", "ok\n\nx"),
+    ("<p>a > b" + "<!" * 350_000, "a > b"), ("<p>a<!-- x > y", "a"), ("<p>1 < 2 and 3", "1 < 2 and 3"),
+    ("<article><p>Let <math><mi>x</mi></math> be <svg><text>t</text></svg></p></article>", "Let x be t"),
+    ("<article><p class=alert-level>A<div class='search-results-discussion'>B</div><div class='share-buttons'>C</div></article>", "A\n\nB"),
+    ("<article><p>own</article><article class='ad promo'><p>buy</article>", "own"),
+], ids=range(13))
+def test_odd_pages(page, text):
+    assert text_of(page) == text
+
+
+def test_template_text_of_a_host_is_left_out():
+    """The wrapper decides: what all pages of a host say in the same place is not a page's own text."""
+    pages = [f"<article><h1>All</h1><div>Please read our terms</div><p>one {i}</p><p>two {i}</p></article>" for i in range(5)]
+    assert text_of(*pages) == "All\n\none 0\n\ntwo 0"
+    whole = "All\n\nPlease read our terms\n\none 0\n\ntwo 0"
+    assert text_of(pages[0]) == text_of(*pages[:1] * 9) == text_of(*pages[:2]) == whole  # copies and few pages tell nothing
+    assert text_of(*pages, "<article><h1>All</h1><p>other</p></article>") == whole  # not on every page
+
+
+def test_wide_pages_are_merged_by_label():
+    draw = random.Random(1)
+    pages = ["<article>" + "".join(f"<{x}>t{i}</{x}>" for i, x in enumerate(draw.choices(["p", "h2", "ul", "div", "pre"], k=3000)))
+             + "</article>" for _ in range(3)]
+    assert text_of(*pages) == "\n\n".join(f"t{i}" for i in range(3000))
+
+
 def test_pages_query(spark):
     """The given pages keep their text in an article, whose parts are told apart by patterns here."""
     import re
