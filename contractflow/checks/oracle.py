@@ -535,6 +535,11 @@ SELECT sha256('event:{_I}:' || event_id) AS _event_id, sha256('trace:{_I}:' || e
        '{_I}' AS _source_id, 'ds_iot_rfid_stream' AS _dataset_id, 'v1' AS _schema_version, 'INSERT' AS _operation_type,
        "timestamp" AS _event_timestamp, "timestamp" AS _source_timestamp, event_id, "timestamp", product_id,
        shelf_location, current_stock_on_shelf, battery_level FROM j_iot WHERE status = 'PASS'""",
+    "stream_progress": f"""WITH {IOT},
+resent AS (SELECT count(*) FILTER (CAST(event_id AS BIGINT) % 33 = 0) AS n FROM j_iot)
+SELECT 'readings' AS query, CAST(3 AS BIGINT) AS batches, CAST(count(*) + 3 * any_value(n) AS BIGINT) AS events_read,
+       count(*) FILTER (status = 'PASS') AS ingested, CAST(3 * any_value(n) AS BIGINT) AS failed,
+       count(*) FILTER (status <> 'PASS') AS quarantined, true AS timed FROM j_iot, resent""",
     "stream_two_sinks": f"""WITH {IOT}
 SELECT CASE WHEN status = 'PASS' THEN 'good' ELSE 'quarantine' END AS sink, event_id,
        {_quoted_list(IOT_MESSAGES)} AS violations FROM j_iot""",
@@ -712,6 +717,12 @@ SELECT CAST(count(*) AS VARCHAR) AS rows, CAST(count(*) AS VARCHAR) AS position
     "foreach_batch_hook": f"WITH {IOT} SELECT event_id, 'INSERT' AS _operation_type FROM j_iot WHERE status = 'PASS'",
     "csv_scan": f"""WITH {V_SALES}
 SELECT receipt_id, product_id, sale_timestamp, CAST(units_sold AS DOUBLE) AS units_sold, store_id FROM v_sales""",
+    "csv_quoted_breaks": f"""WITH {V_SALES}
+SELECT receipt_id, receipt_id || chr(10) || 'said "yes", then' || chr(10) || chr(10) || 'left ' || store_id AS note, store_id
+FROM v_sales""",
+    "csv_mixed_headers": f"""WITH {V_SALES}, n AS (SELECT *, CAST(store_id AS BIGINT) % 3 AS kind FROM v_sales)
+SELECT receipt_id, CASE WHEN kind <> 1 THEN product_id END AS product_id, CAST(units_sold AS VARCHAR) AS units_sold, store_id,
+       CASE WHEN kind = 2 THEN 'r' || store_id END AS region FROM n""",
     "load_failure": f"""
 SELECT '{_M}' AS source_id, CAST(1 AS BIGINT) AS records_failed, false AS ingested
 UNION ALL SELECT '{_S}', CAST(0 AS BIGINT), count(*) > 0 FROM lineitem""",

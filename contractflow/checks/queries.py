@@ -22,6 +22,7 @@ from contractflow.session import apply_runtime_conf, scratch_path
 from contractflow.sources import files, kafka, views
 from contractflow.sources.checkpoints import load_position, save_position
 from contractflow.streaming import events as streaming
+from contractflow.streaming import progress
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -342,12 +343,35 @@ def _run_stream(spark: SparkSession, folder: str, dedup_events: bool) -> tuple[D
     return streaming.read_sinks(spark, storage, name)
 
 
+def _run_late_stream(spark: SparkSession, folder: str) -> files.Storage:
+    """Three runs over files that land out of order: late days first, early ones after them, then resends of both."""
+    storage = files.Storage(scratch_path(spark, "stream"))
+    landed, early = f"{storage.root}/landed", F.dayofmonth(F.substr("timestamp", F.lit(1), F.lit(10)).cast("date")) <= 15
+    whole = views.iot_with_resends(spark.read.parquet(f"{folder}/events.parquet"))
+    resent = F.col("event_id").cast("bigint") % 33 == 0
+    for part in (whole.where(~early), whole.where(early), whole.where(resent)):
+        part.write.mode("append").parquet(landed)
+        source = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 100).parquet(landed)
+        streaming.run_events(source, storage, "readings", seen_table=True).awaitTermination()
+    return storage
+
+
 @query
 def stream_events(spark, folder):
-    good, _ = _run_stream(spark, folder, True)
+    good, _ = streaming.read_sinks(spark, _run_late_stream(spark, folder), "readings")
     return good.drop("_ingestion_timestamp")
 
 
+@query
+def stream_progress(spark, folder):
+    """What the batches stored of their progress, added up over the runs."""
+    storage = _run_late_stream(spark, folder)
+    rows_ = progress.stored(spark, storage.stream_progress("readings"))
+    return rows_.groupBy("query").agg(
+        F.count_distinct("batch_id").alias("batches"), *[F.sum(n).alias(n) for n in ("events_read", "ingested", "failed", "quarantined")],
+        F.min(F.col("elapsed_seconds") > 0).alias("timed"))
+
+
 @query
 def stream_two_sinks(spark, folder):
     good, refused = _run_stream(spark, folder, True)
@@ -722,6 +746,33 @@ def csv_scan(spark, folder):
     return found.select("receipt_id", "product_id", "sale_timestamp", F.col("units_sold").cast("double").alias("units_sold"), "store_id")
 
 
+@query
+def csv_quoted_breaks(spark, folder):
+    """Quoted line breaks, commas and quotes in files of many splits, most of which begin inside a value or a row."""
+    path = scratch_path(spark, "csv")
+    note = F.concat("receipt_id", F.lit('\nsaid "yes", then\n\nleft '), "store_id")
+    views.sales(spark, folder).select("receipt_id", note.alias("note"), "store_id").write.csv(
+        path, header=True, quoteAll=True, escape='"')
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        return files.read_source_csv(spark, path, SALES, multi_line=True).select("receipt_id", "note", "store_id")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+@query
+def csv_mixed_headers(spark, folder):
+    """One source in files of three headers: other orders, an absent column, a further one."""
+    path, sold = scratch_path(spark, "csv"), views.sales(spark, folder)
+    kinds = (["receipt_id", "product_id", "units_sold", "store_id"], ["store_id", "units_sold", "receipt_id"],
+             ["product_id", "store_id", "region", "receipt_id", "units_sold"])
+    for number, names in enumerate(kinds):
+        part = sold.where(F.col("store_id").cast("bigint") % 3 == number).withColumn("region", F.concat(F.lit("r"), "store_id"))
+        part.select(*names).write.mode("append").csv(path, header=True, escape='"')
+    return files.read_source_csv(spark, path, SALES).select("receipt_id", "product_id", "units_sold", "store_id", "region")
+
+
 @query
 def load_failure(spark, folder):
     """A full load with a file that has nothing in it: one failure, and the other source goes on."""

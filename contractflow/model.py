@@ -9,19 +9,48 @@ from pyspark.sql import types as T
 
 
 # The names each metadata attribute may take.
-SourceType = Enum("SourceType", {v.upper(): v for v in ("db", "api", "stream", "file")}, type=str)
-ExtractionMode = Enum("ExtractionMode", {v.upper(): v for v in ("pull", "push", "query")}, type=str)
-ChangeCaptureMode = Enum(
-    "ChangeCaptureMode",
-    {v.upper(): v for v in ("full_snapshot", "incremental", "cdc_log_based", "cdc_trigger_based", "stream_event")},
-    type=str,
-)
-IngestionFrequency = Enum(
-    "IngestionFrequency", {v.upper(): v for v in ("real_time", "hourly", "daily", "weekly", "on_demand")}, type=str)
-ClassificationLevel = Enum(
-    "ClassificationLevel", {v.upper(): v for v in ("public", "internal", "confidential", "restricted")}, type=str)
-ExecutionMode = Enum(
-    "ExecutionMode", {v.upper(): v for v in ("batch", "micro_batch", "streaming", "cdc_continuous")}, type=str)
+
+class SourceType(str, Enum):
+    DB = "db"
+    API = "api"
+    STREAM = "stream"
+    FILE = "file"
+
+
+class ExtractionMode(str, Enum):
+    PULL = "pull"
+    PUSH = "push"
+    QUERY = "query"
+
+
+class ChangeCaptureMode(str, Enum):
+    FULL_SNAPSHOT = "full_snapshot"
+    INCREMENTAL = "incremental"
+    CDC_LOG_BASED = "cdc_log_based"
+    CDC_TRIGGER_BASED = "cdc_trigger_based"
+    STREAM_EVENT = "stream_event"
+
+
+class IngestionFrequency(str, Enum):
+    REAL_TIME = "real_time"
+    HOURLY = "hourly"
+    DAILY = "daily"
+    WEEKLY = "weekly"
+    ON_DEMAND = "on_demand"
+
+
+class ClassificationLevel(str, Enum):
+    PUBLIC = "public"
+    INTERNAL = "internal"
+    CONFIDENTIAL = "confidential"
+    RESTRICTED = "restricted"
+
+
+class ExecutionMode(str, Enum):
+    BATCH = "batch"
+    MICRO_BATCH = "micro_batch"
+    STREAMING = "streaming"
+    CDC_CONTINUOUS = "cdc_continuous"
 
 
 class OperationType(str, Enum):

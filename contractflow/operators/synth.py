@@ -18,8 +18,9 @@ from contractflow.operators.profiling import ColumnProfile
 from contractflow.operators.rows import ROW
 
 # Rule constants of the six sources.
-COLORS = ("Midnight Black", "Navy Blue", "Olive Green", "Classic White", "Charcoal Grey", "Burgundy Red")
-COLOR_CODES = ("MID", "NAV", "OLI", "CLA", "GRY", "BUR")
+COLORS = (
+    ("Midnight Black", "MID"), ("Navy Blue", "NAV"), ("Olive Green", "OLI"), ("Classic White", "CLA"),
+    ("Charcoal Grey", "GRY"), ("Burgundy Red", "BUR"))
 SIZES = ("XS", "S", "M", "L", "XL", "XXL")
 STORES = (
     "LDN-OXFORD", "LDN-KINGS", "NYC-5AVE", "NYC-MAIN", "DXB-MALL", "KHI-DOLMEN", "ISB-CENTAURUS",
@@ -166,9 +167,9 @@ def warehouse_rules(rows: DataFrame) -> DataFrame:
     article = (F.lit(FIRST_ARTICLE) + row * ARTICLE_STEP).cast("string")
     size = draws.pick(_SIZE, SIZES)
     return draws.unseeded(draws.seeded(rows, ROW).withColumns({
-        "product_id": F.concat_ws("-", F.lit("ART"), article, draws.pick(_COLOR, COLOR_CODES), size),
+        "product_id": F.concat_ws("-", F.lit("ART"), article, draws.pick(_COLOR, [code for _, code in COLORS]), size),
         "article_id": F.concat(F.lit("ART-"), article),
-        "color": draws.pick(_COLOR, COLORS),
+        "color": draws.pick(_COLOR, [name for name, _ in COLORS]),
         "size": size,
         "reorder_threshold": F.greatest(F.lit(1).cast("bigint"), _whole(_or(_number(rows, "reorder_threshold"), 50.0))),
         "max_capacity": F.greatest(F.lit(10).cast("bigint"), _whole(_or(_number(rows, "max_capacity"), 500.0))),

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from contractflow.model import SOURCES
 from contractflow.operators.contracts import MALFORMED
 from contractflow.operators.rows import ROW
+from contractflow.sources import csv
 
 
 class LoadError(Exception):
@@ -57,6 +58,12 @@ class Storage:
     def stream_quarantine(self, name: str) -> str:
         return f"{self.area('quarantine')}/{name}_quarantine"
 
+    def stream_seen(self, name: str) -> str:
+        return f"{self.area('checkpoints')}/seen_{name}"
+
+    def stream_progress(self, name: str) -> str:
+        return f"{self.area('telemetry')}_streams/{name}"
+
     def telemetry(self) -> str:
         return self.area("telemetry")
 
@@ -76,6 +83,11 @@ def _summary(spark: SparkSession, path: str):
     return system.getContentSummary(target) if system.exists(target) else None
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def _length(spark: SparkSession, path: str) -> int:
     """Bytes below a path, -1 where it does not exist."""
     found = _summary(spark, path)
@@ -133,28 +145,25 @@ def read_csv(
     """Rows of one or more CSV files with a header, numbered in file order.
 
     Columns are found by their name in the header, in whatever order: those of
-    ``schema`` come first, further ones follow as text, and absent ones stay
-    absent. All files must have the same header; another one fails the job. Quotes
+    ``schema`` come first, further ones follow as text, and ones that no file has stay
+    absent. Files may have different headers: each is read by its own, and what it
+    lacks is a missing value. Quotes
     are doubled inside quotes. ``na_words`` are missing values. A row with another
-    number of fields than the header keeps its text in ``_malformed``, which
-    quarantines it. Quoted line breaks need ``multi_line``; such files can't be
-    split, so each is read by one task.
+    number of fields than its header keeps its text in ``_malformed``, which
+    quarantines it. Quoted line breaks need ``multi_line``; such files are split like
+    others (see ``sources.csv``).
     """
     length = _length(spark, path)
     if length < 0:
         raise LoadError(f"File not found: {path}")
     if length == 0:
         raise LoadError(f"Empty CSV file: {path}")
-    options = {
-        "header": True, "mode": "PERMISSIVE", "quote": '"', "escape": '"', "multiLine": multi_line,
-        "columnNameOfCorruptRecord": MALFORMED, "enforceSchema": False, "columnPruning": False,
-    }
     try:
-        names = spark.read.options(**options).csv(path).columns
-        found = T.StructType([T.StructField(n, T.StringType()) for n in (*names, MALFORMED)])
-        scan = _with_text_rows(spark.read.schema(found).options(**options).csv(path))
-    except AnalysisException as error:
+        scan, names = csv.records(spark, path, multi_line)
+    except (AnalysisException, csv.HeaderError) as error:
         raise LoadError(f"Error loading CSV: {error}") from error
+    if not names:
+        raise LoadError(f"Empty CSV file: {path}")
     declared = {f.name: f.dataType for f in schema.fields}
     wanted = [n for n in declared if n in names] + [n for n in names if n not in declared]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +12,12 @@ from pyspark.sql.streaming import StreamingQuery
 from contractflow.functions import times
 from contractflow.model import IOT, DataContract, OperationType, dataset_for
 from contractflow.operators import contracts, envelope, telemetry
+from contractflow.operators.dedup import keep_first
 from contractflow.plans.batch import payload_of, utc_now
-from contractflow.sources.files import Storage
+from contractflow.sources.files import Storage, exists
 from contractflow.sources.kafka import decode_events
-
-#: Names of the observed counters in the query progress.
-READ, KEPT = "events_read", "events_kept"
+from contractflow.streaming import progress
+from contractflow.streaming.progress import KEPT, READ
 
 
 def drop_resends(events: DataFrame, within: str | None = None) -> DataFrame:
@@ -24,7 +25,8 @@ def drop_resends(events: DataFrame, within: str | None = None) -> DataFrame:
 
     Without ``within`` every id ever seen stays in the state. With it (such as
     "10 minutes") an id is forgotten once the event time has moved on that far,
-    which bounds the state. Copies of one id meet in one task, so the size of a
+    which bounds the state, and readings that come later than that are dropped
+    with the resends, even first ones. ``SeenIds`` bounds the state and keeps them. Copies of one id meet in one task, so the size of a
     batch, which is set on the source, bounds that task too.
     """
     if within is None:
@@ -33,6 +35,50 @@ def drop_resends(events: DataFrame, within: str | None = None) -> DataFrame:
     return timed.withWatermark("_event_time", within).dropDuplicatesWithinWatermark(["event_id"]).drop("_event_time")
 
 
+class SeenIds:
+    """The ids a stream has taken, in a table by event date and batch.
+
+    A batch is held against the dates its own events have, whenever these were,
+    so a first reading is kept however late it comes and a resend is dropped
+    however late it comes; nothing stays on the heap between batches. A resend has
+    the timestamp of its reading: the same id on another date is another reading.
+    Readings without a usable timestamp have a date of their own.
+
+    What batch ``n`` took is written under ``n`` and only batches before ``n`` are
+    read, so a replayed batch decides as it did the first time.
+    """
+
+    DATE, TAKEN = "event_date", "batch"
+    SCHEMA = "event_id string, event_date string, batch bigint"
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def dated(self, events: DataFrame) -> DataFrame:
+        day = F.date_format(times.parse_timestamp(F.col("timestamp")), "yyyy-MM-dd")
+        return events.withColumn(self.DATE, F.coalesce(day, F.lit("none")))
+
+    def before(self, spark: SparkSession, dates: list[str], batch_id: int) -> DataFrame:
+        """Ids that earlier batches took on these dates; folders of other dates are not listed."""
+        paths = [p for p in (f"{self.path}/{self.DATE}={d}" for d in dates) if exists(spark, p)]
+        if not paths:
+            return spark.createDataFrame([], self.SCHEMA)
+        table = spark.read.schema(self.SCHEMA).option("basePath", self.path).parquet(*paths)
+        return table.where(F.col(self.TAKEN) < batch_id)
+
+    def first_readings(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """The readings of a batch that no batch before had, each id once, with their date."""
+        own = self.dated(batch)
+        whole = F.to_json(F.struct(*batch.columns))
+        once = keep_first(own.withColumn("_whole", whole), F.concat_ws("\u0001", self.DATE, "event_id"), ["timestamp", "_whole"]).drop("_whole")
+        dates = [r[0] for r in own.select(self.DATE).distinct().collect()]  # at most one a reading of the batch
+        return once.join(self.before(batch.sparkSession, dates, batch_id).select("event_id", self.DATE), ["event_id", self.DATE], "left_anti")
+
+    def take(self, fresh: DataFrame, batch_id: int) -> None:
+        (fresh.select("event_id", self.DATE, F.lit(batch_id).cast("bigint").alias(self.TAKEN)).repartition(self.DATE)
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.DATE, self.TAKEN).parquet(self.path))
+
+
 def judge_events(
     events: DataFrame, dedup: bool = True, within: str | None = None, contract: DataContract | None = None,
 ) -> DataFrame:
@@ -74,6 +120,31 @@ def write_two_sinks(
     return write
 
 
+def write_first_readings(
+    storage: Storage, name: str, hook: Callable[[DataFrame], None] | None = None,
+) -> Callable[[DataFrame, int], None]:
+    """As ``write_two_sinks`` for raw batches: ids are held against ``SeenIds``, then judged and written.
+
+    The ids are noted last, so a batch that fails is decided anew. A row of progress
+    is stored under the name and number of each batch.
+    """
+    seen = SeenIds(storage.stream_seen(name))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        started = time.time()
+        batch.persist()
+        fresh = seen.first_readings(batch, batch_id).persist()
+        judged = judge_events(fresh.select(*batch.columns), dedup=False).persist()
+        try:
+            write_two_sinks(storage, name, hook)(judged, batch_id)
+            seen.take(fresh, batch_id)
+            progress.store_batch(judged, batch.count(), started, name, batch_id, storage.stream_progress(name))
+        finally:
+            for frame in (judged, fresh, batch):
+                frame.unpersist()
+    return write
+
+
 def run_events(
     events: DataFrame,
     storage: Storage,
@@ -83,17 +154,23 @@ def run_events(
     available_now: bool = True,
     interval: str = "5 seconds",
     hook: Callable[[DataFrame], None] | None = None,
+    seen_table: bool = False,
 ) -> StreamingQuery:
     """Start the stream. It resumes from its checkpoint; batch size is set on the source.
 
-    ``hook`` receives the accepted events of every batch as a DataFrame.
+    ``hook`` receives the accepted events of every batch as a DataFrame. With
+    ``seen_table`` the ids are kept in a table by date and not in state.
     """
-    read = events.observe(READ, F.count(F.lit(1)).alias("events"))
-    judged = judge_events(read, dedup, within).observe(KEPT, *telemetry.counters())
+    if seen_table:
+        judged, write = events, write_first_readings(storage, name, hook)
+    else:
+        read = events.observe(READ, F.count(F.lit(1)).alias("events"))
+        judged = judge_events(read, dedup, within).observe(KEPT, *telemetry.counters())
+        write = write_two_sinks(storage, name, hook)
     writer = (
         judged.writeStream.queryName(name)
         .option("checkpointLocation", f"{storage.area('checkpoints')}/stream_{name}")
-        .foreachBatch(write_two_sinks(storage, name, hook))
+        .foreachBatch(write)
     )
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     return writer.trigger(**trigger).start()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from contractflow.model import CONTRACTS, MANUFACTURING, SALES, WAREHOUSE, WEATHER
 from contractflow.operators import audit, contracts, serving, telemetry
 from contractflow.plans import batch
-from contractflow.sources import files
+from contractflow.sources import csv, files
 
 SALES_CSV = """receipt_id,product_id,sale_timestamp,units_sold,store_id
 R1,art-1,2026-04-07 12:00:00,2,S1
@@ -169,12 +169,47 @@ def test_rows_with_other_fields_than_the_header_are_quarantined(spark, tmp_path,
     assert {r["_quarantine_reason"] for r in refused} == {contracts.MALFORMED_MESSAGE}
 
 
-def test_files_with_another_header_fail_the_job(spark, tmp_path, storage):
+def test_files_with_different_headers_are_read_by_their_own(spark, tmp_path, storage):
     (tmp_path / "d").mkdir()
-    for name, head in (("a", "receipt_id,product_id,sale_timestamp,units_sold,store_id"), ("b", "store_id,product_id,sale_timestamp,units_sold,receipt_id")):
-        (tmp_path / "d" / f"{name}.csv").write_text(head + "\nR1,p,2026-04-07,1,s\n")
-    with pytest.raises(batch.JobFailed):
-        batch.ingest_csv(spark, str(tmp_path / "d"), SALES, storage)
+    whole = "receipt_id,product_id,sale_timestamp,units_sold,store_id"
+    for name, head, row in (("a", whole, "R1,p,2026-04-07,1,s"), ("b", "store_id,product_id,sale_timestamp,units_sold,receipt_id", "s2,p,2026-04-07,2,R2"),
+                            ("c", "receipt_id,units_sold,extra", "R3,3,e"), ("d", whole, "R4,p,2026-04-07")):
+        (tmp_path / "d" / f"{name}.csv").write_text(f"{head}\n\n{row}\n")
+    frame = files.read_source_csv(spark, str(tmp_path / "d"), SALES)
+    assert frame.columns == ["receipt_id", "product_id", "sale_timestamp", "units_sold", "store_id", "extra", "_malformed", "_row"]
+    assert [tuple(r) for r in frame.orderBy("_row").collect()] == [
+        ("R1", "p", "2026-04-07", "1", "s", None, None, 1), ("R2", "p", "2026-04-07", "2", "s2", None, None, 2),
+        ("R3", None, None, "3", None, "e", None, 3), ("R4", "p", "2026-04-07", None, None, None, "R4,p,2026-04-07", 4)]
+    report = batch.ingest_csv(spark, str(tmp_path / "d"), SALES, storage)
+    assert (report.records_ingested, report.records_quarantined) == (2, 2)
+
+
+@pytest.mark.parametrize("sent", [csv.SPLITS_SENT, 0])
+@pytest.mark.parametrize("size", ["64b", "333b", "1m"])
+def test_quoted_line_breaks_across_splits(spark, tmp_path, monkeypatch, size, sent):
+    """Values with line breaks, quotes and empty lines, longer than many splits, against a plain reader."""
+    import csv as plain
+    import random
+    draw, folder = random.Random(size), tmp_path / "d"
+    folder.mkdir()
+    expected, names = [], ["receipt_id", "product_id", "sale_timestamp", "units_sold", "store_id"]
+    for f in range(3):
+        with open(folder / f"f{f}.csv", "w", newline="") as out:
+            writer = plain.writer(out, lineterminator="\r\n" if f == 1 else "\n")
+            writer.writerow(names)
+            for i in range(40):
+                row = [f"R{f}-{i}"] + ["".join(draw.choices('ab,"\n', [8, 8, 1, 1, 2], k=draw.choice([0, 3, 20, 300]))) + "." for _ in range(4)]
+                writer.writerow(row)
+                expected.append(tuple(row))
+    monkeypatch.setattr(csv, "SPLITS_SENT", sent)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        rows = files.read_source_csv(spark, str(folder), SALES, multi_line=True).orderBy("_row").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["_row"] for r in rows] == list(range(1, 121))
+    assert [tuple(r[n] for n in names) for r in rows] == expected
 
 
 def test_a_rerun_without_good_rows_leaves_none(spark, tmp_path, storage, sales_csv):

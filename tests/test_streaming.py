@@ -9,7 +9,7 @@ from test_contracts import GOOD
 from contractflow.model import IOT
 from contractflow.sources import kafka
 from contractflow.streaming import events as streaming
-from contractflow.streaming.progress import ProgressLog
+from contractflow.streaming.progress import ProgressLog, stored
 
 
 def write_events(spark, folder, ids, zone="ZONE-A", minute=0):
@@ -97,3 +97,32 @@ def test_broker_messages(spark, storage, tmp_path):
     streaming.run_topic(messages, storage, "topic").awaitTermination()
     good, refused = streaming.read_sinks(spark, storage, "topic")
     assert (good.count(), refused.count()) == (1, 1)
+
+
+def test_table_of_seen_ids_keeps_late_first_readings(spark, storage, tmp_path):
+    """Days out of order, resends in the same and in later batches, an id on two days, times that can't be read."""
+    folder = str(tmp_path / "in")
+
+    def land(*rows):
+        spark.createDataFrame([(i, t, "P", "ZONE-A", 5, "50%") for i, t in rows], kafka.event_schema()).coalesce(1).write.mode("append").parquet(folder)
+        streaming.run_events(stream_of(spark, folder), storage, "s", seen_table=True).awaitTermination()
+
+    land(("e1", "2026-04-07T12:00:00+00:00"), ("e1", "2026-04-07T12:00:00+00:00"), ("e2", "2026-04-07T13:00:00+00:00"))
+    land(("e0", "2025-01-01T00:00:00+00:00"), ("e2", "2026-04-07T13:00:00+00:00"), ("e1", "2026-04-08T12:00:00+00:00"), ("e9", "soon"))
+    land(("e0", "2025-01-01T00:00:00+00:00"), ("e9", "soon"), ("e3", "2024-01-01T00:00:00+00:00"))
+    good, refused = streaming.read_sinks(spark, storage, "s")
+    taken = sorted((r["event_id"], r["timestamp"][:4]) for r in good.select("event_id", "timestamp").union(
+        refused.select("event_id", "timestamp")).collect())
+    assert taken == [("e0", "2025"), ("e1", "2026"), ("e1", "2026"), ("e2", "2026"), ("e3", "2024"), ("e9", "soon")]
+    rows = stored(spark, storage.stream_progress("s")).orderBy("batch_id").collect()
+    assert [(r["events_read"], r["ingested"] + r["quarantined"], r["failed"]) for r in rows] == [(3, 2, 1), (4, 3, 1), (3, 1, 2)]
+
+
+def test_a_replayed_batch_decides_as_before(spark, storage):
+    frame = spark.createDataFrame([tuple(GOOD[IOT].values())], kafka.event_schema())
+    write = streaming.write_first_readings(storage, "s")
+    for number in (0, 0, 1):
+        write(frame, number)
+    assert streaming.read_sinks(spark, storage, "s")[0].count() == 1
+    seen = streaming.SeenIds(storage.stream_seen("s"))
+    assert spark.read.parquet(seen.path).count() == 1
