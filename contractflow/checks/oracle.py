@@ -7,7 +7,7 @@ in file order there, as the row positions of the Parquet scan do on Spark.
 from __future__ import annotations
 
 from contractflow.functions.draws import PRIME, coefficients
-from contractflow.checks.queries import FEED_RATE, FEED_START, JOB_SECONDS, LOG_POSITION, RUN_AT, SEPARATOR, WATERMARK
+from contractflow.checks.queries import FEED_RATE, FEED_START, JOB_SECONDS, LOG_POSITION, RUN_AT, SEPARATOR, STATES, WATERMARK
 
 # -- the source views ---------------------------------------------------------------------
 
@@ -280,25 +280,37 @@ def _half_even(value: str, digits: int) -> str:
 
 # -- change feed ---------------------------------------------------------------------------------
 
-_SCALED = _half_even(f"units_sold * (0.8::DOUBLE + {_uniform(13)} * 0.4::DOUBLE)", 2)
-FEED = f"""{V_SALES},
-numbered AS (
-  SELECT *, {_below_draw(11, 100)} AS percent, {_below_draw(12, 'n')} + 1 AS target
-  FROM (SELECT *, rn - 1 AS o, {_seed('(rn - 1)')} FROM v_sales), (SELECT count(*) AS n FROM lineitem)),
+# The draws of the operation alone, for ``cdc_feed_ops``.
+DRAWN = f"""numbered AS (SELECT rn - 1 AS o, {_seed('(rn - 1)')} FROM (SELECT row_number() OVER () AS rn FROM lineitem)),
+drawn AS (SELECT o, {_below_draw(11, 100)} AS percent FROM numbered)"""
+
+
+def _state(name: str, day: str) -> str:
+    """The receipts of the two years before a day; a return is known a year after the sale."""
+    known = V_SALES.replace("v_sales AS", f"{name} AS").replace(
+        "l_returnflag = 'R'", f"l_returnflag = 'R' AND l_shipdate <= DATE '{day}' - INTERVAL 12 MONTH")
+    return known.replace("FROM lineitem)", f"FROM lineitem WHERE l_shipdate <= DATE '{day}' AND l_shipdate > DATE '{day}' - INTERVAL 24 MONTH)")
+
+
+_SALE = "receipt_id, product_id, sale_timestamp, units_sold, store_id"
+FEED = f"""{_state('old_sales', STATES[0])}, {_state('new_sales', STATES[1])},
+changed AS (
+  SELECT {_SALE}, sum(n) AS n FROM (SELECT {_SALE}, -1 AS n FROM old_sales UNION ALL SELECT {_SALE}, 1 FROM new_sales)
+  GROUP BY {_SALE} HAVING sum(n) <> 0),
+once AS (SELECT receipt_id AS once_id FROM changed WHERE receipt_id IS NOT NULL GROUP BY 1 HAVING sum(abs(n)) = 2 AND sum(n) = 0),
+copies AS (
+  SELECT CASE WHEN n > 0 THEN 'INSERT' ELSE 'DELETE' END AS op, unnest(range(1, CAST(abs(n) AS BIGINT) + 1)) AS copy, {_SALE}
+  FROM changed LEFT JOIN once ON receipt_id = once_id WHERE once_id IS NULL
+  UNION ALL SELECT 'UPDATE', 1, {_SALE} FROM changed JOIN once ON receipt_id = once_id WHERE n > 0),
 events_of AS (
-  SELECT o, s, 'INSERT' AS op, receipt_id, product_id, sale_timestamp, CAST(units_sold AS DOUBLE) AS units_sold, store_id
-  FROM numbered WHERE percent < 60
-  UNION ALL
-  SELECT n.o, n.s, CASE WHEN n.percent < 90 THEN 'UPDATE' ELSE 'DELETE' END, e.receipt_id, e.product_id, e.sale_timestamp,
-         CAST(e.units_sold AS DOUBLE), e.store_id
-  FROM numbered n JOIN v_sales e ON e.rn = n.target WHERE n.percent >= 60),
+  SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', op, copy, coalesce(receipt_id, '~'), coalesce(product_id, '~'),
+    coalesce(sale_timestamp, '~'), coalesce(CAST(units_sold AS VARCHAR), '~'), coalesce(store_id, '~')))) - 1 AS o FROM copies),
 feed AS (
   SELECT sha256('event:src_sales_history:steady:' || o) AS _event_id,
          sha256('trace:src_sales_history:steady:' || o) AS _trace_id,
          'src_sales_history' AS _source_id, 'ds_sales_history' AS _dataset_id, 'v1' AS _schema_version,
          op AS _operation_type, stamp AS _event_timestamp, CAST(NULL AS VARCHAR) AS _source_timestamp,
-         stamp AS _ingestion_timestamp, receipt_id, product_id, sale_timestamp,
-         CASE WHEN op = 'UPDATE' THEN {_SCALED} ELSE units_sold END AS units_sold,
+         stamp AS _ingestion_timestamp, receipt_id, product_id, sale_timestamp, CAST(units_sold AS DOUBLE) AS units_sold,
          store_id, op AS _cdc_op, CASE WHEN op = 'UPDATE' THEN stamp END AS _updated_at,
          CASE WHEN op = 'DELETE' THEN stamp END AS _deleted_at, o AS _log_offset
   FROM (SELECT *, {_iso('moment')} AS stamp FROM (
@@ -560,7 +572,8 @@ m AS (SELECT *, {_join(SEPARATOR, _above('temperature', '60'), _above('humidity'
 SELECT event_id, city, temperature, humidity, weather_description, "timestamp",
        CASE WHEN violations = '' THEN 'PASS' ELSE 'QUARANTINE' END AS status, violations FROM m""",
     "cdc_feed": f"WITH {FEED} SELECT * FROM feed",
-    "cdc_feed_ops": f"WITH {FEED} SELECT _log_offset, _operation_type FROM feed",
+    "cdc_feed_ops": f"""WITH {DRAWN}
+SELECT o AS _log_offset, CASE WHEN percent < 60 THEN 'INSERT' WHEN percent < 90 THEN 'UPDATE' ELSE 'DELETE' END AS _operation_type FROM drawn""",
     "cdc_log_based": f"""WITH {FEED}
 SELECT _log_offset, _event_id, _operation_type, receipt_id, units_sold FROM feed WHERE _log_offset > {LOG_POSITION}""",
     "cdc_trigger_based": f"""WITH {FEED}
@@ -571,8 +584,8 @@ SELECT _log_offset, _ingestion_timestamp, _operation_type, receipt_id FROM feed
 WHERE strptime(left(_ingestion_timestamp, 19), '%Y-%m-%dT%H:%M:%S') > TIMESTAMP '{WATERMARK[:19].replace('T', ' ')}'
    OR (left(_ingestion_timestamp, 19) = '{WATERMARK[:19]}' AND length(_ingestion_timestamp) > 25)""",
     "cdc_op_counts": f"WITH {FEED} SELECT _operation_type, count(*) AS events FROM feed GROUP BY 1",
-    "cdc_two_step": """
-SELECT count(*) AS events, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS repeated FROM lineitem""",
+    "cdc_two_step": f"""WITH {FEED}
+SELECT count(*) AS events, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS repeated FROM feed""",
     "profile_kinds": f"WITH {V_SALES}, {V_WH} " + " UNION ALL ".join((
         _kind_rows(_S, "v_sales", ("units_sold",), ("sale_timestamp",), ("receipt_id", "product_id", "store_id")),
         _kind_rows(_W, "v_wh", ("reorder_threshold", "max_capacity", "unit_cost"), (),
@@ -709,8 +722,14 @@ WHERE reorder_threshold > 0""",
 }
 
 ORACLE |= {
-    "cdc_commit": """
-SELECT count(*) AS extracted, CAST(count(*) - 1 AS VARCHAR) AS last, CAST(count(*) - 1 AS VARCHAR) AS position FROM lineitem""",
+    "cdc_capture": f"""WITH {FEED}
+SELECT _operation_type, count(*) AS events, CAST((SELECT count(*) FROM feed) AS BIGINT) AS reported, '{_S}' AS source_id
+FROM feed GROUP BY 1""",
+    "cdc_chunks": f"""WITH {FEED}
+SELECT _log_offset // 5000 AS chunk, count(*) AS events, min(_log_offset) AS first, max(_log_offset) AS last
+FROM feed GROUP BY 1""",
+    "cdc_commit": f"""WITH {FEED}
+SELECT count(*) AS extracted, CAST(count(*) - 1 AS VARCHAR) AS last, CAST(count(*) - 1 AS VARCHAR) AS position FROM feed""",
     "checkpoint_positions": """
 SELECT CAST(count(*) AS VARCHAR) AS rows, CAST(count(*) AS VARCHAR) AS position FROM lineitem""",
     "stream_resume": f"WITH {IOT} SELECT event_id FROM j_iot",

@@ -28,6 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 RUN_AT = "2026-04-05T12:00:00+00:00"
 FEED_START, FEED_RATE = "2026-04-05T00:00:00+00:00", 10.0
+STATES = ("1998-01-01", "1999-01-01")
 LOG_POSITION = 1999
 WATERMARK = "2026-04-05T00:05:00+00:00"
 JOB_SECONDS = 10.0
@@ -438,8 +439,9 @@ def weather_flatten(spark, folder):
 # -- change data capture -----------------------------------------------------------------------------
 
 def _feed(spark, folder) -> DataFrame:
-    existing = views.sales(spark, folder)
-    return cdc.change_feed(views.sales(spark, folder), existing, SALES, FEED_START, FEED_RATE)
+    """What a year changed in the table of receipts."""
+    before, after = (views.sales_as_of(spark, folder, day) for day in STATES)
+    return cdc.snapshot_feed(before, after, "receipt_id", SALES, FEED_START, FEED_RATE)
 
 
 @query
@@ -501,6 +503,28 @@ def _two_runs(spark: SparkSession, folder: str) -> files.Storage:
     return storage
 
 
+@query
+def cdc_capture(spark, folder):
+    """The capture job: its report, next to what the log holds of its run."""
+    storage = files.Storage(scratch_path(spark, "log"))
+    before, after = (views.sales_as_of(spark, folder, day) for day in STATES)
+    report = changes.capture_changes(storage, SALES, before, after, "receipt_id", "burst", FEED_START, "year")
+    log = changes.read_change_log(spark, storage, SALES, "burst")
+    return cdc.operation_counts(log).withColumns({
+        "reported": F.lit(report.records_ingested).cast("bigint"), "source_id": F.lit(report.source_id)})
+
+
+@query
+def cdc_chunks(spark, folder):
+    """An extraction in chunks of 5000 offsets, read back by the manifest."""
+    storage = files.Storage(scratch_path(spark, "log"))
+    changes.write_change_log(_feed(spark, folder), storage, SALES, "steady", "one")
+    changes.extract_by_log(spark, storage, SALES, "steady", step=5000)
+    found = changes.read_extracted(spark, storage, SALES, "log", "steady")
+    return found.groupBy(F.expr("_log_offset DIV 5000").alias("chunk")).agg(
+        F.count(F.lit(1)).alias("events"), F.min("_log_offset").alias("first"), F.max("_log_offset").alias("last"))
+
+
 @query
 def cdc_commit(spark, folder):
     """The position committed after two extractions, next to what they wrote."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,6 +109,61 @@ def change_feed(
     return _enveloped(events, source_id, started_at, rate, scenario)
 
 
+def snapshot_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """What turned one state of a table into the next: ``_op``, the row, and ``_digest``, which tells events apart.
+
+    States are compared as multisets of rows: equal rows of both cancel out in one
+    aggregation that combines before its shuffle, so neither a frequent key nor many
+    equal rows meet in one task, and only rows that changed go on. A key with
+    exactly one row less and one row more was updated; all other rows less are
+    deletes and all rows more are inserts, those without a key too. Deletes carry the row
+    as it was.
+    """
+    names = [n for n in after.columns if not n.startswith("_")]
+    absent = [n for n in names if n not in before.columns]
+    old = before.withColumns({n: F.lit(None).cast(after.schema[n].dataType) for n in absent}) if absent else before
+    columns = [F.col(f"`{n}`") for n in names]
+    signed = old.select(*columns, F.lit(-1).alias("_n")).unionByName(after.select(*columns, F.lit(1).alias("_n")))
+    changed = signed.groupBy(*columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    keyed, keyless = changed.where(F.col(key).isNotNull()), changed.where(F.col(key).isNull())
+    pairs = keyed.groupBy(key).agg(
+        F.sum(F.abs("_n")).alias("_rows"), F.sum("_n").alias("_balance"), F.max_by(F.struct(*columns), "_n").alias("_row_now"))
+    updated = pairs.where("_rows = 2 AND _balance = 0 AND _row_now IS NOT NULL")
+    single = keyed.join(updated.select(key), key, "left_anti").select(*columns, "_n").unionByName(keyless)
+    copies = single.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.abs("_n").cast("int"))))
+    insert, update, delete = OperationType.INSERT.value, OperationType.UPDATE.value, OperationType.DELETE.value
+    events = copies.select(F.when(F.col("_n") > 0, insert).otherwise(delete).alias("_op"), "_copy", *columns).unionByName(
+        updated.select(F.lit(update).alias("_op"), F.lit(1).alias("_copy"), "_row_now.*"))
+    texts = [F.coalesce(c.cast("string"), F.lit("~")) for c in columns]
+    return events.withColumn("_digest", F.md5(F.concat_ws("|", "_op", F.col("_copy").cast("string"), *texts).cast("binary"))).drop("_copy")
+
+
+def dense_offsets(events: DataFrame, digest: str = "_digest", first_offset: int = 0) -> DataFrame:
+    """Number events in the order of their digests, without a gap and without a sort of the whole.
+
+    Digests spread evenly, so their first three digits deal the events to 4096 parts
+    of about one size; the parts are counted, and each numbers its own rows on from
+    the sum of those before it, a list of at most 4096 numbers.
+    """
+    dealt = events.withColumn("_part", F.substr(digest, F.lit(1), F.lit(3)))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_size")).select(
+        "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(digest))
+    numbered = dealt.withColumn("_place", place).join(F.broadcast(starts), "_part")
+    return numbered.withColumn(OFFSET, F.col("_start") + F.col("_place") - 1 + first_offset).drop("_part", "_place", "_start", digest)
+
+
+def snapshot_feed(
+    before: DataFrame, after: DataFrame, key: str, source_id: str, started_at: str, rate: float,
+    scenario: str = "steady", first_offset: int = 0,
+) -> DataFrame:
+    """The change feed between two states of a table; event ``i`` happens ``i / rate`` seconds after the start."""
+    numbered = dense_offsets(snapshot_changes(before, after, key), first_offset=first_offset)
+    payload = [F.col(f"`{n}`") for n in numbered.columns if not n.startswith("_")]
+    return _enveloped(_numbers_as_doubles(numbered.select(OFFSET, "_op", *payload)), source_id, started_at, rate, scenario)
+
+
 def _enveloped(events: DataFrame, source_id: str, started_at: str, rate: float, scenario: str) -> DataFrame:
     start = F.unix_micros(times.moment_literal(started_at))
     moment = F.timestamp_micros(start + F.floor(F.col(OFFSET) * F.lit(1_000_000.0 / rate)).cast("bigint"))

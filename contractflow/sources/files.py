@@ -46,6 +46,9 @@ class Storage:
     def change_log(self, source_id: str, scenario: str) -> str:
         return f"{self.area('cdc_log')}/{source_id}_{scenario}_cdc.parquet"
 
+    def claims(self, source_id: str, scenario: str) -> str:
+        return f"{self.area('checkpoints')}/claims_{source_id}_{scenario}"
+
     def extracted(self, source_id: str, strategy: str, scenario: str) -> str:
         return f"{self.area('ingested')}/{source_id}_{strategy}_cdc_{scenario}.parquet"
 
@@ -180,8 +183,13 @@ def read_source_csv(spark: SparkSession, path: str, source_id: str, multi_line:
 
 
 def read_parquet_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """A Parquet table, or None where there is nothing yet."""
-    return spark.read.parquet(path) if _length(spark, path) > 0 else None
+    """A Parquet table, or None where there is nothing yet, or only what a first writer has not finished."""
+    try:
+        return spark.read.parquet(path) if _length(spark, path) > 0 else None
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return None
 
 
 # The landed shape of a weather response.

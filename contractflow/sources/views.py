@@ -28,9 +28,21 @@ def _list_item(position: Column, *values: str) -> Column:
 
 def sales(spark: SparkSession, folder: str, first: int | None = None) -> DataFrame:
     """Line items as receipts: real duplicate keys, NULLs, returns, odd timestamps."""
+    return _sales_of(_table(spark, folder, "lineitem", first))
+
+
+def sales_as_of(spark: SparkSession, folder: str, day: str) -> DataFrame:
+    """The receipts as a table held them on a day: of the two years before it, returns known a year after the sale."""
+    items, then = _table(spark, folder, "lineitem"), F.lit(day).cast("date")
+    known = items.where((F.col("l_shipdate") <= then) & (F.col("l_shipdate") > F.add_months(then, -24)))
+    open_ = F.col("l_shipdate") > F.add_months(then, -12)
+    return _sales_of(known.withColumn("l_returnflag", F.when(~open_, F.col("l_returnflag"))))
+
+
+def _sales_of(items: DataFrame) -> DataFrame:
     shipped = F.col("l_shipdate").cast("string")
     sold = F.col("l_quantity").cast("bigint")
-    return _table(spark, folder, "lineitem", first).select(
+    return items.select(
         F.when(~_every("l_suppkey", 97), F.concat_ws("-", "l_orderkey", "l_linenumber")).alias("receipt_id"),
         F.when(~_every("l_partkey", 20), F.concat(F.lit("part-"), "l_partkey")).alias("product_id"),
         F.when(_every("l_suppkey", 89, 1), F.lit("not a date"))

@@ -1,6 +1,9 @@
 """Change feed, extraction and checkpoints."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
+from conftest import plan_of
 from pyspark.sql import functions as F
 
 from contractflow.model import SALES
@@ -134,17 +137,17 @@ def test_scenarios_have_their_own_position(spark, storage):
 
 def test_no_commit_without_a_write(spark, storage, monkeypatch):
     changes.write_change_log(feed(spark, 50), storage, SALES, "steady")
-    real = changes._write_run
+    real = changes._write_chunk
 
-    def fails_after_writing(found, path, position):
-        real(found, path, position)
+    def fails_after_writing(found, path, first, last):
+        real(found, path, first, last)
         raise RuntimeError("lost before the commit")
 
-    monkeypatch.setattr(changes, "_write_run", fails_after_writing)
+    monkeypatch.setattr(changes, "_write_chunk", fails_after_writing)
     with pytest.raises(RuntimeError):
         changes.extract_by_log(spark, storage, SALES, "steady")
     assert load_position(spark, storage.checkpoint("log_based", SALES, "steady")) is None
-    monkeypatch.setattr(changes, "_write_run", real)
+    monkeypatch.setattr(changes, "_write_chunk", real)
     changes.write_change_log(feed(spark, 10, offset=50), storage, SALES, "steady")
     assert changes.extract_by_log(spark, storage, SALES, "steady").records_ingested == 60
     assert changes.read_extracted(spark, storage, SALES, "log", "steady").count() == 60
@@ -167,3 +170,75 @@ def test_checkpoint_round_trip(spark, storage):
     for position in ("9", "10", "200"):
         save_position(spark, path, position)
         assert load_position(spark, path) == position
+
+
+def test_snapshot_difference(spark):
+    """Updates, equal rows, repeated keys, rows without a key, against a comparison of multisets by hand."""
+    import random
+    from collections import Counter
+    draw = random.Random(5)
+    names = "receipt_id string, product_id string, units_sold bigint"
+
+    def rows():
+        return [(draw.choice([None, *[f"R{i}" for i in range(40)]]), draw.choice("PQ"), draw.choice([None, 1, 2])) for _ in range(120)]
+
+    old, new = rows(), rows()
+    found = cdc.snapshot_changes(spark.createDataFrame(old, names), spark.createDataFrame(new, names), "receipt_id").collect()
+    less, more = Counter(old) - Counter(new), Counter(new) - Counter(old)
+    expected = Counter()
+    for key in {r[0] for r in old + new}:
+        gone, come = ([r for r in c.elements() if r[0] == key] for c in (less, more))
+        if key is not None and len(gone) == len(come) == 1:
+            expected[("UPDATE", *come[0])] += 1
+        else:
+            expected.update(("DELETE", *r) for r in gone)
+            expected.update(("INSERT", *r) for r in come)
+    assert Counter((r["_op"], r["receipt_id"], r["product_id"], r["units_sold"]) for r in found) == expected
+    assert len({r["_digest"] for r in found}) == len(found)
+
+
+def snapshot(spark, n, changed=0, gone=0):
+    return sales_rows(spark, n - gone, 1 + gone).withColumn(
+        "units_sold", F.when(F.col("_row") > n - changed, 99).otherwise(F.col("units_sold")))
+
+
+def test_capture_job(spark, storage):
+    report = changes.capture_changes(storage, SALES, snapshot(spark, 100), snapshot(spark, 120, 30, 10), "receipt_id", "burst", START, "r1")
+    log = changes.read_change_log(spark, storage, SALES, "burst")
+    counts = {r["_operation_type"]: r["events"] for r in cdc.operation_counts(log).collect()}
+    assert counts == {"INSERT": 20, "UPDATE": 10, "DELETE": 10} and report.records_ingested == 40
+    assert sorted(r[0] for r in log.select("_log_offset").collect()) == list(range(40))
+    assert "Exchange rangepartitioning" not in plan_of(cdc.dense_offsets(cdc.snapshot_changes(snapshot(spark, 9), snapshot(spark, 8), "receipt_id")))
+
+
+def test_overlapping_writers_lose_nothing(spark, storage):
+    """Two runs claim at the same time; a repeated run that has grown doesn't reach into the next one."""
+    frames = [feed(spark, n, scenario="burst") for n in (30, 40)]
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda x: changes.write_change_log(x[1], storage, SALES, "burst", f"w{x[0]}"), enumerate(frames)))
+    offsets = sorted(r[0] for r in changes.read_change_log(spark, storage, SALES, "burst").select("_log_offset").collect())
+    assert offsets == list(range(70))
+    changes.write_change_log(feed(spark, 45, scenario="burst"), storage, SALES, "burst", "w0")
+    offsets = sorted(r[0] for r in changes.read_change_log(spark, storage, SALES, "burst").select("_log_offset").collect())
+    assert len(offsets) == len(set(offsets)) == 85 and max(offsets) == 114
+
+
+def test_chunked_extraction_resumes_where_it_failed(spark, storage, monkeypatch):
+    changes.write_change_log(feed(spark, 50, scenario="burst"), storage, SALES, "burst", "one")
+    written, whole = [], changes._write_chunk
+
+    def failing(found, path, first, last):
+        written.append(first)
+        if written == [0, 10, 20]:
+            raise OSError("lost")
+        return whole(found, path, first, last)
+
+    monkeypatch.setattr(changes, "_write_chunk", failing)
+    with pytest.raises(OSError):
+        changes.extract_by_log(spark, storage, SALES, "burst", step=10)
+    assert changes.read_extracted(spark, storage, SALES, "log", "burst").count() == 20
+    assert changes.extract_by_log(spark, storage, SALES, "burst", step=10).records_ingested == 30
+    assert written == [0, 10, 20, 20, 30, 40]
+    found = changes.read_extracted(spark, storage, SALES, "log", "burst")
+    assert sorted(r[0] for r in found.select("_log_offset").collect()) == list(range(50))
+    assert load_position(spark, storage.checkpoint("log_based", SALES, "burst")) == "49"
