@@ -657,22 +657,22 @@ SELECT r AS _row, product_name, {_whole('reorder_threshold', '50', 1)} AS reorde
        'ART-' || (2000 + 3 * r) || '-' || {_pick(21, _CODES)} || '-' || {_pick(22, _SIZES)} AS product_id,
        'ART-' || (2000 + 3 * r) AS article_id, {_pick(21, _COLORS)} AS color, {_pick(22, _SIZES)} AS size
 FROM drawn""",
-    "synth_manufacturing": f"""WITH {IDS}, {POOL}, {V_MFG}, {_stats('st', 'defect_count', 'v_mfg')},
-drawn AS (SELECT r, s, product_id, {_sampled('st', 100)} AS defects FROM keyed, st)
+    "synth_manufacturing": f"""WITH {IDS}, {POOL}, {V_MFG}, {_stats('st', 'defect_count', 'v_mfg')}, {_stats('sq', 'TRY_CAST(quantity_produced AS DOUBLE)', 'v_mfg')},
+drawn AS (SELECT r, s, product_id, {_sampled('st', 108)} AS defects, {_sampled('sq', 106)} AS quantity FROM keyed, st, sq)
 SELECT r AS _row, 'BATCH-' || (60000 + r) AS production_batch_id,
        CASE WHEN {_chance(24, 0.20)} THEN lower(product_id) ELSE product_id END AS product_id,
-       CAST(100 AS BIGINT) AS quantity_produced,
+       {_whole('quantity', '100', 1)} AS quantity_produced,
        CASE WHEN NOT {_chance(25, 0.05)} THEN {_half_even("greatest(0.0::DOUBLE, coalesce(defects, 0.0::DOUBLE))", 1)}
        END AS defect_count, '{RUN_AT}' AS mfg_timestamp FROM drawn""",
     "synth_sales": f"""WITH {IDS}, {POOL}, {V_SALES}, {_stats('st', 'units_sold', 'v_sales')},
-drawn AS (SELECT r, s, product_id, {_sampled('st', 100)} AS units FROM keyed, st),
+drawn AS (SELECT r, s, product_id, {_sampled('st', 106)} AS units FROM keyed, st),
 sold AS (SELECT *, {_whole('units', '1', 1)} AS whole_units FROM drawn)
 SELECT r AS _row, CASE WHEN {_chance(29, 0.03)} THEN -whole_units ELSE whole_units END AS units_sold,
        lpad(upper(to_hex({_below_draw(26, 16**8)})), 8, '0') AS receipt_id,
        CASE WHEN NOT {_chance(27, 0.05)} THEN product_id END AS product_id,
        '{RUN_AT}' AS sale_timestamp, {_pick(28, _STORES)} AS store_id FROM sold""",
     "synth_legacy": f"""WITH {IDS}, {POOL}, {V_LEG}, {_stats('st', 'total_monthly_sales', 'v_leg')},
-drawn AS (SELECT r, s, product_id, {_sampled('st', 100)} AS sold FROM keyed, st)
+drawn AS (SELECT r, s, product_id, {_sampled('st', 104)} AS sold FROM keyed, st)
 SELECT r AS _row, CAST(floor(abs({_filled('sold', '500')})) AS BIGINT) AS total_monthly_sales, product_id,
        strftime(DATE '{RUN_AT[:10]}' - CAST(({_below_draw(30, 36)} + 1) * 30 AS INTEGER), '%Y-%m') AS historical_period,
        {_pick(31, _REGIONS)} AS market_region FROM drawn""",

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contractflow.functions import draws
+from contractflow.functions import draws, numbers
 from contractflow.model import (
     CONTRACTS, IOT, LEGACY, MANUFACTURING, SALES, WAREHOUSE, WEATHER, OperationType, ViolationPolicy)
 from contractflow.operators import (
@@ -616,6 +616,13 @@ def _profiles(frame: DataFrame, *names: str) -> list[profiling.ColumnProfile]:
     return profiling.with_small_domains(frame, profiling.profile(frame, list(names)))
 
 
+def _from_whole_profile(spark, folder, frame: DataFrame, drawn: tuple[str, ...], hook) -> DataFrame:
+    """Rows from the profile of all columns; those that the source's rules make themselves are not drawn first."""
+    profiles = profiling.profile(frame)
+    return synth.generate(
+        _sales_ids(spark, folder), profiles, hook=hook, skip=tuple(p.name for p in profiles if p.name not in drawn))
+
+
 @query
 def synth_categorical(spark, folder):
     frame = views.warehouse(spark, folder)
@@ -653,23 +660,21 @@ def synth_warehouse(spark, folder):
 @query
 def synth_manufacturing(spark, folder):
     pool, size = _key_pool(spark, folder)
-    profiles = _profiles(views.manufacturing(spark, folder), "defect_count")
-    return synth.generate(
-        _sales_ids(spark, folder), profiles, hook=synth.manufacturing_rules(pool, size, RUN_AT))
+    made = views.manufacturing(spark, folder)
+    typed = made.withColumn("quantity_produced", numbers.parse_float(F.col("quantity_produced")))
+    return _from_whole_profile(spark, folder, typed, ("quantity_produced", "defect_count"), synth.manufacturing_rules(pool, size, RUN_AT))
 
 
 @query
 def synth_sales(spark, folder):
     pool, size = _key_pool(spark, folder)
-    profiles = _profiles(views.sales(spark, folder), "units_sold")
-    return synth.generate(_sales_ids(spark, folder), profiles, hook=synth.sales_rules(pool, size, RUN_AT))
+    return _from_whole_profile(spark, folder, views.sales(spark, folder), ("units_sold",), synth.sales_rules(pool, size, RUN_AT))
 
 
 @query
 def synth_legacy(spark, folder):
     pool, size = _key_pool(spark, folder)
-    profiles = _profiles(views.legacy(spark, folder), "total_monthly_sales")
-    return synth.generate(_sales_ids(spark, folder), profiles, hook=synth.legacy_rules(pool, size, RUN_AT))
+    return _from_whole_profile(spark, folder, views.legacy(spark, folder), ("total_monthly_sales",), synth.legacy_rules(pool, size, RUN_AT))
 
 
 @query
