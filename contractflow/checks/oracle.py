@@ -343,7 +343,7 @@ def _sampled(alias: str, stream: int, t: str = "") -> str:
 def _frequency(alias: str, column: str, table: str) -> str:
     """Values with the range of ranks each one covers, most frequent first."""
     return f"""{alias} AS (
-  SELECT value, n, CAST(sum(n) OVER (ORDER BY n DESC, value ROWS UNBOUNDED PRECEDING) AS BIGINT) - n AS low,
+  SELECT value, n, CAST(sum(n) OVER (ORDER BY n DESC, md5(value), value ROWS UNBOUNDED PRECEDING) AS BIGINT) - n AS low,
          CAST(sum(n) OVER () AS BIGINT) AS total
   FROM (SELECT CAST({column} AS VARCHAR) AS value, count(*) AS n FROM {table} WHERE {column} IS NOT NULL GROUP BY 1))"""
 
@@ -614,15 +614,12 @@ SELECT r AS _row, {_half_even(_sampled('cost', 100), 5)} AS unit_cost,
 bounds AS (SELECT epoch_us(min(moment)) AS low, epoch_us(max(moment)) AS high FROM n_sales),
 drawn AS (SELECT r, make_timestamp(low + {_below_draw(100, '(high - low + 1)')}) AS moment FROM ids, bounds)
 SELECT r AS _row, {_iso('moment')} AS sale_timestamp FROM drawn""",
-    "synth_rows": f"""WITH {IDS}, people AS (SELECT *, row_number() OVER () AS k FROM customer),
-{_stats('nation_key', 'c_nationkey', 'customer')}, {_stats('balance', 'c_acctbal', 'customer')},
+    "synth_rows": f"""WITH {IDS}, {_stats('nation_key', 'c_nationkey', 'customer')}, {_stats('balance', 'c_acctbal', 'customer')},
 {_frequency('f_segment', 'c_mktsegment', 'customer')}, {_ranked('ids', 'f_segment', 106, 'd_segment')},
-named AS (SELECT i.r, people.c_name
-          FROM (SELECT r, {_below_draw(100, 'n')} + 1 AS k FROM ids, (SELECT count(*) AS n FROM customer)) i
-          JOIN people USING (k))
-SELECT r AS _row, c_name, {_half_even(_sampled('nation_key', 102), 5)} AS c_nationkey,
-       {_half_even(_sampled('balance', 104), 5)} AS c_acctbal, d_segment.value AS c_mktsegment
-FROM named JOIN d_segment USING (r), nation_key, balance""",
+{_frequency('f_name', 'c_name', 'customer')}, {_ranked('ids', 'f_name', 100, 'd_name')}
+SELECT r AS _row, d_name.value AS c_name, {_half_even(_sampled('nation_key', 102, 'd_name.'), 5)} AS c_nationkey,
+       {_half_even(_sampled('balance', 104, 'd_name.'), 5)} AS c_acctbal, d_segment.value AS c_mktsegment
+FROM d_name JOIN d_segment USING (r), nation_key, balance""",
 }
 
 _COLORS = ("Midnight Black", "Navy Blue", "Olive Green", "Classic White", "Charcoal Grey", "Burgundy Red")

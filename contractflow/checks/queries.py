@@ -613,7 +613,7 @@ def _key_pool(spark, folder) -> tuple[DataFrame, int]:
 
 
 def _profiles(frame: DataFrame, *names: str) -> list[profiling.ColumnProfile]:
-    return profiling.with_small_domains(frame, profiling.profile(frame, list(names)))
+    return profiling.with_domains(frame, profiling.profile(frame, list(names)))
 
 
 def _from_whole_profile(spark, folder, frame: DataFrame, drawn: tuple[str, ...], hook) -> DataFrame:
@@ -643,10 +643,10 @@ def synth_timestamp(spark, folder):
 
 @query
 def synth_rows(spark, folder):
-    """Upsampled customers; names have too many values for the plan and come from drawn rows."""
-    customers = rows.scan_with_rows(spark, f"{folder}/customer.parquet")
+    """Upsampled customers; names have too many values for the plan and are drawn by rank."""
+    customers = spark.read.parquet(f"{folder}/customer.parquet")
     made = synth.upsample(
-        _sales_ids(spark, folder), _profiles(customers, "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), customers)
+        _sales_ids(spark, folder), _profiles(customers, "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
     return made.withColumns({n: F.bround(n, 5) for n in ("c_nationkey", "c_acctbal")})
 
 
@@ -654,7 +654,7 @@ def synth_rows(spark, folder):
 def synth_warehouse(spark, folder):
     frame = views.warehouse(spark, folder)
     profiles = _profiles(frame, "product_name", "reorder_threshold", "max_capacity", "unit_cost")
-    return synth.generate(_sales_ids(spark, folder), profiles, frame, synth.warehouse_rules)
+    return synth.generate(_sales_ids(spark, folder), profiles, hook=synth.warehouse_rules)
 
 
 @query

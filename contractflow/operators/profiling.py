@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import hashlib
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +42,8 @@ class ColumnProfile:
     about: int = 0
     #: (value, count), most frequent first; only for columns with few values.
     values: tuple[tuple[str, int], ...] = ()
+    #: The ranks each value covers (see ``cumulative``); only for columns with many values.
+    domain: DataFrame | None = field(default=None, compare=False, repr=False)
 
     @property
     def null_rate(self) -> float:
@@ -147,24 +150,47 @@ def value_frequencies(df: DataFrame, profiles: list[ColumnProfile]) -> DataFrame
         "column", "value", "count", (F.col("count") / present).alias("probability"), null_rate.alias("null_rate"))
 
 
-def with_small_domains(df: DataFrame, profiles: list[ColumnProfile], limit: int = 64) -> list[ColumnProfile]:
-    """Attach the value list of categorical columns that have at most ``limit`` values.
+def cumulative(counted: DataFrame) -> DataFrame:
+    """(column, value, count, low): the first of the ``count`` ranks that each value covers, frequent ones first.
 
-    Only columns whose estimate allows it are counted, all in one job, so what
-    reaches the driver is a few values per column. Larger domains stay out.
+    Equally frequent values go by digest. The sum before a value has two levels: cells of
+    one column, count and first three digits of the digest are summed, and a value
+    adds its place within its cell. So no task orders all values of a column,
+    however many of them occur once.
+    """
+    digest = F.md5(F.col("value").cast("binary"))
+    dealt = counted.select("column", "value", "count", digest.alias("_digest"), F.substr(digest, F.lit(1), F.lit(3)).alias("_part"))
+    cell = ["column", "count", "_part"]
+    before = Window.partitionBy("column").orderBy(F.desc("count"), "_part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = dealt.groupBy(*cell).agg(F.count(F.lit(1)).alias("_many")).withColumn(
+        "_start", F.coalesce(F.sum(F.col("count") * F.col("_many")).over(before), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(*cell).orderBy("_digest", "value"))
+    return dealt.withColumn("_place", place).join(cells.drop("_many"), cell).select(
+        "column", "value", "count", (F.col("_start") + (F.col("_place") - 1) * F.col("count")).alias("low"))
+
+
+def with_domains(df: DataFrame, profiles: list[ColumnProfile], limit: int = 64) -> list[ColumnProfile]:
+    """Attach the values of categorical columns and their frequencies.
+
+    Those of at most ``limit`` values are listed, so a draw is an expression of the plan; the
+    others have a table of the ranks each value covers. Both give a rank the same
+    value, so the limit decides the plan alone.
+    Only columns whose estimate allows it are counted for the lists, all in one job.
     """
     near = [p for p in profiles if p.kind == CATEGORICAL and p.about <= 2 * limit]
-    if not near:
-        return profiles
-    bound = 4 * limit * len(near)
-    counted = value_frequencies(df, near).select("column", "value", "count").limit(bound + 1).collect()
-    if len(counted) > bound:
-        return profiles
     listed: dict[str, list[tuple[str, int]]] = {p.name: [] for p in near}
-    for row in counted:
-        listed[row["column"]].append((row["value"], row["count"]))
-    return [
-        replace(p, values=tuple(sorted(listed[p.name], key=lambda v: (-v[1], v[0]))))
-        if 0 < len(listed.get(p.name, ())) <= limit else p
-        for p in profiles
-    ]
+    if near:
+        bound = 4 * limit * len(near)
+        counted = value_frequencies(df, near).select("column", "value", "count").limit(bound + 1).collect()
+        for row in counted if len(counted) <= bound else ():
+            listed[row["column"]].append((row["value"], row["count"]))
+
+    def attached(p: ColumnProfile) -> ColumnProfile:
+        values = listed.get(p.name, ())
+        if p.kind != CATEGORICAL or not p.present:
+            return p
+        if 0 < len(values) <= limit:
+            return replace(p, values=tuple(sorted(values, key=lambda v: (-v[1], hashlib.md5(v[0].encode()).hexdigest(), v[0]))))
+        return replace(p, domain=cumulative(value_frequencies(df, [p])))
+
+    return [attached(p) for p in profiles]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contractflow.functions import draws, numbers, times
@@ -17,6 +17,9 @@ from contractflow.operators import profiling
 from contractflow.operators.profiling import ColumnProfile
 from contractflow.operators.rows import ROW
 
+#: Ranges into which the ranks of a domain are cut.
+BLOCKS = 2048
+
 # Rule constants of the six sources.
 COLORS = (
     ("Midnight Black", "MID"), ("Navy Blue", "NAV"), ("Olive Green", "OLI"), ("Classic White", "CLA"),
@@ -90,28 +93,39 @@ def sample_column(profile: ColumnProfile, stream: int, rank: Column) -> Column:
     return value
 
 
-def sample_from_rows(ids: DataFrame, source: DataFrame, source_rows: int, column: str, stream: int) -> DataFrame:
-    """Draw from a column with many values by taking it from a uniformly drawn row.
+def sample_from_domain(rows: DataFrame, profile: ColumnProfile, stream: int) -> DataFrame:
+    """Draw a column with many values by the ranks that its values cover.
 
-    That has exactly the column's frequencies and NULL share without building a
-    table of them. Drawn row numbers are evenly spread, so the join has no hot key.
+    Ranks and drawn ranks are cut into ``BLOCKS`` ranges of equal length; in a range
+    they are sorted together, and a draw takes the last value that begins at or before it.
+    Draws are spread evenly, and a frequent value begins anew in each range it reaches, so ranges are
+    of one size and nothing is matched pair by pair.
     """
-    aimed = draws.seeded(ids, ROW).withColumn("_pick", draws.below(stream, source_rows) + 1)
-    pool = source.select(F.col(ROW).alias("_pick"), F.col(f"`{column}`").cast("string").alias(column))
-    return aimed.join(pool, "_pick").drop("_pick")
+    width = max(1, -(-profile.present // BLOCKS))
+    carried, drawn = F.struct(*[F.col(f"`{n}`") for n in rows.columns]), draws.below(stream, profile.present)
+    asked = rows.select(carried.alias("_carried"), drawn.alias("_at"), F.lit(None).cast("string").alias("_value"), F.lit(1).alias("_asks"))
+    reached = F.sequence(F.expr(f"low DIV {width}"), F.expr(f"(low + count - 1) DIV {width}"))
+    known = profile.domain.select("low", "value", F.explode(reached).alias("_block")).select(
+        F.lit(None).cast(asked.schema["_carried"].dataType).alias("_carried"),
+        F.greatest("low", F.col("_block") * width).alias("_at"), F.col("value").alias("_value"), F.lit(0).alias("_asks"))
+    order = Window.partitionBy(F.expr(f"_at DIV {width}")).orderBy("_at", "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    found = asked.unionByName(known).withColumn("_found", F.last("_value", ignorenulls=True).over(order)).where("_asks = 1")
+    made = found.select("_carried.*", F.col("_found").alias(profile.name))
+    if profile.null_rate > 0:
+        made = made.withColumn(profile.name, F.when(~draws.chance(stream + 500, profile.null_rate), F.col(f"`{profile.name}`")))
+    return made
 
 
 def generate(
     ids: DataFrame,
     profiles: list[ColumnProfile],
-    source: DataFrame | None = None,
     hook: Callable[[DataFrame], DataFrame] | None = None,
     skip: tuple[str, ...] = (),
 ) -> DataFrame:
     """Rows drawn column by column; ``hook`` applies the source's own rules.
 
-    ``source`` (with dense ``_row`` numbers) serves columns that have too many
-    values for the plan. Columns in ``skip`` are left to the hook.
+    Categorical columns need their values attached (``profiling.with_domains``).
+    Columns in ``skip`` are left to the hook.
     """
     if not profiles:
         raise RuntimeError("Profile the data before generating rows.")
@@ -122,9 +136,9 @@ def generate(
         if profile.name in skip:
             continue
         if profile.kind == profiling.CATEGORICAL and not profile.values:
-            if source is None:
-                raise RuntimeError(f"Column {profile.name} has many values; pass the rows it was profiled from.")
-            rows = sample_from_rows(rows, source, profile.rows, profile.name, _COLUMNS + 2 * i)
+            if profile.domain is None:
+                raise RuntimeError(f"Column {profile.name} has no values attached.")
+            rows = sample_from_domain(rows, profile, _COLUMNS + 2 * i)
             continue
         if profile.values:
             ranks[f"_rank_{i}"] = draws.below(_COLUMNS + 2 * i, total_weight(profile.values))

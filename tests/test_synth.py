@@ -61,20 +61,25 @@ def test_sampled_columns_follow_their_profile(spark):
         synth.generate(synth.row_ids(spark, 1), [])
 
 
-def test_large_domains_come_from_drawn_rows(spark):
-    source = spark.range(1, 1001).select(
-        F.when(F.col("id") % 4 > 0, F.concat(F.lit("v"), (F.col("id") / 3).cast("int"))).alias("name"), F.col("id").alias("_row"))
-    profiles = profiling.with_small_domains(source, profiling.profile(source, ["name"]))
-    assert profiles[0].values == ()
-    rows = synth.generate(synth.row_ids(spark, N), profiles, source).collect()
-    assert len(rows) == N and near(sum(r["name"] is None for r in rows) / N, 0.25, N)
+def test_domains_of_any_size_are_drawn_alike(spark):
+    """64 and 65 values around the limit of lists, and thousands; one value holds half of all rows."""
+    for many in (64, 65, 3000):
+        source = spark.range(4 * many).select(
+            F.when(F.col("id") % 4 > 0, F.when(F.col("id") % 4 == 1, F.concat(F.lit("v"), (F.col("id") / 4).cast("int"))).otherwise("hot")).alias("name"))
+        listed, tabled = (profiling.with_domains(source, profiling.profile(source, ["name"]), limit) for limit in (5000, 1))
+        assert tabled[0].values == () and len(listed[0].values) == many + 1
+        rows = synth.generate(synth.row_ids(spark, N), tabled).collect()
+        assert len(rows) == N and near(sum(r["name"] is None for r in rows) / N, 0.25, N)
+        assert near(sum(r["name"] == "hot" for r in rows) / N, 0.5, N)
+        if many < 100:
+            assert {tuple(r) for r in rows} == {tuple(r) for r in synth.generate(synth.row_ids(spark, N), listed).collect()}
     with pytest.raises(RuntimeError):
-        synth.generate(synth.row_ids(spark, 1), profiles)
+        synth.generate(synth.row_ids(spark, 1), profiling.profile(source, ["name"]))
 
 
 def test_warehouse_rules(spark):
     rows = synth.warehouse_rules(synth.row_ids(spark, N)).collect()
-    codes = dict(zip(synth.COLORS, synth.COLOR_CODES))
+    codes = dict(synth.COLORS)
     assert len({r["product_id"] for r in rows}) == N
     for r in rows:
         assert r["product_id"] == f"{r['article_id']}-{codes[r['color']]}-{r['size']}"
