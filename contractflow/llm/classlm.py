@@ -22,8 +22,7 @@ training texts and one unseen word, like the base it is compared with.
 
 **Size.** Counts come from all training texts. What is broadcast is bounded: the
 clustered words with class and count, and the cube of class transitions. Rare
-words are looked up exactly, by a join of each text's rare words with all counts;
-one unseen word may be a large share of them, so its key is salted.
+words are looked up exactly, by a join of each text's rare words with all counts.
 
 **Defined results.** A null text is an empty one: a lone end. Rows without an id are
 never learned from nor held out. Repeated rows each count and each get a score. With
@@ -41,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contractflow.llm.common import salted_join, staged
+from contractflow.llm.common import staged
 
 #: Classes, the one of rare words and that of ends included.
 CLASSES = 64
@@ -159,10 +158,15 @@ def best_class(matrix: np.ndarray, own: int, left: np.ndarray, right: np.ndarray
     return best if gain[best] > gain[own] + 1e-9 * abs(gain[own]) else own
 
 
-def _beside(row: dict, side: str, classes: np.ndarray, number: int) -> tuple[np.ndarray, float]:
-    at, n = np.array(row[side], np.int64), np.array(row[f"{side}_n"], np.float64)
-    same = at == number
-    return np.bincount(classes[at[~same]], n[~same], CLASSES), float(n[same].sum())
+def _beside(batch: pa.RecordBatch, side: str, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the classes on one side of each word of a batch, and of the word itself there."""
+    numbers = batch.column("number").to_numpy()
+    at, n = batch.column(side), batch.column(f"{side}_n").flatten().to_numpy().astype(np.float64)
+    row = np.repeat(np.arange(len(numbers)), at.value_lengths().to_numpy())
+    at = at.flatten().to_numpy()
+    counts = np.bincount(row * CLASSES + classes[at], n, len(numbers) * CLASSES).reshape(-1, CLASSES)
+    same = at == numbers[row]
+    return counts, np.bincount(row[same], n[same], len(numbers))
 
 
 def _matrix(profiles: DataFrame, classes: np.ndarray) -> np.ndarray:
@@ -172,9 +176,7 @@ def _matrix(profiles: DataFrame, classes: np.ndarray) -> np.ndarray:
     def count(batches):
         cells, given = np.zeros((CLASSES, CLASSES)), sent.value
         for batch in batches:
-            for row in batch.to_pylist():
-                cells[:, given[row["number"]]] += np.bincount(
-                    given[np.array(row["left"], np.int64)], np.array(row["left_n"], np.float64), CLASSES)
+            np.add.at(cells.T, given[batch.column("number").to_numpy()], _beside(batch, "left", given)[0])
         at = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(cells.ravel()[at].astype(np.int64))], ["cell", "n"])
 
@@ -193,17 +195,15 @@ def _moves(profiles: DataFrame, classes: np.ndarray, matrix: np.ndarray, turn: i
     def move(batches):
         given, cells = sent.value
         for batch in batches:
-            numbers, chosen = [], []
-            for row in batch.to_pylist():
-                number = row["number"]
-                own = int(given[number])
-                left, self_pairs = _beside(row, "left", given, number)
-                right, _ = _beside(row, "right", given, number)
-                best = best_class(cells, own, left, right, self_pairs)
-                if best != own:
-                    numbers.append(number)
-                    chosen.append(best)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(chosen, pa.int32())], ["number", "class"])
+            numbers = batch.column("number").to_numpy()
+            (left, itself), (right, _) = _beside(batch, "left", given), _beside(batch, "right", given)
+            own = given[numbers]
+            rows = np.arange(len(numbers))
+            left[rows, own] -= itself
+            right[rows, own] -= itself
+            best = np.array([best_class(cells, int(own[i]), left[i], right[i], float(itself[i])) for i in rows], np.int64)
+            at = np.flatnonzero(best != own)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[at], pa.int32()), pa.array(best[at], pa.int32())], ["number", "class"])
 
     fixed = [int(i) for i in np.flatnonzero(np.isin(classes, (RARE, END)))]  # rare words as one, and the end
     able = profiles.where(~F.col("number").isin(fixed) & (F.pmod(F.xxhash64("number", F.lit(turn)), F.lit(2)) == 0))
@@ -347,7 +347,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                "words array<binary>, times array<long>"), "scores")
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select(
         "row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    counted = salted_join(rare, words, "word", F.col("row"))
+    counted = rare.join(words, "word")  # only an unseen word can be hot: adaptive execution splits it, and it meets no row
     looked_up = counted.groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs"))
     logs = F.coalesce("logs", F.lit(0.0))
     return scored.drop("words", "times").join(looked_up, "row", "left").select(
