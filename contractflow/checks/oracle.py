@@ -547,6 +547,9 @@ SELECT sha256('event:{_I}:' || event_id) AS _event_id, sha256('trace:{_I}:' || e
        '{_I}' AS _source_id, 'ds_iot_rfid_stream' AS _dataset_id, 'v1' AS _schema_version, 'INSERT' AS _operation_type,
        "timestamp" AS _event_timestamp, "timestamp" AS _source_timestamp, event_id, "timestamp", product_id,
        shelf_location, current_stock_on_shelf, battery_level FROM j_iot WHERE status = 'PASS'""",
+    "stream_flush": f"""WITH {IOT}, n AS (SELECT count(*) AS n FROM j_iot WHERE status = 'PASS')
+SELECT i AS file, CAST(least(300, n - 300 * i) AS BIGINT) AS events, CAST(1 AS BIGINT) AS files
+FROM (SELECT n, unnest(range((n + 299) // 300)) AS i FROM n)""",
     "stream_progress": f"""WITH {IOT},
 resent AS (SELECT count(*) FILTER (CAST(event_id AS BIGINT) % 33 = 0) AS n FROM j_iot)
 SELECT 'readings' AS query, CAST(3 AS BIGINT) AS batches, CAST(count(*) + 3 * any_value(n) AS BIGINT) AS events_read,

@@ -344,16 +344,19 @@ def _run_stream(spark: SparkSession, folder: str, dedup_events: bool) -> tuple[D
     return streaming.read_sinks(spark, storage, name)
 
 
-def _run_late_stream(spark: SparkSession, folder: str) -> files.Storage:
+def _run_late_stream(spark: SparkSession, folder: str, rows_a_file: int | None = None) -> files.Storage:
     """Three runs over files that land out of order: late days first, early ones after them, then resends of both."""
     storage = files.Storage(scratch_path(spark, "stream"))
+    exact = streaming.ExactFiles(storage, "readings", rows_a_file) if rows_a_file else None
     landed, early = f"{storage.root}/landed", F.dayofmonth(F.substr("timestamp", F.lit(1), F.lit(10)).cast("date")) <= 15
     whole = views.iot_with_resends(spark.read.parquet(f"{folder}/events.parquet"))
     resent = F.col("event_id").cast("bigint") % 33 == 0
     for part in (whole.where(~early), whole.where(early), whole.where(resent)):
         part.write.mode("append").parquet(landed)
         source = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 100).parquet(landed)
-        streaming.run_events(source, storage, "readings", seen_table=True).awaitTermination()
+        streaming.run_events(source, storage, "readings", seen_table=True, hook=exact).awaitTermination()
+    if exact:
+        exact.flush(spark)
     return storage
 
 
@@ -363,6 +366,14 @@ def stream_events(spark, folder):
     return good.drop("_ingestion_timestamp")
 
 
+@query
+def stream_flush(spark, folder):
+    """Files of exactly 300 accepted events, over three runs of the stream; the last file has the rest."""
+    found = spark.read.parquet(_run_late_stream(spark, folder, 300).stream_files("readings"))
+    placed = found.select(F.col("file").cast("bigint").alias("file"), F.col("_metadata.file_path").alias("path"))
+    return placed.groupBy("file").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("path").alias("files"))
+
+
 @query
 def stream_progress(spark, folder):
     """What the batches stored of their progress, added up over the runs."""

@@ -337,18 +337,18 @@ def apply_contract(
     """Add status, messages and accepted values to every row.
 
     ``duplicate`` names a boolean column; where it is true the row is a
-    DUPLICATE and is not checked. Without a contract every row passes.
+    DUPLICATE and is not checked. Without a contract every row passes that has the
+    fields of its header.
     """
     skip = F.col(duplicate) if duplicate else F.lit(False)
+    torn = F.col(MALFORMED).isNotNull() if MALFORMED in df.columns else F.lit(False)
     if contract is None:
-        return (
-            df.withColumn(STATUS, F.when(skip, F.lit(DUPLICATE)).otherwise(F.lit(PASS)))
-            .withColumn(VIOLATIONS, text.optional_items())
-            .withColumn(COERCIONS, text.optional_items())
-        )
+        plain = F.when(torn, F.lit(QUARANTINE)).when(skip, F.lit(DUPLICATE)).otherwise(F.lit(PASS))
+        return df.withColumns({
+            STATUS: plain, VIOLATIONS: F.when(torn, F.array(F.lit(MALFORMED_MESSAGE))).otherwise(text.optional_items()),
+            COERCIONS: text.optional_items()})
     compiled = CompiledContract(df, contract, typed_per_value)
     status = F.col(STATUS)
-    torn = F.col(MALFORMED).isNotNull() if MALFORMED in df.columns else F.lit(False)
     judged = df.withColumn(STATUS, F.when(skip & ~torn, F.lit(DUPLICATE)).when(torn, F.lit(QUARANTINE)).otherwise(compiled.status()))
     return judged.withColumns({
         VIOLATIONS: F.when(torn, F.array(F.lit(MALFORMED_MESSAGE))).otherwise(compiled.violations(status)),

@@ -61,6 +61,12 @@ class Storage:
     def stream_quarantine(self, name: str) -> str:
         return f"{self.area('quarantine')}/{name}_quarantine"
 
+    def stream_files(self, name: str) -> str:
+        return f"{self.area('stream_files')}/{name}"
+
+    def stream_carry(self, name: str) -> str:
+        return f"{self.area('checkpoints')}/carry_{name}"
+
     def stream_seen(self, name: str) -> str:
         return f"{self.area('checkpoints')}/seen_{name}"
 

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from contractflow.functions import times
 from contractflow.model import IOT, DataContract, OperationType, dataset_for
-from contractflow.operators import contracts, envelope, telemetry
+from contractflow.operators import cdc, contracts, envelope, telemetry
 from contractflow.operators.dedup import keep_first
 from contractflow.plans.batch import payload_of, utc_now
 from contractflow.sources.files import Storage, exists
@@ -113,7 +113,9 @@ def write_two_sinks(
             good.write.mode("overwrite").parquet(f"{storage.stream(name)}/batch={batch_id}")
             quarantined_events(judged).write.mode("overwrite").parquet(
                 f"{storage.stream_quarantine(name)}/batch={batch_id}")
-            if hook is not None:
+            if isinstance(hook, ExactFiles):
+                hook(good, batch_id)
+            elif hook is not None:
                 hook(good)
         finally:
             judged.unpersist()
@@ -145,6 +147,54 @@ def write_first_readings(
     return write
 
 
+class ExactFiles:
+    """A hook that writes accepted events in files of exactly ``rows`` events, across batches and restarts.
+
+    A batch's events are numbered on from those before it, and a number decides the
+    file. What does not fill a file is kept as the batch's remainder and opens the
+    next batch's first file; ``flush`` writes the last remainder. Batch ``n`` reads the
+    remainder of the batch before it and replaces what an earlier try of ``n`` wrote.
+    """
+
+    FILE = "file"
+
+    def __init__(self, storage: Storage, name: str, rows: int):
+        self.path, self.kept, self.rows = storage.stream_files(name), storage.stream_carry(name), rows
+
+    def _before(self, spark: SparkSession, batch_id: int) -> tuple[int, DataFrame | None]:
+        """How many events came before a batch, and the remainder that it starts with."""
+        if not exists(spark, f"{self.kept}/totals"):
+            return 0, None
+        totals = spark.read.parquet(f"{self.kept}/totals").where(F.col("number") < batch_id)
+        last = totals.agg(F.max(F.struct("number", "total")).alias("x")).first()["x"]
+        if last is None:
+            return 0, None
+        return last["total"], spark.read.parquet(f"{self.kept}/rest/number={last['number']}")
+
+    def __call__(self, good: DataFrame, batch_id: int) -> None:
+        spark = good.sparkSession
+        before, rest = self._before(spark, batch_id)
+        numbered = cdc.dense_offsets(good.withColumn("_digest", F.col("_event_id")), first_offset=before).withColumnRenamed(cdc.OFFSET, "_place")
+        numbered = numbered.persist()
+        try:
+            total = before + numbered.count()
+            whole = numbered if rest is None else rest.unionByName(numbered)
+            filed = whole.withColumn(self.FILE, F.expr(f"_place DIV {self.rows}"))
+            (filed.where(F.col(self.FILE) < total // self.rows).drop("_place").repartition(self.FILE)
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.FILE).parquet(self.path))
+            filed.where(F.col(self.FILE) >= total // self.rows).drop(self.FILE).coalesce(1).write.mode("overwrite").parquet(
+                f"{self.kept}/rest/number={batch_id}")
+            spark.createDataFrame([(total,)], "total bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.kept}/totals/number={batch_id}")
+        finally:
+            numbered.unpersist()
+
+    def flush(self, spark: SparkSession) -> None:
+        """Write the last remainder as a file of fewer events."""
+        total, rest = self._before(spark, 1 << 62)
+        if rest is not None and total % self.rows:
+            rest.drop("_place").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{self.FILE}={total // self.rows}")
+
+
 def run_events(
     events: DataFrame,
     storage: Storage,
@@ -158,7 +208,7 @@ def run_events(
 ) -> StreamingQuery:
     """Start the stream. It resumes from its checkpoint; batch size is set on the source.
 
-    ``hook`` receives the accepted events of every batch as a DataFrame. With
+    ``hook`` receives the accepted events of every batch as a DataFrame (``ExactFiles`` the batch's number too). With
     ``seen_table`` the ids are kept in a table by date and not in state.
     """
     if seen_table:

@@ -184,8 +184,7 @@ def test_files_with_different_headers_are_read_by_their_own(spark, tmp_path, sto
     assert (report.records_ingested, report.records_quarantined) == (2, 2)
 
 
-@pytest.mark.parametrize("sent", [csv.SPLITS_SENT, 0])
-@pytest.mark.parametrize("size", ["64b", "333b", "1m"])
+@pytest.mark.parametrize("size, sent", [("300b", csv.SPLITS_SENT), ("300b", 0), ("1m", csv.SPLITS_SENT)])
 def test_quoted_line_breaks_across_splits(spark, tmp_path, monkeypatch, size, sent):
     """Values with line breaks, quotes and empty lines, longer than many splits, against a plain reader."""
     import csv as plain
@@ -197,8 +196,8 @@ def test_quoted_line_breaks_across_splits(spark, tmp_path, monkeypatch, size, se
         with open(folder / f"f{f}.csv", "w", newline="") as out:
             writer = plain.writer(out, lineterminator="\r\n" if f == 1 else "\n")
             writer.writerow(names)
-            for i in range(40):
-                row = [f"R{f}-{i}"] + ["".join(draw.choices('ab,"\n', [8, 8, 1, 1, 2], k=draw.choice([0, 3, 20, 300]))) + "." for _ in range(4)]
+            for i in range(15):
+                row = [f"R{f}-{i}"] + ["".join(draw.choices('ab,"\n', [8, 8, 1, 1, 2], k=draw.choice([0, 3, 20, 200]))) + "." for _ in range(4)]
                 writer.writerow(row)
                 expected.append(tuple(row))
     monkeypatch.setattr(csv, "SPLITS_SENT", sent)
@@ -208,7 +207,7 @@ def test_quoted_line_breaks_across_splits(spark, tmp_path, monkeypatch, size, se
         rows = files.read_source_csv(spark, str(folder), SALES, multi_line=True).orderBy("_row").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert [r["_row"] for r in rows] == list(range(1, 121))
+    assert [r["_row"] for r in rows] == list(range(1, 46))
     assert [tuple(r[n] for n in names) for r in rows] == expected
 
 
@@ -319,3 +318,10 @@ def test_alerts_use_a_stock_column_where_there_is_one(spark):
     assert [r["product_id"] for r in serving.low_stock_alerts(frame).collect()] == ["a"]
     bare = serving.low_stock_alerts(frame.select("product_id")).collect()
     assert {(r["current_stock"], r["reorder_threshold"]) for r in bare} == {(0, 100)} and len(bare) == 3
+
+
+def test_torn_rows_are_quarantined_without_a_contract(spark):
+    rows = spark.createDataFrame([("a", None), ("b", "b,c")], "x string, _malformed string")
+    judged = contracts.apply_contract(rows, None)
+    assert [(r["_status"], r["_violations"]) for r in judged.orderBy("x").collect()] == [
+        ("PASS", []), ("QUARANTINE", [contracts.MALFORMED_MESSAGE])]

@@ -126,3 +126,20 @@ def test_a_replayed_batch_decides_as_before(spark, storage):
     assert streaming.read_sinks(spark, storage, "s")[0].count() == 1
     seen = streaming.SeenIds(storage.stream_seen("s"))
     assert spark.read.parquet(seen.path).count() == 1
+
+
+def test_files_of_exact_size_across_batches_and_replays(spark, storage):
+    exact = streaming.ExactFiles(storage, "s", 4)
+
+    def good(first, n):
+        return spark.range(first, first + n).select(F.sha2(F.col("id").cast("string"), 256).alias("_event_id"), "id")
+
+    exact(good(0, 3), 0)
+    for _ in range(2):
+        exact(good(3, 6), 1)
+    exact(good(9, 0), 2)
+    exact(good(9, 4), 3)
+    exact.flush(spark)
+    rows = spark.read.parquet(storage.stream_files("s")).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.collect_list("id").alias("ids")).collect()
+    assert {r["file"]: r["n"] for r in rows} == {0: 4, 1: 4, 2: 4, 3: 1}
+    assert sorted(i for r in rows for i in r["ids"]) == list(range(13))
