@@ -354,6 +354,38 @@ def test_unseen_words_fall_back_to_their_longest_known_grams():
     assert np.allclose(model.unseen("xyw"), 0)
 
 
+def test_language_scores_against_brute_force():
+    """Random counts of words and grams: log shares by hand, word by word, with the longest known grams of unseen words."""
+    draw = random.Random(8)
+    words = ["".join(draw.choices("abc", k=draw.randrange(1, 6))) for _ in range(40)]
+    tables = {0: {w: [draw.randrange(9), draw.randrange(9)] for w in words[:15]}}
+    for size in (1, 2, 3, 4):
+        found = {g for w in words for g in langid.grams(w, size)}
+        tables[size] = {g: [draw.randrange(9), draw.randrange(9)] for g in sorted(found) if draw.random() < 0.4}
+    model = langid.Model(["x", "y"], {size: list(t.items()) for size, t in tables.items()})
+
+    def share(size, gram, at):
+        rows = tables[size]
+        return math.log((rows[gram][at] + 0.5) / (sum(n[at] for n in rows.values()) + 0.5 * len(rows) + 0.5))
+
+    def of_word(word, at):
+        if word in tables[0]:
+            return share(0, word, at)
+        for size in (4, 3, 2, 1):
+            known = [g for g in langid.grams(word, size) if g in tables[size]]
+            if known:
+                return sum(share(size, g, at) for g in known) / len(known)
+        return 0.0
+
+    score = model.scorer()
+    for _ in range(50):
+        text = " ".join(draw.choices(words, k=draw.randrange(1, 30)))
+        sums = [sum(of_word(w, at) for w in text.split()) for at in (0, 1)]
+        best = int(sums[1] > sums[0])
+        lang, sure = score(text)
+        assert lang == "xy"[best] and math.isclose(sure, 1 / sum(math.exp(v - sums[best]) for v in sums), rel_tol=1e-9)
+
+
 def test_language_odd_rows(odd_docs, no_docs):
     found = rows_of(langid.identify_languages(odd_docs))
     assert len(found) == odd_docs.count() and all(r["held_out"] is not None for r in found)
