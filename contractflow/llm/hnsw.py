@@ -1,6 +1,7 @@
 """Approximate nearest neighbours: one navigable small-world graph per shard.
 
-Vectors are dealt to shards by a hash of their id. Each shard's different vectors
+Vectors are dealt to shards by their norm's band and a hash of their id, so that the
+norms of a shard differ by a factor of 16 at most. Each shard's different vectors
 form a hierarchical graph: nodes are ordered by level, so layer l is simply the
 first ``layers[l]`` nodes, and its links are one flat array of fixed width. A
 shard's graph is one row of the index table, written to the shared folder. Blocks
@@ -8,7 +9,8 @@ of queries then visit every shard; the shards' finds are merged with exact score
 
 Inner products are searched as distances: each vector gets one more component
 that brings it to the longest norm of its shard, which leaves the order by inner
-product as it is. Nodes are inserted in batches; a batch searches the graph built
+product as it is. Within a band that component stays small enough for single
+precision, however far the table's norms lie apart. Nodes are inserted in batches; a batch searches the graph built
 so far and its own members, takes diverse neighbours (a candidate nearer to a
 chosen neighbour than to the node is passed over), and links back.
 
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contractflow.llm import vectors as V
@@ -37,6 +39,8 @@ LINKS = 16
 BUILD, SEARCH = 64, 96
 #: Vectors of a shard at most (on average), and shards at least, which keeps small tables parallel.
 SHARD, SHARDS = 32_768, 12
+#: A band covers norms between two powers of two this many exponents apart; doubles have about 530 such bands.
+BAND = 4
 QUERY_BLOCK = 4096
 BATCH = 256
 EXPAND = 4
@@ -241,6 +245,7 @@ def build_shard(group: pa.Table) -> pa.Table:
 
 def _lifted(rows: np.ndarray) -> np.ndarray:
     """Vectors scaled to norms of at most one, with the component that brings each to exactly one."""
+    rows = rows / (np.abs(rows).max(initial=0) or 1.0)  # squares neither overflow nor vanish
     norms = np.sqrt((rows * rows).sum(axis=1))
     longest = norms.max(initial=0) or 1.0
     lift = np.sqrt(np.maximum(0, 1 - (norms / longest) ** 2))
@@ -278,8 +283,9 @@ def search_shard(k: int, width: int):
         out = []
         for low in range(0, len(asked_all), BATCH):
             asked = asked_all[low:low + BATCH]
-            size = np.sqrt((asked * asked).sum(axis=1))[:, None]
-            nodes = graph.search(np.concatenate([asked / size, 0 * size], 1).astype(np.float32), width)
+            even = asked / np.abs(asked).max(axis=1, keepdims=True)
+            even = even / np.sqrt((even * even).sum(axis=1, keepdims=True))
+            nodes = graph.search(np.concatenate([even, np.zeros((len(even), 1))], 1).astype(np.float32), width)
             row, slot = np.nonzero(nodes >= 0)
             node = nodes[row, slot]
             score = inner_products(asked[row], vectors[node])
@@ -298,18 +304,41 @@ def search_shard(k: int, width: int):
     return search
 
 
-def build_index(vectors: DataFrame, shards: int) -> DataFrame:
+def norm_band(vector: str) -> Column:
+    """The band of a vector's norm; norms around one are in the middle of theirs."""
+    largest = F.array_max(F.transform(vector, F.abs))
+    squares = F.aggregate(vector, F.lit(0.0), lambda total, x: total + (x / largest) * (x / largest))
+    return F.floor((F.log2(largest) + F.log2(squares) / 2) / BAND + 0.5).cast("int")
+
+
+def shards_of_bands(rows: dict[int, int]) -> tuple[Column, int]:
+    """The shard of a row with ``band`` and ``vec_id``, and how many shards there are, for so many rows a band."""
+    total, first, places = sum(rows.values()), 0, []
+    for band, count in sorted(rows.items()):
+        own = max(-(-count // SHARD), -(-count * SHARDS // total))
+        places += [F.lit(band), F.struct(F.lit(first).alias("first"), F.lit(own).alias("own"))]
+        first += own
+    place = F.create_map(*places)[F.col("band")]
+    return (place["first"] + F.pmod(F.xxhash64("vec_id"), place["own"])).cast("int"), first
+
+
+def build_index(vectors: DataFrame, shard: Column) -> DataFrame:
     """The index table: one row for each shard and vector length."""
-    dealt = vectors.withColumn("shard", V.block("vec_id", shards))
+    dealt = vectors.withColumn("shard", shard).drop("band")
     return staged(dealt.groupBy("shard", "dim").applyInArrow(build_shard, INDEX), "hnsw")
 
 
 def nearest(table: DataFrame, k: int = 20, every: int = V.EVERY, width: int = SEARCH) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's ``k`` nearest found."""
     vectors = V.usable_vectors(table).where(F.exists("vector", lambda x: x != 0))
-    rows, asked = vectors.agg(F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
-    shards, blocks = max(SHARDS, -(-rows // SHARD)), max(1, -(-asked // QUERY_BLOCK))
-    index = build_index(vectors, shards).withColumn("qb", V.every_block(blocks))
+    banded = vectors.withColumn("band", norm_band("vector"))
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1))).collect()
+    if not sizes:
+        return ranked(vectors.select(
+            F.col("vec_id").alias("qno"), F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score")), k)
+    shard, shards = shards_of_bands({band: rows for band, rows, _ in sizes})  # a row for each band
+    blocks = max(1, -(-sum(asked for _, _, asked in sizes) // QUERY_BLOCK))
+    index = build_index(banded, shard).withColumn("qb", V.every_block(blocks))
     queries = V.queries_of(vectors, every).withColumns({"qb": V.block("vec_id", blocks), "shard": V.every_block(shards)})
     keys = ["shard", "dim", "qb"]
     found = queries.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInArrow(

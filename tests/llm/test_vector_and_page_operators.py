@@ -90,6 +90,24 @@ def test_graph_of_many_nodes_and_copies():
     assert np.mean([len(set(a) & set(b[:20])) / 20 for a, b in zip(truth.tolist(), found.tolist())]) >= 0.9
 
 
+@pytest.mark.parametrize("long", [1e2, 1e4, 1e8, 1e160])
+def test_recall_at_any_norms(spark, long):
+    """Half of the norms spread over all sizes, the other half as they are but for one long vector."""
+    draw = np.random.default_rng(9)
+    points = draw.normal(size=(1500, 32))
+    points /= np.sqrt((points * points).sum(axis=1, keepdims=True))
+    for norms in (10 ** draw.uniform(0, np.log10(long), 1500), np.where(np.arange(1500) == 7, long, 1.0)):
+        rows = points * norms[:, None]
+        frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>")
+        found = rows_of(hnsw.nearest(frame, k=20))
+        hits = 0
+        for q in range(0, 1500, 20):
+            scores = rows @ points[q]
+            best = [i for i in np.argsort(-scores).tolist() if i != q][:20]
+            hits += len(set(best) & {r["vec_id"] for r in found if r["query_id"] == q})
+        assert hits >= 0.95 * 75 * 20 and len(found) == 75 * 20
+
+
 def test_graph_odd_rows(spark, odd_vectors):
     found = rows_of(hnsw.nearest(odd_vectors, k=20))
     assert {r["vec_id"] for r in found}.isdisjoint({2, 3, 4, 5, 7, None})
