@@ -6,11 +6,11 @@ source's words, and what is cut off goes to the others by weight.
 
 **Fit.** Every source first takes all its documents as often as its target
 allows. What is left of the target is a subset-sum problem over documents counted
-by exact length: an even share of each length's documents, then single documents
-in seeded order while the rest is large, and for the last words a bounded
-knapsack that finds the fullest sum. It sees one row for each different length,
-never the documents. The wanted number of each length is then drawn from the
-documents by a seeded hash.
+by exact length. With few different choices all sums are formed. Otherwise each
+length gives an even share of its documents, short of the budget by at least twice
+the longest document, and a bounded knapsack finds the fullest sum of the rest. It
+sees one row for each different length, never the documents. The wanted number of
+each length is then drawn from the documents by a seeded hash.
 
 **Defined results.** A null text has no words. Documents without words take none
 and are kept once. Repeated rows are separate documents; equal ones are
@@ -35,18 +35,32 @@ SEED = 20_240
 #: Times a document may be taken at most.
 MOST = 3
 WEIGHTS = (1, 2, 3)
-#: Words left to the knapsack at most, which bounds its tables.
+#: Words left to the knapsack: so many, or four times the longest document, ...
 WINDOW = 32_768
+#: ... and never more than this, which bounds its tables to about 120 MB.
+CELLS = 1 << 24
+#: Up to so many choices of documents are formed one by one, however long the documents are.
+FEW = 1 << 16
 #: A length's documents are drawn from so many hash buckets, so that no task ranks all copies of one text.
 BUCKETS = 1024
 
 
+def fullest_of_few(lengths: list[int], counts: list[int], budget: int) -> list[int]:
+    """As ``fullest_sum``, over a table of the sums that exist instead of all up to the budget."""
+    sums: dict[int, tuple[int, ...]] = {0: ()}
+    for length, count in zip(lengths, counts):
+        sums = {total + many * length: (*given, many) for many in range(count, -1, -1) for total, given in sums.items()
+                if total + many * length <= budget}
+    return list(sums[max(sums)])
+
+
 def fullest_sum(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """Bounded knapsack: how many of each length give the largest sum within ``budget``."""
     reached = np.zeros(budget + 1, bool)
     reached[0] = True
-    chosen = np.full(budget + 1, -1, np.int64)
+    chosen = np.full(budget + 1, -1, np.int32)
     parts: list[tuple[int, int]] = []  # (which length, how many): each count in powers of two
+    top = 0  # no sum beyond it is reached yet
     for which, (length, count) in enumerate(zip(lengths, counts)):
         step = 1
         while count > 0 and not reached[budget]:
@@ -55,11 +69,11 @@ def fullest_sum(lengths: list[int], counts: list[int], budget: int) -> list[int]
             size = many * length
             if size > budget:
                 break
-            fresh = np.zeros(budget + 1, bool)
-            fresh[size:] = reached[:budget + 1 - size]
-            fresh &= ~reached
-            chosen[fresh] = len(parts)
-            reached |= fresh
+            upto = min(top, budget - size) + 1
+            fresh = reached[:upto] & ~reached[size:size + upto]
+            chosen[size:size + upto][fresh] = len(parts)
+            reached[size:size + upto] |= fresh
+            top = max(top, size + upto - 1)
             parts.append((which, many))
     taken, left = [0] * len(lengths), int(np.nonzero(reached)[0][-1])
     while left:
@@ -69,17 +83,28 @@ def fullest_sum(lengths: list[int], counts: list[int], budget: int) -> list[int]
     return taken
 
 
-def fit_budget(lengths: list[int], counts: list[int], budget: int, seed: int, window: int = WINDOW) -> list[int]:
+def fit_budget(
+    lengths: list[int], counts: list[int], budget: int, seed: int, window: int = WINDOW, few: int = FEW, cells: int = CELLS,
+) -> list[int]:
     """How many documents of each length to take so that their words come to ``budget`` as nearly as possible."""
     total = sum(a * b for a, b in zip(lengths, counts))
     budget = max(0, min(budget, total))
     if not budget:
         return [0] * len(lengths)
-    taken = [count * budget // total for count in counts]
+    choices = 1
+    for count in counts:
+        choices *= count + 1
+        if choices > few:
+            break
+    else:
+        return fullest_of_few(lengths, counts, budget)
+    window = min(max(window, 4 * max(lengths)), max(window, cells))
+    even = max(0, budget - window // 2)
+    taken = [count * even // total for count in counts]
     left = budget - sum(a * b for a, b in zip(lengths, taken))
     order = list(range(len(lengths)))
     random.Random(seed).shuffle(order)
-    while left > window:
+    while left > window:  # shares rounded down leave up to one document of each length
         moved = False
         for i in order:
             if taken[i] < counts[i] and lengths[i] <= left and left > window:
@@ -168,12 +193,12 @@ def mix(rows: DataFrame, skinny: DataFrame, most: int = MOST, seed: int = SEED)
 
 
 def mix_report(docs: DataFrame, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row of ``docs``."""
+    """(doc_id, size, source_size, target, taken, source) for every row of ``docs``."""
     rows = staged(measured(docs, seed).select("doc_id", "source", "_mix"), "measured")
     mixed = mix(rows, rows.select("source", "_mix.size", "_mix.pick"), most, seed)
     return mixed.select(
-        "doc_id", "source", "_mix.size", "_mix.source_size", "_mix.target",
-        (F.col("_mix.size") * F.col("_mix.times")).alias("taken"))
+        "doc_id", "_mix.size", "_mix.source_size", "_mix.target",
+        (F.col("_mix.size") * F.col("_mix.times")).alias("taken"), "source")
 
 
 def mix_rows(docs: DataFrame, most: int = MOST, seed: int = SEED) -> DataFrame:
