@@ -129,12 +129,15 @@ def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, text, labels, fold): a bounded sample of the labelled documents."""
+    """(doc_id, text, labels, fold): at most ``sample`` labelled documents, one row an id."""
     known = labels.where("doc_id is not null and quality is not null and toxic is not null")
-    drawn = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
-    chosen = drawn.groupBy("doc_id").agg(F.array(
+    known = known.groupBy("doc_id").agg(F.array(
         F.max((1 - F.col("quality")).cast("long")), F.max(F.col("toxic").cast("long"))).alias("labels"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
+    chosen = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` ids
+    # One text an id, whatever its rows; the first by hash combines before the shuffle.
+    texts = found.groupBy("doc_id", "labels").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first"))
+    rows = texts.select("doc_id", "first.text", "labels")
     return staged(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(FOLDS)).cast("int")), "labelled")
 
 

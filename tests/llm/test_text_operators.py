@@ -320,9 +320,25 @@ def test_knapsack_is_exact():
         best = max(s for s in (sum(a * b for a, b in zip(lengths, n)) for n in itertools.product(*[range(c + 1) for c in counts]))
                    if s <= budget)
         assert sum(a * b for a, b in zip(lengths, taken)) == best and all(t <= c for t, c in zip(taken, counts))
-        exact = mixing.fit_budget(lengths, counts, budget, case, window=30)
-        assert all(0 <= t <= c for t, c in zip(exact, counts))
-        assert sum(a * b for a, b in zip(lengths, exact)) <= budget
+        assert sum(a * b for a, b in zip(lengths, mixing.fullest_of_few(lengths, counts, budget))) == best
+        for few in (1, mixing.FEW):
+            fitted = mixing.fit_budget(lengths, counts, budget, case, window=30, few=few)
+            assert all(0 <= t <= c for t, c in zip(fitted, counts))
+            assert sum(a * b for a, b in zip(lengths, fitted)) <= budget
+
+
+def test_budgets_of_long_documents_are_met():
+    """Sums that exist are found, whatever the lengths and the seed."""
+    for seed in range(6):
+        taken = mixing.fit_budget([40_000, 41_000, 50_000, 70_001], [1] * 4, 110_001, seed)
+        assert taken == [1, 0, 0, 1]
+        draw = random.Random(seed)
+        lengths = sorted(draw.sample(range(30_000, 200_000), 40))
+        counts = [draw.randrange(1, 9) for _ in lengths]
+        wanted = sum(a * draw.randrange(b + 1) for a, b in zip(lengths, counts))
+        taken = mixing.fit_budget(lengths, counts, wanted, seed)
+        assert all(0 <= t <= c for t, c in zip(taken, counts))
+        assert sum(a * b for a, b in zip(lengths, taken)) == wanted
 
 
 def test_mixing_odd_rows(odd_docs, no_docs):
@@ -497,3 +513,13 @@ def test_pieces_odd_rows(odd_docs, no_docs, vocabulary):
     empty = [r for r in found if r["doc_id"] == 3]
     assert [(r["n_pieces"], r["log_prob"], r["log_inclusion"]) for r in empty] == [(0, 0.0, 0.0)]
     assert pieces.sample_segmentations(no_docs).count() == 0
+
+
+def test_the_sample_of_labels_is_bounded_by_ids(spark):
+    """An id that fills both tables counts once."""
+    docs = spark.createDataFrame([(i % 50 if i < 100 else 7, f"text {i % 9}") for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7 if i % 3 else i % 50, i % 2, i % 2) for i in range(3000)], "doc_id long, quality int, toxic int")
+    rows = rows_of(toxicity.labelled_sample(docs, labels, sample=20))
+    assert len(rows) == len({r["doc_id"] for r in rows}) == 20
+    assert rows_of(toxicity.labelled_sample(docs.repartition(3), labels.repartition(5), sample=20).orderBy("doc_id")) == sorted(
+        rows, key=lambda r: r["doc_id"])
