@@ -574,6 +574,11 @@ SELECT product_id AS key, '{{"event_id":"' || event_id || '","timestamp":"' || "
 m AS (SELECT *, {_join(SEPARATOR, _above('temperature', '60'), _above('humidity', '100'))} AS violations FROM flat)
 SELECT event_id, city, temperature, humidity, weather_description, "timestamp",
        CASE WHEN violations = '' THEN 'PASS' ELSE 'QUARANTINE' END AS status, violations FROM m""",
+    "landed_ingest": f"""WITH flat AS (
+  SELECT ['Lahore', 'Karachi', 'Islamabad', 'Rawalpindi', 'Faisalabad'][user_id % 5 + 1] AS city,
+         value / 4 AS temperature, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) + event_id % 7 AS humidity,
+         event_type AS weather_description, {_iso('ts')} AS "timestamp", CAST(event_id % 2 AS INTEGER) AS landed FROM events)
+SELECT * FROM flat WHERE temperature <= 60 AND humidity <= 100""",
     "cdc_feed": f"WITH {FEED} SELECT * FROM feed",
     "cdc_feed_ops": f"""WITH {DRAWN}
 SELECT o AS _log_offset, CASE WHEN percent < 60 THEN 'INSERT' WHEN percent < 90 THEN 'UPDATE' ELSE 'DELETE' END AS _operation_type FROM drawn""",

@@ -823,6 +823,19 @@ def load_failure(spark, folder):
     return table.select("source_id", "records_failed", (F.col("records_ingested") > 0).alias("ingested"))
 
 
+@query
+def landed_ingest(spark, folder):
+    """Weather responses that land in two goes, a run after each and one more: every file is taken once."""
+    storage = files.Storage(scratch_path(spark, "landed"))
+    payloads, folder = views.weather_payloads(spark, folder), f"{storage.root}/payloads"
+    for landing in (0, 1):
+        payloads.where(F.col("event_id") % 2 == landing).drop("event_id").write.mode("append").json(folder)
+        batch.ingest_landed(spark, folder, storage)
+    batch.ingest_landed(spark, folder, storage)
+    return spark.read.parquet(storage.good(WEATHER)).select(
+        "city", "temperature", "humidity", "weather_description", "timestamp", "landed")
+
+
 def _sales_job(spark: SparkSession, folder: str) -> tuple[telemetry.JobReport, files.Storage]:
     storage = files.Storage(scratch_path(spark, "job"))
     return batch.ingest(views.sales(spark, folder), SALES, storage), storage

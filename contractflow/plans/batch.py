@@ -13,15 +13,16 @@ from dataclasses import replace
 from datetime import datetime, timezone
 
 from py4j.protocol import Py4JError
-from pyspark.errors import PySparkException
+from pyspark.errors import PySparkException, StreamingQueryException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from contractflow.model import CONTRACTS, DEDUP_KEYS, LEGACY, SOURCES, DataContract, OperationType, dataset_for
+from contractflow.model import CONTRACTS, DEDUP_KEYS, LEGACY, SOURCES, WEATHER, DataContract, OperationType, dataset_for
 from contractflow.operators import audit, contracts, dedup, envelope, rows, telemetry
 from contractflow.operators.normalize import CHANGE_COUNT, CHANGES, normalize
 from contractflow.session import scratch_path
-from contractflow.sources.files import LoadError, Storage, data_files, read_source_csv, remove
+from contractflow.sources.files import (
+    FILE, LoadError, Storage, data_files, landed_payloads, number_splits, read_source_csv, remove)
 
 log = logging.getLogger(__name__)
 
@@ -177,37 +178,39 @@ def job_report(job_id: str, source_id: str, started: float, counts: dict) -> tel
 
 def ingest(
     df: DataFrame, source_id: str, storage: Storage, suffix: str = "", compat: bool = False,
-    typed_per_value: tuple[str, ...] = (), identity: list[str] | None = None, record_lines: bool = False,
+    typed_per_value: tuple[str, ...] = (), identity: list[str] | None = None, record_lines: bool = False, part: str = "",
 ) -> telemetry.JobReport:
     """Run one source through to its sinks. A sink without rows is not written, and what an earlier run left there goes.
 
-    ``record_lines`` also writes the readable log line of every row.
+    ``record_lines`` also writes the readable log line of every row. With ``part``
+    the run owns that folder of each sink and leaves the rest as it is.
     """
     spark, started = df.sparkSession, time.time()
     job_id, done = f"job_{source_id}_{int(started)}", {}
+    path = scratch_path(spark, "judged")
     try:
         judged = judge(df, source_id, compat, identity=identity, typed_per_value=typed_per_value)
-        path = scratch_path(spark, "judged")
         staged, counts = stage(judged, path, record_lines)
         marker = tuple(identity or [rows.ROW])
-        target = storage.good(source_id, suffix)
+        target = storage.good(source_id, suffix) + part
         _replace(
             good_rows(staged, source_id, utc_now(), (audit.KEY, *marker)), target, counts["records_ingested"])
         done |= {n: counts[n] for n in ("records_ingested", "records_coerced", "avg_ingestion_latency_sec")}
-        _replace(quarantine_rows(staged), storage.quarantine(source_id, suffix), counts["records_quarantined"])
+        _replace(quarantine_rows(staged), storage.quarantine(source_id, suffix) + part, counts["records_quarantined"])
         done["records_quarantined"] = counts["records_quarantined"]
-        audit.audit_rows(staged).write.mode("overwrite").json(storage.audit(source_id, suffix))
+        audit.audit_rows(staged).write.mode("overwrite").json(storage.audit(source_id, suffix) + part)
         if record_lines:
             lines = audit.record_lines(
                 staged, source_id, contract_for(source_id, compat), changes_shown=None, violations_shown=None)
-            lines.select("line").write.mode("overwrite").text(storage.record_lines(source_id, suffix))
-        remove(spark, path)
+            lines.select("line").write.mode("overwrite").text(storage.record_lines(source_id, suffix) + part)
         report = job_report(job_id, source_id, started, counts)
         if counts["records_ingested"]:
             report.file_count_per_partition, report.snapshot_count = data_files(spark, target), 1
         return report
     except (PySparkException, Py4JError) as error:
         raise JobFailed(job_report(job_id, source_id, started, done | {"records_failed": 1})) from error
+    finally:
+        remove(spark, path)
 
 
 class JobFailed(Exception):
@@ -247,10 +250,47 @@ def ingest_csv(
     return ingest(raw, source_id, storage, suffix, compat, SOURCES[source_id].numeric_fields())
 
 
+def ingest_landed(
+    spark: SparkSession, folder: str, storage: Storage, most_files: int = 10_000,
+) -> list[telemetry.JobReport]:
+    """Ingest the weather responses that landed since the last run: one job for each batch of files.
+
+    The stream's checkpoint is the ledger of files, so each is taken once. Each batch
+    owns a folder ``landed=<number>`` of every sink, so a batch that is repeated
+    after a failure replaces itself. A batch that fails is reported with one
+    failure, ends the run, and is tried again by the next.
+    """
+    reports: list[telemetry.JobReport] = []
+
+    def take(batch: DataFrame, number: int) -> None:
+        numbered = number_splits(batch).drop("_start")
+        try:
+            reports.append(ingest(numbered, WEATHER, storage, identity=[FILE, rows.ROW], part=f"/landed={number}"))
+        except JobFailed as failure:
+            reports.append(failure.report)
+            raise
+
+    try:
+        payloads = landed_payloads(spark, folder, most_files)
+    except LoadError as error:
+        log.error("%s could not be ingested from %s: %s", WEATHER, folder, error)
+        return [failed_load(WEATHER)]
+    try:
+        (payloads.writeStream.foreachBatch(take).option("checkpointLocation", storage.landed(WEATHER))
+         .trigger(availableNow=True).start().awaitTermination())
+    except StreamingQueryException as error:
+        log.error("%s failed: %s", WEATHER, error)
+        if not any(r.records_failed for r in reports):
+            reports.append(failed_load(WEATHER))
+    return reports
+
+
 def ingest_all(
     spark: SparkSession, paths: dict[str, str], storage: Storage, compat: bool = False,
 ) -> DataFrame:
-    """Full load of several CSV sources; the telemetry rows are appended and returned.
+    """Full load of several CSV sources and of the folder of landed weather responses.
+
+    The telemetry rows are appended and returned.
 
     A source whose file is not there is left out; one that is there but cannot be
     read gets a row with one failure. A job that fails on the way does not stop the
@@ -260,6 +300,9 @@ def ingest_all(
     for source_id, path in paths.items():
         if not audit.path_exists(spark, path):
             continue
+        if source_id == WEATHER:
+            reports += ingest_landed(spark, path, storage)
+            continue
         try:
             reports.append(ingest_csv(spark, path, source_id, storage, compat=compat))
         except JobFailed as failure:
@@ -283,7 +326,7 @@ def ingest_slices(
     started = time.time()
     sliced = rows.with_slices(df, batch_size, max_batches)
     judged = judge(sliced, source_id, within=(rows.BATCH,), typed_per_value=typed_per_value)
-    staged, _ = stage(judged, scratch_path(df.sparkSession, "judged"))
+    staged, _ = stage(judged, scratch_path(df.sparkSession, "judged"))  # the telemetry returned reads it too
     also = (rows.BATCH,)
     good_rows(staged, source_id, utc_now(), also=also).write.mode("overwrite").parquet(storage.micro_batch(source_id))
     quarantine_rows(staged, also=also).write.mode("overwrite").parquet(storage.quarantine(source_id, "microbatch"))

@@ -70,6 +70,9 @@ class Storage:
     def stream_seen(self, name: str) -> str:
         return f"{self.area('checkpoints')}/seen_{name}"
 
+    def landed(self, source_id: str) -> str:
+        return f"{self.area('checkpoints')}/landed_{source_id}"
+
     def stream_progress(self, name: str) -> str:
         return f"{self.area('telemetry')}_streams/{name}"
 
@@ -115,26 +118,31 @@ def data_files(spark: SparkSession, path: str) -> int:
     return 0 if found is None else max(found.getFileCount() - 1, 0)
 
 
+#: File and split of a row.
+FILE, START = "_file", "_start"
+
+
 def _with_text_rows(scan: DataFrame) -> DataFrame:
-    """Add ``_row`` numbers in file order to a scan of text files.
+    placed = scan.withColumns({FILE: F.col("_metadata.file_path"), START: F.col("_metadata.file_block_start")})
+    return number_splits(placed).select(*scan.columns, ROW)
+
+
+def number_splits(scan: DataFrame) -> DataFrame:
+    """Add ``_row`` numbers in file order to rows of text files that know their file and split.
 
     A text split has no row positions, so each split is counted first (no column
     is parsed for that) and the row number is the split's offset plus the
     position within it. Both passes read the same splits.
     """
-    placed = scan.withColumns({
-        "_file": F.col("_metadata.file_path"),
-        "_start": F.col("_metadata.file_block_start"),
-        "_at": F.monotonically_increasing_id(),
-    })
-    splits = placed.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_base"))
+    placed = scan.withColumn("_at", F.monotonically_increasing_id())
+    splits = placed.groupBy(FILE, START).agg(F.count(F.lit(1)).alias("_size"), F.min("_at").alias("_base"))
     # One row per split, so this window runs over the split list and not over data.
-    before = Window.orderBy(F.length("_file"), "_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.length(FILE), FILE, START).rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(
-        "_file", "_start",
+        FILE, START,
         (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_base") + 1).alias("_shift"))
     return (
-        placed.join(offsets, ["_file", "_start"])
+        placed.join(offsets, [FILE, START])
         .withColumn(ROW, F.col("_at") + F.col("_shift"))
         .select(*scan.columns, ROW)
     )
@@ -210,6 +218,21 @@ WEATHER_SCHEMA = T.StructType([
 ])
 
 
+def landed_payloads(spark: SparkSession, folder: str, most_files: int) -> DataFrame:
+    """A stream of the weather responses that land in a folder, flat, with their file and split.
+
+    A line that is no JSON keeps its text in ``_malformed``, which quarantines it.
+    """
+    if _length(spark, folder) < 0:
+        raise LoadError(f"Folder not found: {folder}")
+    schema = T.StructType([*WEATHER_SCHEMA.fields, T.StructField(MALFORMED, T.StringType())])
+    stream = (
+        spark.readStream.schema(schema).option("columnNameOfCorruptRecord", MALFORMED)
+        .option("maxFilesPerTrigger", most_files).json(folder))
+    placed = stream.withColumns({FILE: F.col("_metadata.file_path"), START: F.col("_metadata.file_block_start")})
+    return flatten_weather(placed, also=(MALFORMED, FILE, START))
+
+
 def read_weather_json(spark: SparkSession, path: str) -> DataFrame:
     """Landed weather responses as flat, numbered rows."""
     if _length(spark, path) < 0:

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from py4j.protocol import Py4JError
 from pyspark.sql import functions as F
 
 from contractflow.model import CONTRACTS, MANUFACTURING, SALES, WAREHOUSE, WEATHER
@@ -292,6 +293,40 @@ def test_weather_payloads(spark, tmp_path, storage):
         files.read_weather_json(spark, str(tmp_path / "none.json"))
 
 
+def test_landed_payloads_are_taken_once(spark, tmp_path, storage):
+    """A ledger of files; lines that are no JSON; the full load takes the folder too."""
+    line = '{"city":"Lahore","main":{"temp":%d,"humidity":60},"weather":[{"description":"rain"}],"timestamp":"2026-04-05"}\n'
+    folder = tmp_path / "landed"
+    assert [r.records_failed for r in batch.ingest_landed(spark, str(folder), storage)] == [1]
+    folder.mkdir()
+    (folder / "a.json").write_text(line % 20 + "torn {\n" + line % 21)
+    assert [(r.records_ingested, r.records_quarantined) for r in batch.ingest_landed(spark, str(folder), storage)] == [(2, 1)]
+    assert batch.ingest_landed(spark, str(folder), storage) == []
+    (folder / "b.json").write_text(line % 22)
+    (folder / "b2.json").write_text("torn\n")
+    table = batch.ingest_all(spark, {WEATHER: str(folder)}, storage)
+    assert [(r["source_id"], r["records_ingested"]) for r in table.collect()] == [(WEATHER, 1)]
+    good = spark.read.parquet(storage.good(WEATHER))
+    assert sorted((r["temperature"], r["landed"]) for r in good.collect()) == [(20.0, 0), (21.0, 0), (22.0, 1)]
+    assert good.select("_event_id").distinct().count() == 3
+    assert spark.read.parquet(storage.quarantine(WEATHER)).count() == 2
+
+
+def test_a_failed_landing_is_repeated(spark, tmp_path, storage, monkeypatch):
+    folder = tmp_path / "landed"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"city":"Lahore","main":{"temp":20,"humidity":60},"weather":[{"description":"x"}],"timestamp":"t"}\n')
+
+    def fail(*_):
+        raise Py4JError("no audit today")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(batch.audit, "audit_rows", fail)
+        assert [r.records_failed for r in batch.ingest_landed(spark, str(folder), storage)] == [1]
+    assert [r.records_ingested for r in batch.ingest_landed(spark, str(folder), storage)] == [1]
+    assert spark.read.parquet(storage.good(WEATHER)).count() == 1
+
+
 def test_first_wins_asks_for_a_row_order(spark):
     frame = spark.createDataFrame([("r", "p", "t", 1, "s")],
                                   "receipt_id string, product_id string, sale_timestamp string, units_sold bigint, store_id string")
