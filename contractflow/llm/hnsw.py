@@ -306,9 +306,13 @@ def search_shard(k: int, width: int):
 
 def norm_band(vector: str) -> Column:
     """The band of a vector's norm; norms around one are in the middle of theirs."""
-    largest = F.array_max(F.transform(vector, F.abs))
-    squares = F.aggregate(vector, F.lit(0.0), lambda total, x: total + (x / largest) * (x / largest))
-    return F.floor((F.log2(largest) + F.log2(squares) / 2) / BAND + 0.5).cast("int")
+    def exponent(largest: Column) -> Column:
+        squares = F.aggregate(vector, F.lit(0.0), lambda total, x: total + (x / largest) * (x / largest))
+        return F.log2(largest) + F.log2(squares) / 2
+
+    # Bound as a lambda's variable, the largest component is found once a vector and not once a component.
+    found = F.transform(F.array(F.array_max(F.transform(vector, F.abs))), exponent)[0]
+    return F.floor(found / BAND + 0.5).cast("int")
 
 
 def shards_of_bands(rows: dict[int, int]) -> tuple[Column, int]:
