@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,8 @@ SCENARIOS = {"steady": (10.0, 100), "burst": (5000.0, 5000)}
 
 
 RUN = "run"
-#: Offsets that one task writes to a log, and those that one step extracts.
-CHUNK, STEP = 50_000, 1_000_000
+#: Offsets that one task writes to a log, those that one step extracts, and those whose steps one job writes.
+CHUNK, STEP, WAVE = 50_000, 1_000_000, 20_000_000
 MANIFEST = "_manifest"
 
 
@@ -151,22 +152,48 @@ def _write_run(found: DataFrame, path: str, position: str) -> int:
     return found.sparkSession.read.parquet(target).count()
 
 
-def _write_chunk(found: DataFrame, path: str, first: int, last: int) -> int:
-    """Write one chunk and list it: readers see a chunk once its line in the manifest is there."""
-    spark, target = found.sparkSession, f"{path}/from={first:020d}"
-    found.write.mode("overwrite").parquet(target)
-    rows = spark.read.parquet(target).count()
-    _created(spark, f"{path}/{MANIFEST}/{first:020d}", f"{last} {rows}")
+@dataclass(frozen=True)
+class _Wave:
+    """Chunks that one job has written, by first offset: the rows each has, none where offsets are missing."""
+
+    spark: SparkSession
+    rows: dict[int, int]
+
+
+def _write_wave(found: DataFrame, path: str, first: int, last: int, step: int) -> _Wave:
+    """Write the chunks between two offsets in one job, each to a folder of its own, and count what is there.
+
+    A chunk that an earlier run wrote but did not commit is replaced. The log's files are in
+    order, so a task writes one chunk after the other and nothing is shuffled.
+    """
+    spark = found.sparkSession
+    start = F.expr(f"({cdc.OFFSET} - {first}) DIV {step} * {step} + {first}")
+    (found.withColumn("from", F.lpad(start.cast("string"), 20, "0")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("from").parquet(path))
+    folders = [f"{path}/from={n:020d}" for n in range(first, last + 1, step)]
+    there = {n for n in _names(spark, path) if n.startswith("from=")}
+    kept = [f for f in folders if f.rsplit("/", 1)[1] in there]
+    if not kept:
+        return _Wave(spark, {})
+    written = spark.read.schema(found.schema).parquet(*kept).groupBy(start.alias("from")).agg(F.count(F.lit(1)).alias("rows"))
+    return _Wave(spark, {r["from"]: r["rows"] for r in written.collect()})
+
+
+def _write_chunk(wave: _Wave, path: str, first: int, last: int) -> int:
+    """List one chunk that its wave has written: readers see a chunk once its line in the manifest is there."""
+    rows = wave.rows.get(first, 0)
+    if rows:
+        _created(wave.spark, f"{path}/{MANIFEST}/{first:020d}", f"{last} {rows}")
     return rows
 
 
 def extract_by_log(
     spark: SparkSession, storage: Storage, source_id: str, scenario: str, step: int = STEP,
 ) -> telemetry.JobReport:
-    """New events in chunks of ``step`` offsets; each is written, listed and committed before the next.
+    """New events in chunks of ``step`` offsets: written by waves of many chunks, each listed in turn, then committed.
 
-    A run that fails goes on behind the last chunk it committed. A chunk that was
-    written but not committed is written again under its first offset.
+    A run that fails goes on behind the last chunk it listed, or, if its process ended, behind the last
+    wave. A chunk that was written but not committed is written again under its first offset.
     """
     started = time.time()
     log = read_change_log(spark, storage, source_id, scenario)
@@ -176,11 +203,18 @@ def extract_by_log(
     saved = load_position(spark, mark)
     last = int(saved) if saved is not None else None
     ends = cdc.after_offset(log, last).agg(F.min(cdc.OFFSET).alias("first"), F.max(cdc.OFFSET).alias("last")).first()
-    rows = 0
-    for first in range(ends["first"], ends["last"] + 1, step) if ends["first"] is not None else ():
-        upto = min(first + step - 1, ends["last"])
-        rows += _write_chunk(cdc.after_offset(log, first - 1, upto), path, first, upto)
-        save_position(spark, mark, str(upto))
+    rows, width = 0, max(WAVE // step, 1) * step
+    for begin in range(ends["first"], ends["last"] + 1, width) if ends["first"] is not None else ():
+        end, listed = min(begin + width - 1, ends["last"]), None
+        wave = _write_wave(cdc.after_offset(log, begin - 1, end), path, begin, end, step)
+        try:
+            for first in range(begin, end + 1, step):
+                upto = min(first + step - 1, end)
+                rows += _write_chunk(wave, path, first, upto)
+                listed = upto
+        finally:
+            if listed is not None:
+                save_position(spark, mark, str(listed))
     return _close("log", source_id, scenario, started, rows)
 
 
@@ -215,6 +249,7 @@ def read_extracted(spark: SparkSession, storage: Storage, source_id: str, strate
     """All rows one strategy has extracted so far; of chunks, those that the manifest lists."""
     path = storage.extracted(source_id, strategy, scenario)
     listed = [n for n in _names(spark, f"{path}/{MANIFEST}") if not n.startswith(".")]
-    if not listed:
-        return spark.read.parquet(path).drop("from")
-    return spark.read.parquet(*[f"{path}/from={n}" for n in listed])
+    if listed:
+        return spark.read.parquet(*[f"{path}/from={n}" for n in listed])
+    whole = spark.read.parquet(path).drop("from")
+    return whole.where(F.lit(False)) if strategy == "log" else whole

@@ -242,3 +242,19 @@ def test_chunked_extraction_resumes_where_it_failed(spark, storage, monkeypatch)
     found = changes.read_extracted(spark, storage, SALES, "log", "burst")
     assert sorted(r[0] for r in found.select("_log_offset").collect()) == list(range(50))
     assert load_position(spark, storage.checkpoint("log_based", SALES, "burst")) == "49"
+
+
+def test_many_chunks_are_written_by_few_jobs(spark, storage, monkeypatch):
+    """Chunks cost no job each; missing offsets make no chunk, and unlisted chunks aren't read."""
+    whole = feed(spark, 400, scenario="burst")
+    changes.write_change_log(whole.where("_log_offset NOT BETWEEN 100 AND 129"), storage, SALES, "burst", "one")
+    spark.sparkContext.setJobGroup("many-chunks", "")
+    monkeypatch.setattr(changes, "WAVE", 200)
+    report = changes.extract_by_log(spark, storage, SALES, "burst", step=10)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("many-chunks"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert report.records_ingested == 370 and jobs < 30
+    found = changes.read_extracted(spark, storage, SALES, "log", "burst")
+    assert sorted(r[0] for r in found.select("_log_offset").collect()) == [*range(100), *range(130, 400)]
+    path = storage.extracted(SALES, "log", "burst")
+    assert [int(n) for n in changes._names(spark, f"{path}/_manifest") if n[0] != "."] == [*range(0, 100, 10), *range(130, 400, 10)]
