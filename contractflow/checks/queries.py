@@ -495,7 +495,8 @@ def cdc_op_counts(spark, folder):
 @query
 def cdc_two_step(spark, folder):
     """Two real runs, each written to the log and extracted, against the whole feed."""
-    whole, log = _feed(spark, folder), _two_runs(spark, folder)
+    whole = _feed(spark, folder)
+    log = _two_runs(spark, whole)
     found = changes.read_extracted(spark, log, SALES, "log", "steady").groupBy("_log_offset").agg(F.count(F.lit(1)).alias("two"))
     per_event = whole.select("_log_offset", F.lit(1).alias("one")).join(found, "_log_offset", "full")
     return per_event.agg(
@@ -504,9 +505,9 @@ def cdc_two_step(spark, folder):
         F.count_if(F.coalesce("two", F.lit(0)) > F.coalesce("one", F.lit(0))).alias("repeated"))
 
 
-def _two_runs(spark: SparkSession, folder: str) -> files.Storage:
+def _two_runs(spark: SparkSession, whole: DataFrame) -> files.Storage:
     """The feed written to a log in two runs, with an extraction by offset after each."""
-    storage, whole = files.Storage(scratch_path(spark, "log")), _feed(spark, folder)
+    storage = files.Storage(scratch_path(spark, "log"))
     runs = {"one": whole.where(F.col("_log_offset") <= LOG_POSITION), "two": whole.where(F.col("_log_offset") > LOG_POSITION)}
     for run, part in runs.items():
         changes.write_change_log(part, storage, SALES, "steady", run)
@@ -539,7 +540,7 @@ def cdc_chunks(spark, folder):
 @query
 def cdc_commit(spark, folder):
     """The position committed after two extractions, next to what they wrote."""
-    storage = _two_runs(spark, folder)
+    storage = _two_runs(spark, _feed(spark, folder))
     position = load_position(spark, storage.checkpoint("log_based", SALES, "steady"))
     found = changes.read_extracted(spark, storage, SALES, "log", "steady")
     return found.agg(

@@ -10,6 +10,7 @@ from contractflow.functions import draws, numbers, times
 from contractflow.model import OperationType, dataset_for
 from contractflow.operators import dedup, envelope
 from contractflow.operators.rows import ROW
+from contractflow.session import scratch_path
 
 OFFSET, OPERATION = "_log_offset", "_operation_type"
 CHANGE_COLUMNS = ("_cdc_op", "_updated_at", "_deleted_at")
@@ -138,28 +139,35 @@ def snapshot_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame
     return events.withColumn("_digest", F.md5(F.concat_ws("|", "_op", F.col("_copy").cast("string"), *texts).cast("binary"))).drop("_copy")
 
 
-def dense_offsets(events: DataFrame, digest: str = "_digest", first_offset: int = 0) -> DataFrame:
+def dense_offsets(events: DataFrame, digest: str = "_digest", first_offset: int = 0, path: str | None = None) -> DataFrame:
     """Number events in the order of their digests, without a gap and without a sort of the whole.
 
     Digests spread evenly, so their first three digits deal the events to 4096 parts
-    of about one size; the parts are counted, and each numbers its own rows on from
-    the sum of those before it, a list of at most 4096 numbers.
+    of about one size. The events are written once to ``path`` (a new one in the shared folder by
+    default), each part in one file and in order; so a row's place in its file gives its place in its part, the sum of
+    the parts before it is a list of at most 4096 numbers, and whatever reads the
+    numbered events does not compute them again.
     """
+    spark, path = events.sparkSession, path or scratch_path(events.sparkSession, "events")
     dealt = events.withColumn("_part", F.substr(digest, F.lit(1), F.lit(3)))
+    dealt.repartition("_part").sortWithinPartitions("_part", digest).write.option("maxRecordsPerFile", 0).parquet(path)
+    placed = spark.read.schema(dealt.schema).parquet(path).withColumn("_place", F.col("_metadata.row_index"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_size")).select(
-        "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(digest))
-    numbered = dealt.withColumn("_place", place).join(F.broadcast(starts), "_part")
-    return numbered.withColumn(OFFSET, F.col("_start") + F.col("_place") - 1 + first_offset).drop("_part", "_place", "_start", digest)
+    starts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"), F.min("_place").alias("_first")).select(
+        "_part", (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first")).alias("_start"))
+    numbered = placed.join(F.broadcast(starts), "_part")
+    return numbered.withColumn(OFFSET, F.col("_start") + F.col("_place") + first_offset).drop("_part", "_place", "_start", digest)
 
 
 def snapshot_feed(
     before: DataFrame, after: DataFrame, key: str, source_id: str, started_at: str, rate: float,
-    scenario: str = "steady", first_offset: int = 0,
+    scenario: str = "steady", first_offset: int = 0, path: str | None = None,
 ) -> DataFrame:
-    """The change feed between two states of a table; event ``i`` happens ``i / rate`` seconds after the start."""
-    numbered = dense_offsets(snapshot_changes(before, after, key), first_offset=first_offset)
+    """The change feed between two states of a table; event ``i`` happens ``i / rate`` seconds after the start.
+
+    The states are compared once; the events found stand at ``path``, and the feed reads them.
+    """
+    numbered = dense_offsets(snapshot_changes(before, after, key), first_offset=first_offset, path=path)
     payload = [F.col(f"`{n}`") for n in numbered.columns if not n.startswith("_")]
     return _enveloped(_numbers_as_doubles(numbered.select(OFFSET, "_op", *payload)), source_id, started_at, rate, scenario)
 

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from contractflow.operators import cdc, telemetry
 from contractflow.plans.batch import job_report
+from contractflow.session import scratch_path
 from contractflow.sources.checkpoints import load_position, save_position
-from contractflow.sources.files import Storage, read_parquet_or_none
+from contractflow.sources.files import CODEC, Storage, read_parquet_or_none, remove
 
 # Events per second and events of the two scenarios.
 SCENARIOS = {"steady": (10.0, 100), "burst": (5000.0, 5000)}
@@ -120,7 +121,7 @@ def write_change_log(
         cdc.OFFSET: F.col(cdc.OFFSET) + F.lit(shift),
         "_event_id": F.sha2(F.concat_ws(":", "_event_id", F.lit(run_id)), 256)})
     ordered = placed.repartition(F.expr(f"{cdc.OFFSET} DIV {int(chunk)}")).sortWithinPartitions(cdc.OFFSET)
-    ordered.write.mode("overwrite").parquet(f"{path}/{RUN}={run_id}")
+    ordered.write.mode("overwrite").option("compression", CODEC).parquet(f"{path}/{RUN}={run_id}")
     return path
 
 
@@ -129,10 +130,14 @@ def capture_changes(
     started_at: str, run_id: str | None = None,
 ) -> telemetry.JobReport:
     """Log what turned one state of an ingested table into the next, at the pace of a scenario, and report it."""
-    started, (rate, _), run_id = time.time(), SCENARIOS[scenario], run_id or uuid.uuid4().hex
-    feed = cdc.snapshot_feed(before, after, key, source_id, started_at, rate, scenario)
-    path = write_change_log(feed, storage, source_id, scenario, run_id)
-    rows = feed.sparkSession.read.parquet(path).where(F.col(RUN) == f"r-{run_id}").count()
+    started, (rate, _), run_id, spark = time.time(), SCENARIOS[scenario], run_id or uuid.uuid4().hex, after.sparkSession
+    events = scratch_path(spark, "events")
+    try:
+        feed = cdc.snapshot_feed(before, after, key, source_id, started_at, rate, scenario, path=events)
+        path = write_change_log(feed, storage, source_id, scenario, run_id)
+    finally:
+        remove(spark, events)
+    rows = spark.read.parquet(path).where(F.col(RUN) == f"r-{run_id}").count()
     return _close("capture", source_id, scenario, started, rows)
 
 
@@ -148,7 +153,7 @@ def _write_run(found: DataFrame, path: str, position: str) -> int:
     starts from the same position: no row is lost and none is there twice.
     """
     target = f"{path}/from={position.replace(':', '-')}"
-    found.write.mode("overwrite").parquet(target)
+    found.write.mode("overwrite").option("compression", CODEC).parquet(target)
     return found.sparkSession.read.parquet(target).count()
 
 
@@ -169,7 +174,7 @@ def _write_wave(found: DataFrame, path: str, first: int, last: int, step: int) -
     spark = found.sparkSession
     start = F.expr(f"({cdc.OFFSET} - {first}) DIV {step} * {step} + {first}")
     (found.withColumn("from", F.lpad(start.cast("string"), 20, "0")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("from").parquet(path))
+     .option("partitionOverwriteMode", "dynamic").option("compression", CODEC).partitionBy("from").parquet(path))
     folders = [f"{path}/from={n:020d}" for n in range(first, last + 1, step)]
     there = {n for n in _names(spark, path) if n.startswith("from=")}
     kept = [f for f in folders if f.rsplit("/", 1)[1] in there]
@@ -225,7 +230,7 @@ def extract_by_trigger(spark: SparkSession, storage: Storage, source_id: str, sc
     if log is None:
         return _close("trigger", source_id, scenario, started, 0)
     target = storage.extracted(source_id, "trigger", scenario)
-    cdc.triggered(log).write.mode("overwrite").parquet(target)
+    cdc.triggered(log).write.mode("overwrite").option("compression", CODEC).parquet(target)
     return _close("trigger", source_id, scenario, started, spark.read.parquet(target).count())
 
 

@@ -19,6 +19,10 @@ class LoadError(Exception):
     """A source that is missing, empty or unreadable."""
 
 
+#: Codec of the Parquet that jobs write. Half of a row is ids in hexadecimal digits, which the default leaves as they are.
+CODEC = "zstd"
+
+
 @dataclass(frozen=True)
 class Storage:
     """Where a run writes. The areas do not overlap."""

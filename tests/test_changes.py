@@ -258,3 +258,20 @@ def test_many_chunks_are_written_by_few_jobs(spark, storage, monkeypatch):
     assert sorted(r[0] for r in found.select("_log_offset").collect()) == [*range(100), *range(130, 400)]
     path = storage.extracted(SALES, "log", "burst")
     assert [int(n) for n in changes._names(spark, f"{path}/_manifest") if n[0] != "."] == [*range(0, 100, 10), *range(130, 400, 10)]
+
+
+def test_a_feed_compares_its_states_once(spark):
+    """What reads a feed again, as a job does that counts, writes and extracts it, shuffles no state again."""
+    found = cdc.snapshot_feed(snapshot(spark, 300), snapshot(spark, 400, 90, 10), "receipt_id", SALES, START, 10.0)
+    plan = plan_of(found)
+    assert "hashpartitioning(receipt_id" not in plan and "hashpartitioning(_part" in plan
+    rows = found.select("_log_offset", "_event_id", "receipt_id").collect()
+    assert sorted(r["_log_offset"] for r in rows) == list(range(110))
+    assert {tuple(r) for r in found.select("_log_offset", "_event_id", "receipt_id").collect()} == {tuple(r) for r in rows}
+
+
+def test_dense_offsets_follow_the_digests(spark):
+    digests = [f"{(i * 2654435761) % (1 << 32):08x}" for i in range(3000)]
+    found = cdc.dense_offsets(spark.createDataFrame([(d, d) for d in digests], "_digest string, name string").repartition(7), first_offset=5)
+    assert [r["name"] for r in found.orderBy("_log_offset").collect()] == sorted(digests)
+    assert sorted(r["_log_offset"] for r in found.collect()) == list(range(5, 3005))
