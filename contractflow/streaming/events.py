@@ -14,7 +14,8 @@ from contractflow.model import IOT, DataContract, OperationType, dataset_for
 from contractflow.operators import cdc, contracts, envelope, telemetry
 from contractflow.operators.dedup import keep_first
 from contractflow.plans.batch import payload_of, utc_now
-from contractflow.sources.files import Storage, exists
+from contractflow.session import scratch_path
+from contractflow.sources.files import Storage, exists, remove
 from contractflow.sources.kafka import decode_events
 from contractflow.streaming import progress
 from contractflow.streaming.progress import KEPT, READ
@@ -174,19 +175,21 @@ class ExactFiles:
     def __call__(self, good: DataFrame, batch_id: int) -> None:
         spark = good.sparkSession
         before, rest = self._before(spark, batch_id)
-        numbered = cdc.dense_offsets(good.withColumn("_digest", F.col("_event_id")), first_offset=before).withColumnRenamed(cdc.OFFSET, "_place")
-        numbered = numbered.persist()
+        path = scratch_path(spark, "events")
         try:
+            numbered = cdc.dense_offsets(good.withColumn("_digest", F.col("_event_id")), first_offset=before, path=path).withColumnRenamed(
+                cdc.OFFSET, "_place")
             total = before + numbered.count()
             whole = numbered if rest is None else rest.unionByName(numbered)
             filed = whole.withColumn(self.FILE, F.expr(f"_place DIV {self.rows}"))
             (filed.where(F.col(self.FILE) < total // self.rows).drop("_place").repartition(self.FILE)
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.FILE).parquet(self.path))
-            filed.where(F.col(self.FILE) >= total // self.rows).drop(self.FILE).coalesce(1).write.mode("overwrite").parquet(
+            # Less than one file is left over. It goes to its task by a shuffle: one task must not read the whole batch for it.
+            filed.where(F.col(self.FILE) >= total // self.rows).drop(self.FILE).repartition(1).write.mode("overwrite").parquet(
                 f"{self.kept}/rest/number={batch_id}")
             spark.createDataFrame([(total,)], "total bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.kept}/totals/number={batch_id}")
         finally:
-            numbered.unpersist()
+            remove(spark, path)
 
     def flush(self, spark: SparkSession) -> None:
         """Write the last remainder as a file of fewer events."""

@@ -143,3 +143,16 @@ def test_files_of_exact_size_across_batches_and_replays(spark, storage):
     rows = spark.read.parquet(storage.stream_files("s")).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.collect_list("id").alias("ids")).collect()
     assert {r["file"]: r["n"] for r in rows} == {0: 4, 1: 4, 2: 4, 3: 1}
     assert sorted(i for r in rows for i in r["ids"]) == list(range(13))
+
+
+def test_a_remainder_is_not_read_by_one_task(spark, storage, monkeypatch):
+    """What fills no file is filtered by all tasks; only a row of totals is ever put into one without a shuffle."""
+    good = spark.range(0, 1003, 1, 8).select(F.sha2(F.col("id").cast("string"), 256).alias("_event_id"), "id")
+    real, seen = type(good).coalesce, []
+    monkeypatch.setattr(type(good), "coalesce", lambda self, n: (seen.append(self.columns), real(self, n))[1])
+    exact = streaming.ExactFiles(storage, "s", 10)
+    exact(good, 0)
+    assert seen == [["total"]]
+    exact.flush(spark)
+    rows = spark.read.parquet(storage.stream_files("s")).groupBy("file").count().collect()
+    assert sorted(r["count"] for r in rows) == [3] + [10] * 100
