@@ -40,21 +40,27 @@ def mark_duplicates(
     ``identity`` columns must identify a row and their order is the row order; they
     may be NULL.
     """
-    identity = identity or [ROW]
     key = dedup_key(df, key) if isinstance(key, str) else key
-    firsts = first_rows(df, key, identity, list(within))
+    joined = with_first(df, first_rows(df, key, identity or [ROW], list(within)), identity or [ROW])
+    return flag_duplicates(joined, key)
+
+
+FIRST = "_is_first"
+
+
+def with_first(df: DataFrame, firsts: DataFrame, identity: list[str]) -> DataFrame:
+    """Rows with ``_is_first``: true for those in ``firsts``, else NULL."""
     if identity == [ROW]:
-        joined = df.join(firsts.withColumn("_is_first", F.lit(True)), ROW, "left")
-    else:
-        named = firsts.select(*[F.col(n).alias(f"_first_{n}") for n in identity], F.lit(True).alias("_is_first"))
-        same = [F.col(n).eqNullSafe(F.col(f"_first_{n}")) for n in identity]
-        joined = df.join(named, same, "left")
-    return (
-        joined
-        .withColumn(DUP, F.col("_is_first").isNull() & key.isNotNull())
-        .drop("_is_first")
-        .select(*df.columns, DUP)
-    )
+        return df.join(firsts.withColumn(FIRST, F.lit(True)), ROW, "left").select(*df.columns, FIRST)
+    named = firsts.select(*[F.col(n).alias(f"_first_{n}") for n in identity], F.lit(True).alias(FIRST))
+    same = [F.col(n).eqNullSafe(F.col(f"_first_{n}")) for n in identity]
+    return df.join(named, same, "left").select(*df.columns, FIRST)
+
+
+def flag_duplicates(df: DataFrame, key: Column) -> DataFrame:
+    """``_is_first`` as the flag of duplicates, behind the other columns."""
+    names = [n for n in df.columns if n != FIRST]
+    return df.withColumn(DUP, F.col(FIRST).isNull() & key.isNotNull()).select(*names, DUP)
 
 
 def keep_first(

@@ -22,7 +22,7 @@ from contractflow.operators import audit, contracts, dedup, envelope, rows, tele
 from contractflow.operators.normalize import CHANGE_COUNT, CHANGES, normalize
 from contractflow.session import scratch_path
 from contractflow.sources.files import (
-    FILE, LoadError, Storage, data_files, landed_payloads, number_splits, read_source_csv, remove)
+    CODEC, FILE, LoadError, Storage, data_files, landed_payloads, number_splits, read_source_csv, remove)
 
 log = logging.getLogger(__name__)
 
@@ -97,7 +97,14 @@ def judge(
     normal = prepare(df, source_id)
     key = first_wins_key(normal, source_id, compat)
     _require_order(normal, key, identity)
-    marked = dedup.mark_duplicates(normal, key, identity, within) if key is not None else normal
+    if key is None:
+        marked = normal
+    elif identity in (None, [rows.ROW]):
+        # Rows cross the shuffle as they arrived: normalization adds texts that are several times as long.
+        known = dedup.with_first(df, dedup.first_rows(normal, key, [rows.ROW], list(within)), [rows.ROW])
+        marked = dedup.flag_duplicates(prepare(known, source_id), key)
+    else:
+        marked = dedup.mark_duplicates(normal, key, identity, within)
     return contracts.apply_contract(
         marked, contract or contract_for(source_id, compat), typed_per_value,
         dedup.DUP if key is not None else None)
@@ -165,7 +172,7 @@ def stage(judged: DataFrame, path: str, keep_changes: bool = False) -> tuple[Dat
     latency = telemetry.latency_seconds(envelope.event_time(payload_of(judged)), utc_now())
     counted = telemetry.observed(judged, watch, latency_seconds=latency, changes=CHANGE_COUNT)
     kept = counted if keep_changes else counted.drop(CHANGES)
-    kept.write.partitionBy(contracts.STATUS).parquet(path)
+    kept.write.option("compression", CODEC).partitionBy(contracts.STATUS).parquet(path)
     return spark.read.schema(kept.schema).parquet(path), watch.get
 
 
@@ -198,7 +205,7 @@ def ingest(
         done |= {n: counts[n] for n in ("records_ingested", "records_coerced", "avg_ingestion_latency_sec")}
         _replace(quarantine_rows(staged), storage.quarantine(source_id, suffix) + part, counts["records_quarantined"])
         done["records_quarantined"] = counts["records_quarantined"]
-        audit.audit_rows(staged).write.mode("overwrite").json(storage.audit(source_id, suffix) + part)
+        audit.audit_rows(staged).write.mode("overwrite").option("compression", "gzip").json(storage.audit(source_id, suffix) + part)
         if record_lines:
             lines = audit.record_lines(
                 staged, source_id, contract_for(source_id, compat), changes_shown=None, violations_shown=None)
@@ -224,7 +231,7 @@ class JobFailed(Exception):
 def _replace(frame: DataFrame, path: str, count: int) -> None:
     """Write the rows of this run, or leave nothing of an earlier one where there are none."""
     if count:
-        frame.write.mode("overwrite").parquet(path)
+        frame.write.mode("overwrite").option("compression", CODEC).parquet(path)
     else:
         remove(frame.sparkSession, path)
 
@@ -331,7 +338,7 @@ def ingest_slices(
     good_rows(staged, source_id, utc_now(), also=also).write.mode("overwrite").parquet(storage.micro_batch(source_id))
     quarantine_rows(staged, also=also).write.mode("overwrite").parquet(storage.quarantine(source_id, "microbatch"))
     (audit.audit_rows(staged, row="_slice_row", also=also)
-     .write.mode("overwrite").json(storage.audit(source_id, "microbatch")))
+     .write.mode("overwrite").option("compression", "gzip").json(storage.audit(source_id, "microbatch")))
     return slice_telemetry(staged, source_id, time.time() - started)
 
 

@@ -102,3 +102,14 @@ def test_slices(spark, size, cap, wanted):
     frame = spark.range(1, 26).withColumnRenamed("id", "_row")
     found = {r["batch_id"]: r["count"] for r in rows.with_slices(frame, size, cap).groupBy("batch_id").count().collect()}
     assert found == wanted
+
+
+def test_rows_are_flagged_before_they_grow(spark):
+    """The join that flags duplicates carries rows as they arrived; normalized texts and messages are made behind it."""
+    from contractflow.model import SALES
+    from contractflow.plans import batch
+    from contractflow.sources import views
+    judged = batch.judge(views.sales(spark, "/root/testdata/sf0.001"), SALES)
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join", 1)
+    assert "_moment_sale_timestamp" in above and "_moment_sale_timestamp" not in below
