@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contractflow.operators.contracts import MALFORMED
@@ -30,6 +30,8 @@ from contractflow.session import scratch_path
 
 #: Splits up to which their list is handed to every task; beyond it lines are sorted by split.
 SPLITS_SENT = 100_000
+#: Bytes of text that one task joins to records, in however many splits.
+TASK_BYTES = 32 << 20
 #: Different headers one source may have.
 HEADERS = 256
 
@@ -72,15 +74,17 @@ def _parsed(records: DataFrame, headers: list[str]) -> tuple[DataFrame, list[str
     options = {"mode": "PERMISSIVE", "quote": '"', "escape": '"', "columnNameOfCorruptRecord": MALFORMED}
     listed = {h: _names(h) for h in headers}
     union = list(dict.fromkeys(n for h in headers for n in listed[h]))
-    cells: Column | None = None
-    for header, names in listed.items():
-        schema = ", ".join(f"`{n}` STRING" for n in (*names, MALFORMED))
-        value = F.from_csv("value", schema, options)
-        own = F.struct(*[(value[n] if n in names else F.lit(None).cast("string")).alias(n) for n in union], value[MALFORMED].alias(MALFORMED))
-        cells = F.when(F.col("header") == header, own) if cells is None else cells.when(F.col("header") == header, own)
-    if cells is None:
+    if not union:
         return records.select(ROW), []
-    return records.select(cells.alias("c"), ROW).select(*[F.col("c").getField(n).alias(n) for n in (*union, MALFORMED)], ROW), union
+    # Each record is parsed once, as the struct of its own header; taken apart in the same step it would be parsed once a column.
+    parsed, cells = {}, {n: [] for n in (*union, MALFORMED)}
+    for number, (header, names) in enumerate(listed.items()):
+        schema = ", ".join(f"`{n}` STRING" for n in (*names, MALFORMED))
+        parsed[f"_p{number}"] = F.when(F.col("header") == header, F.from_csv("value", schema, options))
+        for n in (*names, MALFORMED):
+            cells[n].append(F.col(f"_p{number}").getField(n))
+    structs = records.select(*[c.alias(n) for n, c in parsed.items()], ROW)
+    return structs.select(*[(own[0] if len(own) == 1 else F.coalesce(*own)).alias(n) for n, own in cells.items()], ROW), union
 
 
 def records(spark: SparkSession, path: str, multi_line: bool = False) -> tuple[DataFrame, list[str]]:
@@ -107,8 +111,11 @@ def _sent(splits: DataFrame) -> DataFrame:
 
 def _single(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     lines = _lines(spark, path, None)
-    splits = _kept(_placed(lines.groupBy("_file", "_start").agg(
-        F.count(F.lit(1)).alias("size"), F.min("_at").alias("_base"), F.min_by("value", "_at").alias("first"))), "splits")
+    # Counted without their texts, which would have to be sorted; the first lines are looked up by their place.
+    sizes = _kept(lines.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("size"), F.min("_at").alias("_base")), "sizes")
+    heads = sizes.groupBy("_file").agg(F.min_by("_base", "_start").alias("_at"))
+    firsts = lines.join(_sent(heads), ["_file", "_at"]).select("_file", F.col("_at").alias("_base"), F.col("value").alias("first"))
+    splits = _kept(_placed(sizes.join(firsts, ["_file", "_base"], "left")), "splits")
     numbered = lines.join(_sent(splits).select("_file", "_start", "_shift", "_base", "_head", "header"), ["_file", "_start"])
     is_header = (F.col("_start") == F.col("_head")) & (F.col("_at") == F.col("_base"))
     return numbered.where(~is_header).select("value", "header", (F.col("_at") - F.col("_base") + 1 + F.col("_shift")).alias(ROW)), splits
@@ -196,8 +203,15 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _packed(spark: SparkSession, lines: DataFrame, path: str) -> DataFrame:
+    """The same splits in fewer tasks: small splits would cost more to start than to read."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    length = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+    return lines.coalesce(max(4 * spark.sparkContext.defaultParallelism, length // TASK_BYTES))
+
+
 def _joined(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    lines = _lines(spark, path, "\n")
+    lines = _packed(spark, _lines(spark, path, "\n"), path)
     measured = _kept(lines.select("value", "_file", "_start").mapInArrow(
         _measure, "_file string, _start long, quotes long, outside long, inside long, first string"), "measured")
     before = Window.partitionBy("_file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)

@@ -360,3 +360,36 @@ def test_torn_rows_are_quarantined_without_a_contract(spark):
     judged = contracts.apply_contract(rows, None)
     assert [(r["_status"], r["_violations"]) for r in judged.orderBy("x").collect()] == [
         ("PASS", []), ("QUARANTINE", [contracts.MALFORMED_MESSAGE])]
+
+
+def kept_frames(monkeypatch):
+    """What the CSV reader writes on its way, by label."""
+    real, seen = csv._kept, {}
+    monkeypatch.setattr(csv, "_kept", lambda frame, label: (seen.__setitem__(label, frame), real(frame, label))[1])
+    return seen
+
+
+def test_splits_are_counted_without_their_texts(spark, tmp_path, monkeypatch):
+    """No sort of the lines, and one parse a record however many columns there are."""
+    (tmp_path / "d").mkdir()
+    for name, head, row in (("a", "receipt_id,store_id,units_sold", "R1,s,1"), ("b", "store_id,receipt_id", "s,R2")):
+        (tmp_path / "d" / f"{name}.csv").write_text(f"\n{head}\n{row}\n")
+    seen = kept_frames(monkeypatch)
+    frame = files.read_source_csv(spark, str(tmp_path / "d"), SALES)
+    assert "Sort" not in seen["sizes"]._jdf.queryExecution().executedPlan().toString()
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("from_csv(") == 2
+    assert [(r["receipt_id"], r["store_id"], r["units_sold"], r["_row"]) for r in frame.orderBy("_row").collect()] == [
+        ("R1", "s", "1", 1), ("R2", "s", None, 2)]
+
+
+def test_small_splits_share_tasks(spark, tmp_path, monkeypatch):
+    (tmp_path / "many.csv").write_text("receipt_id,note\n" + "".join(f'R{i},"a\nb, ""{i}"""\n' for i in range(4000)))
+    size, seen = spark.conf.get("spark.sql.files.maxPartitionBytes"), kept_frames(monkeypatch)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    try:
+        frame = files.read_source_csv(spark, str(tmp_path / "many.csv"), SALES, multi_line=True)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert seen["measured"].rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert frame.select("_row", "receipt_id", "note").orderBy("_row").collect() == [
+        (i + 1, f"R{i}", f'a\nb, "{i}"') for i in range(4000)]
