@@ -58,7 +58,7 @@ def op3_toxicity(spark, folder):
 
 @query
 def op4_pieces(spark, folder):
-    return pieces.sample_segmentations(table(spark, folder, "documents"), k=2, with_ids=False)
+    return pieces.sample_segmentations(table(spark, folder, "documents"), k=2)
 
 
 @query

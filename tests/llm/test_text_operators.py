@@ -505,6 +505,15 @@ def test_pieces_query(spark):
     assert Counter(r["doc_id"] for r in found).keys() == {r["doc_id"] for r in rows_of(table(spark, SMALL, "documents"))}
 
 
+def test_pieces_query_returns_the_pieces(spark, vocabulary):
+    """The segmentations themselves, with the digests that belong to them."""
+    texts = {r["doc_id"]: r["text"] or "" for r in rows_of(table(spark, SMALL, "documents"))}
+    for r in rows_of(QUERIES["op4_pieces"](spark, SMALL)):
+        ids = np.array(r["ids"], "<u4")
+        assert (len(ids), zlib.crc32(ids.tobytes())) == (r["n_pieces"], r["ids_crc32"])
+        assert vocabulary.decode(r["ids"]) == texts[r["doc_id"]]
+
+
 def test_pieces_odd_rows(odd_docs, no_docs, vocabulary):
     found = rows_of(pieces.sample_segmentations(odd_docs, k=2))
     texts = {r["doc_id"]: r["text"] or "" for r in rows_of(odd_docs) if r["doc_id"] is not None}
