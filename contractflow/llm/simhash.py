@@ -23,8 +23,11 @@ rounds, each written to the shared folder.
 
 **Near copies.** ``keep_one``, the pipeline's stage, links documents by the exact
 Jaccard similarity of their five-word shingles. At 0.8 two fingerprints differ in
-about ten of 64 bits, far beyond what trees can prune, so its candidates come
-from bands of minima of the shingle hashes and not from fingerprints.
+15 % of their bits, far beyond what 64 bits can tell from chance, so here SimHash
+has 256 bits, and fingerprints link at 68 or fewer differing bits. Unrelated ones
+differ in 128, with a deviation of 8. The key parts are the 32 bytes: fingerprints
+are compared where one byte is equal, which two sets of similarity 0.8 miss with
+0.00005. Chains of links are clusters, and only inside them sets are compared.
 
 **Defined results.** A null or wordless text has fingerprint zero, which links
 like any other. Equal fingerprints share a node, so copies cost nothing in the
@@ -58,8 +61,12 @@ BLOCK = 512
 CELLS = 1 << 22
 #: Near copies that ``keep_one`` removes: words of a shingle, and similarity of two shingle sets.
 WORDS, SIMILAR = 5, 0.8
-#: Minima of a signature: sets of similarity 0.8 agree on at least one whole band with 0.9995.
-BANDS, ROWS = 25, 6
+#: Their fingerprints: 64-bit parts, differing bits up to which two link, and those up to which their first parts may differ.
+PARTS, NEAR, NEAR_FIRST = 4, 68, 24
+#: Fingerprints that are compared without key parts.
+ALONE = 4096
+#: Fingerprints among which dense balls are looked for, differing bits from a ball's vantage point, a ball's least share.
+BALLS, INNER, DENSE = 8192, 32, 1 / 64
 
 
 def text_fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -314,26 +321,128 @@ def _shingle_hashes(text: str | None, size: int) -> np.ndarray:
         [digest(b" ".join(s), SEED) for s in zip(*[words[i:] for i in range(min(size, len(words)))])], np.uint64))
 
 
-def _signature(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """The least product of the hashes with each factor, modulo 2^64."""
-    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(hashes), 2048):  # a long text is done in parts
-        np.minimum(least, (hashes[start:start + 2048, None] * factors).min(axis=0), out=least)
-    return least
+def wide_fingerprint(hashes: np.ndarray, parts: int = PARTS) -> np.ndarray:
+    """SimHash of a set of shingle hashes in 64-bit parts; later parts take the bits of mixed hashes."""
+    ones = np.zeros(64 * parts, np.int64)
+    steps = np.arange(1, parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for start in range(0, len(hashes), 4096):  # a long text is done in parts
+        own = hashes[start:start + 4096, None]
+        x = own + steps
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x = np.hstack([own, x ^ (x >> np.uint64(31))]).astype("<u8")
+        ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
 
 
-def _signed(texts: pa.Array, size: int, bands: int, rows: int) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """Node (a digest of the shingle set), number of shingles and band keys of each text."""
-    factors = np.random.default_rng(SEED).integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    node, many, keys = [], [], []
+def _signed(texts: pa.Array, size: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Node (a digest of the shingle set), number of shingles and wide fingerprint of each text."""
+    node, many, prints = [], [], []
     for text in texts.to_pylist():
         hashes = _shingle_hashes(text, size)
         node.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
         many.append(len(hashes))
-        parts = _signature(hashes, factors).reshape(bands, rows)
-        keys.append(np.array([xxhash.xxh64_intdigest(part.tobytes(), b) for b, part in enumerate(parts)], np.uint64).view(np.int64))
+        prints.append(wide_fingerprint(hashes).view(np.int64))
     return (pa.array(np.array(node, np.uint64).view(np.int64), pa.int64()), pa.array(many, pa.int32()),
-            pa.array(keys, pa.list_(pa.int64())))
+            pa.array(prints, pa.list_(pa.int64())))
+
+
+def _wide(prints) -> np.ndarray:
+    """A column of wide fingerprints as rows of unsigned numbers."""
+    column = prints.combine_chunks() if isinstance(prints, pa.ChunkedArray) else prints
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(column), PARTS)
+
+
+def _wide_distance(points: np.ndarray, others: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(points ^ others).sum(-1, dtype=np.int16)
+
+
+def _wide_pairs(points: np.ndarray, radius: int):
+    """Blocks of position pairs within ``radius``; the first parts tell most others."""
+    first = np.ascontiguousarray(points[:, 0])
+    rows = max(1, (CELLS >> 2) // max(1, len(points)))
+    for start in range(0, len(points) - 1, rows):
+        a, b = np.nonzero(np.bitwise_count(first[start:start + rows, None] ^ first[None, start + 1:]) <= NEAR_FIRST)
+        a, b = a + start, b + start + 1
+        a, b = a[a < b], b[a < b]
+        near = _wide_distance(points[a], points[b]) <= radius
+        yield a[near], b[near]
+
+
+def dense_balls(points: np.ndarray, inner: int = INNER, share: float = DENSE) -> list[int]:
+    """Positions of vantage points that have at least this share of all points within ``inner`` of them."""
+    left, found, least = np.arange(len(points)), [], max(32, share * len(points))
+    while len(left) >= least:
+        some = left[:: -(-len(left) // 128)]
+        within = np.stack([_wide_distance(points[left], points[i]) <= inner for i in some])
+        best = int(within.sum(1).argmax())
+        if within[best].sum() < least:
+            break
+        found.append(int(some[best]))
+        left = left[~within[best]]
+    return found
+
+
+def wide_links(nodes: DataFrame, radius: int = NEAR, alone: int = ALONE) -> DataFrame:
+    """Links (a, b) that connect nodes whose wide fingerprints (``print``) are near, where a byte of them is equal.
+
+    Each fingerprint goes to one shard a byte, by the byte's place and upper half; a shard
+    compares what has the whole byte in common and returns a spanning forest. A large
+    group of near copies would fill its shards, so a sample shows the vantage points
+    of dense balls. A fingerprint within ``INNER`` of one links to it and goes no
+    further; whatever is near such a fingerprint is within ``INNER + radius`` of the
+    vantage point, and links to that as well.
+    """
+    total = nodes.count()
+    bytes_ = range(8 * PARTS) if total > alone else range(0)
+    every = max(1, -(-total // BALLS))
+    drawn = nodes.where(F.pmod(F.xxhash64("print", F.lit(SEED)), F.lit(every)) == 0).select("node", "print").limit(2 * BALLS).toArrow()
+    order = np.argsort(drawn["node"].to_numpy())
+    shape, names = _wide(drawn["print"])[order], drawn["node"].to_numpy()[order]
+    found = dense_balls(shape) if len(shape) else []
+    balls, centres = shape[found], names[found]
+
+    def inside(points: np.ndarray, ball: np.ndarray, limit: int) -> np.ndarray:
+        return _wide_distance(points, ball) <= limit
+
+    def claim(batches):
+        for batch in batches:
+            node, points = batch.column(0).to_numpy(), _wide(batch.column(1))
+            for ball, centre in zip(balls, centres):
+                near = inside(points, ball, INNER + radius) & (node != centre)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node[near]), pa.array(np.full(int(near.sum()), centre, np.int64))], ["a", "b"])
+
+    def route(batches):
+        for batch in batches:
+            node, points = batch.column(0).to_numpy(), _wide(batch.column(1))
+            free = np.ones(len(node), bool)
+            for ball in balls:
+                free &= ~inside(points, ball, INNER)
+            node, points = node[free], np.ascontiguousarray(points[free])
+            keys = points.astype("<u8").view(np.uint8).reshape(len(node), 8 * PARTS)
+            ends = pa.array(np.arange(len(node) + 1, dtype=np.int32) * points.shape[1])
+            prints = pa.ListArray.from_arrays(ends, pa.array(points.view(np.int64).ravel()))
+            for shard in ([16 * at + (keys[:, at] >> 4).astype(np.int32) for at in bytes_] or [np.full(len(node), -1)]):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard.astype(np.int32)), pa.array(node), prints], ["shard", "node", "print"])
+
+    def search(group: pa.Table) -> pa.Table:
+        node, shard = group["node"].to_numpy(), group["shard"][0].as_py()
+        order = np.argsort(node)  # the same rows whatever order they came in
+        node, points = node[order], _wide(group["print"])[order]
+        labels = np.arange(len(node))
+        key = points.astype("<u8").view(np.uint8).reshape(len(node), 8 * PARTS)[:, shard // 16] if shard >= 0 else np.zeros(len(node), np.uint8)
+        for value in np.unique(key):
+            own = np.nonzero(key == value)[0]
+            for a, b in _wide_pairs(points[own], radius):
+                join_labels(labels, own[a], own[b])
+        linked = np.nonzero(labels != np.arange(len(node)))[0]
+        return pa.table({"a": pa.array(node[linked]), "b": pa.array(node[labels[linked]])})
+
+    places = nodes.select("node", "print")
+    links = places.mapInArrow(route, "shard int, node long, print array<long>").groupBy("shard").applyInArrow(search, "a long, b long")
+    return links.unionByName(places.mapInArrow(claim, "a long, b long")) if found else links
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -351,22 +460,22 @@ def _located(docs: DataFrame) -> DataFrame:
         F.xxhash64("text").alias("_hash"), "text")
 
 
-def near_copies(docs: DataFrame, size: int = WORDS, least: float = SIMILAR, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_copies(docs: DataFrame, size: int = WORDS, least: float = SIMILAR) -> DataFrame:
     """(node, first, root) of every different shingle set: sets joined by a chain of similar pairs share ``root``.
 
-    ``first`` is the place (``no_id``, ``_id``, ``_hash``) of the set's first row. Candidates are sets that agree on a
-    whole band of minima; every link is then checked on the exact sets. First all sets
-    of a bucket are compared with its least and its largest one, so a large group of
-    copies costs two pairs a set. Buckets that this leaves in several groups form
+    ``first`` is the place (``no_id``, ``_id``, ``_hash``) of the set's first row. Candidates are sets whose wide
+    fingerprints are in one cluster; every link is then checked on the exact sets. First all sets
+    of a cluster are compared with its least and its largest one, so a large group of
+    copies costs two pairs a set. Clusters that this leaves in several groups are
     families, which ``_family_links`` joins on what sets differ in.
     """
-    schema = "_id long, _none boolean, _hash long, node long, many int, bands array<long>"
+    schema = "_id long, _none boolean, _hash long, node long, many int, print array<long>"
 
     def sign(batches):
         for batch in batches:
-            node, many, keys = _signed(batch.column(3), size, bands, rows)
+            node, many, prints = _signed(batch.column(3), size)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], node, many, keys], ["_id", "_none", "_hash", "node", "many", "bands"])
+                [*batch.columns[:3], node, many, prints], ["_id", "_none", "_hash", "node", "many", "print"])
 
     @F.pandas_udf("array<long>")
     def shingles(texts: pd.Series) -> pd.Series:
@@ -374,26 +483,25 @@ def near_copies(docs: DataFrame, size: int = WORDS, least: float = SIMILAR, band
 
     prints = staged(_located(docs).mapInArrow(sign, schema), "signatures")
     place = F.struct(F.col("_none").alias("no_id"), "_id", "_hash")
-    nodes = staged(prints.groupBy("node").agg(F.min(F.struct(place.alias("first"), "many", "bands")).alias("x"))
-                   .select("node", "x.first", "x.many", "x.bands"), "nodes")
-    keys = staged(nodes.select("node", "many", F.explode("bands").alias("key")), "bands")
-    ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    shared = staged(salted_join(keys, ends, "key", F.col("node")), "buckets")
+    nodes = staged(prints.groupBy("node").agg(F.min(F.struct(place.alias("first"), "many", "print")).alias("x"))
+                   .select("node", "x.first", "x.many", "x.print"), "nodes")
+    linked = staged(components(wide_links(nodes)), "linked").select("node", F.col("root").alias("key"))
+    clusters = linked.unionByName(linked.select(F.col("key").alias("node"), "key").distinct())  # a root has no row of its own
+    keys = staged(nodes.select("node", "many", "first").join(clusters, "node"), "clusters")
+    ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n"))
+    shared = staged(salted_join(keys.select("node", "many", "key"), ends, "key", F.col("node")), "shared")
     sizes = nodes.select(F.col("node").alias("b"), F.col("many").alias("many_b"))
-    wanted = staged(shared.select("node").distinct().join(nodes.select("node", "first"), "node")
-                    .select("node", F.col("first.no_id").alias("_none"), "first._id", "first._hash"), "wanted")
+    wanted = staged(keys.select("node", F.col("first.no_id").alias("_none"), "first._id", "first._hash"), "wanted")
     sets = staged(_located(docs).join(wanted, ["_id", "_none", "_hash"]).select("node", "text").dropDuplicates(["node"])
                   .select("node", shingles("text").alias("shingles")), "sets")
     stars = shared.select(F.col("node").alias("a"), "many", F.explode(F.array("low", "high")).alias("b")).where("a <> b").distinct()
     # Sets of too different sizes can't be similar.
     stars = staged(stars.join(sizes, "b").where(F.least("many", "many_b") >= F.lit(least) * F.greatest("many", "many_b")).select("a", "b"), "pairs")
     links = staged(_similar(stars, sets, least), "near")
-    rooted = shared.select("key", "node", "low", "many").join(staged(components(links), "roots"), "node", "left")
-    placed = staged(rooted.withColumn("root", F.coalesce("root", "node")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    apart = staged(salted_join(placed, mixed, "key", F.col("node")).select("node", "low", "many", "root").distinct(), "apart")
-    families = staged(components(apart.select(F.col("node").alias("a"), F.col("low").alias("b")).where("a <> b")), "families")
-    members = apart.select("node", "many", "root").distinct().join(families.withColumnRenamed("root", "family"), "node")
+    placed = staged(shared.join(staged(components(links), "roots"), "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    # Of three sets the stars are all pairs.
+    mixed = placed.where("n > 3").groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
+    members = salted_join(placed, mixed, "key", F.col("node")).select("node", "many", "root", F.col("key").alias("family"))
     links = _family_links(staged(members, "members"), sets, links, least)
     return nodes.select("node", "first").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
 
