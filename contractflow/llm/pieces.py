@@ -35,6 +35,7 @@ restores the text exactly, also where it holds the space sign of the vocabulary.
 Other columns are not looked at.
 """
 
+import bisect
 import heapq
 import math
 import re
@@ -77,6 +78,14 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return (mixed(x) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53 + 2.0 ** -54
 
 
+def one_uniform(x: int) -> float:
+    """``uniform`` of a single number."""
+    x &= (1 << 64) - 1
+    x = (x ^ x >> 30) * int(_M1) & (1 << 64) - 1
+    x = (x ^ x >> 27) * int(_M2) & (1 << 64) - 1
+    return ((x ^ x >> 31) >> 11) * 2.0 ** -53 + 2.0 ** -54
+
+
 def at(base: np.ndarray, place: np.ndarray) -> np.ndarray:
     return base + (place.astype(np.uint64) + np.uint64(1)) * GOLDEN
 
@@ -123,6 +132,8 @@ class Vocabulary:
             self.weights[i], self.text[i] = -power * math.log(loaded["last"] + 2), bytes([b])
         self.weights -= np.logaddexp.reduce(self.weights)
         self.byte_weight = float(self.weights[self.bytes[0]])
+        #: Characters whose total weight, four least pieces each, is a double without loss.
+        self.near = int(600 / (4 * -min(self.byte_weight, float(self.weights[np.isfinite(self.weights)].min()))))
         self.terminal = np.array(terminal, np.int32)
         self.first = np.full(0x110000, -1, np.int32)
         for c, node in children[0].items():
@@ -162,9 +173,13 @@ class Vocabulary:
             done = i + 1
         return np.concatenate([*parts, pieces[done:]])
 
+    def spell(self, ids) -> bytes:
+        """The text of a sequence of ids in UTF-8."""
+        return b"".join(map(self.text.__getitem__, ids))[1:]
+
     def decode(self, ids) -> str:
         """The text of a sequence of ids."""
-        return b"".join([self.text[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
+        return self.spell(ids).decode("utf-8", "surrogatepass")
 
 
 def marked(text: str) -> str:
@@ -184,17 +199,19 @@ class Lattice:
         stop = ends[chunk]
         place, state, size, found = np.arange(len(codes)), v.first[codes], 1, []
         alone = np.ones(len(codes), bool)
-        while len(place):
-            live = state >= 0
+        kinds = np.append(v.kind[codes], 0)
+        kinds[ends - lengths] = 0  # no piece goes on into the next chunk
+        while True:
+            live = np.nonzero(state >= 0)[0]
+            if not len(live):
+                break
             place, state = place[live], state[live]
             piece = v.terminal[state]
-            hit = piece >= 0
-            found.append((place[hit], np.full(int(hit.sum()), size), piece[hit]))
+            hit = np.nonzero(piece >= 0)[0]
+            found.append((place[hit], np.full(len(hit), size), piece[hit]))
             if size == 1:
                 alone[place[hit]] = False
-            on = place + size < stop[place]
-            place, state = place[on], state[on]
-            state = v.table[v.row[state], v.kind[codes[place + size]]]
+            state = v.table[v.row[state], kinds[place + size]]
             size += 1
         other = np.nonzero(alone)[0]
         found.append((other, np.ones(len(other), np.int64), np.where(
@@ -210,27 +227,39 @@ class Lattice:
         weight = np.where(self.piece >= 0, v.weights[np.maximum(self.piece, 0)], 0.0)
         for code in np.unique(-1 - self.piece[self.piece < 0]):
             weight[self.piece == -1 - code] = v.byte_weight * len(v.fallback(int(code)))
-        self.begin = np.searchsorted(self.source, np.arange(nodes + 1))
+        counts = np.bincount(self.source, minlength=nodes)
+        self.begin = np.concatenate([[0], np.cumsum(counts)])
         # Backward sums, by distance to the chunk's end: all edges of a distance lead to smaller ones.
-        back = np.zeros(nodes)
+        back = np.ones(nodes)
         left = (stop - np.arange(len(codes)))[source]
         by = np.argsort(left.astype(np.uint16) if len(left) and left.max() < 1 << 16 else left, kind="stable")
         cuts = np.concatenate([[0], np.cumsum(np.bincount(left))])
-        for low, high in zip(cuts[1:-1], cuts[2:]):
+        from_, target, value = self.source[by], self.target[by], weight[by]
+        starts = np.concatenate([[0], np.nonzero(np.diff(from_))[0] + 1]) if len(by) else by
+        from_, turns = from_[starts], np.searchsorted(starts, cuts)
+        # Near the end no sum can leave the range of doubles, so they need no logarithms.
+        near = min(len(cuts) - 2, v.near)
+        weigh = np.exp(value[:cuts[near + 1]])
+        for d in range(1, len(cuts) - 1):
+            low, high, some = cuts[d], cuts[d + 1], slice(turns[d], turns[d + 1])
+            if d == near + 1:
+                back = np.log(back)
             if low == high:
                 continue
-            edges = by[low:high]
-            value, from_ = weight[edges] + back[self.target[edges]], self.source[edges]
-            starts = np.concatenate([[0], np.nonzero(np.diff(from_))[0] + 1])
-            top = np.maximum.reduceat(value, starts)
-            many = np.diff(np.append(starts, len(edges)))
-            total = np.add.reduceat(np.exp(value - np.repeat(top, many)), starts)
-            back[from_[starts]] = top + np.log(total)
-        self.log = weight + back[self.target] - back[self.source]
+            begin = starts[some] - low
+            if d <= near:
+                back[from_[some]] = np.add.reduceat(weigh[low:high] * back[target[low:high]], begin)
+                continue
+            logs = value[low:high] + back[target[low:high]]
+            top = np.maximum.reduceat(logs, begin)
+            total = np.add.reduceat(np.exp(logs - np.repeat(top, np.diff(np.append(begin, high - low)))), begin)
+            back[from_[some]] = top + np.log(total)
+        if len(cuts) - 2 <= near:
+            back = np.log(back)
+        self.log = weight + back[self.target] - np.repeat(back, counts)
         self.share = np.exp(self.log)
         summed = np.cumsum(self.share)
-        before = np.concatenate([[0.0], summed])[self.begin[self.source]]
-        self.upto = summed - before
+        self.upto = summed - np.repeat(np.concatenate([[0.0], summed])[self.begin[:-1]], counts)
         self.upto[self.begin[1:] - 1] = 2.0  # a node's last edge takes what rounding leaves
 
     def pick(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -292,32 +321,43 @@ class Batch:
         """A window's lattices, and which of them each of its chunks has."""
         if self.held is None or self.held[0] != window:
             self.held = None
-            own, which = np.unique(self.which[self.cuts[window]:self.cuts[window + 1]], return_inverse=True)
-            self.held = window, Lattice(self.vocabulary, self.different[own].tolist()), which
+            if len(self.cuts) == 2:
+                self.held = window, Lattice(self.vocabulary, list(self.different)), self.which
+            else:
+                own, which = np.unique(self.which[self.cuts[window]:self.cuts[window + 1]], return_inverse=True)
+                self.held = window, Lattice(self.vocabulary, self.different[own].tolist()), which
         return self.held[1:]
 
-    def walks(self, base: np.ndarray):
-        """One path of every text: (edge, chunk, log share, share, piece) of all steps, and the texts' bounds."""
+    def walks(self, base: np.ndarray, first: np.ndarray):
+        """One path of every text from its chunk ``first`` on: (edge, chunk, log share, share, piece) of all steps, and the texts' bounds."""
         parts = []
         for window, (low, high) in enumerate(zip(self.cuts, self.cuts[1:])):
+            chunk = np.arange(low, high)
+            chunk = chunk[chunk >= first[self.row[low:high]]]
+            if not len(chunk):
+                continue
             lattice, which = self.lattice(window)
-            edge, many = lattice.walk(which, base[self.row[low:high]], self.place[low:high])
-            parts.append((edge, np.repeat(np.arange(low, high), many), lattice.log[edge], lattice.share[edge], lattice.piece[edge]))
+            edge, many = lattice.walk(which[chunk - low], base[self.row[chunk]], self.place[chunk])
+            parts.append((edge, np.repeat(chunk, many), lattice.log[edge], lattice.share[edge], lattice.piece[edge]))
         steps = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 5
         return steps, np.searchsorted(steps[1], self.bounds)
 
-    def other(self, chunk: int, node_edge: int, used: list[int], u: float, base: np.ndarray):
+    def other(self, chunk: int, node_edge: int, used: list[int], u: float, base: int):
         """Another edge at the node of ``node_edge`` and a walk on to the chunk's end; what is left of the node's share."""
-        lattice, which = self.lattice(int(np.searchsorted(self.cuts, chunk, side="right")) - 1)
+        window = bisect.bisect_right(self.cuts, chunk) - 1
+        lattice, which = self.lattice(window)
         low, high = lattice.begin[lattice.source[node_edge]], lattice.begin[lattice.source[node_edge] + 1]
         free = [e for e in range(low, high) if e not in used]
         shares = np.cumsum(lattice.share[free])
         edge = free[min(int(np.searchsorted(shares, u * shares[-1], side="right")), len(free) - 1)]
-        path, c = [edge], which[chunk - self.cuts[np.searchsorted(self.cuts, chunk, side="right") - 1]]
-        shift = self.place[chunk] - lattice.first[c]
-        while lattice.target[path[-1]] != lattice.last[c]:
-            node = lattice.target[path[-1]:path[-1] + 1]
-            path.append(int(lattice.pick(node, uniform(at(base, shift + node)))[0]))
+        path, c = [edge], which[chunk - self.cuts[window]]
+        shift, node, last = int(self.place[chunk] - lattice.first[c]), int(lattice.target[edge]), int(lattice.last[c])
+        while node != last:
+            draw, step = one_uniform(base + (shift + node + 1) * int(GOLDEN)), int(lattice.begin[node])
+            while draw >= lattice.upto[step]:
+                step += 1
+            path.append(step)
+            node = int(lattice.target[step])
         rest = [e for e in free if e != edge]
         left = float(np.logaddexp.reduce(lattice.log[rest])) if rest else -math.inf
         return np.array(path), lattice.log[path], lattice.share[path], lattice.piece[path], left
@@ -339,29 +379,48 @@ def sample_batch(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
     rests = [stream(keys, seed, 1, number) for number in range(k)]
     turns = [uniform(at(stream(keys, seed, kind, 0)[:, None], np.arange(k)[None, :])) for kind in (3, 4)]
 
-    def leave_rests(row: int, path, start: int, limit: float, number: int):
-        """Queue the best rests along the steps of a path from ``start`` on.
+    def leave_rests(paths: list[tuple], number: int):
+        """Queue the best rests along the steps of paths: (row, path, first step, limit).
 
         A draw lies at most ``NOISE`` above its place, and places fall along the
         path; so the steps after the first ones matter only if the k best rests
-        of those don't yet lie higher than that.
+        of those don't yet lie higher than that. The steps of all paths are drawn together.
         """
-        end = min(len(path[2]), start + FIRST)
-        while True:
+        highs: list = [None] * len(paths)
+        todo = [(i, start, min(len(path[2]), start + FIRST)) for i, (_, path, start, _) in enumerate(paths)]
+        while todo:
+            many = np.array([end - begin for _, begin, end in todo])
+            upto = np.cumsum(many)
+            step = np.arange(upto[-1]) + np.repeat(np.array([begin for _, begin, _ in todo]) - (upto - many), many)
+            base = np.repeat(rests[number][[paths[i][0] for i, _, _ in todo]], many)
+            limit = np.repeat(np.array([paths[i][3] for i, _, _ in todo]), many)
+            total = np.concatenate([paths[i][1][5][begin:end] for i, begin, end in todo])
+            share = np.concatenate([paths[i][1][3][begin:end] for i, begin, end in todo])
             with np.errstate(divide="ignore"):
-                place = path[5][start:end] + np.log1p(-np.minimum(path[3][start:end], 1.0))
-                high = _below(limit, place, uniform(at(rests[number][row:row + 1], np.arange(start, end))))
-            kth = np.partition(high, -k)[-k] if len(high) >= k else -math.inf
-            if end == len(path[2]) or path[5][end] + NOISE < kth:
-                break
-            end = min(len(path[2]), start + 4 * (end - start))
-        few = np.argpartition(-high, k)[:k] if len(high) > k else np.arange(len(high))
-        for i in few[np.isfinite(high[few])]:
-            heapq.heappush(heaps[row], (-float(high[i]), number, int(start + i), [int(path[0][start + i])]))
+                drawn = _below(limit, total + np.log1p(-np.minimum(share, 1.0)), uniform(at(base, step)))
+            again = []
+            for (i, _, end), part in zip(todo, np.split(drawn, upto[:-1])):
+                high = highs[i] = part if highs[i] is None else np.concatenate([highs[i], part])
+                _, path, start, _ = paths[i]
+                if end == len(path[2]):
+                    continue
+                kth = np.partition(high, -k)[-k] if len(high) >= k else -math.inf
+                if not path[5][end] + NOISE < kth:
+                    again.append((i, end, min(len(path[2]), start + 4 * (end - start))))
+            todo = again
+        for (row, path, start, _), high in zip(paths, highs):
+            few = np.argpartition(-high, k)[:k] if len(high) > k else np.arange(len(high))
+            for i in few[np.isfinite(high[few])]:
+                heapq.heappush(heaps[row], (-float(high[i]), number, int(start + i), [int(path[0][start + i])]))
 
     for number in range(k):
         base = stream(keys, seed, 2, number)
-        (edge, chunk, log, share, piece), bounds = batch.walks(base)
+        first = np.zeros(len(texts), np.int64)
+        if number:  # a path is walked behind the chunk where it leaves the one before; a text without rests has none
+            for row, heap in enumerate(heaps):
+                first[row] = done[row][heap[0][1]][0][1][heap[0][2]] + 1 if heap else batch.bounds[-1]
+        (edge, chunk, log, share, piece), bounds = batch.walks(base, first)
+        paths = []
         for row in range(len(texts)):
             low, high = bounds[row], bounds[row + 1]
             fresh = [x[low:high] for x in (edge, chunk, log, share, piece)]
@@ -374,18 +433,18 @@ def sample_batch(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
                 old, limit = done[row][origin][0], -top
                 here = int(old[1][start])
                 walk, logs, shares, ids, left = batch.other(
-                    here, int(old[0][start]), used, float(turns[0][row, number]), base[row:row + 1])
+                    here, int(old[0][start]), used, float(turns[0][row, number]), int(base[row]))
                 if left > -math.inf:
                     rest = float(_below(limit, float(old[5][start]) + left, float(turns[1][row, number])))
                     if math.isfinite(rest):
                         heapq.heappush(heaps[row], (-rest, origin, start, [*used, int(walk[0])]))
-                after = int(np.searchsorted(fresh[1], here, side="right"))
                 new = (walk, np.full(len(walk), here), logs, shares, ids)
-                path = [np.concatenate([a[:start], b, c[after:]]) for a, b, c in zip(old, new, fresh)]
+                path = [np.concatenate([a[:start], b, c]) for a, b, c in zip(old, new, fresh)]
             path.append(np.concatenate([[0.0], np.cumsum(path[2])]))
             begin = start if number == 0 else start + 1
-            leave_rests(row, path, begin, limit, number)
+            paths.append((row, path, begin, limit))
             done[row].append((path, limit))
+        leave_rests(paths, number)
     results = []
     for row in range(len(texts)):
         threshold = -heaps[row][0][0] if heaps[row] else -math.inf
@@ -399,6 +458,19 @@ def sample_batch(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, k:
     return results
 
 
+def fitting(sizes: list[int], window: int = WINDOW) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that fill one window each, with the space sign before every text; a longer text is alone."""
+    low = held = 0
+    for i, size in enumerate(sizes):
+        if i > low and held + size + 1 > window:
+            yield low, i
+            low = i
+            held = 0
+        held += size + 1
+    if sizes:
+        yield low, len(sizes)
+
+
 RESULT = ("doc_id long, sample int, n_pieces long, ids_crc32 long, log_prob double, perturbed double, "
           "log_inclusion double, round_trip boolean")
 
@@ -418,26 +490,25 @@ def sample_segmentations(docs: DataFrame, k: int = 2, model: str = MODEL, seed:
         for batch in batches:
             if vocabulary is None:
                 vocabulary = Vocabulary(sent.value, power)
-            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_numpy().view(np.uint64)
-            texts, low = batch.column(2), 0
-            sizes = pa.compute.utf8_length(texts).fill_null(0).to_pylist()
-            while low < len(ids):
-                high, held = low, 0
-                while high < len(ids) and (high == low or held + sizes[high] <= WINDOW):
-                    held, high = held + sizes[high], high + 1
+            ids, keys, texts = batch.column(0).to_pylist(), batch.column(1).to_numpy().view(np.uint64), batch.column(2)
+            for low, high in fitting(pa.compute.utf8_length(texts).fill_null(0).to_pylist()):
                 own = [t or "" for t in texts[low:high].to_pylist()]
-                rows = []
+                rows, paths = [], []
                 for doc_id, text, found in zip(ids[low:high], own, sample_batch(vocabulary, own, keys[low:high], k, seed)):
+                    data = text.encode("utf-8", "surrogatepass")
                     for number, (pieces, log, noisy, inclusion) in enumerate(found, 1):
                         listed = pieces.tolist()
                         row = (doc_id, number, len(listed), zlib.crc32(pieces.astype("<u4").tobytes()), log, noisy,
-                               inclusion, vocabulary.decode(listed) == text)
-                        rows.append((*row, pieces.astype(np.int32)) if with_ids else row)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-                low = high
+                               inclusion, vocabulary.spell(listed) == data)
+                        rows.append(row)
+                        paths.append(pieces)
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+                if with_ids:
+                    ends = np.concatenate([[0], np.cumsum([len(p) for p in paths])]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(paths).astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     names = [c.split()[0] for c in RESULT.split(", ")] + (["ids"] if with_ids else [])
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(),
-             pa.list_(pa.int32())]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("key"), "text")
     return keyed.mapInArrow(sample, RESULT + (", ids array<int>" if with_ids else ""))

@@ -547,6 +547,41 @@ def test_windows_and_batches_change_nothing(spark, vocabulary):
                        for x, y in zip(a, b))
 
 
+def test_texts_sampled_together_have_one_window(vocabulary):
+    """Each text has a space sign more than characters; a second window would have all lattices built again and again."""
+    draw = random.Random(2)
+    texts = ["".join(draw.choices("ab c\n", k=draw.randrange(0, 60))) for _ in range(400)] + ["x " * 300, "", "y"]
+    ranges = list(pieces.fitting([len(t) for t in texts], 200))
+    assert [i for low, high in ranges for i in range(low, high)] == list(range(len(texts))) and not list(pieces.fitting([]))
+    assert all(len(pieces.Batch(vocabulary, texts[low:high], 200).cuts) == 2 for low, high in ranges if high - low > 1)
+
+
+def test_lattices_of_long_chunks_are_exact(vocabulary):
+    """Sums near a chunk's end need no logarithms, farther ones do; both give the shares of the plain recursion."""
+    for text in ("antidisestablishmentarianism" * 3, "\U0001f600" * 40, "a"):
+        chunk = pieces.marked(text)
+        lattice, total = pieces.Lattice(vocabulary, [chunk, chunk]), {len(chunk): 0.0}
+        assert len(text) == 1 or len(chunk) > vocabulary.near
+        for node in range(len(chunk) - 1, -1, -1):
+            edges = range(lattice.begin[node], lattice.begin[node + 1])
+            weights = [vocabulary.weights[i] if i >= 0 else 4 * vocabulary.byte_weight for i in lattice.piece[edges].tolist()]
+            total[node] = float(np.logaddexp.reduce([w + total[int(lattice.target[e])] for w, e in zip(weights, edges)]))
+            assert all(math.isclose(lattice.log[e], w + total[int(lattice.target[e])] - total[node], abs_tol=1e-9)
+                       for w, e in zip(weights, edges))
+
+
+def test_walks_may_begin_at_a_chunk(vocabulary):
+    """The later part of a text's walk is the same without the part before."""
+    texts = ["one two three\nfour five", "six seven", ""]
+    batch, base = pieces.Batch(vocabulary, texts), pieces.stream(np.arange(3, dtype=np.uint64), 4, 2, 0)
+    whole, _ = batch.walks(base, np.zeros(3, np.int64))
+    first = np.array([3, batch.bounds[-1], 0])
+    part, bounds = batch.walks(base, first)
+    later = whole[1] >= first[batch.row[whole[1]]]
+    assert all((a[later] == b).all() for a, b in zip(whole, part)) and 0 < len(part[0]) < len(whole[0])
+    assert bounds.tolist() == [0, len(part[0]), len(part[0]), len(part[0])]
+
+
 def test_pieces_query(spark):
     found = rows_of(QUERIES["op4_pieces"](spark, SMALL))
     assert all(r["round_trip"] and r["log_inclusion"] <= 0 for r in found)
