@@ -35,8 +35,9 @@ UNKNOWN = "und"
 PER_LANGUAGE = 1_500
 #: Words and n-grams of each length kept: those counted most often, twice at least.
 KEPT = {0: 80_000, 4: 60_000, 3: 30_000, 2: 8_000, 1: 2_000}
-#: Counts a task holds before it hands them on, and scores of unseen words it remembers.
-HELD = 300_000
+#: Counts a task holds before it hands them on, and scores of unseen words it remembers. A worker that has
+#: held much keeps the memory while the JVM works, so both are small.
+HELD = 60_000
 SMOOTH = 0.5
 
 LETTERS = re.compile(r"[^\W\d_]+")

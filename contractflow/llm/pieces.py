@@ -476,12 +476,13 @@ RESULT = ("doc_id long, sample int, n_pieces long, ids_crc32 long, log_prob doub
 
 
 def sample_segmentations(docs: DataFrame, k: int = 2, model: str = MODEL, seed: int = SEED, power: float = 1.0,
-                         with_ids: bool = True) -> DataFrame:
+                         with_ids: bool = True, window: int = WINDOW) -> DataFrame:
     """k different segmentations of every text: a row for each, numbered from 1 by falling noise.
 
     Columns: doc_id, sample, n_pieces, ids_crc32 (of the ids as little-endian 32-bit
     numbers), log_prob, perturbed, log_inclusion, round_trip (whether decoding gives
-    the text back), and the ids themselves unless they aren't wanted.
+    the text back), and the ids themselves unless they aren't wanted. ``window`` is the
+    number of characters whose lattices a worker holds at once; results don't depend on it.
     """
     sent = docs.sparkSession.sparkContext.broadcast(load_pieces(model))
 
@@ -491,10 +492,10 @@ def sample_segmentations(docs: DataFrame, k: int = 2, model: str = MODEL, seed:
             if vocabulary is None:
                 vocabulary = Vocabulary(sent.value, power)
             ids, keys, texts = batch.column(0).to_pylist(), batch.column(1).to_numpy().view(np.uint64), batch.column(2)
-            for low, high in fitting(pa.compute.utf8_length(texts).fill_null(0).to_pylist()):
+            for low, high in fitting(pa.compute.utf8_length(texts).fill_null(0).to_pylist(), window):
                 own = [t or "" for t in texts[low:high].to_pylist()]
                 rows, paths = [], []
-                for doc_id, text, found in zip(ids[low:high], own, sample_batch(vocabulary, own, keys[low:high], k, seed)):
+                for doc_id, text, found in zip(ids[low:high], own, sample_batch(vocabulary, own, keys[low:high], k, seed, window)):
                     data = text.encode("utf-8", "surrogatepass")
                     for number, (pieces, log, noisy, inclusion) in enumerate(found, 1):
                         listed = pieces.tolist()

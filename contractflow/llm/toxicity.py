@@ -46,8 +46,9 @@ FOLDS = 3
 ROWS = 3
 PREFIXES = (3, 4, 5, 6, 7)
 CATEGORIES = ("low_quality", "toxic")
-#: Words whose features a task remembers, and features it counts before it hands them on.
-HELD = 300_000
+#: Words whose features a task remembers, and features it counts before it hands them on. A worker that has
+#: held much keeps the memory while the JVM works, so both are small.
+HELD = 60_000
 
 WORDS = re.compile(r"[^\W_]+")
 
@@ -235,25 +236,30 @@ def _fit_all(vectors: DataFrame, category: int, size: int) -> tuple[np.ndarray,
     fit is a task of its own, which holds the bounded sample.
     """
 
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("row")
-        which, folds, labels = frame["fit"].iloc[0], frame["fold"].to_numpy(), frame["label"].to_numpy(float)
-        many = frame["at"].map(len).to_numpy()
-        at = np.concatenate([*frame["at"], []]).astype(np.int64)
-        value = np.concatenate([*frame["weight"], []]).astype(float)
+    def fit(group: pa.Table) -> pa.Table:
+        # Lists stay flat: an object a row and copies of the triples would double the worker's memory.
+        group = group.take(np.argsort(group["row"].to_numpy())).combine_chunks()
+        which, folds, labels = group["fit"][0].as_py(), group["fold"].to_numpy(), group["label"].to_numpy().astype(float)
+        row, lists = group["row"].to_numpy(), [group[c].chunk(0) for c in ("at", "weight")]
+        many = lists[0].value_lengths().to_numpy()
+        at, value = (x.flatten().to_numpy() for x in lists)
+        del group
         train = folds != which
         use = np.repeat(train, many)
-        place = np.repeat(np.cumsum(train) - 1, many)
-        w = logistic(place[use], at[use], value[use], labels[train], size)
+        w = logistic(np.repeat(np.arange(int(train.sum()), dtype=np.int32), many[train]), at[use], value[use], labels[train], size)
         if which < 0:
-            return pd.DataFrame({"row": [-1], "p": pd.Series([None], dtype=float), "weights": [w.tolist()]})
-        z = np.bincount(np.repeat(np.arange(len(frame)), many), value * w[at], len(frame)) + w[-1]
-        p = 1 / (1 + np.exp(-z[~train]))
-        return pd.DataFrame({"row": frame["row"].to_numpy()[~train], "p": p, "weights": pd.Series([None] * len(p), dtype=object)})
+            row, p, weights = [-1], [None], [w.tolist()]
+        else:
+            rest = ~train
+            z = np.bincount(np.repeat(np.arange(int(rest.sum())), many[rest]), value[~use] * w[at[~use]], int(rest.sum())) + w[-1]
+            row, p = row[rest], 1 / (1 + np.exp(-z))
+            weights = [None] * len(p)
+        return pa.table({"row": pa.array(row, pa.int64()), "p": pa.array(p, pa.float64()),
+                         "weights": pa.array(weights, pa.list_(pa.float64()))})
 
     fits = F.explode(F.array(*[F.lit(i) for i in range(-1, FOLDS)])).alias("fit")
     rows = vectors.select(fits, "row", "fold", "at", "weight", F.col("labels")[category].alias("label"))
-    result = staged(rows.groupBy("fit").applyInPandas(fit, "row long, p double, weights array<double>"), "fitted")
+    result = staged(rows.groupBy("fit").applyInArrow(fit, "row long, p double, weights array<double>"), "fitted")
     found = result.where("row < 0").select("weights").first()
     weights = np.array(found[0]) if found else logistic(*[np.zeros(0, np.int64)] * 2, np.zeros(0), np.zeros(0), size)
     return weights, result.where("row >= 0").select("row", "p")

@@ -4,9 +4,11 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import pyarrow as pa
 from conftest import SMALL
 
 from __spark_entry__ import queries
+from contractflow.llm import pieces, toxicity
 from contractflow.llm.common import staged, table
 from contractflow.llm.queries import QUERIES
 
@@ -38,6 +40,24 @@ def test_stages_on_odd_and_empty_rows(spark, odd_docs, no_docs):
         assert docs.count() == 0 or first is odd_docs
 
 
+def test_workers_hand_counts_on_early():
+    texts = [" ".join(f"{i:x}q" for i in range(start, start + 10_000)) for start in range(1 << 20, (1 << 20) + 200_000, 10_000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([t]), pa.array([[1, 0]])], ["text", "labels"]) for t in texts]
+    out = list(toxicity._label_counts(iter(batches)))
+    assert max(b.num_rows for b in out) <= 100_000
+    counted = Counter()
+    for b in out:
+        counted.update(dict(zip(b["feature"].to_pylist(), b["rows"].to_pylist())))
+    assert counted == sum((Counter(toxicity.features(t)) for t in texts), Counter())
+
+
+def test_small_windows_give_the_same_pieces(spark, odd_docs):
+    docs = odd_docs.select("doc_id", "text").dropDuplicates(["doc_id"])
+    found = [sorted(map(str, pieces.sample_segmentations(docs, window=window).collect()))
+             for window in (pieces.WINDOW, corpus_pipeline.WINDOW, 1000)]
+    assert found[0] == found[1] == found[2]
+
+
 def test_registered_names():
     found = queries()
     for n in range(1, 11):
