@@ -257,6 +257,7 @@ class Lattice:
         if len(cuts) - 2 <= near:
             back = np.log(back)
         self.log = weight + back[self.target] - np.repeat(back, counts)
+        self.log[self.begin[:-1][counts == 1]] = 0.0  # the only way on leaves no rest, however its sums were rounded
         self.share = np.exp(self.log)
         summed = np.cumsum(self.share)
         self.upto = summed - np.repeat(np.concatenate([[0.0], summed])[self.begin[:-1]], counts)
@@ -300,7 +301,7 @@ class Batch:
         for text in texts:
             words += vocabulary.chunks.findall(marked(text))
             self.bounds.append(len(words))
-        if any(SPACE in text for text in texts):  # then some words hold a surrogate, which only a dict keeps apart
+        if any(SPACE in text or "\0" in text for text in texts):  # only a dict keeps words with surrogates or zeros apart
             numbers: dict[str, int] = {}
             self.which = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64)
             self.different = np.array(list(numbers), dtype=object)

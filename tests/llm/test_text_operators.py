@@ -608,6 +608,24 @@ def test_pieces_odd_rows(odd_docs, no_docs, vocabulary):
     assert pieces.sample_segmentations(no_docs).count() == 0
 
 
+def test_texts_with_a_single_segmentation(vocabulary):
+    """No piece joins their characters, so they have one sample, which is certain, whatever rounding leaves of its rest."""
+    texts = ["Ê.", "Ó.", "Íñ.", "Êé.", "Óíó.", "Êç.", *(chr(c) * n for c in range(1, 33) for n in (1, 2))]
+    keys = np.arange(len(texts), dtype=np.uint64)
+    for text, found in zip(texts, pieces.sample_batch(vocabulary, texts, keys, 2)):
+        ways = min(2, len(all_segmentations(vocabulary, text)))
+        assert len({tuple(ids) for ids, _, _, _ in found}) == len(found) == ways
+        assert all(vocabulary.decode(ids.tolist()) == text for ids, _, _, _ in found)
+        if ways == 1:
+            assert (found[0][1], found[0][3]) == (0.0, 0.0)
+
+
+def test_words_with_zero_characters_are_kept_apart(vocabulary):
+    texts = ["a\0b a\0c a", "\0 \0\0 \0x"]
+    for text, found in zip(texts, pieces.sample_batch(vocabulary, texts, np.arange(2, dtype=np.uint64), 2)):
+        assert [vocabulary.decode(ids.tolist()) for ids, _, _, _ in found] == [text] * len(found)
+
+
 def test_the_sample_of_labels_is_bounded_by_ids(spark):
     """An id that fills both tables counts once."""
     docs = spark.createDataFrame([(i % 50 if i < 100 else 7, f"text {i % 9}") for i in range(3000)], "doc_id long, text string")
