@@ -58,6 +58,15 @@ def test_small_windows_give_the_same_pieces(spark, odd_docs):
     assert found[0] == found[1] == found[2]
 
 
+def test_one_word_documents_are_encoded(spark):
+    """Of a large table some documents are one sentence of one word, with a single way to cut it."""
+    texts = ["Ê.", "Ó.", "Íñ.", "Êé.", "Óíó.", "Êç."]
+    docs = spark.createDataFrame([(i, t, "fr", "s", len(t)) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.encode(spark, docs, SMALL).collect()
+    assert sorted((r["doc_id"], r["sample"], r["round_trip"]) for r in found) == [(i, 1, True) for i in range(len(texts))]
+
+
 def test_registered_names():
     found = queries()
     for n in range(1, 11):
