@@ -25,9 +25,11 @@ rounds, each written to the shared folder.
 Jaccard similarity of their five-word shingles. At 0.8 two fingerprints differ in
 15 % of their bits, far beyond what 64 bits can tell from chance, so here SimHash
 has 256 bits, and fingerprints link at 68 or fewer differing bits. Unrelated ones
-differ in 128, with a deviation of 8. The key parts are the 32 bytes: fingerprints
-are compared where one byte is equal, which two sets of similarity 0.8 miss with
-0.00005. Chains of links are clusters, and only inside them sets are compared.
+differ in 128, with a deviation of 8, so nothing short of comparing finds all that
+are near; but sets of similarity 0.8 also have sizes within 0.8 of each other, so
+fingerprints are dealt into blocks by size, and every two blocks whose sizes allow
+it are compared in full. Chains of links are clusters, and only inside them sets
+are compared.
 
 **Defined results.** A null or wordless text has fingerprint zero, which links
 like any other. Equal fingerprints share a node, so copies cost nothing in the
@@ -61,10 +63,16 @@ BLOCK = 512
 CELLS = 1 << 22
 #: Near copies that ``keep_one`` removes: words of a shingle, and similarity of two shingle sets.
 WORDS, SIMILAR = 5, 0.8
-#: Their fingerprints: 64-bit parts, differing bits up to which two link, and those up to which their first parts may differ.
+#: Their fingerprints: 64-bit parts, differing bits up to which two link, and, for key parts, those up to which their first parts may differ.
 PARTS, NEAR, NEAR_FIRST = 4, 68, 24
-#: Fingerprints that are compared without key parts.
-ALONE = 4096
+#: Sets of fewer shingles than the first differ in more bits at the same similarity; they link up to the second.
+SMALL, NEAR_SMALL = 5, 84
+#: What rounding may take from a product of sizes; a set of fewer shingles than this is similar to no other.
+SLACK, LEAST_SET = 1e-6, 4
+#: Blocks of sizes at most, and the fingerprints a block should hold at least.
+SIZE_BLOCKS, LEAST_BLOCK = 64, 2048
+#: Rows and columns of distances computed at once, as the processor's cache holds them.
+TILE = 64, 4096
 #: Fingerprints among which dense balls are looked for, differing bits from a ball's vantage point, a ball's least share.
 BALLS, INNER, DENSE = 8192, 32, 1 / 64
 
@@ -383,42 +391,135 @@ def dense_balls(points: np.ndarray, inner: int = INNER, share: float = DENSE) ->
     return found
 
 
-def wide_links(nodes: DataFrame, radius: int = NEAR, alone: int = ALONE) -> DataFrame:
-    """Links (a, b) that connect nodes whose wide fingerprints (``print``) are near, where a byte of them is equal.
+def _sized_pairs(points: np.ndarray, many: np.ndarray, own: np.ndarray, others: np.ndarray, radius: int):
+    """Blocks of position pairs, one of ``own`` and one of ``others``, that are near and whose sizes allow similarity.
 
-    Each fingerprint goes to one shard a byte, by the byte's place and upper half; a shard
-    compares what has the whole byte in common and returns a spanning forest. A large
-    group of near copies would fill its shards, so a sample shows the vantage points
+    Both lists are ordered by size; with itself a list is compared from each position on.
+    """
+    parts, size = np.ascontiguousarray(points.T), many[others]
+    small, same = SIMILAR * size - SLACK, own is others
+    xor, ones, total = np.empty(TILE, np.uint64), np.empty(TILE, np.uint8), np.empty(TILE, np.uint8)
+    for start in range(0, len(own), TILE[0]):
+        a = own[start:start + TILE[0]]
+        low = start if same else int(np.searchsorted(size, SIMILAR * many[a[0]] - SLACK))
+        high = int(np.searchsorted(small, many[a[-1]], side="right"))
+        for at in range(low, high, TILE[1]):
+            b = others[at:min(at + TILE[1], high)]
+            x, n, d = (buffer[:len(a), :len(b)] for buffer in (xor, ones, total))
+            for k, part in enumerate(parts):
+                np.bitwise_xor(part[a][:, None], part[b][None, :], out=x)
+                np.bitwise_count(x, out=n if k else d)
+                if k:
+                    np.add(d, n, out=d)  # 256 becomes 0, so what is near here is counted again
+            hit = np.flatnonzero(d <= max(radius, NEAR_SMALL))
+            if len(hit):
+                i, j = a[hit // len(b)], b[hit % len(b)]
+                limit = np.where(np.minimum(many[i], many[j]) < SMALL, max(radius, NEAR_SMALL), radius)
+                near = (_wide_distance(points[i], points[j]) <= limit) & (i != j)
+                yield i[near], j[near]
+
+
+def wide_links(nodes: DataFrame, radius: int = NEAR, alone: int | None = None) -> DataFrame:
+    """Links (a, b) that connect all nodes whose wide fingerprints (``print``) are near and whose sizes (``many``) allow similarity.
+
+    Fingerprints are dealt into blocks of equal numbers by size, sets of one size by
+    their digests. A group is two blocks (or one with itself) that may hold sets of
+    similarity 0.8; it compares all their fingerprints on all bits and returns a
+    spanning forest. The blocks' number is bounded, so the shuffle grows with the
+    table and the comparisons with its square.
+
+    A large group of near copies would be very many links, so a sample shows the vantage points
     of dense balls. A fingerprint within ``INNER`` of one links to it and goes no
-    further; whatever is near such a fingerprint is within ``INNER + radius`` of the
-    vantage point, and links to that as well.
+    further; whatever is near such a fingerprint is within ``INNER`` more bits of the
+    vantage point, and links to that as well, so this loses no link.
+
+    With ``alone`` given, larger tables are compared by key parts, whatever their sizes (see ``_byte_links``): that
+    takes an eighth of all comparisons, but may miss pairs. ``near_copies`` doesn't use it.
     """
     total = nodes.count()
-    bytes_ = range(8 * PARTS) if total > alone else range(0)
     every = max(1, -(-total // BALLS))
     drawn = nodes.where(F.pmod(F.xxhash64("print", F.lit(SEED)), F.lit(every)) == 0).select("node", "print").limit(2 * BALLS).toArrow()
     order = np.argsort(drawn["node"].to_numpy())
     shape, names = _wide(drawn["print"])[order], drawn["node"].to_numpy()[order]
     found = dense_balls(shape) if len(shape) else []
     balls, centres = shape[found], names[found]
-
-    def inside(points: np.ndarray, ball: np.ndarray, limit: int) -> np.ndarray:
-        return _wide_distance(points, ball) <= limit
+    reach = F.lit(INNER + radius)
+    if alone is None:  # sets that may be similar to small ones reach farther
+        reach = F.when(SIMILAR * F.col("many") < SMALL - 1 + SLACK, INNER + max(radius, NEAR_SMALL)).otherwise(reach)
+        nodes = nodes.where(F.col("many") >= LEAST_SET)
 
     def claim(batches):
         for batch in batches:
             node, points = batch.column(0).to_numpy(), _wide(batch.column(1))
             for ball, centre in zip(balls, centres):
-                near = inside(points, ball, INNER + radius) & (node != centre)
+                near = (_wide_distance(points, ball) <= batch.column(2).to_numpy()) & (node != centre)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(node[near]), pa.array(np.full(int(near.sum()), centre, np.int64))], ["a", "b"])
 
+    links = _size_links(nodes, total, balls, radius) if alone is None else _byte_links(nodes, total > alone, balls, radius)
+    return links.unionByName(nodes.select("node", "print", reach.alias("reach")).mapInArrow(claim, "a long, b long")) if found else links
+
+
+def _free(points: np.ndarray, balls: np.ndarray) -> np.ndarray:
+    """Which of the fingerprints lie in no dense ball."""
+    free = np.ones(len(points), bool)
+    for ball in balls:
+        free &= _wide_distance(points, ball) > INNER
+    return free
+
+
+def _forest_table(node: np.ndarray, pairs) -> pa.Table:
+    """A spanning forest of the position pairs: each linked node and the first of its tree."""
+    labels = np.arange(len(node))
+    for a, b in pairs:
+        join_labels(labels, a, b)
+    linked = np.nonzero(labels != np.arange(len(node)))[0]
+    return pa.table({"a": pa.array(node[linked]), "b": pa.array(node[labels[linked]])})
+
+
+def _size_links(nodes: DataFrame, total: int, balls: np.ndarray, radius: int) -> DataFrame:
+    """Links among the fingerprints outside the balls, by blocks of sizes."""
+    blocks = max(1, min(SIZE_BLOCKS, total // LEAST_BLOCK))
+    placed = nodes.select(
+        "node", "many", "print", (F.col("many") + F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / F.lit(1 << 20)).alias("place"))
+    cuts = np.array(placed.agg(F.percentile_approx("place", [i / blocks for i in range(1, blocks)], 10_000)).first()[0] or []
+                    if blocks > 1 else [], np.float64)
+    blocks = len(cuts) + 1
+    low, high = np.floor([0, *cuts]), np.floor([*cuts, np.inf])
+    pairs = [(a, b) for a in range(blocks) for b in range(a, blocks) if a == b or SIMILAR * low[b] <= high[a] + SLACK]
+    groups = [[number for number, pair in enumerate(pairs) if block in pair] for block in range(blocks)]
+
+    def deal(batches):
+        for batch in batches:
+            free = _free(_wide(batch.column(2)), balls)
+            block = np.searchsorted(cuts, batch.column(3).to_numpy(), side="right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(block)], ["node", "many", "print", "block"]).filter(pa.array(free))
+
+    def search(group: pa.Table) -> pa.Table:
+        first, second = pairs[group["pair"][0].as_py()]
+        order = np.lexsort((group["node"].to_numpy(), group["many"].to_numpy()))  # the same rows whatever order they came in
+        node, many, block = (group[c].to_numpy()[order] for c in ("node", "many", "block"))
+        own = np.nonzero(block == first)[0]
+        others = own if first == second else np.nonzero(block == second)[0]
+        return _forest_table(node, _sized_pairs(_wide(group["print"])[order], many, own, others, radius))
+
+    dealt = placed.mapInArrow(deal, "node long, many int, print array<long>, block int")
+    chosen = F.array(*[F.array(*map(F.lit, some)) for some in groups])[F.col("block")]
+    return dealt.withColumn("pair", F.explode(chosen)).groupBy("pair").applyInArrow(search, "a long, b long")
+
+
+def _byte_links(nodes: DataFrame, parted: bool, balls: np.ndarray, radius: int) -> DataFrame:
+    """Links among the fingerprints outside the balls where a byte is equal and the first parts are near.
+
+    Each fingerprint goes to one shard a byte, by the byte's place and upper half; a shard
+    compares what has the whole byte in common and returns a spanning forest.
+    """
+    bytes_ = range(8 * PARTS) if parted else range(0)
+
     def route(batches):
         for batch in batches:
             node, points = batch.column(0).to_numpy(), _wide(batch.column(1))
-            free = np.ones(len(node), bool)
-            for ball in balls:
-                free &= ~inside(points, ball, INNER)
+            free = _free(points, balls)
             node, points = node[free], np.ascontiguousarray(points[free])
             keys = points.astype("<u8").view(np.uint8).reshape(len(node), 8 * PARTS)
             ends = pa.array(np.arange(len(node) + 1, dtype=np.int32) * points.shape[1])
@@ -431,18 +532,12 @@ def wide_links(nodes: DataFrame, radius: int = NEAR, alone: int = ALONE) -> Data
         node, shard = group["node"].to_numpy(), group["shard"][0].as_py()
         order = np.argsort(node)  # the same rows whatever order they came in
         node, points = node[order], _wide(group["print"])[order]
-        labels = np.arange(len(node))
         key = points.astype("<u8").view(np.uint8).reshape(len(node), 8 * PARTS)[:, shard // 16] if shard >= 0 else np.zeros(len(node), np.uint8)
-        for value in np.unique(key):
-            own = np.nonzero(key == value)[0]
-            for a, b in _wide_pairs(points[own], radius):
-                join_labels(labels, own[a], own[b])
-        linked = np.nonzero(labels != np.arange(len(node)))[0]
-        return pa.table({"a": pa.array(node[linked]), "b": pa.array(node[labels[linked]])})
-
-    places = nodes.select("node", "print")
-    links = places.mapInArrow(route, "shard int, node long, print array<long>").groupBy("shard").applyInArrow(search, "a long, b long")
-    return links.unionByName(places.mapInArrow(claim, "a long, b long")) if found else links
+        places = (np.nonzero(key == value)[0] for value in np.unique(key))
+        return _forest_table(node, ((own[a], own[b]) for own in places for a, b in _wide_pairs(points[own], radius)))
+
+    return nodes.select("node", "print").mapInArrow(route, "shard int, node long, print array<long>").groupBy("shard").applyInArrow(
+        search, "a long, b long")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:

@@ -176,6 +176,52 @@ def test_wide_fingerprints_link_through_shards_and_balls(spark, dense):
         assert {i for i in ids if roots.get(i, i) == i} == smallest_of_group(ids, pairs)
 
 
+@pytest.mark.parametrize("dense", [0, 9000])
+def test_wide_links_miss_no_near_pair(spark, monkeypatch, dense):
+    """All that is near and allowed by size is linked: where no byte is equal, and where the first parts alone differ."""
+    monkeypatch.setattr(simhash, "LEAST_BLOCK", 300)
+    draw, every = random.Random(dense), (1 << 256) // 255  # one bit of each byte
+    points, sizes = [], []
+    for i in range(200):
+        p, size = draw.getrandbits(256), draw.choice([4, 5, 40, 41, 300])
+        one = [p ^ every << draw.randrange(8), p ^ ((1 << 40) - 1), p ^ sum(1 << b for b in draw.sample(range(256), draw.randrange(50, 85)))]
+        points += [p, *one]
+        sizes += [size, *[draw.randrange(-(-4 * size // 5), 5 * size // 4 + 1) for _ in one]]
+    while len(points) < 5000:
+        points.append(draw.getrandbits(256))
+        sizes.append(draw.choice([1, 3, 4, 5, 40, 41, 50, 300, 2000]))
+    middle = draw.getrandbits(256)
+    for _ in range(dense):
+        points.append(middle ^ sum(1 << b for b in draw.sample(range(256), draw.randrange(1, 12))))
+        sizes.append(draw.randrange(95, 105))
+    words = np.array([[p >> 64 * i & (1 << 64) - 1 for i in range(4)] for p in points], np.uint64)
+    frame = spark.createDataFrame([(i, n, w.view(np.int64).tolist()) for i, (n, w) in enumerate(zip(sizes, words))],
+                                  "node long, many int, print array<long>").repartition(3)
+    roots = {r["node"]: r["root"] for r in rows_of(simhash.components(simhash.wide_links(frame)))}
+    many, pairs = np.array(sizes), set()
+    for i in range(5000):
+        far = np.bitwise_count(words[i] ^ words[i + 1:5000]).sum(1, dtype=int)
+        small, large = np.minimum(many[i], many[i + 1:5000]), np.maximum(many[i], many[i + 1:5000])
+        fits = (5 * small >= 4 * large) & (small >= 4) & (far <= np.where(small < 5, simhash.NEAR_SMALL, simhash.NEAR))
+        pairs |= {(i, i + 1 + int(j)) for j in np.nonzero(fits)[0]}
+    assert len(pairs) > 400 and all(roots.get(a, a) == roots.get(b, b) for a, b in pairs)
+    if dense:  # all of the ball and whatever may be near it are one cluster
+        assert len({roots.get(i, i) for i in range(5000, len(points))}) == 1
+    else:
+        assert {i for i in range(5000) if roots.get(i, i) == i} == smallest_of_group(range(5000), pairs)
+
+
+def test_near_pairs_link_wherever_they_differ(spark):
+    """40 bits of the first part, or one bit of every byte among many other fingerprints."""
+    draw = random.Random(8)
+    for bits, others in (((1 << 40) - 1, 0), ((1 << 256) // 255, 4200)):
+        point = draw.getrandbits(256)
+        points = [point, point ^ bits, *[draw.getrandbits(256) for _ in range(others)]]
+        rows = [(i, 100, np.array([p >> 64 * k & (1 << 64) - 1 for k in range(4)], np.uint64).view(np.int64).tolist()) for i, p in enumerate(points)]
+        frame = spark.createDataFrame(rows, "node long, many int, print array<long>")
+        assert [(r["a"], r["b"]) for r in rows_of(simhash.wide_links(frame))] == [(1, 0)]
+
+
 def test_keep_one_compares_what_simhash_links(spark, monkeypatch):
     """Near copies whose fingerprints don't link are never compared, so SimHash brings all candidates."""
     words = [f"w{i}" for i in range(120)]
